@@ -9,6 +9,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuework.functions import fixed_values as fixed
 
@@ -47,7 +48,7 @@ def normalize_token(col: Column | str) -> Column:
     return F.regexp_replace(low, r"[^\p{L}\p{N}_]+", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_token_exact(col: pd.Series) -> pd.Series:
     """As :func:`normalize_token`, with full compatibility decomposition for any script."""
     def one(token: str | None) -> str:

@@ -15,6 +15,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuework.functions import fixed_values as fixed
 from cuework.functions import text as tx
@@ -98,7 +99,7 @@ def extract_semantics(df: DataFrame, key: Sequence[str], col: str, lex: DataFram
 
 # --- fuzzy entity match ---------------------------------------------------------------------------
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-blocks ratio of two strings; 0 when either is empty."""
     def one(x: str, y: str) -> float:
@@ -227,6 +228,19 @@ def nearest_join(left: DataFrame, right: DataFrame, key: Sequence[str], left_t:
     return out.select(*key, "_row.*", F.col("_best").alias(name))
 
 
+def asof_join(left: DataFrame, right: DataFrame, key: Sequence[str], left_t: str, right_t: str,
+              payload: Sequence[str], name: str = "asof", hot_rows: int | None = None) -> DataFrame:
+    """Add the key's last right row at or before each left time, as a struct."""
+    key = list(key)
+    pts = right.select(*key, F.col(right_t).cast("double").alias("_at"), F.lit(0).alias("_k"),
+                       F.struct(F.col(right_t).cast("double").alias("t"), *payload).alias("_p"))
+    probes = left.select(*key, F.col(left_t).cast("double").alias("_at"), F.lit(1).alias("_k"),
+                         F.struct(*[c for c in left.columns if c not in key]).alias("_row"))
+    both = split_hot(pts.unionByName(probes, allowMissingColumns=True), key, "_at", hot_rows)
+    both = scan(both, key, ["_at", "_k"], {"_prev": ("last", "_p")})
+    return both.filter("_k = 1").select(*key, "_row.*", F.col("_prev").alias(name))
+
+
 # --- points in intervals ---------------------------------------------------------------------------
 
 def points_in_spans(points: DataFrame, spans: DataFrame, key: Sequence[str], t: str = "t",
