@@ -18,6 +18,12 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: inside a lambda an outer expression would be
+    computed again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def text_or_empty(col: Column | str) -> Column:
     return F.coalesce(_c(col), F.lit(""))
 
@@ -189,7 +195,7 @@ def keyphrases(col: Column | str, fragments: int = 14, longest: int = 6, most: i
 
 def normalize_hashtags(tags: Column | str, artist: Column | str, most: int = 30) -> Column:
     """``#`` in front, empty tags out, the artist's tag second when it is missing."""
-    cleaned = F.filter(F.transform(_c(tags), F.trim),
+    cleaned = F.filter(F.transform(_c(tags), lambda t: F.trim(t)),
                        lambda t: F.regexp_replace(t, "^#+|#+$", "") != "")
     cleaned = F.transform(cleaned, lambda t: F.when(t.startswith("#"), t).otherwise(
         F.concat(F.lit("#"), t)))
@@ -249,9 +255,12 @@ def rotate_queries(own: Column, theme: Column, idx: Column, song: Column, most:
     mixed = F.concat(F.slice(own, 1, 1), F.slice(rotated, 1, 1), F.slice(own, 2, most),
                      F.slice(rotated, 2, 1))
     start = F.when(n == 0, own).when(F.size(own) > 0, mixed).otherwise(F.slice(rotated, 1, 3))
-    fill = F.array_distinct(F.filter(song, lambda q: ~F.array_contains(start, q)))
-    room = F.greatest(F.lit(0), F.lit(most) - F.size(start))
-    return F.concat(start, F.slice(fill, F.lit(1), room))
+
+    def top_up(s: Column) -> Column:
+        fill = F.array_distinct(F.filter(song, lambda q: ~F.array_contains(s, q)))
+        return F.concat(s, F.slice(fill, F.lit(1), F.greatest(F.lit(0), F.lit(most) - F.size(s))))
+
+    return let(start, top_up)
 
 
 def cyclic_pick(idx: Column, values: Sequence[str]) -> Column:
@@ -392,7 +401,7 @@ def ordered_union(*cols: Column) -> Column:
 
 def ordered_except(a: Column, b: Column) -> Column:
     """What is in ``a`` but not in ``b``, repeats kept."""
-    return F.filter(a, lambda x: ~F.array_contains(b, x))
+    return let(b, lambda known: F.filter(a, lambda x: ~F.array_contains(known, x)))
 
 
 def display_text(corrected: str = "corrected_text", text: str = "text") -> Column:

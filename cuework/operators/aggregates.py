@@ -161,7 +161,7 @@ def estimate_offset(spans: DataFrame, frames: DataFrame, key: Sequence[str],
     # the same ends recur for many shifts: look each (key, frame range) up once
     ranges = pieces.groupBy(*key, "a", "b").agg(F.collect_list(F.struct("k", "shift")).alias("ks"))
     ranges = range_sums(loud, ranges, key, "frame", "loud", "a", "b", ["a", "b"], hot_rows)
-    scored = (ranges.select(*key, "n", "total", F.explode("ks").alias("s"))
+    scored = (ranges.filter("n > 0").select(*key, "n", "total", F.explode("ks").alias("s"))
               .groupBy(*key, "s.k", "s.shift")
               .agg((F.sum("total") / F.sum("n")).alias("score")))
     # nearest to the reference order: the zero shift stands unless a shift strictly beats it, and

@@ -144,18 +144,24 @@ def word_times(raws: Column, given: Column, start: Column, end: Column, confiden
 
     ``given`` is an array of structs (text, start), NULL when unknown.
     """
-    n = F.size(raws)
-    by_tag = F.transform(raws, lambda w, i: F.struct(
-        w.alias("text"), F.bround(F.get(given, i)["start"], 3).alias("start"),
-        F.bround(F.greatest(F.coalesce(F.get(given, i + 1)["start"], end),
-                            F.get(given, i)["start"] + 0.12), 3).alias("end"),
-        confidence.alias("confidence")))
-    step = (end - start) / F.greatest(n, F.lit(1))
-    even = F.transform(raws, lambda w, i: F.struct(
-        w.alias("text"), F.bround(start + i * step, 3).alias("start"),
-        F.bround(start + (i + 1) * step, 3).alias("end"), confidence.alias("confidence")))
-    use = given.isNotNull() & (F.size(given) == n) & (n > 0)
-    return F.when(use, by_tag).otherwise(even).cast(f"array<{WORD}>")
+    def spread(v: Column) -> Column:
+        ws, tags, conf = v["raws"], v["given"], v["confidence"]
+        by_tag = F.transform(ws, lambda w, i: F.struct(
+            w.alias("text"), F.bround(F.get(tags, i)["start"], 3).alias("start"),
+            F.bround(F.greatest(F.coalesce(F.get(tags, i + 1)["start"], v["end"]),
+                                F.get(tags, i)["start"] + 0.12), 3).alias("end"),
+            conf.alias("confidence")))
+        even = F.transform(ws, lambda w, i: F.struct(
+            w.alias("text"), F.bround(v["start"] + i * v["step"], 3).alias("start"),
+            F.bround(v["start"] + (i + 1) * v["step"], 3).alias("end"), conf.alias("confidence")))
+        use = tags.isNotNull() & (F.size(tags) == F.size(ws)) & (F.size(ws) > 0)
+        return F.when(use, by_tag).otherwise(even)
+
+    parts = tx.let(F.struct(raws.alias("raws")), lambda v: F.struct(
+        v["raws"].alias("raws"), given.alias("given"), start.cast("double").alias("start"),
+        end.cast("double").alias("end"), confidence.alias("confidence"),
+        ((end - start) / F.greatest(F.size(v["raws"]), F.lit(1))).cast("double").alias("step")))
+    return tx.let(parts, spread).cast(f"array<{WORD}>")
 
 
 def _sung_words(text: str) -> Column:

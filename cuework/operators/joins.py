@@ -32,7 +32,7 @@ def lexicon(spark: SparkSession, table: str = fixed.LEXICON) -> DataFrame:
     """The lexicon text table as a DataFrame (a local relation, so its size is known)."""
     rows = []
     for line in table.strip().splitlines():
-        if line.startswith("#"):
+        if not line or line.startswith("#"):
             continue
         stem, subjects, emotions, queries = [p.strip() for p in line.split("|")]
         pairs = [e.strip().rsplit(" ", 1) for e in emotions.split(",") if e.strip()]
@@ -81,8 +81,12 @@ def extract_semantics(df: DataFrame, key: Sequence[str], col: str, lex: DataFram
                       F.array_distinct(F.flatten("h.queries")).alias("_q"),
                       F.flatten("h.emotions").alias("_e"))
     total = F.aggregate("_e", F.lit(0.0), lambda a, e: a + e["weight"])
-    weights = [F.aggregate(F.filter("_e", lambda e, n=n: e["name"] == n), F.lit(0.0),
-                           lambda a, e: a + e["weight"]) for n in names]
+
+    def weight_of(name: str) -> Column:
+        return F.aggregate(F.filter("_e", lambda e: e["name"] == name), F.lit(0.0),
+                           lambda a, e: a + e["weight"])
+
+    weights = [weight_of(n) for n in names]
     flat = flat.withColumn("_t", total).select(
         *key, "matched", F.slice("_s", 1, 6).alias("subjects"), F.slice("_q", 1, 5).alias("_q"),
         *[F.when(F.col("_t") > 0, F.bround(w / F.col("_t"), 3)).otherwise(0.0).alias(n)
@@ -467,9 +471,12 @@ def best_tag_match(df: DataFrame, key: Sequence[str], subjects: str, index: str,
     subj = F.transform(F.coalesce(F.col(subjects), F.array().cast("array<string>")),
                        lambda s: F.coalesce(F.element_at(swap, F.lower(s)), F.lower(s)))
     df = df.withColumn("_s", subj)
-    scored = F.array(*[F.struct(
-        F.size(F.filter("_s", lambda s, tags=tags: s.isin(list(tags)))).alias("n"),
-        F.lit(name).alias("name")) for name, tags in sorted(library.items())])
+
+    def shared(tags: Sequence[str]) -> Column:
+        return F.size(F.filter("_s", lambda s: s.isin(list(tags))))
+
+    scored = F.array(*[F.struct(shared(tags).alias("n"), F.lit(name).alias("name"))
+                       for name, tags in sorted(library.items())])
     df = df.withColumn("_scored", scored)
     top = F.array_max(F.transform("_scored", lambda x: x["n"]))
     df = df.withColumn("_best", F.filter("_scored", lambda x: (x["n"] == top) & (x["n"] > 0)))

@@ -33,7 +33,7 @@ def _strings(values: Sequence[str]) -> Column:
 
 
 def vocal_bounds(scenes: DataFrame, words: DataFrame, regions: DataFrame | None,
-                 key: Sequence[str]) -> DataFrame:
+                 key: Sequence[str], min_overlap: float = 0.3, base: float = 1.0) -> DataFrame:
     """Where singing starts and stops in each scene, and whether there is none.
 
     ``scenes``: key, scene_index, line_index, start, end, lyric (absolute times). Word times tighten
@@ -50,7 +50,7 @@ def vocal_bounds(scenes: DataFrame, words: DataFrame, regions: DataFrame | None,
         return df
     sung = tx.text_or_empty("lyric") != ""
     known = regions.select(*key).distinct().withColumn("_known", F.lit(True))
-    df = overlap_join(df, regions, key, ["scene_index"]).join(known, key, "left")
+    df = overlap_join(df, regions, key, ["scene_index"], min_overlap, base).join(known, key, "left")
     gate = sung & F.coalesce("_known", F.lit(False))
     hit = F.col("overlap_start").isNotNull()
     return df.withColumns({

@@ -1,0 +1,4 @@
+"""All registered queries."""
+
+from cuework.queries import tables, texts, timing  # noqa: F401
+from cuework.queries.registry import QUERIES, SQL  # noqa: F401
