@@ -152,23 +152,24 @@ def estimate_offset(spans: DataFrame, frames: DataFrame, key: Sequence[str],
 
     pieces = (spans.filter("start is not null and end is not null").join(size, key)
               .select(*key, "start", "end", "_frames", shifts)
-              .select(*key, F.col("s.k").alias("k"), F.col("s.shift").alias("shift"),
-                      frame_of("start").alias("a"), frame_of("end").alias("b"))
-              .filter("b > a").distinct())
-    pieces = scan(split_hot(pieces, [*key, "k"], "a", hot_rows), [*key, "k"], ["a", "b"],
-                  {"_reach": ("max", "b")})
-    pieces = unsplit(pieces).withColumn("a", F.greatest("a", "_reach")).filter("b > a").drop("_reach")
+              .select(*key, F.col("s.k").alias("_sh"), F.col("s.shift").alias("_shift"),
+                      frame_of("start").alias("_a"), frame_of("end").alias("_b"))
+              .filter("_b > _a").distinct())
+    pieces = scan(split_hot(pieces, [*key, "_sh"], "_a", hot_rows), [*key, "_sh"], ["_a", "_b"],
+                  {"_reach": ("max", "_b")})
+    pieces = unsplit(pieces).withColumn("_a", F.greatest("_a", "_reach")).filter("_b > _a").drop("_reach")
     # the same ends recur for many shifts: look each (key, frame range) up once
-    ranges = pieces.groupBy(*key, "a", "b").agg(F.collect_list(F.struct("k", "shift")).alias("ks"))
-    ranges = range_sums(loud, ranges, key, "frame", "loud", "a", "b", ["a", "b"], hot_rows)
-    scored = (ranges.filter("n > 0").select(*key, "n", "total", F.explode("ks").alias("s"))
-              .groupBy(*key, "s.k", "s.shift")
+    ranges = pieces.groupBy(*key, "_a", "_b").agg(
+        F.collect_list(F.struct("_sh", "_shift")).alias("_shs"))
+    ranges = range_sums(loud, ranges, key, "frame", "loud", "_a", "_b", ["_a", "_b"], hot_rows)
+    scored = (ranges.filter("n > 0").select(*key, "n", "total", F.explode("_shs").alias("s"))
+              .groupBy(*key, "s._sh", "s._shift")
               .agg((F.sum("total") / F.sum("n")).alias("score")))
-    # nearest to the reference order: the zero shift stands unless a shift strictly beats it, and
-    # among equals the smallest shift was met first
+    # the zero shift stands unless another strictly beats it; among equals the smallest comes first
     best = scored.groupBy(*key).agg(
-        F.max(F.struct("score", (-F.col("k")).alias("k"), "shift")).alias("best"),
-        F.max(F.when(F.col("k") == 0, F.col("score"))).alias("zero"))
+        F.max(F.struct("score", (-F.col("_sh")).alias("neg"), F.col("_shift").alias("shift")))
+        .alias("best"),
+        F.max(F.when(F.col("_sh") == 0, F.col("score"))).alias("zero"))
     zero = F.coalesce(F.col("zero"), F.lit(0.0))
     beats = F.coalesce(F.col("best.score") > zero, F.lit(False))
     found = best.select(*key, F.when(beats, F.col("best.shift")).otherwise(0.0).alias("offset"),

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -20,7 +21,9 @@ from cuework.functions import fixed_values as fixed
 from cuework.functions import text as tx
 from cuework.operators import aggregates as agg
 from cuework.operators.joins import merge_fallback
+from cuework.operators.ordered import skew_limit
 from cuework.operators.windows import clamp_monotonic, interpolate_gaps
+from cuework.session import checkpoint
 
 WORD = "struct<text:string,start:double,end:double,confidence:double>"
 
@@ -30,6 +33,21 @@ def _norm(token: str) -> str:
     return re.sub(r"\W+", "", "".join(c for c in t if not unicodedata.combining(c)).lower())
 
 
+def _shared(want: list[str], norms: list[str], first: int, stop: int) -> Iterator[tuple[int, float]]:
+    """(start, share of the wanted words present) of every window, kept up while sliding."""
+    n, need = len(want), Counter(want)
+    have: Counter = Counter()
+    common = 0
+    for j in range(first, stop):
+        for w in norms[j:j + n] if j == first else norms[j + n - 1:j + n]:
+            common += have[w] < need[w]
+            have[w] += 1
+        yield j, common / n
+        w = norms[j]
+        have[w] -= 1
+        common -= have[w] < need[w]
+
+
 def _ddl(df: DataFrame, names: Sequence[str]) -> str:
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
@@ -73,7 +91,7 @@ def align_lyrics(lines: DataFrame, asr: DataFrame, key: Sequence[str], text: str
     """(lines with times and confidence, words, stats per track) from token alignment."""
     key = list(key)
     tokens = tx.tokenize_lines(lines, key, text, exact=True)
-    words = align_tokens(tokens, asr, key, hot_rows)
+    words = checkpoint(align_tokens(tokens, asr, key, hot_rows))
     summary = agg.line_summary(words, [*key, "line_index"])
     out = (lines.select(*key, "line_index", F.col(text).alias("text"))
            .join(summary, [*key, "line_index"], "left").na.fill({"confidence": 0.0}))
@@ -105,10 +123,11 @@ def align_monotonic(lines: DataFrame, asr: DataFrame, key: Sequence[str], text:
             top, at = 0.0, None
             if want:
                 stop = min(len(norms), cursor + reach) - len(want) + 1
-                sm = SequenceMatcher(None, autojunk=False)
-                for j in range(cursor, stop):
-                    sm.set_seqs(want, norms[j:j + len(want)])
-                    r = sm.ratio()
+                for j, most in _shared(want, norms, cursor, stop):
+                    # no window can reach more than the share of words it holds
+                    if most < min_ratio or (most <= top and most < good):
+                        continue
+                    r = SequenceMatcher(None, want, norms[j:j + len(want)], autojunk=False).ratio()
                     if r > top or r >= good:
                         top, at = r, j
                     if r >= good:
@@ -213,7 +232,9 @@ def align_hybrid(lines: DataFrame, spans: DataFrame, asr: DataFrame, key: Sequen
     """
     key = list(key)
     lk = [*key, "line_index"]
-    heard = align_monotonic(lines, asr, key, text)
+    hot_rows = skew_limit([lines], key, hot_rows)
+    # the walk is the costly step and is read several times below
+    heard = checkpoint(align_monotonic(lines, asr, key, text))
     sp = spans.filter("start is not null").select(*lk, F.col("start").alias("span_start"),
                                                   F.col("end").alias("span_end"))
     df = heard.join(sp, lk, "left")

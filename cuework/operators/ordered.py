@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
+NO_SPLIT = 1 << 62
 CHUNK, HOT = "_chunk", "_hot"
 
 
@@ -27,6 +28,8 @@ def split_hot(df: DataFrame, key: Sequence[str], order: str, hot_rows: int | Non
     form a chunk of their own in front of the others.
     """
     hot_rows = hot_rows or HOT_ROWS
+    if hot_rows >= NO_SPLIT:
+        return df
     key = list(key)
     o = F.col(order).cast("double")
     stats = (
@@ -49,6 +52,25 @@ def split_hot(df: DataFrame, key: Sequence[str], order: str, hot_rows: int | Non
     )
 
 
+def skew_limit(tables: Sequence[DataFrame], key: Sequence[str], hot_rows: int | None = None,
+               growth: int = 8) -> int:
+    """One look at the base tables of a composite flow instead of one per step.
+
+    When no key comes near the limit in any of them (``growth`` allows for steps that multiply
+    rows), every step may use plain windows and :data:`NO_SPLIT` is returned; otherwise the steps
+    check for themselves.
+    """
+    hot_rows = hot_rows or HOT_ROWS
+    if hot_rows >= NO_SPLIT:
+        return NO_SPLIT
+    sizes = None
+    for t in tables:
+        top = t.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"))
+        sizes = top if sizes is None else sizes.unionByName(top)
+    top = sizes.agg(F.max("n")).first()[0] or 0
+    return NO_SPLIT if top * growth <= hot_rows else hot_rows
+
+
 def is_split(df: DataFrame) -> bool:
     return CHUNK in df.columns
 
@@ -148,16 +170,19 @@ def range_sums(points: DataFrame, spans: DataFrame, key: Sequence[str], at: str,
     v = F.col(value).cast("double") if value else F.lit(0.0)
     pts = points.select(*key, F.col(at).cast("double").alias("_at"), F.lit(2).alias("_k"),
                         v.alias("_v"), F.lit(1).alias("_one"))
-    ends = spans.select(
-        *key, *span_id,
-        F.explode(F.array(F.struct(F.col(lo).cast("double").alias("_at"), F.lit(0).alias("_k")),
-                          F.struct(F.col(hi).cast("double").alias("_at"), F.lit(1).alias("_k"))))
-        .alias("e"),
-    ).select(*key, *span_id, "e._at", "e._k")
+    rest = [c for c in spans.columns if c not in key and c not in span_id]
+    # the other columns of a span ride on its lower end, so the spans are read once
+    row = F.struct(F.lit(1).alias("_"), *rest)
+    low = F.struct(F.col(lo).cast("double").alias("_at"), F.lit(0).alias("_k"), row.alias("_row"))
+    high = F.struct(F.col(hi).cast("double").alias("_at"), F.lit(1).alias("_k"),
+                    F.when(F.lit(False), row).alias("_row"))
+    ends = spans.select(*key, *span_id, F.explode(F.array(low, high)).alias("e")).select(
+        *key, *span_id, "e._at", "e._k", "e._row")
     both = split_hot(pts.unionByName(ends, allowMissingColumns=True), key, "_at", hot_rows)
     run = scan(both, key, ["_at", "_k"], {"_s": ("sum", "_v"), "_n": ("count", "_one")})
     sign = F.when(F.col("_k") == 1, 1).otherwise(-1)
     per_span = (run.filter(F.col("_k") < 2).groupBy(*key, *span_id)
-                .agg(F.sum(sign * F.col("_n")).alias("n"),
+                .agg(F.first("_row", ignorenulls=True).alias("_row"),
+                     F.sum(sign * F.col("_n")).alias("n"),
                      F.sum(sign * F.col("_s")).alias("total")))
-    return spans.join(per_span, [*key, *span_id], "left")
+    return per_span.select(*key, *span_id, *[F.col("_row")[c].alias(c) for c in rest], "n", "total")

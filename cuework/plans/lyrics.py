@@ -14,8 +14,10 @@ from cuework.functions import text as tx
 from cuework.operators import aggregates as agg
 from cuework.operators import align
 from cuework.operators.joins import match_candidates
+from cuework.operators.ordered import skew_limit
 from cuework.operators.ranking import rank_candidates
 from cuework.operators.windows import active_regions, infer_line_ends, pause_lines
+from cuework.session import checkpoint
 from cuework.sources.lrc import parse_lrc
 
 
@@ -71,6 +73,7 @@ def resolve_lyrics(requests: DataFrame, candidates: DataFrame, key: Sequence[str
     cols = ["provider", "provider_ref", "artist", "title", "album", "duration", "plain_text",
             "lrc_text", "score", "track_duration"]
     best = best.select(*key, *cols)
+    best = checkpoint(best)
     lines, words = stored_lines(best, key)
     if asr is not None:
         missing = requests.join(best.select(*key), key, "left_anti")
@@ -93,26 +96,32 @@ def resolve_lyrics(requests: DataFrame, candidates: DataFrame, key: Sequence[str
 
 def align_catalogue(lines: DataFrame, spans: DataFrame, asr: DataFrame, frames: DataFrame,
                     key: Sequence[str], text: str = "text", word_spans: DataFrame | None = None,
-                    hop: float = fixed.ENERGY_HOP) -> dict[str, DataFrame]:
+                    hop: float = fixed.ENERGY_HOP, hot_rows: int | None = None
+                    ) -> dict[str, DataFrame]:
     """Time all lines of all tracks.
 
     The spans are first shifted onto the loud regions where that clearly helps, then the hybrid
     alignment runs, and lines and tracks get their flags. Returns offsets, regions, lines, tracks.
     """
     key = list(key)
-    offsets = agg.accept_offset(agg.estimate_offset(spans, frames, key, hop))
+    hot_rows = skew_limit([spans, frames], key, hot_rows)
+    # one row per track, read by every later step
+    offsets = checkpoint(agg.accept_offset(agg.estimate_offset(spans, frames, key, hop,
+                                                              hot_rows=hot_rows)))
     moved = agg.apply_offset(spans.filter("start is not null"), offsets, key)
     if word_spans is not None:
         w = word_spans.join(offsets.select(*key, "applied"), key, "left")
         by = F.coalesce("applied", F.lit(0.0))
         word_spans = w.withColumn("words", F.transform("words", lambda x: x.withField(
             "start", x["start"] + by))).drop("applied")
-    timed, stats = align.align_hybrid(lines, moved, asr, key, text, word_spans)
+    timed, stats = align.align_hybrid(lines, moved, asr, key, text, word_spans,
+                                       hot_rows=hot_rows)
     timed = timed.withColumn("uncertain", pr.uncertain("confidence"))
     counts = timed.groupBy(*key).agg(F.count_if("uncertain").alias("uncertain_lines"),
                                      F.count(F.lit(1)).alias("line_count"))
     tracks = stats.withColumn("suspect", pr.suspect("mean_confidence")).join(counts, key)
-    return {"offsets": offsets, "regions": active_regions(frames, key, hop=hop), "lines": timed,
+    return {"offsets": offsets, "regions": active_regions(frames, key, hop=hop, hot_rows=hot_rows),
+            "lines": timed,
             "tracks": tracks}
 
 

@@ -12,8 +12,10 @@ from cuework.functions import predicates as pr
 from cuework.functions import text as tx
 from cuework.operators import aggregates as agg
 from cuework.operators.joins import extract_semantics, mean_energy, overlap_join, relative_points
+from cuework.operators.ordered import skew_limit
 from cuework.operators.ranking import top_n
 from cuework.operators.windows import carve_spans, ordinal
+from cuework.session import checkpoint
 
 _BASE = ["archiveCollage", "doodleMemory"]
 
@@ -85,7 +87,8 @@ def plan_scenes(lines: DataFrame, words: DataFrame, frames: DataFrame, beats: Da
                 onsets: DataFrame, segments: DataFrame, tracks: DataFrame, lex: DataFrame,
                 key: Sequence[str], regions: DataFrame | None = None,
                 themes: DataFrame | None = None, semantics: DataFrame | None = None,
-                hop: float = fixed.ENERGY_HOP) -> dict[str, DataFrame]:
+                hop: float = fixed.ENERGY_HOP, hot_rows: int | None = None
+                ) -> dict[str, DataFrame]:
     """Plan every track's segment.
 
     ``lines``: key, line_index, text, translation, start, end, uncertain. ``tracks``: key, title,
@@ -95,9 +98,12 @@ def plan_scenes(lines: DataFrame, words: DataFrame, frames: DataFrame, beats: Da
     """
     key = list(key)
     empty = F.array().cast("array<string>")
-    spans = carve_spans(lines, segments, key)
+    hot_rows = skew_limit([lines, frames, words], key, hot_rows)
+    spans = carve_spans(lines, segments, key, hot_rows=hot_rows)
     spans = ordinal(spans.withColumnsRenamed({"span_start": "start", "span_end": "end"}), key,
-                    ["start", "end"], "scene_index")
+                    ["start", "end"], "scene_index", hot_rows)
+    # scenes are far fewer than frames, words or events, and every step below starts from them
+    spans = checkpoint(spans)
 
     # --- meaning, once per distinct text --------------------------------------------------------
     lo, hi = F.col("segment_start"), F.col("segment_end")
@@ -111,6 +117,7 @@ def plan_scenes(lines: DataFrame, words: DataFrame, frames: DataFrame, beats: Da
         sem = known.unionByName(extract_semantics(rest, ["text"], "text", lex))
     else:
         sem = extract_semantics(texts, ["text"], "text", lex)
+    sem = checkpoint(sem)
     lined = timed.join(sem, "text")
     totals = lined.groupBy(*key).agg(*[F.sum(n).alias(n) for n in fixed.EMOTIONS])
     everyone = segments.select(*key)
@@ -133,7 +140,7 @@ def plan_scenes(lines: DataFrame, words: DataFrame, frames: DataFrame, beats: Da
     df = spans.join(lines.select(*key, F.col("line_index").cast("long").alias("line_index"),
                                  F.col("text").alias("lyric"), "translation", "uncertain"),
                     [*key, "line_index"], "left")
-    df = mean_energy(frames, df, key, ["scene_index"], hop, name="energy")
+    df = mean_energy(frames, df, key, ["scene_index"], hop, name="energy", hot_rows=hot_rows)
     df = vocal_bounds(df, words, regions, key)
     df = df.join(segments.select(*key, "segment_start"), key).join(per_track, key)
     df = df.join(sem.select(F.col("text").alias("lyric"), "subjects",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cuework.functions import fixed_values as fixed
 from cuework.operators.joins import asof_join, nearest_join
-from cuework.operators.ordered import range_sums
+from cuework.operators.ordered import range_sums, skew_limit
 
 
 def select_segments(tracks: DataFrame, frames: DataFrame, beats: DataFrame, onsets: DataFrame,
@@ -24,6 +24,7 @@ def select_segments(tracks: DataFrame, frames: DataFrame, beats: DataFrame, onse
     nearest beat and boundary, section) are ordered passes per track.
     """
     key = list(key)
+    hot_rows = skew_limit([frames, beats, onsets, sections], key, hot_rows)
     limit = F.col("duration") - F.lit(float(target))
     t = tracks.withColumn("_limit", limit)
     whole = t.filter("_limit <= 0").select(

@@ -245,7 +245,7 @@ def snk4(t):
         base.alias("updated_at"))
     new = t("orders").select(F.col("o_custkey").alias("job_id"), F.col("o_orderkey").alias("file_path"),
                              F.col("o_orderdate").cast("timestamp").alias("created_at"))
-    _, out = sinks.append_history(new.limit(0), parents, new, "job_id")
+    _, out = sinks.append_history(new.filter(F.lit(False)), parents, new, "job_id")
     return out.select("job_id", "title", F.unix_seconds("created_at").alias("created_s"),
                       F.unix_seconds("updated_at").alias("updated_s"))
 
@@ -268,7 +268,7 @@ def j8(t):
 @query("j9_merge_fallback", f"""WITH {E}, x AS (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN t END AS s, t + 2 AS en, value / 100 AS c, t + 5 AS sa,
   CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN t + 5.1 ELSE t + 9 END AS sb, event_id % 4 <> 0 AS has FROM e),
 y AS (SELECT *, has AND NOT (c >= 0.45 AND s IS NOT NULL) AS need, greatest(coalesce(sb, sa + 3), sa + 0.8) AS b FROM x)
-SELECT event_id, need AS rescued, round(CASE WHEN need THEN sa ELSE s END, 5) AS start_s, round(CASE WHEN need THEN b ELSE en END, 5) AS end_s,
+SELECT event_id, need AS rescued, round(CASE WHEN need THEN sa ELSE s END, 6) AS start_s, round(CASE WHEN need THEN b ELSE en END, 6) AS end_s,
   round(CASE WHEN need THEN 0.6 ELSE c END, 5) AS confidence, round(CASE WHEN need THEN (b - sa) / 2 ELSE 1 END, 2) AS word_len FROM y""")
 def j9(t):
     k = F.col("event_id")
@@ -281,7 +281,7 @@ def j9(t):
         F.when(k % 5 == 1, F.col("t") + 5.1).when(k % 5 != 0, F.col("t") + 9).alias("seed_end"))
     o = jn.merge_fallback(al, seeds, ["event_id"])
     w = F.element_at("words", 2)
-    return o.select("event_id", "rescued", r("start", 5).alias("start_s"), r("end", 5).alias("end_s"),
+    return o.select("event_id", "rescued", r("start").alias("start_s"), r("end").alias("end_s"),
                     r("confidence", 5).alias("confidence"), r(w["end"] - w["start"], 2).alias("word_len"))
 
 
@@ -365,10 +365,10 @@ def st2(t):
     return tb.patch(base, ch, ["c_custkey"], {"note": "set_note"})
 
 
-@query("st3_ttl_lookup", f"""WITH c AS (SELECT user_id, event_type, max(ts) AS at, max(event_id) AS payload FROM events GROUP BY ALL),
+@query("st3_ttl_lookup", f"""WITH c AS (SELECT user_id, event_type, max(ts) AS seen, max(event_id) AS payload FROM events GROUP BY ALL),
 k AS (SELECT DISTINCT user_id, event_type FROM events UNION ALL SELECT DISTINCT user_id, 'absent' FROM events)
-SELECT user_id, event_type, coalesce((epoch_us(TIMESTAMP '{NOW}') - epoch_us(at)) / 1e6 <= 259200, false) AS hit,
-  CASE WHEN (epoch_us(TIMESTAMP '{NOW}') - epoch_us(at)) / 1e6 <= 259200 THEN payload END AS payload FROM k LEFT JOIN c USING (user_id, event_type)""")
+SELECT user_id, event_type, coalesce((epoch_us(TIMESTAMP '{NOW}') - epoch_us(seen)) / 1e6 <= 259200, false) AS hit,
+  CASE WHEN (epoch_us(TIMESTAMP '{NOW}') - epoch_us(seen)) / 1e6 <= 259200 THEN payload END AS payload FROM k LEFT JOIN c USING (user_id, event_type)""")
 def st3(t):
     e = t("events")
     cache = e.groupBy("user_id", "event_type").agg(F.max("ts").alias("fetched_at"), F.max("event_id").alias("payload"))
@@ -432,7 +432,7 @@ def st7(t):
     return out.select(F.col("path").alias("event_id"), "why")
 
 
-@query("st8_apply_alignment", f"""WITH {E} SELECT event_id AS line_index, round(CASE WHEN event_type = 'click' THEN t + 1 ELSE t END, 4) AS start_s,
+@query("st8_apply_alignment", f"""WITH {E} SELECT event_id AS line_index, round(CASE WHEN event_type = 'click' THEN t + 1 ELSE t END, 6) AS start_s,
   CASE WHEN event_type = 'click' THEN 'new' ELSE 'old' END AS word FROM e""")
 def st8(t):
     e = t("events")
@@ -447,4 +447,4 @@ def st8(t):
         ("matched_ratio", "double"), ("mean_confidence", "double"), ("aligned_at", "timestamp"))])
     ln, wd, _ = tb.apply_alignment(lines, words, al, al.select("user_id", "line_index", F.lit(0).alias("word_index"),
                                    F.lit("new").alias("text")), stats, tracks, ["user_id"], now())
-    return ln.join(wd, ["user_id", "line_index"]).select("line_index", r("start", 4).alias("start_s"), F.col("text").alias("word"))
+    return ln.join(wd, ["user_id", "line_index"]).select("line_index", r("start").alias("start_s"), F.col("text").alias("word"))

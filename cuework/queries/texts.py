@@ -601,8 +601,8 @@ def j1(t):
 @query("j2_extract_semantics", f"""WITH {MATCH_SQL}, {EMO_SQL}, {SUBJ_SQL},
 e AS (SELECT doc_id, {', '.join(f"sum(CASE WHEN name = '{n}' THEN w ELSE 0 END) AS {n}" for n in fixed.EMOTIONS)}, sum(w) AS tot
   FROM hit JOIN emo USING (stem) GROUP BY 1),
-s AS (SELECT doc_id, subject, min(pos * 10 + sp) AS o FROM hit JOIN subj USING (stem) GROUP BY ALL
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY o) <= 6),
+s0 AS (SELECT doc_id, subject, min(pos * 10 + sp) AS o FROM hit JOIN subj USING (stem) GROUP BY ALL),
+s AS (SELECT * FROM s0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY o) <= 6),
 sj AS (SELECT doc_id, string_agg(subject, '|' ORDER BY o) AS subjects FROM s GROUP BY 1),
 mt AS (SELECT doc_id, count(*) AS n_matched FROM hit GROUP BY 1)
 SELECT doc_id, coalesce(subjects, '') AS subjects, CAST(coalesce(n_matched, 0) AS INTEGER) AS n_matched,
