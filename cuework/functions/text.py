@@ -54,6 +54,16 @@ def normalize_token(col: Column | str) -> Column:
     return F.regexp_replace(low, r"[^\p{L}\p{N}_]+", "")
 
 
+def normalize_words(col: Column | str) -> Column:
+    """(raw, norm) of every word: the text is normalised in one go and split next to the raw one,
+    as normalising keeps the white space. Words without a normal form stay, with an empty one."""
+    low = F.translate(F.lower(fold(col)), "’", "'")
+    norm = F.regexp_replace(low, r"(?U)[^\p{L}\p{N}_\s]+", "")
+    pairs = F.arrays_zip(F.split(text_or_empty(col), r"(?U)\s").alias("raw"),
+                         F.split(norm, r"(?U)\s").alias("norm"))
+    return F.filter(pairs, lambda p: p["raw"] != "")
+
+
 @F.pandas_udf(T.StringType())
 def normalize_token_exact(col: pd.Series) -> pd.Series:
     """As :func:`normalize_token`, with full compatibility decomposition for any script."""
@@ -126,9 +136,7 @@ def tokenize_lines(df: DataFrame, key: Sequence[str], col: str = "text",
             F.struct("_p", "raw", "norm"))).alias("ts"))
         return (per.select(*key, line, F.posexplode("ts").alias("word_index", "t"))
                 .select(*key, line, "word_index", "t.raw", "t.norm"))
-    pairs = F.transform(words_of(col), lambda w: F.struct(w.alias("raw"),
-                                                          normalize_token(w).alias("norm")))
-    kept = F.filter(pairs, lambda p: p["norm"] != "")
+    kept = F.filter(normalize_words(col), lambda p: p["norm"] != "")
     return (df.select(*key, line, F.posexplode(kept).alias("word_index", "t"))
             .select(*key, line, "word_index", "t.raw", "t.norm"))
 
@@ -140,30 +148,44 @@ def tag_seconds(minutes: Column, seconds: Column, frac: Column) -> Column:
     return whole.cast("double") + f
 
 
+def _turkish(low: Column, words: Column) -> Column:
+    hits = F.length(low) - F.length(F.translate(low, fixed.TURKISH_CHARS, ""))
+    known = F.filter(words, lambda w: F.btrim(w, F.lit(".,!?'\"()")).isin(fixed.TURKISH_WORDS))
+    by_char = hits >= F.greatest(F.lit(2.0), F.length(low) * F.lit(0.005))
+    return (F.size(words) > 0) & (by_char | (F.size(known) / F.size(words) >= 0.08))
+
+
 def looks_turkish(col: Column | str) -> Column:
     """Turkish letters (at least 2 and 0.5 % of the text) or common words (8 % of the words)."""
-    t = F.lower(text_or_empty(col))
-    hits = F.length(t) - F.length(F.translate(t, fixed.TURKISH_CHARS, ""))
-    words = words_of(t)
-    known = F.filter(words, lambda w: F.btrim(w, F.lit(".,!?'\"()")).isin(fixed.TURKISH_WORDS))
-    by_char = hits >= F.greatest(F.lit(2.0), F.length(t) * F.lit(0.005))
-    by_word = (F.size(words) > 0) & (F.size(known) / F.size(words) >= 0.08)
-    return F.when(F.size(words) == 0, F.lit(False)).otherwise(by_char | by_word)
+    low = F.lower(text_or_empty(col))
+    return let(F.struct(low.alias("low"), words_of(low).alias("ws")),
+               lambda v: _turkish(v["low"], v["ws"]))
 
 
-def guess_language(col: Column | str) -> Column:
-    t = text_or_empty(col)
-    letters = F.greatest(F.lit(1), F.regexp_count(t, F.lit(r"\p{L}")))
+def count_in(text: Column, chars: str) -> Column:
+    """How many characters of a class the text holds."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"{chars}+", ""))
 
-    def share(block: str) -> Column:
-        return F.regexp_count(t, F.lit(f"[{block}]")) / letters > 0.3
 
-    return (F.when(strip(t) == "", F.lit(None).cast("string"))
-            .when(looks_turkish(t), "tr")
-            .when(share(fixed.ARABIC) | share(fixed.ARABIC_FORMS), "ar")
-            .when(share(fixed.CYRILLIC), "ru")
-            .when(share(fixed.GREEK) | share(fixed.GREEK_EXTENDED), "el")
-            .when(share(fixed.HEBREW), "he"))
+def guess_language(col: Column | str) -> Column:
+    """By common words and letters for Turkish, else by the share of a script among the letters."""
+    t = text_or_empty(col)
+    scripts = (fixed.ARABIC, fixed.ARABIC_FORMS, fixed.CYRILLIC, fixed.GREEK, fixed.GREEK_EXTENDED,
+               fixed.HEBREW)
+
+    def by_script(n: Column) -> Column:
+        def share(block: str) -> Column:
+            return count_in(t, f"[{block}]") / n > 0.3
+
+        return (F.when(share(fixed.ARABIC) | share(fixed.ARABIC_FORMS), "ar")
+                .when(share(fixed.CYRILLIC), "ru")
+                .when(share(fixed.GREEK) | share(fixed.GREEK_EXTENDED), "el")
+                .when(share(fixed.HEBREW), "he"))
+
+    letters = F.greatest(F.lit(1), count_in(t, r"\p{L}"))
+    return (F.when(looks_turkish(t), "tr")
+            # one look decides for the many texts that hold none of these scripts
+            .when(t.rlike("[" + "".join(scripts) + "]"), let(letters, by_script)))
 
 
 def script_flags(col: Column | str) -> Column:

@@ -13,6 +13,7 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,17 +65,15 @@ def align_tokens(tokens: DataFrame, asr: DataFrame, key: Sequence[str],
         left = left.sort_values(["line_index", "word_index"]).reset_index(drop=True)
         right = right.sort_values("pos").reset_index(drop=True)
         left["pos"] = left.index
-        for c in ("start", "end", "confidence"):
-            left[c] = float("nan")
-        if len(left) and len(right):
-            m = SequenceMatcher(None, left["norm"].tolist(), [_norm(t) for t in right["text"]],
-                                autojunk=False)
-            for block in m.get_matching_blocks():
-                at = left.index[block.a:block.a + block.size]
-                took = slice(block.b, block.b + block.size)
-                left.loc[at, "start"] = right["start"].to_numpy()[took]
-                left.loc[at, "end"] = right["end"].to_numpy()[took]
-                left.loc[at, "confidence"] = right["prob"].fillna(1.0).to_numpy()[took]
+        took = {c: np.full(len(left), np.nan) for c in ("start", "end", "confidence")}
+        given = {"start": right["start"].to_numpy(), "end": right["end"].to_numpy(),
+                 "confidence": right["prob"].fillna(1.0).to_numpy()}
+        m = SequenceMatcher(None, left["norm"].tolist(), [_norm(t) for t in right["text"]],
+                            autojunk=False)
+        for block in m.get_matching_blocks():
+            for c, values in took.items():
+                values[block.a:block.a + block.size] = given[c][block.b:block.b + block.size]
+        left = left.assign(**took)
         return left
 
     cols = [*key, "line_index", "word_index", "raw", "norm"]

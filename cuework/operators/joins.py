@@ -42,22 +42,57 @@ def lexicon(spark: SparkSession, table: str = fixed.LEXICON) -> DataFrame:
     return spark.createDataFrame(rows, LEXICON_SCHEMA)
 
 
-def lexicon_match(tokens: DataFrame, lex: DataFrame, key: Sequence[str], token: str = "token",
-                  pos: str = "pos", max_len: int = 24) -> DataFrame:
+SMALL_LEXICON = 2000
+
+
+def lexicon_join(tokens: DataFrame, lex: DataFrame, key: Sequence[str], token: str = "token",
+                 pos: str = "pos", max_len: int = 24) -> DataFrame:
     """Longest stem each token starts with; stems under 3 letters need the whole token.
 
-    ``max_len`` must be at least the longest stem. Prefixes of the token meet the stems in an
-    equi-join; the first position of each stem per key is returned (key, stem, pos).
+    For lexicons of any size: prefixes of every distinct token meet the stems in an equi-join, and
+    the tokens that have a stem are joined back. ``max_len`` must be at least the longest stem. The
+    first position of each stem per key is returned (key, stem, pos).
     """
     t = F.col(token)
     prefixes = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(
         F.length(t), F.lit(max_len)))), lambda n: F.left(t, n))
-    cand = (tokens.filter(F.length(t) >= 2).select(*key, pos, t.alias("_t"),
-                                                   F.explode(prefixes).alias("stem"))
-            .filter((F.length("stem") >= 3) | (F.col("stem") == F.col("_t"))))
-    hit = cand.join(lex.select("stem"), "stem")
-    best = hit.groupBy(*key, pos).agg(F.max_by("stem", F.length("stem")).alias("stem"))
-    return best.groupBy(*key, "stem").agg(F.min(pos).alias(pos))
+    words = tokens.filter(F.length(t) >= 2).select(t).distinct()
+    cand = (words.select(t, F.explode(prefixes).alias("stem"))
+            .filter((F.length("stem") >= 3) | (F.col("stem") == t)))
+    best = cand.join(lex.select("stem"), "stem").groupBy(token).agg(
+        F.max_by("stem", F.length("stem")).alias("stem"))
+    return tokens.select(*key, pos, token).join(best, token).groupBy(*key, "stem").agg(
+        F.min(pos).alias(pos))
+
+
+def matched_stems(df: DataFrame, lex: DataFrame, key: Sequence[str], col: str, name: str = "stems"
+                  ) -> DataFrame | None:
+    """Stems of each text in order of first occurrence, found in one pass inside the row.
+
+    Only for lexicons of at most :data:`SMALL_LEXICON` stems, else None: the stems become one
+    pattern, longest first, tried at every word start.
+    """
+    stems = [r[0] for r in lex.select("stem").distinct().limit(SMALL_LEXICON + 1).collect()]
+    if len(stems) > SMALL_LEXICON:
+        return None
+    parts = [rf"\Q{s}\E" + ("" if len(s) >= 3 else r"(?!\S)")
+             for s in sorted(stems, key=lambda s: (-len(s), s))]
+    pattern = rf"(?U)(?<!\S)(?:{'|'.join(parts)})"
+    found = F.regexp_extract_all(tx.semantic_norm(col), F.lit(pattern), F.lit(0))
+    return df.select(*key, F.array_distinct(found).alias(name))
+
+
+def lexicon_match(df: DataFrame, lex: DataFrame, key: Sequence[str], col: str,
+                  max_len: int = 24) -> DataFrame:
+    """Stems of each text (key, stem, pos); ``pos`` orders them by first occurrence.
+
+    A small lexicon is matched inside the row, without a shuffle; a large one by
+    :func:`lexicon_join`.
+    """
+    rows = matched_stems(df, lex, key, col)
+    if rows is None:
+        return lexicon_join(text_tokens(df, key, col), lex, key, max_len=max_len)
+    return rows.select(*key, F.posexplode("stems").alias("pos", "stem"))
 
 
 def text_tokens(df: DataFrame, key: Sequence[str], col: str) -> DataFrame:
@@ -73,7 +108,7 @@ def extract_semantics(df: DataFrame, key: Sequence[str], col: str, lex: DataFram
     ``key`` identifies a row. What is gathered per key is at most one entry per lexicon stem.
     """
     key = list(key)
-    hit = lexicon_match(text_tokens(df, key, col), lex, key, max_len=max_len).join(lex, "stem")
+    hit = lexicon_match(df, lex, key, col, max_len).join(lex, "stem")
     per = hit.groupBy(*key).agg(F.array_sort(F.collect_list(
         F.struct("pos", "stem", "subjects", "emotions", "queries"))).alias("h"))
     flat = per.select(*key, F.col("h.stem").alias("matched"),
@@ -86,11 +121,10 @@ def extract_semantics(df: DataFrame, key: Sequence[str], col: str, lex: DataFram
         return F.aggregate(F.filter("_e", lambda e: e["name"] == name), F.lit(0.0),
                            lambda a, e: a + e["weight"])
 
-    weights = [weight_of(n) for n in names]
     flat = flat.withColumn("_t", total).select(
         *key, "matched", F.slice("_s", 1, 6).alias("subjects"), F.slice("_q", 1, 5).alias("_q"),
-        *[F.when(F.col("_t") > 0, F.bround(w / F.col("_t"), 3)).otherwise(0.0).alias(n)
-          for n, w in zip(names, weights)])
+        *[F.when(F.col("_t") > 0, F.bround(weight_of(n) / F.col("_t"), 3)).otherwise(0.0).alias(n)
+          for n in names])
     empty = F.array().cast("array<string>")
     generic = F.array(*map(F.lit, fixed.GENERIC_QUERIES))
     out = df.select(*key).distinct().join(flat, key, "left")

@@ -6,7 +6,7 @@ like because all of them run on the chunked scans of :mod:`cuework.operators.ord
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -228,19 +228,6 @@ def carve_spans(lines: DataFrame, segments: DataFrame, key: Sequence[str],
 
 # --- minimum-gap thinning ------------------------------------------------------------------------
 
-def _keep_chain(times: np.ndarray, gap: float, first: int) -> list[int]:
-    """Indices kept when the walk starts at ``first`` and every later pick is >= gap further on."""
-    kept, i = [], first
-    while i < len(times):
-        kept.append(i)
-        last, i = times[i], i + 1
-        # a jump, then an exact test: searchsorted on last + gap may round differently
-        i = max(i, int(np.searchsorted(times, last + gap)) - 1)
-        while i < len(times) and times[i] - last < gap:
-            i += 1
-    return kept
-
-
 def thin_events(df: DataFrame, key: Sequence[str], t: str = "t", gap: float = 1.0,
                 head: float | None = None, tail: str | None = None,
                 hot_rows: int | None = None) -> DataFrame:
@@ -292,19 +279,32 @@ def thin_events(df: DataFrame, key: Sequence[str], t: str = "t", gap: float = 1.
             out.insert(0, k, pdf[k].iloc[0])
         return out
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_t")
-        ts = pdf["_t"].to_numpy()
-        enter = pdf["_enter"].iloc[0] if "_enter" in pdf else np.nan
-        first = 0 if pd.isna(enter) else int(np.searchsorted(ts, enter))
-        return pdf.iloc[_keep_chain(ts, gap, first)][[*key, "_t"]]
-
-    if not is_split(hits):
-        kept = hits.groupBy(*key).applyInPandas(walk, f"{types}, _t double")
-        return kept.withColumnRenamed("_t", t)
-    entries = (hits.filter(F.col(HOT)).groupBy(*key, CHUNK)
-               .applyInPandas(reports, f"{types}, {CHUNK} long, _t double, leave double")
-               .groupBy(*key).applyInPandas(chain, f"{types}, {CHUNK} long, _enter double"))
-    kept = (hits.join(F.broadcast(entries), [*key, CHUNK], "left").groupBy(*key, CHUNK)
-            .applyInPandas(walk, f"{types}, _t double"))
-    return kept.withColumnRenamed("_t", t)
+    group = [*key, CHUNK] if is_split(hits) else key
+    if is_split(hits):
+        entries = (hits.filter(F.col(HOT)).groupBy(*group)
+                   .applyInPandas(reports, f"{types}, {CHUNK} long, _t double, leave double")
+                   .groupBy(*key).applyInPandas(chain, f"{types}, {CHUNK} long, _enter double"))
+        hits = hits.join(F.broadcast(entries), group, "left")
+    else:
+        hits = hits.withColumn("_enter", F.lit(None).cast("double"))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, last = None, None
+        for b in batches:
+            keep = []
+            enter = b["_enter"].to_numpy()
+            for n, (at, when) in enumerate(zip(zip(*[b[c] for c in group]), b["_t"].to_numpy())):
+                if at != here:
+                    here, last = at, None
+                if last is None:
+                    ok = not when < enter[n]
+                else:
+                    ok = when - last >= gap
+                if ok:
+                    keep.append(n)
+                    last = when
+            yield b.iloc[keep][[*key, "_t"]]
+
+    # sorted rows stream past in batches: no group is ever held as a whole
+    rows = hits.repartition(*group).sortWithinPartitions(*group, "_t")
+    return rows.mapInPandas(walk, f"{types}, _t double").withColumnRenamed("_t", t)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuework.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -32,8 +34,9 @@ def query(name: str, sql: str | None = None):
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if name == "events":
-        return df.withColumn("t", (F.unix_micros(F.col("ts").cast("timestamp")) - EPOCH_US) / 1e6)
-    return df
+        df = df.withColumn("t", (F.unix_micros(F.col("ts").cast("timestamp")) - EPOCH_US) / 1e6)
+    # texts cost far more to work on than to move
+    return spread(df) if name in ("documents", "part", "conversations") else df
 
 
 def of_type(events: DataFrame, kind: str) -> DataFrame:

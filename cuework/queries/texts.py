@@ -65,8 +65,15 @@ def joined(col):
 @query("fn1_normalize_token", f"""SELECT doc_id, md5(array_to_string(list_transform({sql_words('text')},
   lambda w: {sql_norm_token('w')}), ' ')) AS norms FROM documents""")
 def fn1(t):
-    return t("documents").select("doc_id", joined(F.transform(
-        tx.words_of("text"), tx.normalize_token)).alias("norms"))
+    words = tx.normalize_words("text")
+    return t("documents").select("doc_id", joined(F.transform(words, lambda w: w["norm"])).alias("norms"))
+
+
+@query("fn1_normalize_single", f"""WITH w AS (SELECT DISTINCT unnest({sql_words('text')}) AS word FROM documents)
+SELECT word, {sql_norm_token('word')} AS norm FROM w""")
+def fn1_single(t):
+    w = t("documents").select(F.explode(tx.words_of("text")).alias("word")).distinct()
+    return w.select("word", tx.normalize_token("word").alias("norm"))
 
 
 @query("fn1_normalize_token_exact", f"""WITH w AS (SELECT DISTINCT unnest({sql_words('text')}) AS word FROM documents)
@@ -593,9 +600,15 @@ best AS (SELECT token, arg_max(stem, length(stem)) AS stem FROM voc JOIN lex ON
 hit AS (SELECT doc_id, stem, min(pos) AS pos FROM k JOIN best USING (token) GROUP BY ALL)"""
 
 
-@query("j1_lexicon_match", f"WITH {MATCH_SQL} SELECT doc_id, stem, CAST(pos AS INTEGER) AS pos FROM hit")
+@query("j1_lexicon_match", f"""WITH {MATCH_SQL} SELECT doc_id, stem,
+  CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS pos FROM hit""")
 def j1(t):
-    return jn.lexicon_match(jn.text_tokens(t("documents"), DOC, "text"), corpus_lexicon(t), DOC)
+    return jn.lexicon_match(t("documents"), corpus_lexicon(t), DOC, "text")
+
+
+@query("j1_lexicon_match_join", f"""WITH {MATCH_SQL} SELECT doc_id, stem, CAST(pos AS INTEGER) AS pos FROM hit""")
+def j1_join(t):
+    return jn.lexicon_join(jn.text_tokens(t("documents"), DOC, "text"), corpus_lexicon(t), DOC)
 
 
 @query("j2_extract_semantics", f"""WITH {MATCH_SQL}, {EMO_SQL}, {SUBJ_SQL},

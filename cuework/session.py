@@ -24,6 +24,15 @@ def local_session(cpus: int = 8, app: str = "cuework") -> SparkSession:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when a table comes in fewer splits than there are cores (a few small files).
+
+    Tables with enough splits, which is what large ones have, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder the cluster names in ``spark.checkpoint.dir``.
 

@@ -16,6 +16,7 @@ WORD_TAG = r"<(\d{1,3}):(\d{1,2})(?:[.:](\d{1,3}))?>"
 
 _LEAD = r"^(?:\[\d{1,3}:\d{1,2}(?:[.:]\d{1,3})?\])+"
 _ANY_WORD_TAG = r"<\d{1,3}:\d{1,2}(?:[.:]\d{1,3})?>"
+_WORDS = "array<struct<start:double,text:string>>"
 _WORD = rf"(?s){WORD_TAG}(.*?)(?={_ANY_WORD_TAG}|$)"
 
 
@@ -69,8 +70,9 @@ def parse_lrc(df: DataFrame, key: Sequence[str], col: str, keep_empty: bool = Tr
     def words(body: Column) -> Column:
         pairs = F.arrays_zip(_seconds_in(body, _WORD).alias("start"), F.transform(
             F.regexp_extract_all(body, F.lit(_WORD), F.lit(4)), strip).alias("text"))
-        return F.transform(F.filter(pairs, lambda w: w["text"] != ""), lambda w: F.struct(
+        tagged = F.transform(F.filter(pairs, lambda w: w["text"] != ""), lambda w: F.struct(
             _move(w["start"], F.col("_shift")).alias("start"), w["text"].alias("text")))
+        return F.when(body.contains("<"), tagged).otherwise(F.array().cast(_WORDS))
 
     lines = F.flatten(F.transform("_t", lambda x: F.transform(x["starts"], lambda s, j: F.struct(
         _move(s, F.col("_shift")).alias("start"), x["i"].alias("i"), j.alias("j"),
