@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuework.functions import fixed_values as fixed
-from cuework.operators.ordered import range_sums, scan, split_hot, totals, unsplit
+from cuework.operators.ordered import range_sums, scan, skew_limit, split_hot, totals, unsplit
 
 
 def line_summary(words: DataFrame, key: Sequence[str], start: str = "start", end: str = "end",
@@ -137,6 +137,7 @@ def estimate_offset(spans: DataFrame, frames: DataFrame, key: Sequence[str],
     so the work is shifts x spans, not shifts x frames. Returns offset, best_score, zero_score.
     """
     key = list(key)
+    hot_rows = skew_limit([spans, frames], key, hot_rows)
     steps = int(round(search / step))
     shifts = F.explode(F.transform(F.sequence(F.lit(-steps), F.lit(steps)), lambda k: F.struct(
         k.alias("k"), F.bround(k * F.lit(step), 2).alias("shift")))).alias("s")

@@ -70,15 +70,17 @@ def matched_stems(df: DataFrame, lex: DataFrame, key: Sequence[str], col: str, n
     """Stems of each text in order of first occurrence, found in one pass inside the row.
 
     Only for lexicons of at most :data:`SMALL_LEXICON` stems, else None: the stems become one
-    pattern, longest first, tried at every word start.
+    pattern tried at every word start, grouped by first letter and longest first.
     """
     stems = [r[0] for r in lex.select("stem").distinct().limit(SMALL_LEXICON + 1).collect()]
     if len(stems) > SMALL_LEXICON:
         return None
-    parts = [rf"\Q{s}\E" + ("" if len(s) >= 3 else r"(?!\S)")
-             for s in sorted(stems, key=lambda s: (-len(s), s))]
-    pattern = rf"(?U)(?<!\S)(?:{'|'.join(parts)})"
-    found = F.regexp_extract_all(tx.semantic_norm(col), F.lit(pattern), F.lit(0))
+    by_letter: dict[str, list[str]] = {}
+    for s in sorted(stems, key=lambda s: (-len(s), s)):
+        by_letter.setdefault(s[0], []).append(
+            rf"\Q{s[1:]}\E" + ("" if len(s) >= 3 else r"(?!\S)"))
+    heads = "|".join(rf"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by_letter.items()))
+    found = F.regexp_extract_all(tx.semantic_norm(col), F.lit(rf"(?<!\S)(?:{heads})"), F.lit(0))
     return df.select(*key, F.array_distinct(found).alias(name))
 
 

@@ -184,5 +184,6 @@ def range_sums(points: DataFrame, spans: DataFrame, key: Sequence[str], at: str,
     per_span = (run.filter(F.col("_k") < 2).groupBy(*key, *span_id)
                 .agg(F.first("_row", ignorenulls=True).alias("_row"),
                      F.sum(sign * F.col("_n")).alias("n"),
-                     F.sum(sign * F.col("_s")).alias("total")))
+                     # differences of running totals carry noise in the last digits
+                     F.bround(F.sum(sign * F.col("_s")), 9).alias("total")))
     return per_span.select(*key, *span_id, *[F.col("_row")[c].alias(c) for c in rest], "n", "total")
