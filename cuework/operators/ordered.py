@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuework.session import checkpoint
+
 HOT_ROWS = 1_000_000
 NO_SPLIT = 1 << 62
 CHUNK, HOT = "_chunk", "_hot"
@@ -44,12 +46,15 @@ def split_hot(df: DataFrame, key: Sequence[str], order: str, hot_rows: int | Non
     chunk = (F.when(o.isNull(), F.lit(-1))
              .when(F.col("_w") > 0, F.floor((o - F.col("_lo")) / F.col("_w")))
              .otherwise(F.lit(0)))
-    return (
+    split = (
         df.join(F.broadcast(stats), key, "left")
         .withColumn(CHUNK, chunk.cast("long"))
         .withColumn(HOT, F.col("_lo").isNotNull())
         .drop("_lo", "_w")
     )
+    # every scan reads its input twice (rows, and chunk ends of hot keys): store it once instead of
+    # working it out again at each step
+    return checkpoint(split)
 
 
 def skew_limit(tables: Sequence[DataFrame], key: Sequence[str], hot_rows: int | None = None,
