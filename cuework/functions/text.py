@@ -24,6 +24,13 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def positions(df: DataFrame, keep: Sequence[str], array: Column, pos: str, value: str) -> DataFrame:
+    """One row per element. The outer form keeps Spark from adding a "not empty" filter, which would
+    work the array out a second time, and before any repartitioning."""
+    rows = df.select(*keep, F.posexplode_outer(array).alias(pos, value))
+    return rows.filter(F.col(pos).isNotNull())
+
+
 def text_or_empty(col: Column | str) -> Column:
     return F.coalesce(_c(col), F.lit(""))
 
@@ -122,7 +129,7 @@ def guess_artist_title(title: Column | str, channel: Column | str) -> Column:
 def plain_lines(df: DataFrame, key: Sequence[str], col: str) -> DataFrame:
     """Non-empty stripped lines with their index among the kept ones."""
     kept = F.filter(lines_of(col), lambda x: x != "")
-    return df.select(*key, F.posexplode(kept).alias("line_index", "text"))
+    return positions(df, key, kept, "line_index", "text")
 
 
 def tokenize_lines(df: DataFrame, key: Sequence[str], col: str = "text",
@@ -130,15 +137,15 @@ def tokenize_lines(df: DataFrame, key: Sequence[str], col: str = "text",
     """Words of each line with their normal form; words without one are not counted."""
     if exact:
         # the normal form needs Python, so it is taken once per word and the index re-counted after
-        long = (df.select(*key, line, F.posexplode(words_of(col)).alias("_p", "raw"))
+        long = (positions(df, [*key, line], words_of(col), "_p", "raw")
                 .withColumn("norm", normalize_token_exact("raw")).filter("norm <> ''"))
         per = long.groupBy(*key, line).agg(F.array_sort(F.collect_list(
             F.struct("_p", "raw", "norm"))).alias("ts"))
         return (per.select(*key, line, F.posexplode("ts").alias("word_index", "t"))
                 .select(*key, line, "word_index", "t.raw", "t.norm"))
     kept = F.filter(normalize_words(col), lambda p: p["norm"] != "")
-    return (df.select(*key, line, F.posexplode(kept).alias("word_index", "t"))
-            .select(*key, line, "word_index", "t.raw", "t.norm"))
+    return positions(df, [*key, line], kept, "word_index", "t").select(
+        *key, line, "word_index", "t.raw", "t.norm")
 
 
 def tag_seconds(minutes: Column, seconds: Column, frac: Column) -> Column:
@@ -365,8 +372,8 @@ def expand_queries(df: DataFrame, key: Sequence[str], artist: str = "artist", ti
         F.array_position(lowered, F.lower(q)) == i + 1, q)), lambda q: q.isNotNull())
     search = F.transform(first, lambda q: F.struct(
         F.lit("search").alias("kind"), none.alias("artist"), none.alias("title"), q.alias("query")))
-    return (df.select(*key, F.posexplode(F.concat(exact, search)).alias("query_index", "q"))
-            .select(*key, "query_index", "q.*"))
+    return positions(df, key, F.concat(exact, search), "query_index", "q").select(
+        *key, "query_index", "q.*")
 
 
 def assemble_prompt(df: DataFrame, style: str = "style", variant: str = "variant",

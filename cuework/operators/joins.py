@@ -94,13 +94,13 @@ def lexicon_match(df: DataFrame, lex: DataFrame, key: Sequence[str], col: str,
     rows = matched_stems(df, lex, key, col)
     if rows is None:
         return lexicon_join(text_tokens(df, key, col), lex, key, max_len=max_len)
-    return rows.select(*key, F.posexplode("stems").alias("pos", "stem"))
+    return tx.positions(rows, key, F.col("stems"), "pos", "stem")
 
 
 def text_tokens(df: DataFrame, key: Sequence[str], col: str) -> DataFrame:
     """Distinct tokens of a text with the position where each first occurs."""
     words = F.array_distinct(tx.words_of(tx.semantic_norm(col)))
-    return df.select(*key, F.posexplode(words).alias("pos", "token"))
+    return tx.positions(df, key, words, "pos", "token")
 
 
 def extract_semantics(df: DataFrame, key: Sequence[str], col: str, lex: DataFrame,

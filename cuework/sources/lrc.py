@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuework.functions.text import lines_of, strip, tag_seconds
+from cuework.functions.text import lines_of, positions, strip, tag_seconds
 
 # fixed values: time tags, meta tags and inline word tags
 TIME_TAG = r"\[(\d{1,3}):(\d{1,2})(?:[.:](\d{1,3}))?\]"
@@ -79,13 +79,13 @@ def parse_lrc(df: DataFrame, key: Sequence[str], col: str, keep_empty: bool = Tr
         clean(x["body"]).alias("text"), words(x["body"]).alias("words")))))
     if not keep_empty:
         lines = F.filter(lines, lambda x: x["text"] != "")
-    return (df.select(*key, F.posexplode(F.array_sort(lines)).alias("line_index", "x"))
-            .select(*key, "line_index", "x.start", "x.text", "x.words"))
+    return positions(df, key, F.array_sort(lines), "line_index", "x").select(
+        *key, "line_index", "x.start", "x.text", "x.words")
 
 
 def parse_lrc_words(df: DataFrame, key: Sequence[str], col: str, keep_empty: bool = True
                     ) -> DataFrame:
     """Inline word tags, one row per word."""
-    return (parse_lrc(df, key, col, keep_empty)
-            .select(*key, "line_index", F.posexplode("words").alias("word_index", "w"))
-            .select(*key, "line_index", "word_index", "w.start", "w.text"))
+    lines = parse_lrc(df, key, col, keep_empty)
+    return positions(lines, [*key, "line_index"], F.col("words"), "word_index", "w").select(
+        *key, "line_index", "word_index", "w.start", "w.text")
