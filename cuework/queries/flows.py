@@ -14,8 +14,9 @@ from cuework.operators import align, ranking as rk
 from cuework.operators import joins as jn
 from cuework.operators.windows import ordinal
 from cuework.plans import lyrics, media, scenes
-from cuework.queries.registry import E, QUERIES, SQL, of_type, query, r
+from cuework.queries.registry import E, EPOCH_US, QUERIES, SQL, of_type, query, r
 from cuework.queries.texts import NOISY_SQL, noisy, part_media, sql_title
+from cuework.queries.timing import SESSION_SQL
 from cuework.session import checkpoint
 from cuework.streaming import jobs
 
@@ -31,7 +32,7 @@ def stored(fn):
 
     def get(t) -> DataFrame:
         src = t("conversations")
-        at = (id(src.sparkSession), src.inputFiles()[0])
+        at = (src.sparkSession.sparkContext.applicationId, src.inputFiles()[0])
         if at not in done:
             done.clear()
             done[at] = checkpoint(fn(t))
@@ -303,12 +304,19 @@ def str1(spark, src, folder):
 i AS (SELECT *, sum(CASE WHEN p IS NULL OR t - p > 43200 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t) AS isl FROM g)
 SELECT user_id, round(min(t), 3) AS start_s, round(max(t), 3) AS end_s, count(*) AS items FROM i GROUP BY user_id, isl""")
 def str2(spark, src, folder):
-    from cuework.queries.registry import EPOCH_US
     out = run_to_folder(jobs.pause_sessions(src, ["user_id"], gap_seconds=43200.0, delay="1 day"), folder, "complete")
     sec = lambda c: r((F.unix_micros(c) - EPOCH_US) / 1e6, 3)
     return out.select("user_id", sec("start").alias("start_s"), sec("end").alias("end_s"), "items")
 
 
+@replay("str2_pause_groups", SESSION_SQL + """ SELECT user_id, round(min(t), 3) AS start_s, CAST(count(*) AS INTEGER) AS items,
+  string_agg(event_type, ' ' ORDER BY t) AS text FROM s GROUP BY user_id, group_index""")
+def str2_groups(spark, src, folder):
+    out = jobs.pause_groups(src, ["user_id"], "ts", "event_type", 43200.0, 8, "1 day")
+    return run_to_folder(out, folder, "complete").select(
+        "user_id", r((F.unix_micros("start") - EPOCH_US) / 1e6, 3).alias("start_s"), "items", "text")
+
+
 @replay("str3_ttl_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
 def str3(spark, src, folder):
     out = jobs.ttl_dedupe(src.select("user_id", "event_type", "ts"), ["user_id", "event_type"], ttl_seconds=60 * 86400)

@@ -82,8 +82,8 @@ def upsert_stream(stream: DataFrame, spark_table: str, key: Sequence[str], repla
     """Keep a versioned table current: every micro-batch upserts its latest row per key.
 
     A batch writes version ``<batch id>`` from version ``<batch id> - 1``, so a batch repeated after
-    a failure writes the same folder again instead of applying twice. Start the returned writer with
-    ``.start()``.
+    a failure writes the same folder again instead of applying twice. A version is a whole table, so
+    trigger seldom on large ones. Start the returned writer with ``.start()``.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
