@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuework.llm import chat, mixing, packing
+from cuework.llm import chat, mixing, packing, quality_rules, secrets
 from cuework.llm.scratch import stored
 
 QUERIES: dict = {}
@@ -38,6 +38,21 @@ def op3_mix_sources(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken", "copies", "position")
 
 
+@query
+def op4_log_ratio_rules(spark, sf_dir):
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+
+
+@query
+def op6_secret_spans(spark, sf_dir):
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base_spans", lambda s: s["rank"] == k)).cast("long")
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+                        F.sha2(secrets.listed(F.col("base_spans")), 256).alias("base_sha256"),
+                        secrets.listed(F.col("spans")).alias("spans"))
+
+
 @query
 def op9_prefix_targets(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
