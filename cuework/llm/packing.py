@@ -42,7 +42,7 @@ def plan_cuts(at: np.ndarray, penalty: np.ndarray, width: int) -> list[int]:
     spots = at.tolist()
     cost = penalty.tolist()
     free: dict[int, list[int]] = {}
-    k = 1
+    k = max(1, width // 64)  # shorter windows are not worth a sequence of their own
     while k <= width:
         back = np.searchsorted(at, at - k)
         for i in np.flatnonzero((at >= k) & (at[np.minimum(back, n - 1)] == at - k)).tolist():

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuework.llm import chat, mixing, packing, quality_rules, secrets
-from cuework.llm.scratch import stored
+from cuework.llm import chat, lz_fingerprint, mixing, packing, quality_rules, secrets, token_files
+from cuework.llm.scratch import scratch_path, stored
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -32,6 +32,11 @@ def op1_pack_sequences(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+@query
+def op2_lz_fingerprints(spark, sf_dir):
+    return lz_fingerprint.fingerprint(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select(
@@ -53,6 +58,13 @@ def op6_secret_spans(spark, sf_dir):
                         secrets.listed(F.col("spans")).alias("spans"))
 
 
+@query
+def op7_token_files(spark, sf_dir):
+    path = scratch_path(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary())
+    return token_files.read_documents(spark, path)
+
+
 @query
 def op9_prefix_targets(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")

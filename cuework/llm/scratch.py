@@ -21,9 +21,14 @@ def scratch_root(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one; nobody else uses it."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and go on from the files: lost executors then cost no recomputation."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
