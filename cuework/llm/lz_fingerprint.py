@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuework.llm.textkernel import span_hashes
+
 BINS = 128
 EMPTY = 0xFFFF
-CHUNK = 1 << 16
 
 
 def phrases(text: str, known: set[str], edges: list[int], start: int, end: int) -> int:
@@ -45,51 +46,10 @@ def phrases(text: str, known: set[str], edges: list[int], start: int, end: int)
     return start
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2^64, and of its inverse."""
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK)
-        inverse = pow(_BASE, -1, 1 << 64)
-        made = []
-        for b in (_BASE, inverse):
-            steps = np.full(size, b, np.uint64)
-            steps[0] = 1
-            made.append(np.multiply.accumulate(steps))
-        if size > 1 << 22:  # too large to keep
-            return made[0], made[1]
-        _powers = made[0], made[1]
-    return _powers
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def phrase_hashes(text: str, edges: np.ndarray) -> np.ndarray:
-    """Hash of each phrase; ``edges``: 0 and the phrases' ends. Works through the text in chunks."""
+    """Hash of each phrase; ``edges``: 0 and the phrases' ends."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    out = np.empty(len(edges) - 1, np.uint64)
-    i = 0
-    while i < len(out):
-        lo = int(edges[i])
-        j = max(i + 1, int(np.searchsorted(edges, lo + CHUNK, "right")) - 1)
-        j = min(j, len(out))
-        hi = int(edges[j])
-        up, down = powers(hi - lo + 1)
-        total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum((points[lo:hi].astype(np.uint64) + np.uint64(1)) * up[:hi - lo], out=total[1:])
-        a, b = edges[i:j] - lo, edges[i + 1:j + 1] - lo
-        out[i:j] = (total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)
-        i = j
-    return mixed(out)
+    return span_hashes(points, edges[:-1], edges[1:])
 
 
 def signature(hashes: np.ndarray, least: np.ndarray | None = None) -> np.ndarray:

@@ -111,7 +111,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 16, smoot
     return out
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = -0.15, buckets: int = 1 << 16,
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = -0.08, buckets: int = 1 << 16,
           most_trusted: int = 20_000) -> DataFrame:
     """Rows of ``docs`` with the base measures, ``score`` and ``kept``.
 

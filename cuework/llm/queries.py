@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuework.llm import chat, lz_fingerprint, mixing, packing, quality_rules, secrets, token_files
+from cuework.llm import chat, lz_fingerprint, mixing, packing, pu_classifier, quality_rules, secrets, token_files
 from cuework.llm.scratch import scratch_path, stored
 
 QUERIES: dict = {}
@@ -65,6 +65,11 @@ def op7_token_files(spark, sf_dir):
     return token_files.read_documents(spark, path)
 
 
+@query
+def op8_positive_unlabelled(spark, sf_dir):
+    return pu_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op9_prefix_targets(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
