@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuework.llm import chat, lz_fingerprint, mixing, packing, pu_classifier, quality_rules, secrets, token_files
+from cuework.llm import (chat, jaccard_join, lz_fingerprint, mixing, packing, pu_classifier, quality_rules, secrets,
+                         token_files)
 from cuework.llm.scratch import scratch_path, stored
 
 QUERIES: dict = {}
@@ -49,6 +50,11 @@ def op4_log_ratio_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
 
 
+@query
+def op5_jaccard_groups(spark, sf_dir):
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
 @query
 def op6_secret_spans(spark, sf_dir):
     found = secrets.scan(table(spark, sf_dir, "documents"))
