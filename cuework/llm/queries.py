@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuework.llm import (chat, jaccard_join, lz_fingerprint, mixing, packing, pu_classifier, quality_rules, secrets,
-                         token_files)
+from cuework.llm import (chat, compact_windows, jaccard_join, lz_fingerprint, mixing, packing, pu_classifier,
+                         quality_rules, secrets, token_files)
 from cuework.llm.scratch import scratch_path, stored
 
 QUERIES: dict = {}
@@ -87,3 +87,8 @@ def op9_prefix_targets(spark, sf_dir):
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
                        F.char_length("loss_text").cast("long").alias("loss_chars"),
                        F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
+
+
+@query
+def op10_repeated_passages(spark, sf_dir):
+    return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
