@@ -1,6 +1,6 @@
 """Quality rules: hashed n-gram log-likelihood ratios, trusted target against raw corpus.
 
-Words and word pairs are hashed into a fixed number of buckets. Two multinomials are counted over them: one from
+Words, word pairs and word endings are hashed into a fixed number of buckets. Two multinomials are counted over them: one from
 all documents (the raw corpus), one from trusted documents. A document's score is the mean over its n-grams of
 ``log(target / raw)``; every document is kept or not by comparing that score with one fixed threshold, after
 base rules on its length and on repeated passages. Everything runs inside the JVM and texts never move: the only
@@ -48,7 +48,7 @@ def repeated_words(windows: Column, width: int = WINDOW) -> Column:
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
-    """Adds the base measures, ``base_failed`` and ``_h`` (a hash of every word) to the rows of ``docs``."""
+    """Adds the base measures, ``base_failed``, ``_w`` (the words) and ``_h`` (their hashes) to the rows of ``docs``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.withColumn("_w", words_of(text))
     rows = rows.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
@@ -63,19 +63,20 @@ def base_rules(docs: DataFrame) -> DataFrame:
         "word_chars": F.char_length(F.array_join("_w", "")).cast("long"),
         "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": repeated_words(F.col("_win")).cast("long")}).drop("_w", "_win", "_lines")
+        "n_repeat_words": repeated_words(F.col("_win")).cast("long")}).drop("_win", "_lines")
     return rows.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (
         100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")))
 
 
-def grams(hashes: Column, buckets: int) -> Column:
-    """Buckets of all words and word pairs, given the words' hashes."""
+def grams(words: Column, hashes: Column, buckets: int) -> Column:
+    """Buckets of all words, word pairs and word endings (two characters), given the words and their hashes."""
     mask = buckets - 1
     pairs = F.when(F.size(hashes) > 1, F.transform(
         F.sequence(F.lit(1), F.size(hashes) - 1),
         lambda i: F.get(hashes, i - 1).bitwiseXOR(F.shiftleft(F.get(hashes, i), 1)).bitwiseAND(mask).cast("int")))
+    ends = F.transform(words, lambda w: F.xxhash64(F.substring(w, -2, 2), F.lit(1)).bitwiseAND(mask).cast("int"))
     return F.concat(F.transform(hashes, lambda h: h.bitwiseAND(mask).cast("int")),
-                    F.coalesce(pairs, F.array().cast("array<int>")))
+                    F.coalesce(pairs, F.array().cast("array<int>")), ends)
 
 
 def trusted_ids(labels: DataFrame, most: int = 20_000) -> DataFrame:
@@ -87,31 +88,31 @@ def trusted_ids(labels: DataFrame, most: int = 20_000) -> DataFrame:
     return good.distinct().orderBy(F.xxhash64("_trusted"), "_trusted").limit(most)
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 16, smoothing: float = 1.0,
+def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 16, smoothing: float = 10.0,
                most_trusted: int = 20_000) -> list[float]:
-    """``log(target / raw)`` by bucket: a list of ``buckets`` numbers, all 0 where nothing is trusted."""
+    """``log(target / raw)`` by bucket: a list of ``buckets`` numbers, all 0 where nothing is trusted.
+
+    ``smoothing`` is added to the count of each bucket and to the count that the raw model expects there, so that
+    n-grams too rare to tell weigh little.
+    """
     if buckets & (buckets - 1):
         raise ValueError("buckets must be a power of two")
     ids = F.broadcast(trusted_ids(labels, most_trusted))
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.transform(
-        words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("_h"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), words_of(F.col("text")).alias("_w"))
     rows = rows.join(ids, rows["_id"] == ids["_trusted"], "left")
-    counts = rows.select(F.col("_trusted").isNotNull().alias("t"), F.explode(grams(F.col("_h"), buckets)).alias("b"))
+    rows = rows.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
+    counts = rows.select(F.col("_trusted").isNotNull().alias("t"),
+                         F.explode(grams(F.col("_w"), F.col("_h"), buckets)).alias("b"))
     counts = counts.groupBy("b").agg(F.count("*").alias("raw"), F.count_if("t").alias("target")).collect()
     raw_all, target_all = sum(r["raw"] for r in counts), sum(r["target"] for r in counts)
-    if not target_all:
-        return [0.0] * buckets
-    a = smoothing
-    out = [0.0] * buckets  # n-grams that no document has
-    for r in counts:
-        # the raw model lends the target its shape where little is known, so that rare n-grams weigh nothing
-        p = (r["raw"] + a) / (raw_all + a * buckets)
-        q = (r["target"] + a * buckets * p) / (target_all + a * buckets)
-        out[r["b"]] = round(math.log(q / p), 6)
+    out = [0.0] * buckets
+    for r in counts if target_all else ():
+        expected = r["raw"] * target_all / raw_all
+        out[r["b"]] = round(math.log((r["target"] + smoothing) / (expected + smoothing)), 6)
     return out
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = -0.08, buckets: int = 1 << 16,
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = -0.1, buckets: int = 1 << 16,
           most_trusted: int = 20_000) -> DataFrame:
     """Rows of ``docs`` with the base measures, ``score`` and ``kept``.
 
@@ -124,7 +125,15 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = -0.08, buckets:
     ratios = log_ratios(docs, labels, buckets, most_trusted=most_trusted)
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
     rows = base_rules(docs.drop(*new, "_w", "_h", "_win", "_lines", "_g"))
-    rows = rows.withColumn("_g", grams(F.col("_h"), buckets))
+    rows = rows.withColumn("_g", grams(F.col("_w"), F.col("_h"), buckets))
     total = F.aggregate("_g", F.lit(0.0), lambda s, b: s + F.get(table, b))
     rows = rows.withColumn("score", F.when(F.size("_g") > 0, F.round(total / F.size("_g"), 9)).otherwise(0.0))
-    return rows.drop("_h", "_g").withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    return rows.drop("_w", "_h", "_g").withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = -0.1) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
+    rows = judge(rows, labels, threshold)
+    # the row number, always true here, keeps the optimizer from moving (and so repeating) all measures into the filter
+    return rows.withColumn("_keep", F.col("kept") & (F.monotonically_increasing_id() >= 0)).where("_keep").select("_row.*")

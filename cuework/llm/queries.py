@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,3 +93,8 @@ def op9_prefix_targets(spark, sf_dir):
 @query
 def op10_repeated_passages(spark, sf_dir):
     return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)

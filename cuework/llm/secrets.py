@@ -139,3 +139,17 @@ def redact(text: Column, spans: Column) -> Column:
         return F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text)))
 
     return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, end)).otherwise(text)
+
+
+def hide(docs: DataFrame) -> DataFrame:
+    """``docs`` with every span in ``text`` replaced by a mark, and ``n_chars`` (if there is one) adjusted.
+
+    Null texts stay null; all rows stay, and all other columns.
+    """
+    rows = scan(docs.select(F.struct("*").alias("_row"), "text"))
+    found = F.size("spans") > 0
+    rows = rows.withColumn("_clean", redact(F.col("text"), F.col("spans")))
+    new = {"text": F.when(found, F.col("_clean")).otherwise(F.col("text")),
+           "n_chars": F.when(found, F.char_length("_clean").cast("long")).otherwise(F.col("_row.n_chars"))
+           if "n_chars" in docs.columns else None}
+    return rows.select(*[(new[c] if c in new else F.col("_row")[c]).alias(c) for c in docs.columns])
