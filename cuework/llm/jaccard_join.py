@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuework.llm.components import components
+from cuework.llm.lookup import rows_of
 from cuework.llm.scratch import stored
 from cuework.llm.textkernel import LOWER, Words, distinct_sets, mixed, slices_of
 
@@ -133,13 +134,22 @@ def _compare(k: int, percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (u, v) of set ids that are similar."""
-    got = pairs.join(texts.select(F.col("rep").alias("v"), F.col("text").alias("text_v")), "v")
-    got = got.join(texts.select(F.col("rep").alias("u"), F.col("text").alias("text_u")), "u")
+def _verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (u, v) of doc_ids that are similar, by their whole texts."""
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    texts = stored(rows_of(rows, "doc_id", ids), "texts")
+    got = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
+    got = got.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
     return stored(got.select("u", "v", "text_u", "text_v").mapInArrow(_compare(k, percent), "u long, v long"), "similar")
 
 
+def _fits(an, ap, bn, bp, percent: int):
+    """Whether sets of sizes ``an`` and ``bn`` that share a shingle at ``ap`` and ``bp`` can be similar: by size, and by
+    what is left after those positions (true of the first shingle that a similar pair shares)."""
+    sizes = 100 * F.least(an, bn) >= percent * F.greatest(an, bn)
+    return sizes & (F.least(an - ap, bn - bp) >= F.ceil(percent * (an + bn) / F.lit(100 + percent)))
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
@@ -159,25 +169,24 @@ def similar_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
         F.min("doc_id").alias("rep")), "distinct")
     entries = rows.where("doc_id IS NOT NULL").select("text").mapInArrow(_entries(shingle, percent, rank), ENTRIES)
     # a set's entries are emitted once by each task that has a copy
-    entries = entries.groupBy("h", "k1", "n").agg(F.min("pos").alias("pos"), F.max("early").alias("early"))
-    lists = entries.groupBy("h").agg(F.count("*").alias("sets"), F.min_by("k1", F.struct("n", "k1")).alias("head"),
-                                     F.max_by("k1", F.struct("n", "k1")).alias("tail")).where("sets > 1")
-    shared = stored(entries.join(lists.drop("sets"), "h"), "lists")
+    entries = stored(entries.groupBy("h", "k1", "n").agg(F.min("pos").alias("pos"), F.max("early").alias("early")),
+                     "entries")
+    end = F.struct("n", "k1", "pos")
+    lists = entries.groupBy("h").agg(F.count("*").alias("sets"), F.min(end).alias("head"), F.max(end).alias("tail"))
+    shared = stored(entries.join(lists.where("sets > 1").drop("sets"), "h"), "lists")
     ids = sets.select("k1", "rep")
 
     def by_rep(pairs):
         a, b = ids.select(F.col("k1").alias("a"), F.col("rep").alias("u")), ids.select(
             F.col("k1").alias("b"), F.col("rep").alias("v"))
-        # u is the side with more partners, so that its set is made once for a run of pairs
         return pairs.join(a, "a").join(b, "b").where("u <> v").select("u", "v").distinct()
 
-    heads = shared.select(F.col("k1").alias("b"), F.explode(F.array_distinct(F.array("head", "tail"))).alias("a")).where(
-        "a <> b").distinct()
-    first = stored(by_rep(heads), "first")
-    involved = shared.select("k1").distinct().join(ids, "k1").select("rep").distinct()
-    texts = stored(rows.where("doc_id IS NOT NULL").join(involved, F.col("doc_id") == F.col("rep")).select(
-        "rep", "text"), "texts")
-    links = _verified(first, texts, shingle, percent)
+    # first round: each set with the smallest and the largest of its lists
+    heads = shared.select("n", "pos", F.col("k1").alias("b"), F.explode(F.array("head", "tail")).alias("e"))
+    heads = heads.where("e.k1 <> b").where(_fits(F.col("n"), F.col("pos"), F.col("e.n"), F.col("e.pos"), percent))
+    first = stored(by_rep(heads.select(F.col("e.k1").alias("a"), "b").distinct()), "first")
+    rows = rows.where("doc_id IS NOT NULL")
+    links = _verified(first, rows, shingle, percent)
     known = components(links)
     # second round: lists whose sets are in more than one component
     member = ids.join(known, ids["rep"] == known["id"]).select("k1", "component")
@@ -190,14 +199,12 @@ def similar_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
                                    F.col("comp").alias("ac"), F.explode(F.array("block", F.col("block") + 1)).alias("block"))
     y = left.select("h", F.col("k1").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"),
                     F.col("comp").alias("bc"), "block")
-    need = F.ceil(percent * (F.col("an") + F.col("bn")) / F.lit(100 + percent))
-    can = F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp"))
     pairs = x.join(y, ["h", "block"]).where("ac <> bc").where(
         (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b")))).where(
-        100 * F.col("an") >= percent * F.col("bn")).where(can >= need).select("a", "b").distinct()
+        _fits(F.col("an"), F.col("ap"), F.col("bn"), F.col("bp"), percent)).select("a", "b").distinct()
     second = by_rep(pairs)
     done = first.select("u", "v").unionByName(first.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    more = _verified(stored(second.join(done, ["u", "v"], "left_anti"), "second"), texts, shingle, percent)
+    more = _verified(stored(second.join(done, ["u", "v"], "left_anti"), "second"), rows, shingle, percent)
     # rows of one doc_id with different sets are one document with several sets
     reps = records.where("n > 0 AND doc_id IS NOT NULL").join(sets, ["k1", "k2", "n"]).select("doc_id", "n", "rep")
     twice = reps.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
@@ -214,6 +221,6 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     Rows with a null doc_id stay. Of rows that share a doc_id one stays.
     """
     groups = similar_groups(docs, shingle, percent)
-    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay, docs["doc_id"].cast("long") == stay["_stay"]).drop("_stay").dropDuplicates(["doc_id"])
+    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
+    kept = docs.join(stay, docs["doc_id"].cast("long") == stay["__stay"]).drop("__stay").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id IS NULL"))
