@@ -19,7 +19,7 @@ import zlib
 import numpy as np
 
 BLOCK = 4096  # ids
-LANES = 512  # blocks that advance together
+LANES = 1024  # blocks that advance together
 MAGIC = b"CMR1"
 HEADER = struct.Struct("<4sIIII")  # magic, ids, segments, bytes of coded words, checksum of all that follows
 SEGMENT = np.dtype([("ordinal", "<u8"), ("doc_id", "<i8"), ("start", "<u4"), ("length", "<u4"), ("flags", "<u4")])
@@ -40,88 +40,99 @@ GROUP_OF = np.repeat(np.arange(GROUPS), 1 << SHIFT)
 
 
 class Mixer:
-    """The model of many blocks at once; ``k`` is the number of blocks still running (the first ones)."""
+    """The model of many blocks at once; ``k`` is the number of blocks still running (the first ones).
+
+    Tables of all blocks lie one after the other in flat arrays. A slot of a context holds the guess (16 bits) and how
+    sure it is (4 bits above).
+    """
 
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.guess = [np.zeros(lanes * SLOTS, np.int32) for _ in range(2)]
-        self.sure = [np.zeros(lanes * SLOTS, np.int8) for _ in range(2)]
+        lane = np.arange(lanes)
+        self.slot0, self.odds0, self.group0, self.cum0 = lane * SLOTS, lane * 16, lane * GROUPS, lane * (GROUPS + 1)
+        self.slots = [np.zeros(lanes * SLOTS, np.int32) for _ in range(2)]
         start = np.minimum(8 + 48 * np.arange(16), UNIT // 2)
         self.odds = [np.tile(start, lanes).astype(np.int64) for _ in range(2)]
         self.count = np.zeros((lanes, GROUPS), np.int32)
         self.each = np.ones((lanes, GROUPS), np.int64)
         self.cum = np.zeros((lanes, GROUPS + 1), np.int64)
+        self.coarse = np.zeros((lanes, COARSE - 1), np.int64)
+        self.flat_count, self.flat_each, self.flat_cum = self.count.ravel(), self.each.ravel(), self.cum.ravel()
         self.last = [np.zeros(lanes, np.int64) for _ in range(2)]
         self.refresh(lanes)
 
     def refresh(self, k: int) -> None:
         self.each[:k] = 1 + ((self.count[:k] * GAIN) >> SHIFT)
         np.cumsum(self.each[:k] << SHIFT, axis=1, out=self.cum[:k, 1:])
+        self.coarse[:k] = self.cum[:k, FINE:GROUPS:FINE]
 
     def predict(self, k: int) -> None:
-        lane, (c1, c2) = self.lane[:k], self.last
-        h1 = ((c1[:k] * 40503) & 0xFFFF) >> 5
-        h2 = ((c1[:k] * 40503 + c2[:k] * 30011) & 0xFFFF) >> 5
-        self.at = [lane * SLOTS + h1, lane * SLOTS + h2]
-        self.p = [g.take(i) for g, i in zip(self.guess, self.at)]
-        self.n = [s.take(i) for s, i in zip(self.sure, self.at)]
-        self.level = [lane * 16 + n for n in self.n]
-        q1, q2 = (o.take(i) for o, i in zip(self.odds, self.level))
-        self.m2 = q2
-        self.m1 = ((UNIT - q2) * q1) >> 10
+        c1, c2 = self.last
+        h1 = c1[:k] * 40503
+        h2 = ((h1 + c2[:k] * 30011) & 0xFFFF) >> 5
+        self.at = [self.slot0[:k] + ((h1 & 0xFFFF) >> 5), self.slot0[:k] + h2]
+        found = [t.take(i) for t, i in zip(self.slots, self.at)]
+        self.p = [x & 0xFFFF for x in found]
+        self.n = [x >> 16 for x in found]
+        self.level = [self.odds0[:k] + n for n in self.n]
+        self.q = [o.take(i) for o, i in zip(self.odds, self.level)]
+        self.m2 = self.q[1]
+        self.m1 = ((UNIT - self.m2) * self.q[0]) >> 10
         self.m0 = UNIT - self.m2 - self.m1
         self.total = self.cum[:k, GROUPS]
 
+    def _zero(self, k: int, ids: np.ndarray):
+        """Start and length of ids in order 0, and their groups."""
+        g = GROUP_OF.take(ids)
+        each = self.flat_each.take(self.group0[:k] + g)
+        return self.flat_cum.take(self.cum0[:k] + g) + (ids - LOW.take(g)) * each, each, g
+
     def place(self, k: int, ids: np.ndarray):
         """Start and length of ids (one for each block) in the mixture, whose total is UNIT * total."""
-        lane, g = self.lane[:k], GROUP_OF.take(ids)
-        each = self.each[lane, g]
-        start = self.m0 * (self.cum[lane, g] + (ids - LOW.take(g)) * each)
+        start, each, self.g = self._zero(k, ids)
         p1, p2 = self.p
-        start += self.total * (self.m1 * (ids > p1) + self.m2 * (ids > p2))
-        return start, self.m0 * each + self.total * (self.m1 * (ids == p1) + self.m2 * (ids == p2))
+        w1, w2 = self.total * self.m1, self.total * self.m2
+        start = self.m0 * start + w1 * (ids > p1) + w2 * (ids > p2)
+        return start, self.m0 * each + w1 * (ids == p1) + w2 * (ids == p2)
 
     def find(self, k: int, v: np.ndarray) -> np.ndarray:
         """The ids whose stretches hold the values ``v``."""
         p1, p2 = self.p
-        lane = self.lane[:k]
         first = p1 <= p2
         a, b = np.minimum(p1, p2), np.maximum(p1, p2)
-        ma = self.total * np.where(first, self.m1, self.m2)
-        mb = self.total * np.where(first, self.m2, self.m1)
+        w1, w2 = self.total * self.m1, self.total * self.m2
+        ma = np.where(first, w1, w2)
+        mb = w1 + w2 - ma  # with equal guesses both weights lie side by side
+        a0, each_a, _ = self._zero(k, a)
+        b0, each_b, _ = self._zero(k, b)
+        a0, b0 = self.m0 * a0, self.m0 * b0
         same = a == b
-        ma, mb = np.where(same, ma + mb, ma), np.where(same, 0, mb)
-
-        def low_and_each(x):
-            g = GROUP_OF.take(x)
-            each = self.each[lane, g]
-            low = self.m0 * (self.cum[lane, g] + (x - LOW.take(g)) * each)
-            return low, low + self.m0 * each
-
-        a0, a1 = low_and_each(a)
-        b0, b1 = low_and_each(b)
-        in_a = (v >= a0) & (v < a1 + ma)
-        w = np.where(v >= a1 + ma, v - ma, v)
-        past = w >= b1 + mb
-        in_b = ~in_a & ~same & (v >= a1 + ma) & (w >= b0) & ~past
-        u = np.where((v >= a1 + ma) & past & ~same, w - mb, w) // self.m0
-        u = np.minimum(u, self.total - 1)
-        c = (self.cum[:k, FINE:GROUPS:FINE] <= u[:, None]).sum(1)
-        inner = c[:, None] * FINE + np.arange(1, FINE)
-        g = c * FINE + (self.cum[lane[:, None], inner] <= u[:, None]).sum(1)
-        ids = LOW.take(g) + (u - self.cum[lane, g]) // self.each[lane, g]
+        a1 = a0 + self.m0 * each_a + ma + np.where(same, mb, 0)
+        beyond_a = v >= a1
+        w = np.where(beyond_a, v - ma, v)
+        b1 = b0 + self.m0 * each_b + mb
+        beyond_b = beyond_a & (w >= np.where(same, b0, b1))
+        in_a = ~beyond_a & (v >= a0)
+        in_b = beyond_a & ~beyond_b & (w >= b0)
+        u = np.minimum(np.where(beyond_b, w - mb, w) // self.m0, self.total - 1)
+        at = (self.coarse[:k] <= u[:, None]).sum(1) * FINE
+        base = self.cum0[:k]
+        step = FINE // 2
+        while step:
+            more = at + step
+            at = np.where(self.flat_cum.take(base + more) <= u, more, at)
+            step //= 2
+        ids = LOW.take(at) + (u - self.flat_cum.take(base + at)) // self.flat_each.take(self.group0[:k] + at)
         return np.where(in_a, a, np.where(in_b, b, ids))
 
     def learn(self, k: int, ids: np.ndarray, step: int) -> None:
-        for guess, sure, odds, at, p, n, level in zip(
-                self.guess, self.sure, self.odds, self.at, self.p, self.n, self.level):
+        for slots, odds, at, p, n, level, q in zip(
+                self.slots, self.odds, self.at, self.p, self.n, self.level, self.q):
             hit = p == ids
-            q = odds.take(level)
             odds[level] = q + np.where(hit, (UNIT - 24 - q) >> 4, -(q >> 4))
-            keep = hit | (n > 0)
-            guess[at] = np.where(keep, p, ids)
-            sure[at] = np.where(hit, np.minimum(n + 1, 15), np.where(keep, n >> 1, 1))
-        self.count[self.lane[:k], GROUP_OF.take(ids)] += 1
+            sure = np.where(hit, np.minimum(n + 1, 15), n >> 1)
+            slots[at] = np.where(hit | (n > 0), p | (sure << 16), ids | (1 << 16))
+        i = self.group0[:k] + self.g
+        self.flat_count[i] = self.flat_count.take(i) + 1
         c1, c2 = self.last
         c2[:k] = c1[:k]
         c1[:k] = ids
