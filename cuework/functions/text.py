@@ -281,7 +281,7 @@ def rotate_queries(own: Column, theme: Column, idx: Column, song: Column, most:
     at = F.when(n > 0, idx % F.when(n > 0, n).otherwise(1)).otherwise(0).cast("int")
     rotated = F.concat(F.slice(theme, at + 1, F.greatest(n, F.lit(1))),
                        F.slice(theme, F.lit(1), at))
-    mixed = F.concat(F.slice(own, 1, 1), F.slice(rotated, 1, 1), F.slice(own, 2, most),
+    mixed = F.concat(F.slice(own, 1, 1), F.slice(rotated, 1, 1), F.slice(own, F.lit(2), F.greatest(F.size(own), F.lit(1))),
                      F.slice(rotated, 2, 1))
     start = F.when(n == 0, own).when(F.size(own) > 0, mixed).otherwise(F.slice(rotated, 1, 3))
 

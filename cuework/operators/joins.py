@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,14 +46,15 @@ SMALL_LEXICON = 2000
 
 
 def lexicon_join(tokens: DataFrame, lex: DataFrame, key: Sequence[str], token: str = "token",
-                 pos: str = "pos", max_len: int = 24) -> DataFrame:
+                 pos: str = "pos") -> DataFrame:
     """Longest stem each token starts with; stems under 3 letters need the whole token.
 
-    For lexicons of any size: prefixes of every distinct token meet the stems in an equi-join, and
-    the tokens that have a stem are joined back. ``max_len`` must be at least the longest stem. The
-    first position of each stem per key is returned (key, stem, pos).
+    For lexicons of any size: prefixes of every distinct token, up to the length of the longest stem,
+    meet the stems in an equi-join, and the tokens that have a stem are joined back. Returned are
+    (key, stem, pos); ``pos`` numbers the stems of a key from 0 by first occurrence.
     """
     t = F.col(token)
+    max_len = lex.agg(F.max(F.length("stem"))).first()[0] or 0
     prefixes = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(
         F.length(t), F.lit(max_len)))), lambda n: F.left(t, n))
     words = tokens.filter(F.length(t) >= 2).select(t).distinct()
@@ -61,8 +62,11 @@ def lexicon_join(tokens: DataFrame, lex: DataFrame, key: Sequence[str], token: s
             .filter((F.length("stem") >= 3) | (F.col("stem") == t)))
     best = cand.join(lex.select("stem"), "stem").groupBy(token).agg(
         F.max_by("stem", F.length("stem")).alias("stem"))
-    return tokens.select(*key, pos, token).join(best, token).groupBy(*key, "stem").agg(
+    first = tokens.select(*key, pos, token).join(best, token).groupBy(*key, "stem").agg(
         F.min(pos).alias(pos))
+    # a key has at most one row for each stem here
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy(pos)) - 1
+    return first.withColumn(pos, turn.cast("int"))
 
 
 def matched_stems(df: DataFrame, lex: DataFrame, key: Sequence[str], col: str, name: str = "stems"
@@ -84,16 +88,15 @@ def matched_stems(df: DataFrame, lex: DataFrame, key: Sequence[str], col: str, n
     return df.select(*key, F.array_distinct(found).alias(name))
 
 
-def lexicon_match(df: DataFrame, lex: DataFrame, key: Sequence[str], col: str,
-                  max_len: int = 24) -> DataFrame:
-    """Stems of each text (key, stem, pos); ``pos`` orders them by first occurrence.
+def lexicon_match(df: DataFrame, lex: DataFrame, key: Sequence[str], col: str) -> DataFrame:
+    """Stems of each text (key, stem, pos); ``pos`` numbers them from 0 by first occurrence.
 
     A small lexicon is matched inside the row, without a shuffle; a large one by
-    :func:`lexicon_join`.
+    :func:`lexicon_join`, with the same result.
     """
     rows = matched_stems(df, lex, key, col)
     if rows is None:
-        return lexicon_join(text_tokens(df, key, col), lex, key, max_len=max_len)
+        return lexicon_join(text_tokens(df, key, col), lex, key)
     return tx.positions(rows, key, F.col("stems"), "pos", "stem")
 
 
@@ -104,13 +107,13 @@ def text_tokens(df: DataFrame, key: Sequence[str], col: str) -> DataFrame:
 
 
 def extract_semantics(df: DataFrame, key: Sequence[str], col: str, lex: DataFrame,
-                      names: Sequence[str] = tuple(fixed.EMOTIONS), max_len: int = 24) -> DataFrame:
+                      names: Sequence[str] = tuple(fixed.EMOTIONS)) -> DataFrame:
     """Subjects (6), phrases (5), matched stems and emotion shares of each text.
 
     ``key`` identifies a row. What is gathered per key is at most one entry per lexicon stem.
     """
     key = list(key)
-    hit = lexicon_match(df, lex, key, col, max_len).join(lex, "stem")
+    hit = lexicon_match(df, lex, key, col).join(lex, "stem")
     per = hit.groupBy(*key).agg(F.array_sort(F.collect_list(
         F.struct("pos", "stem", "subjects", "emotions", "queries"))).alias("h"))
     flat = per.select(*key, F.col("h.stem").alias("matched"),
@@ -284,26 +287,20 @@ def asof_join(left: DataFrame, right: DataFrame, key: Sequence[str], left_t: str
 # --- points in intervals ---------------------------------------------------------------------------
 
 def points_in_spans(points: DataFrame, spans: DataFrame, key: Sequence[str], t: str = "t",
-                    start: str = "start", end: str = "end", base: float = 1.0,
-                    max_span: float | None = None) -> DataFrame:
+                    start: str = "start", end: str = "end", base: float = 1.0) -> DataFrame:
     """All (point, span) pairs of a key with ``start <= t < end``.
 
     Spans meet points in an equi-join on (key, level, bucket). The bucket width doubles with the
     level and a span uses the first level at least as wide as itself, so it touches two buckets
     however long it is; points are repeated once per level in use. The levels are the only thing
-    gathered (at most 64 numbers); give ``max_span`` to skip that job.
+    gathered (at most 64 numbers).
     """
     key = list(key)
     length = F.col(end) - F.col(start)
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(length, F.lit(1e-9)) / F.lit(base)))
                        ).cast("int")
-    s = spans.filter(length > 0)
-    if max_span is not None:
-        top = max(0, next(i for i in range(64) if base * 2 ** i >= max_span))
-        s, levels = s.withColumn("_lv", F.greatest(level, F.lit(top))), [top]
-    else:
-        s = s.withColumn("_lv", level)
-        levels = sorted(r[0] for r in s.select("_lv").distinct().collect())
+    s = spans.filter(length > 0).withColumn("_lv", level)
+    levels = sorted(r[0] for r in s.select("_lv").distinct().collect())
     width = F.pow(F.lit(2.0), F.col("_lv")) * F.lit(base)
     s = s.withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / width),
                                                 F.floor(F.col(end) / width))))
@@ -543,21 +540,14 @@ def nest_children(parent: DataFrame, child: DataFrame, key: Sequence[str], order
                   hot_rows: int | None = None) -> DataFrame:
     """Parents with their children as an ordered array, in pages of at most ``page_rows``.
 
-    Nearly every parent is one row (``page`` 0); a parent with very many children continues on
+    ``order`` may be of any type that can be sorted; equal children come in any order. (key, page) is the
+    key of the result: nearly every parent is one row (``page`` 0), one with very many children continues on
     further rows instead of one array that no task could hold. Childless parents get an empty array.
     """
     key = list(key)
     rest = [c for c in child.columns if c not in key]
-    sign = -1 if descending else 1
-    c = child
-    if len(order) == 1 and not descending:
-        by = list(order)
-    else:
-        by = []
-        for i, o in enumerate(order):
-            c = c.withColumn(f"_o{i}", F.col(o) * sign)
-            by.append(f"_o{i}")
-    c = scan(split_hot(c, key, by[0], hot_rows), key, by, {"_pos": ("count", F.lit(1))})
+    c = scan(split_hot(child, key, order[0], hot_rows), key, order, {"_pos": ("count", F.lit(1))},
+             reverse=descending)
     pages = unsplit(c).groupBy(*key, F.floor(F.col("_pos") / page_rows).alias("page")).agg(
         F.array_sort(F.collect_list(F.struct("_pos", F.struct(*rest).alias("v")))).alias("_v"))
     pages = pages.select(*key, "page", F.transform("_v", lambda x: x["v"]).alias(name))

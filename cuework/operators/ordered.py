@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuework.session import checkpoint
 
@@ -26,37 +27,50 @@ def split_hot(df: DataFrame, key: Sequence[str], order: str, hot_rows: int | Non
     """Cut hot keys into chunks of their order column; without hot keys ``df`` comes back as it is.
 
     One map-side combined count per key decides (a small job of its own, so that the usual case
-    keeps the plain plan). ``order`` is the numeric leading order column; rows where it is NULL
-    form a chunk of their own in front of the others.
+    keeps the plain plan). ``order`` is the leading order column, of any type; chunks are cut at
+    approximate quantiles of its values, so they hold about as many rows each wherever the values lie.
+    Equal values share a chunk; rows where it is NULL form a chunk of their own in front of the others.
     """
     hot_rows = hot_rows or HOT_ROWS
     if hot_rows >= NO_SPLIT:
         return df
     key = list(key)
-    o = F.col(order).cast("double")
-    stats = (
-        df.groupBy(*key)
-        .agg(F.count(o).alias("_n"), F.min(o).alias("_lo"), F.max(o).alias("_hi"))
-        .filter(F.col("_n") > hot_rows)
-        .select(*key, "_lo",
-                ((F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") / hot_rows)).alias("_w"))
-    )
-    if stats.agg(F.count(F.lit(1))).first()[0] == 0:
+    o = _number(F.col(order), df.schema[order].dataType)
+    counts = df.groupBy(*key).agg(F.count(o).alias("_n")).filter(F.col("_n") > hot_rows)
+    most = counts.agg(F.max("_n")).first()[0]
+    if most is None:
         return df
-    chunk = (F.when(o.isNull(), F.lit(-1))
-             .when(F.col("_w") > 0, F.floor((o - F.col("_lo")) / F.col("_w")))
-             .otherwise(F.lit(0)))
+    # one list of borders for each hot key, as long as the hottest one needs
+    parts = -(-most // hot_rows)
+    borders = (df.join(F.broadcast(counts), key, "left_semi").groupBy(*key)
+               .agg(F.percentile_approx(o, [i / parts for i in range(1, parts)], 10_000).alias("_cut")))
+    chunk = F.when(o.isNull(), F.lit(-1)).when(F.col("_cut").isNull(), F.lit(0)).otherwise(
+        F.size(F.filter("_cut", lambda x: x < o)))
     split = (
-        df.join(F.broadcast(stats), key, "left")
+        df.join(F.broadcast(borders), key, "left")
         .withColumn(CHUNK, chunk.cast("long"))
-        .withColumn(HOT, F.col("_lo").isNotNull())
-        .drop("_lo", "_w")
+        .withColumn(HOT, F.col("_cut").isNotNull())
+        .drop("_cut")
     )
     # every scan reads its input twice (rows, and chunk ends of hot keys): store it once instead of
     # working it out again at each step
     return checkpoint(split)
 
 
+def _number(o: Column, kind: T.DataType) -> Column:
+    """A number that rises with ``o`` (not strictly): its value, or the first bytes of a string."""
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(o).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        return F.unix_micros(o.cast("timestamp")).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(o).cast("double")
+    if isinstance(kind, T.StringType):
+        first = F.hex(F.substring(F.encode(o, "utf-8"), 1, 6))
+        return F.conv(F.rpad(first, 12, "0"), 16, 10).cast("double")
+    return o.cast("double")
+
+
 def skew_limit(tables: Sequence[DataFrame], key: Sequence[str], hot_rows: int | None = None,
                growth: int = 8) -> int:
     """One look at the base tables of a composite flow instead of one per step.

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cuework.functions import fixed_values as fixed
 from cuework.functions.hashing import content_key
+from cuework.session import checkpoint
 
 
 def upsert(base: DataFrame, changes: DataFrame, key: Sequence[str], replace: Sequence[str],
@@ -80,12 +81,15 @@ def memo_enrich(df: DataFrame, key_cols: Sequence[str],
                 memo: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Add ``v`` to every row, calling ``fn`` only for keys the memo table (k, v) lacks.
 
-    ``fn`` maps batches of (k, key columns) to (k, v). Returns the rows and the new memo table.
+    ``fn`` maps batches of (k, key columns) to (k, v) and sees each key once. Of repeated memo keys the least
+    value counts. Returns the rows and the new memo table.
     """
     keyed = df.withColumn("k", content_key(*key_cols))
+    memo = memo.groupBy("k").agg(F.min("v").alias("v"))
     todo = keyed.select("k", *key_cols).dropDuplicates(["k"]).join(memo.select("k"), "k",
                                                                    "left_anti")
-    fresh = todo.mapInPandas(fn, "k string, v string")
+    # written down once: both results below read it
+    fresh = checkpoint(todo.mapInPandas(fn, "k string, v string"))
     table = memo.select("k", "v").unionByName(fresh)
     return keyed.join(table, "k", "left"), table
 

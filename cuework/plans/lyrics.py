@@ -141,6 +141,7 @@ def backfill_translations(lines: DataFrame, translator: Translator, key: Sequenc
     spark = lines.sparkSession
     memo_schema = "text string, source string, result string"
     memo = memo if memo is not None else spark.createDataFrame([], memo_schema)
+    memo = memo.groupBy("text", "source").agg(F.min("result").alias("result"))
     df = lines
     if languages is not None:
         df = df.join(languages.select(*key, F.lower(F.left("language", F.lit(2))).alias("source")),
@@ -164,7 +165,8 @@ def backfill_translations(lines: DataFrame, translator: Translator, key: Sequenc
             b["result"] = [one(t, s) for t, s in zip(b["text"], b["source"])]
             yield b[["text", "source", "result"]]
 
-    table = memo.unionByName(fresh.mapInPandas(run, memo_schema))
+    # written down once: lines and memo must hold the same answers, and each costs a call
+    table = memo.unionByName(checkpoint(fresh.mapInPandas(run, memo_schema)))
     # a failure is not remembered as an answer, so a later run tries it again
     table = table.filter("result is not null")
     out = df.withColumn("_todo", todo).join(

@@ -21,8 +21,8 @@ def assign_media(ranked: DataFrame, *blocked: DataFrame, held: DataFrame | None
 
     ``ranked``: job_id, scene_index, rank, provider, provider_ref, kind, phash, score. ``blocked``
     tables (exclusions, used, outgoing references) are removed by anti-joins first; ``held`` (job_id,
-    phash) are hashes already in use. After its main pick a scene takes up to ``extras`` more, stored
-    as scene 1000 + 10 * scene + k.
+    phash) are hashes already in use. A scene's main pick has ``slot`` 0; after it the scene takes up to
+    ``extras`` more, with slots 1, 2 and so on.
 
     The choice depends on every earlier pick of the job, so a job is walked in order; its rows
     arrive sorted and in batches and only the picks are remembered, never the candidates.
@@ -58,15 +58,15 @@ def assign_media(ranked: DataFrame, *blocked: DataFrame, held: DataFrame | None
                 if h is not None and any((h ^ o).bit_count() <= threshold for o in hashes):
                     continue
                 keep.append(n)
-                slots.append(s if taken == 0 else 1000 + 10 * s + taken - 1)
+                slots.append(taken)
                 taken += 1
                 used.add((provider, ref))
                 if h is not None:
                     hashes.add(h)
-            yield b.iloc[keep].assign(asset_index=slots)
+            yield b.iloc[keep].assign(slot=slots)
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in cols)
-    return rows.groupBy("job_id").applyInPandas(walk, f"{kinds}, asset_index long")
+    return rows.groupBy("job_id").applyInPandas(walk, f"{kinds}, slot int")
 
 
 def fit_assets(assets: DataFrame, styles: DataFrame) -> DataFrame:
@@ -77,7 +77,6 @@ def fit_assets(assets: DataFrame, styles: DataFrame) -> DataFrame:
 
 def coverage(scenes: DataFrame, picks: DataFrame) -> DataFrame:
     """Scenes of each job with and without media."""
-    got = picks.filter("asset_index < 1000").select(
-        "job_id", F.col("asset_index").alias("scene_index"), F.lit(1).alias("_hit"))
+    got = picks.filter("slot = 0").select("job_id", "scene_index", F.lit(1).alias("_hit"))
     return scenes.select("job_id", "scene_index").join(got, ["job_id", "scene_index"], "left").groupBy(
         "job_id").agg(F.count("_hit").alias("fetched_count"), F.count(F.lit(1)).alias("scene_count"))

@@ -310,11 +310,11 @@ def j14(t):
                               has_big=o.filter("o_totalprice > 450000"))
 
 
-@query("j15_nest_children", """SELECT c_custkey, 0 AS page, count(o_orderkey) AS n, coalesce(string_agg(o_orderkey, ',' ORDER BY o_orderkey DESC), '') AS newest
+@query("j15_nest_children", """SELECT c_custkey, 0 AS page, count(o_orderkey) AS n, coalesce(string_agg(o_orderkey, ',' ORDER BY o_orderdate DESC, o_orderkey DESC), '') AS newest
 FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
 def j15(t):
-    o = t("orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus")
-    out = jn.nest_children(t("customer").select("c_custkey"), o, ["c_custkey"], ["o_orderkey"],
+    o = t("orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderdate", "o_orderkey", "o_orderstatus")
+    out = jn.nest_children(t("customer").select("c_custkey"), o, ["c_custkey"], ["o_orderdate", "o_orderkey"],
                            "orders", descending=True)
     return out.select("c_custkey", F.col("page").cast("int").alias("page"), F.size("orders").cast("long").alias("n"),
                       F.array_join(F.transform("orders", lambda x: x["o_orderkey"].cast("string")), ",")

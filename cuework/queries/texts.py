@@ -606,7 +606,8 @@ def j1(t):
     return jn.lexicon_match(t("documents"), corpus_lexicon(t), DOC, "text")
 
 
-@query("j1_lexicon_match_join", f"""WITH {MATCH_SQL} SELECT doc_id, stem, CAST(pos AS INTEGER) AS pos FROM hit""")
+@query("j1_lexicon_match_join", f"""WITH {MATCH_SQL} SELECT doc_id, stem,
+  CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS pos FROM hit""")
 def j1_join(t):
     return jn.lexicon_join(jn.text_tokens(t("documents"), DOC, "text"), corpus_lexicon(t), DOC)
 

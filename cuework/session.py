@@ -14,7 +14,7 @@ def local_session(cpus: int = 8, app: str = "cuework") -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cpus))
-        .config("spark.driver.memory", "20g")
+        .config("spark.driver.memory", "10g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
@@ -33,6 +33,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def ship_package() -> None:
+    """Let functions of this package travel to the executors by value, where it is not installed there.
+
+    Call once on the driver, before the first query.
+    """
+    import cuework
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(cuework)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder the cluster names in ``spark.checkpoint.dir``.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cuework.functions import fixed_values as fixed
 from cuework.operators.aggregates import dedupe_first
 from cuework.operators.tables import upsert
+from cuework.operators.windows import thin_events
 
 # fixed values: states after which a job no longer changes
 TERMINAL = ["done", "error", "cancelled"]
@@ -45,7 +46,7 @@ def pause_sessions(events: DataFrame, key: Sequence[str], ts: str = "ts", gap_se
     ``length`` names the item's own duration in seconds: the silence is counted from its end.
     """
     gap = F.lit(float(gap_seconds)) + (F.col(length) if length else F.lit(0.0))
-    gap_text = F.concat((gap * 1000).cast("long").cast("string"), F.lit(" milliseconds"))
+    gap_text = F.concat(F.round(gap * 1000).cast("long").cast("string"), F.lit(" milliseconds"))
     item_end = F.timestamp_micros(F.unix_micros(ts) + (
         (F.col(length) if length else F.lit(0.0)) * 1e6).cast("long"))
     src = events.withWatermark(ts, delay) if events.isStreaming else events
@@ -57,7 +58,7 @@ def pause_sessions(events: DataFrame, key: Sequence[str], ts: str = "ts", gap_se
 def pause_groups(events: DataFrame, key: Sequence[str], ts: str = "ts", text: str = "text",
                  gap_seconds: float = 0.9, max_items: int = 8, delay: str = "10 minutes") -> DataFrame:
     """As above with the item cap: a closed session is cut into groups of ``max_items``."""
-    gap_text = F.lit(f"{int(gap_seconds * 1000)} milliseconds")
+    gap_text = F.lit(f"{round(gap_seconds * 1000)} milliseconds")
     src = events.withWatermark(ts, delay) if events.isStreaming else events
     closed = (src.groupBy(*key, F.session_window(ts, gap_text).alias("w"))
               .agg(F.array_sort(F.collect_list(F.struct(ts, text))).alias("_i")))
@@ -71,15 +72,19 @@ def pause_groups(events: DataFrame, key: Sequence[str], ts: str = "ts", text: st
 
 def ttl_dedupe(events: DataFrame, key: Sequence[str], ts: str = "ts",
                ttl_seconds: int = fixed.CACHE_TTL_SECONDS) -> DataFrame:
-    """First fill of a cache key; repeats within the time to live are dropped."""
+    """First fill of a cache key; repeats within the time to live are dropped, later ones fill it again."""
     if not events.isStreaming:
-        return dedupe_first(events, key, [ts])
+        at = F.unix_micros(ts) / 1e6
+        first = dedupe_first(events, [*key, ts], [ts]).withColumn("_at", at)
+        fills = thin_events(first, key, "_at", float(ttl_seconds)).withColumn("_fill", F.lit(True))
+        return first.join(fills, [*key, "_at"]).drop("_at", "_fill")
     return events.withWatermark(ts, f"{ttl_seconds} seconds").dropDuplicatesWithinWatermark(list(key))
 
 
 def upsert_stream(stream: DataFrame, spark_table: str, key: Sequence[str], replace: Sequence[str],
                   order: str, checkpoint: str):
-    """Keep a versioned table current: every micro-batch upserts its latest row per key.
+    """Keep a versioned table current: every micro-batch upserts its latest row per key, unless the table
+    already has a later one by ``order``.
 
     A batch writes version ``<batch id>`` from version ``<batch id> - 1``, so a batch repeated after
     a failure writes the same folder again instead of applying twice. A version is a whole table, so
@@ -92,6 +97,10 @@ def upsert_stream(stream: DataFrame, spark_table: str, key: Sequence[str], repla
         changes = latest.select(*key, "_r.*").select(*batch.columns)
         if batch_id > 0:
             base = spark.read.parquet(f"{spark_table}/v={batch_id - 1}")
+            # a late row does not replace a newer one
+            known = base.select(*key, F.col(order).alias("_known"))
+            changes = changes.join(known, list(key), "left").filter(
+                F.col("_known").isNull() | (F.col("_known") <= F.col(order))).select(*batch.columns)
         else:
             base = spark.createDataFrame([], batch.schema)
         new = upsert(base, changes, key, replace)

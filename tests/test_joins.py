@@ -135,7 +135,7 @@ def test_assign_media_equals_walk(spark):
     df = spark.createDataFrame(rows, "job_id string, scene_index int, rank int, provider string, provider_ref string, "
                                      "kind string, phash long, score double")
     gone = spark.createDataFrame([("j0", "p", "r1"), ("j1", "p", "r2")], "job_id string, provider string, provider_ref string")
-    got = sorted((r.job_id, r.asset_index, r.provider_ref) for r in assign_media(df, gone).collect())
+    got = sorted((r.job_id, r.scene_index, r.slot, r.provider_ref) for r in assign_media(df, gone).collect())
     want = []
     for j in range(6):
         used, hashes = set(), []
@@ -148,7 +148,7 @@ def test_assign_media_equals_walk(spark):
                     break
                 used.add(pick[4])
                 hashes.append(pick[6])
-                want.append((f"j{j}", s if n == 0 else 1000 + 10 * s + n - 1, pick[4]))
+                want.append((f"j{j}", s, n, pick[4]))
     assert got == sorted(want)
 
 
