@@ -98,3 +98,17 @@ def op10_repeated_passages(spark, sf_dir):
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
+
+
+SQL["op9_prefix_targets"] = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, CASE t WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) x(t)),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+  length('### ' || role || ':' || chr(10) || replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '### ', '\### ')
+    || '</turn>' || chr(10)) AS f FROM c),
+p AS (SELECT *, sum(f) OVER (PARTITION BY conv_id ORDER BY i) AS upto,
+  max(CASE WHEN role = 'assistant' THEN i ELSE 0 END) OVER (PARTITION BY conv_id) AS final FROM r)
+SELECT conv_id, max(n) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' OR (i = n AND final < n) THEN upto ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM p GROUP BY conv_id"""
