@@ -25,20 +25,26 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """``id, component``: the least id reachable from each id that has a link; ``links`` has columns ``u`` and ``v``.
 
+    With ``rounds`` it stops after so many: equal components are then still connected, but one may have several names.
+
     Every round is written down, so nothing is held but one table of links. Ids without a link don't appear; links
     with a null end, loops and repeated links count for nothing.
     """
     edges = stored(links.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = None
-    while True:
+    while rounds is None or rounds > 0:
         edges = stored(_star(_star(edges, True), False), "links")
+        if rounds is not None:
+            rounds -= 1
+            continue
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
         mark = now
-    roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+    named = edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
+    roots = edges.select("v").distinct().join(named, F.col("v") == F.col("id"), "left_anti")
+    return named.unionByName(roots.select(F.col("v").alias("id"), F.col("v").alias("component")))

@@ -7,13 +7,14 @@ prefix shingles, rare ones first, and skips by what is known of sets:
 * Index-level skipping: two similar sets have similar sizes and share a shingle early in their order. Lists are cut
   into blocks by set size, only equal and neighbouring blocks are joined, and within them positions bound the overlap
   that is still possible.
-* Answer-level skipping: in a first round every set meets only the first set of each of its lists. Sets that turn
-  out similar are in one component, and whatever else links them adds nothing; the second round
-  joins only sets of lists that still belong to different components. A large group of near copies thus costs a
+* Answer-level skipping: in the first rounds every set meets only two sets of each of its lists. Sets that turn
+  out similar are in one component, and whatever else links them adds nothing; later rounds
+  join only sets of lists that still belong to different components. A large group of near copies thus costs a
   number of comparisons that grows with its size, not its square.
 
-Candidates are compared by their whole sets. The order of shingles comes from counts over all documents in a
-table of fixed size (``1 << SKETCH`` buckets); any order gives the same links, a good one gives short lists.
+Candidates are compared by their whole sets. Shingles are ordered by hash, but those counted in very many prefixes
+(over all documents, the ``MOST_HOT`` most frequent ones) come last, so that passages which many documents share
+make no lists. Any order gives the same links; a good one gives short lists.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ from cuework.llm.lookup import rows_of
 from cuework.llm.scratch import stored
 from cuework.llm.textkernel import LOWER, Words, distinct_sets, mixed, slices_of
 
-SKETCH = 18
-RECORDS = "doc_id long, n int, k1 long, k2 long, bucket int, docs int"
+HOT_SETS, MOST_HOT, COUNTS = 32, 1 << 17, 2  # prefixes that make a shingle hot; shingles put last; rounds of counting
+STARS = 2  # rounds in which each set meets two of each list
+RECORDS = "doc_id long, n int, k1 long, k2 long"
 ENTRIES = "h long, k1 long, n int, pos int, early boolean"
 
 
@@ -48,26 +50,14 @@ def _sets(texts: pa.Array, k: int):
 
 
 def _records(k: int):
-    """A row for each document; after a task's documents, its shingle counts by bucket."""
+    """A row for each document."""
     def run(batches):
-        counts = np.zeros(1 << SKETCH, np.int64)
         for b in batches:
             for i, j in slices_of(b.column(1)):
                 values, at = _sets(b.column(1)[i:j], k)
-                counts += np.bincount((values >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH)
                 k1, k2 = set_keys(values, at)
-                n = j - i
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[i:j], pa.array(np.diff(at).astype(np.int32)), pa.array(k1), pa.array(k2),
-                     pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], ["doc_id", "n", "k1", "k2", "bucket", "docs"])
-        full = np.flatnonzero(counts)
-        for a in range(0, len(full), 1 << 14):
-            f = full[a:a + (1 << 14)]
-            n = len(f)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-                 pa.array(f.astype(np.int32)), pa.array(np.minimum(counts[f], 2**31 - 1).astype(np.int32))],
-                ["doc_id", "n", "k1", "k2", "bucket", "docs"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(np.diff(at).astype(np.int32)),
+                                                  pa.array(k1), pa.array(k2)], ["doc_id", "n", "k1", "k2"])
     return run
 
 
@@ -76,9 +66,9 @@ def least_overlap(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _entries(k: int, percent: int, rank: np.ndarray):
+def _entries(k: int, percent: int, hot: np.ndarray, only_shingles: bool = False):
     """Prefix shingles of each set: (shingle, set, size, position, early). A pair of similar sets shares one that is
-    early in the smaller set."""
+    early in the smaller set. ``hot``: sorted shingles that come last in the order."""
     def run(batches):
         seen: set[int] = set()
         for b in batches:
@@ -99,12 +89,16 @@ def _entries(k: int, percent: int, rank: np.ndarray):
                 owner = np.repeat(np.arange(len(n)), n)
                 live = fresh[owner]
                 values, owner = values[live], owner[live]
-                order = np.lexsort((values, rank[(values >> np.uint64(64 - SKETCH)).astype(np.int64)], owner))
+                last = hot[np.minimum(np.searchsorted(hot, values), len(hot) - 1)] == values if len(hot) else None
+                order = np.lexsort((values, owner) if last is None else (values, last, owner))
                 values, owner = values[order], owner[order]
                 first = np.searchsorted(owner, np.arange(len(n)))
                 pos = np.arange(len(values)) - first[owner]
                 take = pos < reach[owner]
                 values, owner, pos = values[take], owner[take], pos[take]
+                if only_shingles:
+                    yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], ["h"])
+                    continue
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(values.view(np.int64)), pa.array(k1[owner]), pa.array(n[owner].astype(np.int32)),
                      pa.array(pos.astype(np.int32)), pa.array(pos < early[owner])],
@@ -160,41 +154,58 @@ def similar_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
     sets are equal, otherwise linked through their id. Other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    both = stored(rows.mapInArrow(_records(shingle), RECORDS), "sets")
-    records = both.where("n IS NOT NULL").drop("bucket", "docs")
-    counts = both.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("docs").alias("docs")).toPandas()
-    rank = np.zeros(1 << SKETCH, np.uint8)  # steps of a quarter power of two; bounded by the sketch
-    rank[counts["bucket"].to_numpy(int)] = np.minimum(255, 4 * np.log2(1 + counts["docs"].to_numpy(float)))
+    records = stored(rows.mapInArrow(_records(shingle), RECORDS), "sets")
     sets = stored(records.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(
         F.min("doc_id").alias("rep")), "distinct")
-    entries = rows.where("doc_id IS NOT NULL").select("text").mapInArrow(_entries(shingle, percent, rank), ENTRIES)
-    # a set's entries are emitted once by each task that has a copy
-    entries = stored(entries.groupBy("h", "k1", "n").agg(F.min("pos").alias("pos"), F.max("early").alias("early")),
-                     "entries")
+    rows = rows.where("doc_id IS NOT NULL")
+    hot = np.zeros(0, np.uint64)
+    for _ in range(COUNTS):
+        prefixes = rows.select("text").mapInArrow(_entries(shingle, percent, hot, True), "h long")
+        top = prefixes.groupBy("h").count().where(F.col("count") >= HOT_SETS).orderBy(
+            F.desc("count"), "h").limit(MOST_HOT).toPandas()
+        hot = np.union1d(hot, top["h"].to_numpy(np.int64).view(np.uint64))
+    entries = rows.select("text").mapInArrow(_entries(shingle, percent, hot), ENTRIES).repartition("h")
     end = F.struct("n", "k1", "pos")
-    lists = entries.groupBy("h").agg(F.count("*").alias("sets"), F.min(end).alias("head"), F.max(end).alias("tail"))
-    shared = stored(entries.join(lists.where("sets > 1").drop("sets"), "h"), "lists")
+    # a set may come from several tasks; lists of one set end here
+    lists = entries.groupBy("h").agg(F.min(end).alias("head"), F.max(end).alias("tail")).where("head.k1 <> tail.k1")
+    shared = stored(entries.join(lists, "h"), "lists")
     ids = sets.select("k1", "rep")
 
     def by_rep(pairs):
         a, b = ids.select(F.col("k1").alias("a"), F.col("rep").alias("u")), ids.select(
             F.col("k1").alias("b"), F.col("rep").alias("v"))
-        return pairs.join(a, "a").join(b, "b").where("u <> v").select("u", "v").distinct()
-
-    # first round: each set with the smallest and the largest of its lists
+        return pairs.join(a, "a").join(b, "b").where("u <> v").select(
+            F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+    def with_components(lists, links):
+        """Rows of lists whose sets are in more than one component."""
+        known = components(links, rounds=2)  # enough to skip by: what it puts together is connected
+        member = ids.join(known, ids["rep"] == known["id"]).groupBy("k1").agg(F.min("component").alias("comp"))
+        left = lists.drop("comp").join(member, "k1", "left").withColumn(
+            "comp", F.coalesce(F.col("comp").cast("string"), F.concat(F.lit("k"), F.col("k1"))))
+        several = left.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        return stored(left.join(several.select("h"), "h"), "open")
+
+    # each set with two of each of its lists: the smallest and the largest, then any two
     heads = shared.select("n", "pos", F.col("k1").alias("b"), F.explode(F.array("head", "tail")).alias("e"))
     heads = heads.where("e.k1 <> b").where(_fits(F.col("n"), F.col("pos"), F.col("e.n"), F.col("e.pos"), percent))
-    first = stored(by_rep(heads.select(F.col("e.k1").alias("a"), "b").distinct()), "first")
-    rows = rows.where("doc_id IS NOT NULL")
-    links = _verified(first, rows, shingle, percent)
-    known = components(links)
-    # second round: lists whose sets are in more than one component
-    member = ids.join(known, ids["rep"] == known["id"]).select("k1", "component")
-    left = shared.drop("head", "tail").join(member.groupBy("k1").agg(F.min("component").alias("comp")), "k1", "left")
-    left = left.withColumn("comp", F.coalesce(F.col("comp").cast("string"), F.concat(F.lit("k"), F.col("k1"))))
-    open_lists = left.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-    left = stored(left.join(open_lists, "h").withColumn(
-        "block", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-np.log(percent / 100)))).cast("int")), "open")
+    done = stored(by_rep(heads.select(F.col("e.k1").alias("a"), "b").distinct()), "pairs")
+    links = _verified(done, rows, shingle, percent)
+    left = with_components(shared.drop("head", "tail"), links)
+    for turn in range(1, STARS):
+        any_two = F.struct(F.xxhash64("k1", F.lit(turn)), "k1", "n", "pos", "comp")
+        heads = left.groupBy("h").agg(F.array(F.min(any_two), F.max(any_two)).alias("e"))
+        heads = left.join(heads, "h").select("n", "pos", "comp", F.col("k1").alias("b"), F.explode("e").alias("e"))
+        heads = heads.where("e.comp <> comp").where(
+            _fits(F.col("n"), F.col("pos"), F.col("e.n"), F.col("e.pos"), percent))
+        more = by_rep(heads.select(F.col("e.k1").alias("a"), "b").distinct())
+        more = stored(more.join(done, ["u", "v"], "left_anti"), "pairs")
+        links = links.unionByName(_verified(more, rows, shingle, percent))
+        done = done.unionByName(more)
+        left = with_components(left, links)
+    # the rest: all sets of a list that are in different components, by blocks of size
+    left = left.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / F.lit(
+        float(-np.log(percent / 100)))).cast("int"))
     x = left.where("early").select("h", F.col("k1").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"),
                                    F.col("comp").alias("ac"), F.explode(F.array("block", F.col("block") + 1)).alias("block"))
     y = left.select("h", F.col("k1").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"),
@@ -202,13 +213,12 @@ def similar_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
     pairs = x.join(y, ["h", "block"]).where("ac <> bc").where(
         (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b")))).where(
         _fits(F.col("an"), F.col("ap"), F.col("bn"), F.col("bp"), percent)).select("a", "b").distinct()
-    second = by_rep(pairs)
-    done = first.select("u", "v").unionByName(first.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    more = _verified(stored(second.join(done, ["u", "v"], "left_anti"), "second"), rows, shingle, percent)
+    rest = stored(by_rep(pairs).join(done, ["u", "v"], "left_anti"), "pairs")
+    links = links.unionByName(_verified(rest, rows, shingle, percent))
     # rows of one doc_id with different sets are one document with several sets
     reps = records.where("n > 0 AND doc_id IS NOT NULL").join(sets, ["k1", "k2", "n"]).select("doc_id", "n", "rep")
     twice = reps.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    final = components(links.unionByName(more).unionByName(twice))
+    final = components(links.unionByName(twice))
     found = final.withColumnRenamed("component", "component_id")
     return records.join(found, (records["doc_id"] == found["id"]) & (records["n"] > 0), "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
