@@ -35,10 +35,28 @@ def text_or_empty(col: Column | str) -> Column:
     return F.coalesce(_c(col), F.lit(""))
 
 
+def _latin_folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Letters that compatibility decomposition turns into plain Latin: one letter, or several."""
+    one, several = {}, {}
+    for c in map(chr, (*range(0xC0, 0x250), *range(0x1D00, 0x1F00), *range(0x2C60, 0x2C80), *range(0xA720, 0xA800),
+                       *range(0xFB00, 0xFB07), *range(0xFF21, 0xFF5B))):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if plain != c and plain.isascii() and plain.isalpha():
+            (one if len(plain) == 1 else several)[c] = plain
+    return one, several
+
+
+FOLD, FOLD_SEVERAL = _latin_folds()
+
+
 def fold(col: Column | str) -> Column:
-    """Accented Latin letters to plain ones; loose combining marks dropped."""
-    return F.regexp_replace(F.translate(text_or_empty(col), fixed.FOLD_FROM, fixed.FOLD_TO),
-                            r"\p{M}", "")
+    """Accented Latin letters, ligatures and full-width letters to plain ones; loose combining marks dropped."""
+    text = text_or_empty(col)
+    wide = text
+    for c, plain in FOLD_SEVERAL.items():
+        wide = F.replace(wide, F.lit(c), F.lit(plain))
+    text = F.when(text.rlike(f"[{''.join(FOLD_SEVERAL)}]"), wide).otherwise(text)
+    return F.regexp_replace(F.translate(text, "".join(FOLD), "".join(FOLD.values())), r"\p{M}", "")
 
 
 def strip(col: Column | str) -> Column:

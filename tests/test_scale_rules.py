@@ -133,3 +133,12 @@ def test_late_rows_do_not_overwrite(spark, tmp_path):
     assert last == 2
     got = {r.k: (r.v, r.created_at) for r in spark.read.parquet(str(tmp_path / "table" / f"v={last}")).collect()}
     assert got == {"a": (2, day(1)), "b": (3, day(2)), "c": (4, day(1))}
+
+
+def test_fold_equals_decomposition(spark):
+    import unicodedata
+    words = ["Tiếng Việt", "Ａbc ﬁn ﬀ", "Ĳsland", "Ǆ", "cafe\u0301", "ẞ ø đ ł", "naïve İstanbul", "日本"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    for r in df.select("w", tx.fold("w").alias("f"), tx.normalize_title("w").alias("t")).collect():
+        latin = "".join(c for c in unicodedata.normalize("NFKD", r.w) if not unicodedata.combining(c))
+        assert r.f == latin, r
