@@ -27,17 +27,8 @@ ln AS (SELECT conv_id, turn * 1000 + unnest(range(len(ls))) AS line_index, unnes
 
 
 def stored(fn):
-    """Derived inputs stand for tables, so they are written once (per session and folder)."""
-    done: dict = {}
-
-    def get(t) -> DataFrame:
-        src = t("conversations")
-        at = (src.sparkSession.sparkContext.applicationId, src.inputFiles()[0])
-        if at not in done:
-            done.clear()
-            done[at] = checkpoint(fn(t))
-        return done[at]
-    return get
+    """Derived inputs stand for tables, so they are written down."""
+    return lambda t: checkpoint(fn(t))
 
 
 def conversation_lines(t) -> DataFrame:
@@ -147,8 +138,9 @@ def d3(t):
 def scene_inputs(t) -> dict:
     """Users as tracks: an hour of the log is a second, purchases are sung lines of document text."""
     e = t("events").withColumn("s", F.col("t") / 3600)
-    d = t("documents").select((F.col("doc_id")).alias("slot"), F.split("text", "\n")[0].alias("text"))
-    lines = of_type(e, "purchase").withColumn("slot", F.col("event_id") % 200).join(d, "slot").select(
+    d = t("documents").select((F.col("doc_id")).alias("slot"), F.translate("text", "\n", " ").alias("text"))
+    docs = F.lit(max(1, t("documents").count()))
+    lines = of_type(e, "purchase").withColumn("slot", F.col("event_id") % docs).join(d, "slot").select(
         "user_id", F.col("event_id").alias("line_index"), "text", F.lit(None).cast("string").alias("translation"),
         F.col("s").alias("start"), (F.col("s") + F.col("value") / 20).alias("end"),
         (F.col("value") < 20).alias("uncertain"))
@@ -157,7 +149,9 @@ def scene_inputs(t) -> dict:
     users = e.select("user_id").distinct()
     segs = users.select("user_id", (F.col("user_id") % 5 * 100.0).alias("segment_start"),
                         (F.col("user_id") % 5 * 100.0 + 90).alias("segment_end"))
-    tracks = users.select("user_id", F.lit("Rainy Night Train").alias("title"), F.lit(96.0).alias("tempo_bpm"),
+    names = t("part").select(F.col("p_partkey").alias("part"), F.col("p_name").alias("title"))
+    parts = F.lit(max(1, names.count()))
+    tracks = users.withColumn("part", F.col("user_id") % parts).join(names, "part").select("user_id", "title", F.lit(96.0).alias("tempo_bpm"),
                           tx.cyclic_pick(F.col("user_id"), ["automatic", "doodleMemory", "minimalDark"]).alias("style"))
     words = lines.select("user_id", "line_index", (F.col("start") + 0.1).alias("start"), (F.col("end") - 0.1).alias("end"))
     regions = of_type(e, "signup").select("user_id", F.col("s").alias("start"), (F.col("s") + 20).alias("end"))
@@ -186,7 +180,7 @@ def ranked_media(t) -> DataFrame:
     h = t("embeddings").select((F.col("vec_id")).alias("slot"), hs.gradient_hash_long("embedding").alias("phash"))
     cand = part_media(t).withColumns({
         "provider": tx.cyclic_pick(k, ["pexels", "pixabay", "unsplash"]), "query": F.col("p_type"),
-        "input_pos": k, "slot": k % 400}).join(h, "slot").select(
+        "input_pos": k, "slot": k % F.lit(max(1, h.count()))}).join(h, "slot").select(
         "*", F.explode(F.array(*map(F.lit, range(3)))).alias("scene_index"))
     sc = t("part").select("p_brand").distinct().select(
         "p_brand", F.explode(F.array(*map(F.lit, range(3)))).alias("scene_index"))
@@ -225,13 +219,14 @@ def d6(t):
     return out.select("doc_id", "line_index", F.md5("translation").alias("translation"))
 
 
-@query("d6_track_languages", """SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'ru' ELSE NULL END AS language FROM (SELECT DISTINCT conv_id FROM conversations)
-WHERE conv_id % 2 = 0""")
+@query("d6_track_languages", """SELECT conv_id, ['ru', 'el', 'he', 'ar'][conv_id % 4 + 1] AS language
+FROM (SELECT DISTINCT conv_id FROM conversations)""")
 def d6_languages(t):
-    """Even conversations moved into Cyrillic letters."""
-    c = t("conversations").filter("conv_id % 2 = 0").withColumn("text", F.translate(F.lower(F.translate(
-        F.regexp_replace("text", "[ğüşıöçĞÜŞİÖÇ]", ""), "ğüşıöç", "")), "aeinorst", "аеинорст"))
-    return lyrics.track_languages(c, CONV)
+    """Conversations moved into four scripts in turn."""
+    text = F.lower(F.regexp_replace("text", "[ğüşıöçĞÜŞİÖÇ]", ""))
+    letters = ["аеинорст", "αεινορστ", "אבגדהוזח", "ابتثجحخد"]
+    moved = [F.when(F.col("conv_id") % 4 == i, F.translate(text, "aeinorst", x)) for i, x in enumerate(letters)]
+    return lyrics.track_languages(t("conversations").withColumn("text", F.coalesce(*moved)), CONV)
 
 
 @query("d7_requery", """SELECT p_partkey, array_to_string(CASE p_partkey % 4 WHEN 0 THEN ['typed'] || list_filter(string_split(p_name, ' '), lambda x: x <> 'typed')

@@ -323,12 +323,12 @@ def j15(t):
 
 # --- unions --------------------------------------------------------------------------------------------------
 
-@query("u1_union_providers", """WITH a AS (SELECT user_id, event_id, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS p, event_type
-  FROM events WHERE event_type IN ('view', 'click', 'error') AND NOT (event_type = 'click' AND event_id >= 500))
+@query("u1_union_providers", """WITH a AS (SELECT user_id, event_id, list_position(['view', 'click', 'error', 'purchase', 'signup'], event_type) AS p, event_type
+  FROM events WHERE NOT (event_type = 'click' AND event_id >= 500))
 SELECT user_id, event_id % 7 AS slot, event_type AS source, event_id FROM a QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 7 ORDER BY p, event_id) = 1""")
 def u1(t):
     e = t("events").select("user_id", (F.col("event_id") % 7).alias("slot"), "event_id", "event_type")
-    parts = [(n, of_type(e, n).drop("event_type")) for n in ("view", "click", "error")]
+    parts = [(n, of_type(e, n).drop("event_type")) for n in ("view", "click", "error", "purchase", "signup")]
     broke = t("events").filter("event_type = 'click'").select(
         F.lit("click").alias("provider"), F.lit(500).alias("failed_at")).distinct()
     out = rk.union_providers(parts, ["user_id", "slot"], ["event_id"], broke)
