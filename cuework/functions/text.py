@@ -315,8 +315,10 @@ def cyclic_pick(idx: Column, values: Sequence[str]) -> Column:
 
 
 def hashed_pick(cols: Sequence[Column | str], n: int) -> Column:
-    """Repeatable choice of 0..n-1 from the given columns."""
-    return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
+    """Repeatable choice of 0..n-1 from the given columns: the first 8 hex digits of the MD5 of their values, joined
+    by a bar, modulo n. Null values are left out."""
+    digits = F.substring(F.md5(F.concat_ws("|", *[_c(c).cast("string") for c in cols])), 1, 8)
+    return (F.conv(digits, 16, 10).cast("long") % n).cast("int")
 
 
 def wrap_text(col: Column | str, max_width: int) -> Column:

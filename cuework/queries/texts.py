@@ -412,7 +412,8 @@ def fn26(t):
                               .alias("band"))
 
 
-@query("fn27_hashed_pick")
+@query("fn27_hashed_pick", f"""SELECT event_id, [{', '.join(f"'{n}'" for n, _ in fixed.TRANSITIONS['archiveCollage'])}][
+  CAST(('0x' || md5(user_id || '|' || event_id)[1:8])::BIGINT % {len(fixed.TRANSITIONS['archiveCollage'])} AS INTEGER) + 1] AS transition FROM events""")
 def fn27(t):
     names = [n for n, _ in fixed.TRANSITIONS["archiveCollage"]]
     pick = tx.hashed_pick(["user_id", "event_id"], len(names))
