@@ -220,8 +220,45 @@ def script_flags(col: Column | str) -> Column:
                     (arabic | hebrew).alias("is_rtl"))
 
 
+def _compositions() -> list[tuple[str, str, str]]:
+    """(mark, letters, the same letters with the mark) of all Latin letters made of a letter and one mark."""
+    out: dict[str, tuple[list[str], list[str]]] = {}
+    for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))):
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            base, mark = (chr(int(x, 16)) for x in parts)
+            if unicodedata.normalize("NFC", base + mark) == c:
+                letters, made = out.setdefault(mark, ([], []))
+                letters.append(base)
+                made.append(c)
+    return [(m, "".join(a), "".join(b)) for m, (a, b) in sorted(out.items())]
+
+
+COMPOSITIONS = _compositions()
+
+
+def compose(col: Column | str) -> Column:
+    """Latin letters that are followed by combining marks become one letter; only texts with a mark are touched."""
+    text = text_or_empty(col)
+    # two rounds, for letters with two marks in any order
+    table = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(row, ("mark", "letters", "made"))])
+                      for row in COMPOSITIONS * 2])
+
+    def join(t: Column, row: Column) -> Column:
+        def end(p: Column, i: Column, last: Column) -> Column:
+            c = F.right(p, F.lit(1))
+            made = F.call_function("translate", c, row["letters"], row["made"])
+            return F.when(i == last, p).when(made != c, F.concat(F.left(p, F.length(p) - 1), made)).otherwise(
+                F.concat(p, row["mark"]))
+        parts = let(F.split(t, row["mark"], -1), lambda ps: F.array_join(
+            F.transform(ps, lambda p, i: end(p, i, F.size(ps) - 1)), ""))
+        return F.when(F.contains(t, row["mark"]), parts).otherwise(t)
+
+    return F.when(text.rlike(r"\p{M}"), F.aggregate(table, text, join)).otherwise(text)
+
+
 def semantic_norm(col: Column | str) -> Column:
-    return F.regexp_replace(F.lower(text_or_empty(col)), r"[^\p{L}\p{N}_\s']", " ")
+    return F.regexp_replace(F.lower(compose(col)), r"[^\p{L}\p{N}_\s']", " ")
 
 
 def token_set(col: Column | str) -> Column:

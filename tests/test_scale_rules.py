@@ -142,3 +142,15 @@ def test_fold_equals_decomposition(spark):
     for r in df.select("w", tx.fold("w").alias("f"), tx.normalize_title("w").alias("t")).collect():
         latin = "".join(c for c in unicodedata.normalize("NFKD", r.w) if not unicodedata.combining(c))
         assert r.f == latin, r
+
+
+def test_compose(spark):
+    import unicodedata
+    words = ["yağmur", "Tiếng Việt", "café crème", "", None, "e\u0301\u0301 \u0301x", "日本", "a\u0323\u0302"]
+    rows = [(unicodedata.normalize("NFD", w) if w else w,) for w in words]
+    df = spark.createDataFrame(rows, "w string")
+    for r in df.select("w", tx.compose("w").alias("c"), tx.semantic_norm("w").alias("n")).collect():
+        assert r.c == unicodedata.normalize("NFC", r.w or ""), r
+    lex = spark.createDataFrame([("yağmur",)], "stem string")
+    docs = spark.createDataFrame([(1, unicodedata.normalize("NFD", "bir yağmurlu gün"))], "k int, text string")
+    assert [r.stem for r in J.lexicon_match(docs, lex, ["k"], "text").collect()] == ["yağmur"]
