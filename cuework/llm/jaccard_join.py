@@ -166,8 +166,10 @@ def similar_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
         hot = np.union1d(hot, top["h"].to_numpy(np.int64).view(np.uint64))
     entries = rows.select("text").mapInArrow(_entries(shingle, percent, hot), ENTRIES).repartition("h")
     end = F.struct("n", "k1", "pos")
-    # a set may come from several tasks; lists of one set end here
-    lists = entries.groupBy("h").agg(F.min(end).alias("head"), F.max(end).alias("tail")).where("head.k1 <> tail.k1")
+    # a set may come from several tasks; lists of one set end here. All columns are named, so that Spark sees the same
+    # shuffle on both sides of the join and makes it once
+    lists = entries.groupBy("h").agg(F.min(end).alias("head"), F.max(end).alias("tail"), F.max("early").alias("any")).where(
+        "head.k1 <> tail.k1 AND any IS NOT NULL").drop("any")
     shared = stored(entries.join(lists, "h"), "lists")
     ids = sets.select("k1", "rep")
 
