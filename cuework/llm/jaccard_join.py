@@ -7,14 +7,15 @@ prefix shingles, rare ones first, and skips by what is known of sets:
 * Index-level skipping: two similar sets have similar sizes and share a shingle early in their order. Lists are cut
   into blocks by set size, only equal and neighbouring blocks are joined, and within them positions bound the overlap
   that is still possible.
-* Answer-level skipping: in the first rounds every set meets only two sets of each of its lists. Sets that turn
+* Answer-level skipping: in the first rounds every set meets only a few sets of each of its lists. Sets that turn
   out similar are in one component, and whatever else links them adds nothing; later rounds
   join only sets of lists that still belong to different components. A large group of near copies thus costs a
   number of comparisons that grows with its size, not its square.
 
-Candidates are compared by their whole sets. Shingles are ordered by hash, but those counted in very many prefixes
-(over all documents, the ``MOST_HOT`` most frequent ones) come last, so that passages which many documents share
-make no lists. Any order gives the same links; a good one gives short lists.
+Candidates are compared by their whole sets. Shingles are ordered from rare to frequent: by counts over all documents
+in a table of ``1 << SKETCH`` buckets, and those found in very many prefixes so ordered (the ``MOST_HOT`` most frequent
+ones, counted exactly) last, so that what many documents share makes no lists. Any order gives the same links; a
+good one gives short lists.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ from cuework.llm.lookup import rows_of
 from cuework.llm.scratch import stored
 from cuework.llm.textkernel import LOWER, Words, distinct_sets, mixed, slices_of
 
-HOT_SETS, MOST_HOT, COUNTS = 32, 1 << 17, 2  # prefixes that make a shingle hot; shingles put last; rounds of counting
-STARS = 2  # rounds in which each set meets two of each list
-RECORDS = "doc_id long, n int, k1 long, k2 long"
+SKETCH = 18
+HOT_SETS, MOST_HOT = 32, 1 << 17  # prefixes that make a shingle hot; the most that are put last
+STARS, HEADS = 3, 12  # rounds in which each set meets some of each list, and how many
+RECORDS = "doc_id long, n int, k1 long, k2 long, bucket int, docs int"
 ENTRIES = "h long, k1 long, n int, pos int, early boolean"
 
 
@@ -50,14 +52,25 @@ def _sets(texts: pa.Array, k: int):
 
 
 def _records(k: int):
-    """A row for each document."""
+    """A row for each document; after a task's documents, its shingle counts by bucket."""
+    names = ["doc_id", "n", "k1", "k2", "bucket", "docs"]
+
     def run(batches):
+        counts = np.zeros(1 << SKETCH, np.int64)
         for b in batches:
             for i, j in slices_of(b.column(1)):
                 values, at = _sets(b.column(1)[i:j], k)
+                counts += np.bincount((values >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH)
                 k1, k2 = set_keys(values, at)
+                none = pa.nulls(j - i, pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(np.diff(at).astype(np.int32)),
-                                                  pa.array(k1), pa.array(k2)], ["doc_id", "n", "k1", "k2"])
+                                                  pa.array(k1), pa.array(k2), none, none], names)
+        full = np.flatnonzero(counts)
+        for a in range(0, len(full), 1 << 14):
+            f = full[a:a + (1 << 14)]
+            none, short = pa.nulls(len(f), pa.int64()), pa.nulls(len(f), pa.int32())
+            docs = np.minimum(counts[f], 2**31 - 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([none, short, none, none, pa.array(f.astype(np.int32)), pa.array(docs)], names)
     return run
 
 
@@ -66,9 +79,9 @@ def least_overlap(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _entries(k: int, percent: int, hot: np.ndarray, only_shingles: bool = False):
+def _entries(k: int, percent: int, rank: np.ndarray, hot: np.ndarray, only_shingles: bool = False):
     """Prefix shingles of each set: (shingle, set, size, position, early). A pair of similar sets shares one that is
-    early in the smaller set. ``hot``: sorted shingles that come last in the order."""
+    early in the smaller set. ``rank``: order of the buckets; ``hot``: sorted shingles that come last of all."""
     def run(batches):
         seen: set[int] = set()
         for b in batches:
@@ -89,8 +102,10 @@ def _entries(k: int, percent: int, hot: np.ndarray, only_shingles: bool = False)
                 owner = np.repeat(np.arange(len(n)), n)
                 live = fresh[owner]
                 values, owner = values[live], owner[live]
-                last = hot[np.minimum(np.searchsorted(hot, values), len(hot) - 1)] == values if len(hot) else None
-                order = np.lexsort((values, owner) if last is None else (values, last, owner))
+                place = rank[(values >> np.uint64(64 - SKETCH)).astype(np.int64)].astype(np.int16)
+                if len(hot):
+                    place[hot[np.minimum(np.searchsorted(hot, values), len(hot) - 1)] == values] += 256
+                order = np.lexsort((values, place, owner))
                 values, owner = values[order], owner[order]
                 first = np.searchsorted(owner, np.arange(len(n)))
                 pos = np.arange(len(values)) - first[owner]
@@ -154,17 +169,19 @@ def similar_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
     sets are equal, otherwise linked through their id. Other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    records = stored(rows.mapInArrow(_records(shingle), RECORDS), "sets")
+    both = stored(rows.mapInArrow(_records(shingle), RECORDS), "sets")
+    records = both.where("n IS NOT NULL").drop("bucket", "docs")
+    counts = both.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("docs").alias("docs")).toPandas()
+    rank = np.zeros(1 << SKETCH, np.uint8)  # steps of a quarter power of two
+    rank[counts["bucket"].to_numpy(int)] = np.minimum(255, 4 * np.log2(1 + counts["docs"].to_numpy(float)))
     sets = stored(records.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(
         F.min("doc_id").alias("rep")), "distinct")
     rows = rows.where("doc_id IS NOT NULL")
-    hot = np.zeros(0, np.uint64)
-    for _ in range(COUNTS):
-        prefixes = rows.select("text").mapInArrow(_entries(shingle, percent, hot, True), "h long")
-        top = prefixes.groupBy("h").count().where(F.col("count") >= HOT_SETS).orderBy(
-            F.desc("count"), "h").limit(MOST_HOT).toPandas()
-        hot = np.union1d(hot, top["h"].to_numpy(np.int64).view(np.uint64))
-    entries = rows.select("text").mapInArrow(_entries(shingle, percent, hot), ENTRIES).repartition("h")
+    prefixes = rows.select("text").mapInArrow(_entries(shingle, percent, rank, np.zeros(0, np.uint64), True), "h long")
+    top = prefixes.groupBy("h").count().where(F.col("count") >= HOT_SETS).orderBy(
+        F.desc("count"), "h").limit(MOST_HOT).toPandas()
+    hot = np.sort(top["h"].to_numpy(np.int64).view(np.uint64))
+    entries = rows.select("text").mapInArrow(_entries(shingle, percent, rank, hot), ENTRIES).repartition("h")
     end = F.struct("n", "k1", "pos")
     # a set may come from several tasks; lists of one set end here. All columns are named, so that Spark sees the same
     # shuffle on both sides of the join and makes it once
@@ -188,15 +205,15 @@ def similar_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
         several = left.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
         return stored(left.join(several.select("h"), "h"), "open")
 
-    # each set with two of each of its lists: the smallest and the largest, then any two
+    # each set with a few of each of its lists: the smallest and the largest, then others by hash, the same in all lists
     heads = shared.select("n", "pos", F.col("k1").alias("b"), F.explode(F.array("head", "tail")).alias("e"))
     heads = heads.where("e.k1 <> b").where(_fits(F.col("n"), F.col("pos"), F.col("e.n"), F.col("e.pos"), percent))
     done = stored(by_rep(heads.select(F.col("e.k1").alias("a"), "b").distinct()), "pairs")
     links = _verified(done, rows, shingle, percent)
     left = with_components(shared.drop("head", "tail"), links)
     for turn in range(1, STARS):
-        any_two = F.struct(F.xxhash64("k1", F.lit(turn)), "k1", "n", "pos", "comp")
-        heads = left.groupBy("h").agg(F.array(F.min(any_two), F.max(any_two)).alias("e"))
+        some = [F.struct(F.xxhash64("k1", F.lit(turn * HEADS + i)), "k1", "n", "pos", "comp") for i in range(HEADS // 2)]
+        heads = left.groupBy("h").agg(F.array(*[f(x) for x in some for f in (F.min, F.max)]).alias("e"))
         heads = left.join(heads, "h").select("n", "pos", "comp", F.col("k1").alias("b"), F.explode("e").alias("e"))
         heads = heads.where("e.comp <> comp").where(
             _fits(F.col("n"), F.col("pos"), F.col("e.n"), F.col("e.pos"), percent))
