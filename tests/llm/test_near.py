@@ -185,3 +185,24 @@ def test_pipeline(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(set(r.doc_id for r in packed)) == sorted(set(mixed))
     assert sum(1 for r in packed if r.start == 0) == len(mixed)
+
+
+def test_passages_with_a_phrase_that_stands_twice():
+    rng = np.random.default_rng(4)
+    new = lambda n: rng.integers(0, 1 << 60, n).astype(np.uint64)
+
+    def shingles(w):
+        return textkernel.Words(pa.array([" ".join(map(str, w.tolist()))])).shingles(5)[0]
+    title = new(8)
+    passage = np.concatenate([new(26), title, new(26)])
+    one, two = shingles(np.concatenate([title, new(100), passage])), shingles(passage)
+    assert compact_windows.passages(one, two, 46, 80) == [(108, 164, 0, 56, 1.0)]
+    assert compact_windows.passages(two, one, 46, 80) == [(0, 56, 108, 164, 1.0)]
+    # an insertion, and the passage in changed order of parts
+    changed = np.concatenate([new(9), passage[:30], new(1), passage[30:], new(9)])
+    assert [p[:4] for p in compact_windows.passages(one, shingles(changed), 46, 80)] == [(108, 164, 9, 66)]
+    p, q = new(70), new(80)
+    got = compact_windows.passages(shingles(np.concatenate([p, q])), shingles(np.concatenate([q, p])), 46, 80)
+    assert [x[:4] for x in got] == [(70, 146, 0, 76), (0, 66, 80, 146)]
+    same = shingles(np.zeros(20_000, np.uint64))
+    assert compact_windows.passages(same, same, 46, 80) == [(0, 19996, 0, 19996, 1.0)]
