@@ -206,3 +206,20 @@ def test_passages_with_a_phrase_that_stands_twice():
     assert [x[:4] for x in got] == [(70, 146, 0, 76), (0, 66, 80, 146)]
     same = shingles(np.zeros(20_000, np.uint64))
     assert compact_windows.passages(same, same, 46, 80) == [(0, 19996, 0, 19996, 1.0)]
+
+
+def test_passage_that_the_first_of_its_list_has_in_part(spark):
+    rng = random.Random(12)
+    text = lambda n: [word(rng) for _ in range(n)]
+    rows = []
+    for i in range(0, 60, 3):
+        passage = text(60)
+        cut = passage[:40] if i % 2 else passage[-40:]
+        rows += [(i, text(30) + cut + text(30)), (i + 1, text(20) + passage + text(30)), (i + 2, text(25) + passage + text(9))]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    got = {(r.doc_id, r.with_doc_id) for r in compact_windows.repeated_passages(frame(spark, rows)).collect()}
+    assert got == {(i + 2, i + 1) for i in range(0, 60, 3)}
+    # two texts under one doc_id: each is compared
+    a, b = " ".join(text(60)), " ".join(text(60))
+    got = compact_windows.repeated_passages(frame(spark, [(1, a), (1, b), (2, a), (3, b)])).collect()
+    assert {(r.doc_id, r.with_doc_id) for r in got} == {(2, 1), (3, 1)}
