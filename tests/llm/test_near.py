@@ -223,3 +223,21 @@ def test_passage_that_the_first_of_its_list_has_in_part(spark):
     a, b = " ".join(text(60)), " ".join(text(60))
     got = compact_windows.repeated_passages(frame(spark, [(1, a), (1, b), (2, a), (3, b)])).collect()
     assert {(r.doc_id, r.with_doc_id) for r in got} == {(2, 1), (3, 1)}
+
+
+def test_recall_near_the_threshold(spark):
+    rng = random.Random(21)
+    text = lambda n: [word(rng) for _ in range(n)]
+    rows, want = [], set()
+    for i in range(0, 600, 2):
+        one = text(rng.randint(50, 62))
+        two, at = list(one), rng.randrange(5, len(one) - 5)
+        two[at:at + rng.randint(0, 1)] = text(rng.randint(0, 1))
+        pair = [text(rng.randint(0, 40)) + x + text(rng.randint(0, 40)) for x in (one, two)]
+        rows += [(i, " ".join(pair[0])), (i + 1, " ".join(pair[1]))]
+        a, b = (textkernel.Words(pa.array([" ".join(x)])).shingles(5)[0] for x in pair)
+        if compact_windows.passages(a, b, 46, 80):
+            want.add((i + 1, i))
+    got = {(r.doc_id, r.with_doc_id) for r in compact_windows.repeated_passages(frame(spark, rows)).collect()}
+    print("recall", len(got & want), "of", len(want))
+    assert len(want) > 200 and got <= want and len(got) >= 0.99 * len(want)
