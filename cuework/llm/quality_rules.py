@@ -3,9 +3,9 @@
 Words, word pairs and word endings are hashed into a fixed number of buckets. Two multinomials are counted over them: one from
 all documents (the raw corpus), one from trusted documents. A document's score is the mean over its n-grams of
 ``log(target / raw)``; every document is kept or not by comparing that score with one fixed threshold, after
-base rules on its length and on repeated passages. Everything runs inside the JVM and texts never move: the only
-shuffle is the sum per bucket, pre-aggregated in each task, and the table of ratios has as many numbers as there
-are buckets, whatever the size of the corpus.
+base rules on its length and on repeated passages. Everything runs inside the JVM: texts move once, to meet the ids of
+all trusted documents; sums per bucket are pre-aggregated in each task, and the table of ratios has as many numbers as
+there are buckets, whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -79,17 +79,13 @@ def grams(words: Column, hashes: Column, buckets: int) -> Column:
                     F.coalesce(pairs, F.array().cast("array<int>")), ends)
 
 
-def trusted_ids(labels: DataFrame, most: int = 20_000) -> DataFrame:
-    """Ids of documents labelled good: all of them up to ``most``, then those first by a hash of the id.
-
-    The bound is a parameter because the ids are broadcast.
-    """
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_trusted"))
-    return good.distinct().orderBy(F.xxhash64("_trusted"), "_trusted").limit(most)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all documents labelled good."""
+    return labels.where("quality = 1 AND doc_id IS NOT NULL").select(
+        F.col("doc_id").cast("long").alias("_trusted")).distinct()
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 16, smoothing: float = 10.0,
-               most_trusted: int = 20_000) -> list[float]:
+def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 16, smoothing: float = 10.0) -> list[float]:
     """``log(target / raw)`` by bucket: a list of ``buckets`` numbers, all 0 where nothing is trusted.
 
     ``smoothing`` is added to the count of each bucket and to the count that the raw model expects there, so that
@@ -97,9 +93,10 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 16, smoot
     """
     if buckets & (buckets - 1):
         raise ValueError("buckets must be a power of two")
-    ids = F.broadcast(trusted_ids(labels, most_trusted))
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), words_of(F.col("text")).alias("_w"))
-    rows = rows.join(ids, rows["_id"] == ids["_trusted"], "left")
+    # a plain join: ids are as many as the corpus has good documents; words are made after it
+    ids = trusted_ids(labels)
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
+    rows = rows.join(ids, rows["_id"] == ids["_trusted"], "left").withColumn("_w", words_of(F.col("text")))
     rows = rows.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
     counts = rows.select(F.col("_trusted").isNotNull().alias("t"),
                          F.explode(grams(F.col("_w"), F.col("_h"), buckets)).alias("b"))
@@ -112,8 +109,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 16, smoot
     return out
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = -0.1, buckets: int = 1 << 16,
-          most_trusted: int = 20_000) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = -0.1, buckets: int = 1 << 16) -> DataFrame:
     """Rows of ``docs`` with the base measures, ``score`` and ``kept``.
 
     ``score``: mean log ratio of the document's n-grams, 0 for a text without words. ``kept``: the base rules hold
@@ -122,7 +118,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = -0.1, buckets:
     those named like the measures are replaced.
     """
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
-    ratios = log_ratios(docs, labels, buckets, most_trusted=most_trusted)
+    ratios = log_ratios(docs, labels, buckets)
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
     rows = base_rules(docs.drop(*new, "_w", "_h", "_win", "_lines", "_g"))
     rows = rows.withColumn("_g", grams(F.col("_w"), F.col("_h"), buckets))

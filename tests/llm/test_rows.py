@@ -201,3 +201,11 @@ def test_classifier(spark):
     prior = pu_classifier.classify(docs, spark.createDataFrame([], LABELS)).collect()
     assert {r.score for r in prior} == {0.5}
     assert pu_classifier.classify(spark.createDataFrame([], DOCS), labels).count() == 0
+
+
+def test_all_trusted_documents_count(spark):
+    ids = spark.range(20_500)
+    docs = ids.select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), "id").alias("text"))
+    labels = ids.select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    # everything is trusted, so both multinomials are the same
+    assert set(quality_rules.log_ratios(docs, labels.union(labels))) == {0.0}
