@@ -209,3 +209,14 @@ def test_all_trusted_documents_count(spark):
     labels = ids.select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
     # everything is trusted, so both multinomials are the same
     assert set(quality_rules.log_ratios(docs, labels.union(labels))) == {0.0}
+
+
+def test_later_copies_follow_the_schedule(spark):
+    # the light source, early, is wanted three times: its last copies are due long before the end of a linear walk
+    docs = docs_of(spark, ["w " * 10] * 40, ["a"] * 20 + ["b"] * 20)
+    got = [r.doc_id for r in mixing.curriculum(docs, weights=(3, 1), most=1.5, schedules=(
+        ((0.0, 2.0), (1.0, 0.0)), ((0.0, 1.0), (1.0, 1.0)))).collect()]
+    a, b = [i for i, d in enumerate(got) if d < 20], [i for i, d in enumerate(got) if d >= 20]
+    assert len(a) == 30 and len(b) == 10
+    # two thirds of a are due when 1 - sqrt(1/3) = 0.42 of b is; its 29th copy at 1 - sqrt(1/15) = 0.74, its 30th at 0.82
+    assert [sum(x < a[n] for x in b) for n in (20, 28, 29)] == [5, 8, 9]
