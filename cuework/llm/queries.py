@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuework.llm import (chat, compact_windows, jaccard_join, lz_fingerprint, mixing, packing, pu_classifier,
-                         quality_rules, secrets, token_files)
+                         quality_rules, secrets, token_counts, token_files)
 from cuework.llm.scratch import scratch_path, stored
 
 QUERIES: dict = {}
@@ -95,6 +95,13 @@ def op10_repeated_passages(spark, sf_dir):
     return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_count_tokens(spark, sf_dir):
+    from public_tokenizers import path
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
