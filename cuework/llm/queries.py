@@ -6,8 +6,8 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuework.llm import (chat, compact_windows, jaccard_join, lz_fingerprint, mixing, packing, pu_classifier,
-                         quality_rules, secrets, token_counts, token_files)
+from cuework.llm import (chat, compact_windows, hard_negatives, jaccard_join, lz_fingerprint, mixing, packing,
+                         pu_classifier, quality_rules, secrets, token_counts, token_files, whitening)
 from cuework.llm.scratch import scratch_path, stored
 
 QUERIES: dict = {}
@@ -95,6 +95,17 @@ def op10_repeated_passages(spark, sf_dir):
     return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_lanczos_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_slot_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 @query
 def op13_count_tokens(spark, sf_dir):
     from public_tokenizers import path
