@@ -41,15 +41,15 @@ def extract_video_id(col: Column | str) -> Column:
 
 def classify_message(col: Column | str, rules: Sequence[tuple] = tuple(fixed.MESSAGE_RULES),
                      fallback: tuple[str, str] = fixed.MESSAGE_FALLBACK) -> Column:
-    """Struct (code, text) by the first rule with a phrase that occurs in the message."""
+    """Struct (code, text) by the first rule with a group of phrases that all occur in the message."""
     m = F.lower(text_or_empty(col))
     code, text = F.lit(fallback[0]), F.concat(F.lit(fallback[1]), text_or_empty(col))
-    for rule_code, rule_text, phrases in reversed(list(rules)):
+    for rule_code, rule_text, groups in reversed(list(rules)):
         hit = F.lit(False)
-        for phrase in phrases:
+        for group in groups:
             part = F.lit(True)
-            for p in phrase.split("+"):
-                part = part & m.contains(p)
+            for phrase in group:
+                part = part & m.contains(phrase)
             hit = hit | part
         code = F.when(hit, rule_code).otherwise(code)
         text = F.when(hit, rule_text).otherwise(text)

@@ -28,18 +28,11 @@ LEXICON_SCHEMA = ("stem string, subjects array<string>, emotions array<struct<na
 
 # --- lexicon -----------------------------------------------------------------------------------
 
-def lexicon(spark: SparkSession, table: str = fixed.LEXICON) -> DataFrame:
-    """The lexicon text table as a DataFrame (a local relation, so its size is known)."""
-    rows = []
-    for line in table.strip().splitlines():
-        if not line or line.startswith("#"):
-            continue
-        stem, subjects, emotions, queries = [p.strip() for p in line.split("|")]
-        pairs = [e.strip().rsplit(" ", 1) for e in emotions.split(",") if e.strip()]
-        rows.append((stem, [s.strip() for s in subjects.split(",") if s.strip()],
-                     [(n, float(w)) for n, w in pairs],
-                     [q.strip() for q in queries.split(";") if q.strip()]))
-    return spark.createDataFrame(rows, LEXICON_SCHEMA)
+def lexicon(spark: SparkSession, rows: Sequence[tuple] = tuple(fixed.LEXICON)) -> DataFrame:
+    """The lexicon as a DataFrame (a local relation, so its size is known)."""
+    return spark.createDataFrame(
+        [(stem, subjects, [(n, float(w)) for n, w in emotions.items()], queries)
+         for stem, subjects, emotions, queries in rows], LEXICON_SCHEMA)
 
 
 SMALL_LEXICON = 2000

@@ -566,13 +566,13 @@ def f13(t):
 # --- lexicon ------------------------------------------------------------------------------------------------------
 
 # stems of the invented prose, nested ones included, next to the real lexicon
-CORPUS = """
-the | article | calm 1 | the phrase; shared phrase
-th | prefix | hope 1 | th phrase
-and | link, article | joy 1, calm 1 | and phrase; shared phrase
-on | place | longing 1 | on phrase
-ion | ending | energy 2 | ion phrase
-"""
+CORPUS = [
+    ("the", ["article"], {"calm": 1}, ["the phrase", "shared phrase"]),
+    ("th", ["prefix"], {"hope": 1}, ["th phrase"]),
+    ("and", ["link", "article"], {"joy": 1, "calm": 1}, ["and phrase", "shared phrase"]),
+    ("on", ["place"], {"longing": 1}, ["on phrase"]),
+    ("ion", ["ending"], {"energy": 2}, ["ion phrase"]),
+]
 
 
 def corpus_lexicon(t):
@@ -580,17 +580,12 @@ def corpus_lexicon(t):
     return jn.lexicon(spark, fixed.LEXICON + CORPUS)
 
 
-def lexicon_rows() -> list[list[str]]:
-    rows = (fixed.LEXICON + CORPUS).strip().splitlines()
-    return [[p.strip() for p in x.split("|")] for x in rows if x and not x.startswith("#")]
-
-
-LEX_SQL = "lex(stem) AS (VALUES " + ", ".join(f"({quote(x[0])})" for x in lexicon_rows()) + ")"
+LEX_ROWS = fixed.LEXICON + CORPUS
+LEX_SQL = "lex(stem) AS (VALUES " + values([(x[0],) for x in LEX_ROWS]) + ")"
 EMO_SQL = "emo(stem, name, w) AS (VALUES " + values([
-    (x[0], e.strip().split(" ")[0], int(e.strip().split(" ")[1])) for x in lexicon_rows()
-    for e in x[2].split(",")]) + ")"
+    (stem, name, w) for stem, _, emotions, _ in LEX_ROWS for name, w in emotions.items()]) + ")"
 SUBJ_SQL = "subj(stem, subject, sp) AS (VALUES " + values([
-    (x[0], s.strip(), i) for x in lexicon_rows() for i, s in enumerate(x[1].split(","))]) + ")"
+    (stem, s, i) for stem, subjects, _, _ in LEX_ROWS for i, s in enumerate(subjects)]) + ")"
 MATCH_SQL = f"""{LEX_SQL}, w AS (SELECT doc_id, {sql_words(SEM_NORM_SQL)} AS ws FROM documents),
 u AS (SELECT doc_id, unnest(ws) AS token, unnest(range(len(ws))) AS i FROM w),
 d AS (SELECT doc_id, token, min(i) AS i FROM u GROUP BY ALL),
