@@ -26,12 +26,16 @@ from cuework.llm.textkernel import column_bytes, slices_of
 
 # fixed values: how a byte-level vocabulary cuts texts into pre-tokens
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: A space before another character always begins a pre-token, so texts may be cut there.
+WORD = re.compile(r" (?=\S)")
+NOT_A_WORD = re.compile(r" (?!\S)")
 #: Later characters may be of another class in the library's Unicode tables; it then cuts the text itself.
 UNSURE = re.compile("[^\0-՗]")
 NONE = np.int32(2**31 - 1)
 MOST_PIECES = 500_000  # remembered by a worker; the memory is emptied when full, which changes speed only
+LONGEST = 64  # characters of what is remembered
 GROUP_BYTES = 1 << 20  # of new pre-tokens merged together
-AT_ONCE = 1 << 18  # pre-tokens of one text held as strings at a time
+AT_ONCE = 1 << 20  # characters, or pre-tokens, of one text that are cut at a time
 
 
 def byte_symbols() -> list[str]:
@@ -64,7 +68,8 @@ class Merger:
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.library = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = {}  # tokens of a pre-token
+        self.words: dict[str, int] = {}  # tokens of a space and what follows it up to the next
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, ``NONE`` where it can't be merged."""
@@ -138,20 +143,65 @@ class Merger:
             while part := list(itertools.islice(found, AT_ONCE)):
                 yield part
 
-    def count(self, text: str) -> int:
-        """Number of tokens of a text; a special string in it is one token."""
-        n = 0
-        parts = self.special.split(text) if self.special else [text]
-        for part in parts:
-            for found in self.pieces(part):
-                new = set(found).difference(self.known)
-                if len(self.known) + len(new) > MOST_PIECES:
-                    self.known.clear()
-                    new = set(found)
-                if new:
-                    self.learn(new)
-                n += sum(map(self.known.__getitem__, found))
-        return n + len(parts) - 1
+    def plain(self, texts: list[str]) -> list[int]:
+        """Number of tokens of each text, by its pre-tokens."""
+        out = []
+        for i in range(0, len(texts), 1 << 12):
+            cut = [list(self.pieces(t)) for t in texts[i:i + (1 << 12)]]
+            new = set().union(*(found for lists in cut for found in lists)).difference(self.known)
+            self.learn(new)
+            out += [sum(sum(map(self.known.__getitem__, found)) for found in lists) for lists in cut]
+            for p in new:
+                if len(p) > LONGEST:
+                    del self.known[p]
+            if len(self.known) > MOST_PIECES:
+                self.known.clear()
+        return out
+
+    def spaced(self, texts: list[str]) -> list[int]:
+        """Number of tokens of each text, word by word; words not met before are merged together."""
+        cut = [WORD.split(t) if NOT_A_WORD.search(t) else t.split(" ") for t in texts]
+        first = self.plain([words[0] for words in cut])
+        new = list(set().union(*(words[1:] for words in cut)).difference(self.words))
+        self.words.update(zip(new, self.plain([" " + w for w in new])))
+        n = [f + sum(map(self.words.__getitem__, words[1:])) for f, words in zip(first, cut)]
+        for w in new:
+            if len(w) > LONGEST:
+                del self.words[w]
+        if len(self.words) > MOST_PIECES:
+            self.words.clear()
+        return n
+
+    def counts(self, texts: list[str | None]) -> list[int]:
+        """Number of tokens of each text; null counts as empty, a special string is one token."""
+        n = [0] * len(texts)
+        held: list[tuple[int, str]] = []
+        size = 0
+
+        def take():
+            for (i, _), k in zip(held, self.spaced([t for _, t in held])):
+                n[i] += k
+            held.clear()
+
+        for i, text in enumerate(texts):
+            parts = self.special.split(text or "") if self.special else [text or ""]
+            n[i] += len(parts) - 1
+            for part in parts:
+                if not part.isascii() and UNSURE.search(part):
+                    n[i] += self.plain([part])[0]
+                    continue
+                at = 0
+                while at < len(part):
+                    m = WORD.search(part, at + AT_ONCE) if len(part) - at > AT_ONCE else None
+                    end = m.start() if m else len(part)
+                    held.append((i, part[at:end]))
+                    size += end - at
+                    at = end
+                    if size > AT_ONCE:
+                        take()
+                        size = 0
+        take()
+        return n
 
 
 @functools.cache
@@ -177,7 +227,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
             for i, j in slices_of(texts):
                 part = texts.slice(i, j - i)
                 _, at = column_bytes(part)
-                n = [m.count(t) if t else 0 for t in part.to_pylist()]
+                n = m.counts(part.to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(n, pa.int64())],
                     ["doc_id", "n_bytes", "n_tokens"])
