@@ -149,6 +149,21 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
         1.0 - F.levenshtein(a, b) / F.greatest(longest, F.lit(1)))
 
 
+def duration_match(want: Column, have: Column) -> tuple[Column, Column, Column]:
+    """(whether both lengths are known, their difference, its share of the score)."""
+    known = (F.coalesce(want, F.lit(0.0)) != 0) & (F.coalesce(have, F.lit(0.0)) != 0)
+    delta = F.abs(have - want)
+    return known, delta, F.when(known, F.greatest(F.lit(0.0), 1.0 - delta / 15.0)).otherwise(0.5)
+
+
+def match_score(title_sim: Column, artist_sim: Column, duration_score: Column, synced: Column, long_enough: Column,
+                instrumental: Column) -> Column:
+    """Score of a candidate; it rises with each similarity, so bounds of those bound it."""
+    score = (0.35 * title_sim + 0.25 * artist_sim + 0.20 * duration_score
+             + 0.15 * F.when(synced, 1.0).otherwise(0.0) + 0.05 * F.when(long_enough, 1.0).otherwise(0.2))
+    return F.when(instrumental, score * 0.1).otherwise(score)
+
+
 def score_matches(pairs: DataFrame, measure: str = "ratio",
                   min_score: float = fixed.MIN_MATCH_SCORE) -> DataFrame:
     """Score request/candidate pairs already side by side.
@@ -163,9 +178,7 @@ def score_matches(pairs: DataFrame, measure: str = "ratio",
     df = df.withColumns({"title_sim": sim(F.col("_t"), F.col("_wt")),
                          "_as": sim(F.col("_a"), F.col("_wa"))})
     asked = tx.text_or_empty("want_artist") != ""
-    known = (F.coalesce(F.col("want_duration"), F.lit(0.0)) != 0) & (
-        F.coalesce(F.col("duration"), F.lit(0.0)) != 0)
-    delta = F.abs(F.col("duration") - F.col("want_duration"))
+    known, delta, duration_score = duration_match(F.col("want_duration"), F.col("duration"))
     synced = F.length(tx.strip(tx.text_or_empty("lrc_text"))) > 0
     body = F.when(tx.text_or_empty("plain_text") != "", F.col("plain_text")).otherwise(
         tx.text_or_empty("lrc_text"))
@@ -173,12 +186,11 @@ def score_matches(pairs: DataFrame, measure: str = "ratio",
     instrumental = F.coalesce(F.col("instrumental"), F.lit(False))
     df = df.withColumns({
         "artist_sim": F.when(asked, F.col("_as")).otherwise(0.5),
-        "duration_score": F.when(known, F.greatest(F.lit(0.0), 1.0 - delta / 15.0)).otherwise(0.5),
+        "duration_score": duration_score,
     })
-    score = (0.35 * F.col("title_sim") + 0.25 * F.col("artist_sim")
-             + 0.20 * F.col("duration_score") + 0.15 * F.when(synced, 1.0).otherwise(0.0)
-             + 0.05 * F.when(long_enough, 1.0).otherwise(0.2))
-    df = df.withColumn("score", F.when(instrumental, score * 0.1).otherwise(score))
+    score = match_score(F.col("title_sim"), F.col("artist_sim"), F.col("duration_score"), synced, long_enough,
+                        instrumental)
+    df = df.withColumn("score", score)
     quote = F.lit("'")
     reasons = F.filter(F.array(
         F.concat(F.format_string("title match %.2f (", "title_sim"), quote, F.col("title"), quote,

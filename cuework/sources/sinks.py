@@ -8,13 +8,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuework.sources import versions
+
 
 def write_version(df: DataFrame, table: str, cluster_by: Sequence[str] = (), version: str = "") -> str:
-    """Write a new version of a table clustered by key; returns its folder."""
-    path = f"{table}/v={version or uuid.uuid4().hex}"
-    out = df.sortWithinPartitions(*cluster_by) if cluster_by else df
-    out.write.mode("error").parquet(path)
-    return path
+    """Write a new current version of a table, cut into ranges of ``cluster_by``; returns its folder.
+
+    :func:`cuework.sources.versions.read_version` reads the current one, or only the files that hold some keys.
+    """
+    name = version or uuid.uuid4().hex
+    versions.write_version(df, table, cluster_by, name=name)
+    return f"{table}/data/{name}"
 
 
 def replace_keys(current: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
