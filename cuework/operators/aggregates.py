@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuework.functions import fixed_values as fixed
-from cuework.operators.ordered import range_sums, scan, skew_limit, split_hot, totals, unsplit
+from cuework.operators.ordered import HOT_ROWS, NO_SPLIT, range_sums, scan, split_hot, totals, unsplit
+from cuework.session import checkpoint
 
 
 def line_summary(words: DataFrame, key: Sequence[str], start: str = "start", end: str = "end",
@@ -78,15 +79,87 @@ def rms_envelope(samples: DataFrame, key: Sequence[str], t: str = "t", value: st
         .drop("_peak"))
 
 
+CUTS = 256  # ranges of values in a round of the selection
+FEW_KEYS = 10_000  # so many hot keys at most are sent to every task
+
+
 def median(df: DataFrame, key: Sequence[str], value: str, name: str = "median",
            hot_rows: int | None = None) -> DataFrame:
-    """Exact median per key by rank, without holding a key's values in one place."""
+    """Exact median per key, and ``<name>_n``, the number of its values; NULLs don't count.
+
+    Keys of ordinary size are one aggregate, combined on the map side. Of keys with more than ``hot_rows`` values only
+    counts are gathered: :func:`select_ranks` narrows the range that holds the middle, so neither many values nor many
+    equal ones meet in a task.
+    """
     key = list(key)
-    d = split_hot(df.filter(F.col(value).isNotNull()).select(*key, value), key, value, hot_rows)
-    d = scan(d, key, [value], {"_r": ("count", F.lit(1))})
-    d = totals(d, key, {"_n": ("count", value)})
-    mid = (F.col("_r") == F.floor((F.col("_n") - 1) / 2)) | (F.col("_r") == F.floor(F.col("_n") / 2))
-    return d.filter(mid).groupBy(*key).agg(F.avg(value).alias(name), F.max("_n").alias(f"{name}_n"))
+    hot_rows = hot_rows or HOT_ROWS
+    d = df.filter(F.col(value).isNotNull()).select(*key, F.col(value).cast("double").alias("_v"))
+    plain = lambda x: x.groupBy(*key).agg(F.percentile("_v", 0.5).alias(name), F.count("_v").alias(f"{name}_n"))
+    if hot_rows >= NO_SPLIT:
+        return plain(d)
+    # NULL keys compare equal here
+    same = lambda t: F.lit(True) if not key else _all([d[k].eqNullSafe(t[f"_k{i}"]) for i, k in enumerate(key)])
+    hot = checkpoint(d.groupBy(*key).agg(F.count("_v").alias("_n")).filter(F.col("_n") > hot_rows).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "_n"))
+    keys = hot.count()
+    if not keys:
+        return plain(d)
+    small = F.broadcast(hot) if keys <= FEW_KEYS else hot
+    rows = checkpoint(d.join(small, same(hot), "left_semi"))
+    ranks = hot.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(key)], "_n", F.explode(
+        F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2))).alias("_rank")).distinct()
+    found = select_ranks(rows, key, ranks, keys)
+    return plain(d.join(small, same(hot), "left_anti")).unionByName(
+        found.groupBy(*key).agg(F.avg("_v").alias(name), F.max("_n").alias(f"{name}_n")))
+
+
+def _all(conditions: Sequence[Column]) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
+
+
+def select_ranks(rows: DataFrame, key: Sequence[str], ranks: DataFrame, keys: int) -> DataFrame:
+    """``ranks`` (key, ``_rank`` from 0, further columns) with ``_v``, the value of that rank among the key's rows.
+
+    Each round cuts the range in which a rank is sought at approximate quantiles, counts the values in each part
+    (combined on the map side, with the least and greatest one) and goes on in the part that holds the rank, until that
+    part has a single value. ``keys`` is the number of keys; ``rows`` are scanned once for the cuts and once for the
+    counts of a round.
+    """
+    key = list(key)
+    target = [*key, "_rank"]
+    extra = [c for c in ranks.columns if c not in target]
+    todo = ranks.withColumns({"_low": F.lit(float("-inf")), "_high": F.lit(float("inf")), "_before": F.lit(0).cast("long")})
+    done = None
+    while True:
+        here = todo.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], "_rank", "_low", "_high", "_before")
+        here = F.broadcast(here) if keys <= FEW_KEYS else here
+        on = _all([rows[k].eqNullSafe(here[f"_k{i}"]) for i, k in enumerate(key)])
+        inside = rows.join(here, on).where("_v >= _low AND _v <= _high").select(*target, "_v", "_before")
+        cuts = inside.groupBy(*target).agg(F.percentile_approx(
+            "_v", [i / CUTS for i in range(1, CUTS)], 100 * CUTS).alias("_cut"))
+        cuts = checkpoint(cuts.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(target)], "_cut"))
+        cut = F.broadcast(cuts) if keys <= FEW_KEYS else cuts
+        part = inside.join(cut, _all([inside[c].eqNullSafe(cut[f"_c{i}"]) for i, c in enumerate(target)]))
+        # a value that is a cut has a part of its own
+        place = F.size(F.filter("_cut", lambda x: x < F.col("_v"))) + F.size(F.filter("_cut", lambda x: x <= F.col("_v")))
+        counts = part.withColumn("_p", place).groupBy(*target, "_p").agg(
+            F.count(F.lit(1)).alias("_m"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.first("_before").alias("_b"))
+        upto = Window.partitionBy(*target).orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        hit = counts.withColumn("_upto", F.col("_b") + F.sum("_m").over(upto)).where(
+            (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_m"))).select(
+            *target, "_low", "_high", (F.col("_upto") - F.col("_m")).alias("_before"))
+        hit = checkpoint(hit)
+        ready = hit.where("_low = _high").select(*target, F.col("_low").alias("_v"))
+        done = ready if done is None else done.unionByName(ready)
+        todo = hit.where("_low < _high")
+        if todo.isEmpty():
+            break
+    left = ranks.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(target)], *extra)
+    return done.join(left, _all([done[c].eqNullSafe(left[f"_c{i}"]) for i, c in enumerate(target)])).select(
+        *target, *extra, "_v")
 
 
 def robust_drift(df: DataFrame, key: Sequence[str], drift: str = "drift", lines: str | None = None,
@@ -132,48 +205,66 @@ def estimate_offset(spans: DataFrame, frames: DataFrame, key: Sequence[str],
                     threshold: float = 0.15, hot_rows: int | None = None) -> DataFrame:
     """Global shift of the spans under which most of their frames are loud.
 
-    ``spans`` has start and end, ``frames`` has frame and energy. Overlapping spans are first made
-    disjoint per shift; loud frames are then read off running totals at the two ends of each piece,
-    so the work is shifts x spans, not shifts x frames. Returns offset, best_score, zero_score.
+    ``spans`` has start and end, ``frames`` has frame and energy; a frame without a row is silent. Returns offset,
+    best_score, zero_score.
+
+    A span covers a frame for an unbroken run of shifts. These runs, one for each span and frame in reach, are merged
+    per frame, and their two ends become events; events add up per shift, and running sums over the shifts of a key give
+    all scores. So the rows before any aggregate depend on the length of the spans and the reach of the search, not on
+    the number of shifts, and keys of any size spread over their frames. (``hot_rows`` is not needed and kept for callers.)
     """
     key = list(key)
-    hot_rows = skew_limit([spans, frames], key, hot_rows)
     steps = int(round(search / step))
-    shifts = F.explode(F.transform(F.sequence(F.lit(-steps), F.lit(steps)), lambda k: F.struct(
-        k.alias("k"), F.bround(k * F.lit(step), 2).alias("shift")))).alias("s")
     size = frames.groupBy(*key).agg(F.max("energy").alias("_peak"),
                                     (F.max("frame") + 1).alias("_frames")).filter("_peak > 0")
-    loud = (frames.join(size, key).select(
-        *key, "frame", (F.col("energy") > F.col("_peak") * F.lit(threshold)).cast("double")
-        .alias("loud")))
-
-    def frame_of(c: str) -> Column:
-        f = F.bround((F.col(c) + F.col("s.shift")) / F.lit(hop), 0).cast("long")
-        return F.greatest(F.lit(0), F.least(F.col("_frames"), f))
-
-    pieces = (spans.filter("start is not null and end is not null").join(size, key)
-              .select(*key, "start", "end", "_frames", shifts)
-              .select(*key, F.col("s.k").alias("_sh"), F.col("s.shift").alias("_shift"),
-                      frame_of("start").alias("_a"), frame_of("end").alias("_b"))
-              .filter("_b > _a").distinct())
-    pieces = scan(split_hot(pieces, [*key, "_sh"], "_a", hot_rows), [*key, "_sh"], ["_a", "_b"],
-                  {"_reach": ("max", "_b")})
-    pieces = unsplit(pieces).withColumn("_a", F.greatest("_a", "_reach")).filter("_b > _a").drop("_reach")
-    # the same ends recur for many shifts: look each (key, frame range) up once
-    ranges = pieces.groupBy(*key, "_a", "_b").agg(
-        F.collect_list(F.struct("_sh", "_shift")).alias("_shs"))
-    ranges = range_sums(loud, ranges, key, "frame", "loud", "_a", "_b", ["_a", "_b"], hot_rows)
-    scored = (ranges.filter("n > 0").select(*key, "n", "total", F.explode("_shs").alias("s"))
-              .groupBy(*key, "s._sh", "s._shift")
-              .agg((F.sum("total") / F.sum("n")).alias("score")))
-    # the zero shift stands unless another strictly beats it; among equals the smallest comes first
+    loud = frames.join(size, key).where(F.col("energy") > F.col("_peak") * F.lit(threshold)).select(
+        *key, F.col("frame").cast("long").alias("frame"), F.lit(1).alias("_loud"))
+
+    def at(x: Column, k: Column) -> Column:
+        return F.bround((x + F.bround(k * F.lit(step), 2)) / F.lit(hop), 0).cast("long")
+
+    def last_shift(x: Column, f: Column) -> Column:
+        """Greatest shift that leaves ``x`` at frame ``f`` or before: near the real solution, tried with its rounding."""
+        near = F.floor(((f + 0.5) * F.lit(hop) - x) / F.lit(step))
+        out = near - 2
+        for d in (-1, 0, 1, 2):
+            out = F.when(at(x, near + d) <= f, near + d).otherwise(out)
+        return out
+
+    reach = F.lit(float(steps) * step + step)
+    first = F.greatest(F.lit(0), F.floor((F.col("start") - reach) / F.lit(hop)) - 1)
+    final = F.least(F.col("_frames") - 1, F.ceil((F.col("end") + reach) / F.lit(hop)) + 1)
+    runs = (spans.filter("start is not null and end is not null").join(size, key)
+            .where(first <= final).select(*key, "start", "end", F.explode(F.sequence(first, final)).alias("frame"))
+            .select(*key, "frame", F.greatest(F.lit(-steps), last_shift(F.col("end"), F.col("frame")) + 1).alias("lo"),
+                    F.least(F.lit(steps), last_shift(F.col("start"), F.col("frame"))).alias("hi"))
+            .where("lo <= hi").select(*key, "frame", F.struct("lo", "hi").alias("_run")))
+    # the runs of a frame are pairs of shifts: however many spans there are, only so many differ
+    per_frame = runs.unionByName(loud, allowMissingColumns=True).groupBy(*key, "frame").agg(
+        F.array_sort(F.collect_set("_run")).alias("_runs"), F.coalesce(F.max("_loud"), F.lit(0)).alias("_loud"))
+    merged = per_frame.where(F.size("_runs") > 0).withColumn("_runs", F.expr(
+        "aggregate(_runs, cast(array() AS array<struct<lo: bigint, hi: bigint>>), (a, r) -> CASE "
+        "WHEN size(a) > 0 AND r.lo <= element_at(a, -1).hi + 1 THEN concat(slice(a, 1, size(a) - 1), "
+        "array(named_struct('lo', element_at(a, -1).lo, 'hi', greatest(element_at(a, -1).hi, r.hi)))) "
+        "ELSE concat(a, array(named_struct('lo', r.lo, 'hi', r.hi))) END)"))
+    events = merged.select(*key, "_loud", F.explode("_runs").alias("r")).select(*key, "_loud", F.explode(F.array(
+        F.struct(F.col("r.lo").alias("k"), F.lit(1).alias("d")), F.struct((F.col("r.hi") + 1).alias("k"), F.lit(-1).alias("d")))).alias("e"))
+    changes = events.groupBy(*key, F.col("e.k").alias("_k")).agg(
+        F.sum("e.d").alias("_all"), F.sum(F.col("e.d") * F.col("_loud")).alias("_hit"))
+    upto = Window.partitionBy(*key).orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy(*key).orderBy("_k")
+    scored = changes.select(*key, "_k", F.sum("_all").over(upto).alias("_n"), F.sum("_hit").over(upto).alias("_h"),
+                            F.lead("_k").over(after).alias("_next")).where("_n > 0").select(
+        *key, "_k", "_next", (F.col("_h") / F.col("_n")).alias("score"))
+    # scores stay as they are up to the next event, so the first shift of such a stretch stands for it;
+    # the zero shift stands unless another strictly beats it, and among equals the smallest comes first
     best = scored.groupBy(*key).agg(
-        F.max(F.struct("score", (-F.col("_sh")).alias("neg"), F.col("_shift").alias("shift")))
-        .alias("best"),
-        F.max(F.when(F.col("_sh") == 0, F.col("score"))).alias("zero"))
+        F.max(F.struct("score", (-F.col("_k")).alias("neg"))).alias("best"),
+        F.max(F.when((F.col("_k") <= 0) & (F.col("_next") > 0), F.col("score"))).alias("zero"))
     zero = F.coalesce(F.col("zero"), F.lit(0.0))
     beats = F.coalesce(F.col("best.score") > zero, F.lit(False))
-    found = best.select(*key, F.when(beats, F.col("best.shift")).otherwise(0.0).alias("offset"),
+    shift = F.bround(-F.col("best.neg") * F.lit(step), 2)
+    found = best.select(*key, F.when(beats, shift).otherwise(0.0).alias("offset"),
                         F.bround(F.when(beats, F.col("best.score")).otherwise(zero), 3)
                         .alias("best_score"), F.bround(zero, 3).alias("zero_score"))
     return (spans.select(*key).distinct().join(found, key, "left")

@@ -14,10 +14,10 @@ from cuework.operators import align, ranking as rk
 from cuework.operators import joins as jn
 from cuework.operators.windows import ordinal
 from cuework.plans import lyrics, media, scenes
-from cuework.queries.registry import E, EPOCH_US, QUERIES, SQL, of_type, query, r
+from cuework.queries.registry import DAY, E, EPOCH_US, QUERIES, SQL, of_type, query, r
 from cuework.queries.texts import NOISY_SQL, noisy, part_media, sql_title
-from cuework.queries.timing import SESSION_SQL
 from cuework.session import checkpoint
+from cuework.sources.versions import read_buckets
 from cuework.streaming import jobs
 
 CONV = ["conv_id"]
@@ -254,15 +254,32 @@ def scratch(spark: SparkSession) -> str:
     return f"{base}/cuework-{uuid.uuid4().hex}"
 
 
-def replay(name: str, sql: str):
-    """Register a query that replays ``events`` as a stream until it is used up."""
+DAYS = 5  # of a slice
+DELAY = "12 days"
+FILES = 4  # of a slice
+#: Batch in which an event arrives: its slice, one later for some; the early ones among these again come last.
+ARRIVAL = (f"CASE WHEN t < 2 * 86400 AND event_id % 10 = 7 THEN 6 ELSE least(5, CAST(floor(t / {DAYS * 86400}) AS INTEGER)) + "
+           "CASE WHEN event_id % 10 = 3 THEN 1 ELSE 0 END END")
+
+
+def replay(name: str, sql: str, beat: bool = True):
+    """Register a query that replays ``events`` as a stream: slices of five days in order of time, with a tenth of the
+    rows one slice late and some far too late. With ``beat`` a last row much later moves the watermark past all others."""
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-            schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-            src = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
-            src = src.withColumn("ts", F.col("ts").cast("timestamp"))
-            return fn(spark, src, scratch(spark))
+            folder = scratch(spark)
+            events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+            t = (F.unix_micros("ts") - EPOCH_US) / 1e6
+            sliced = events.withColumn("t", t).withColumn("arrival", F.expr(ARRIVAL))
+            for i in range(7):
+                sliced.where(F.col("arrival") == i).select(*events.columns).repartition(FILES).write.parquet(f"{folder}/in/n={i}")
+            if beat:
+                last = events.agg(F.max("ts").alias("ts")).select(F.expr("ts + interval 400 days").alias("ts"))
+                empty = spark.createDataFrame([], events.schema)
+                empty.unionByName(last, allowMissingColumns=True).write.parquet(f"{folder}/in/n=7")
+            src = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FILES).parquet(f"{folder}/in/n=*")
+            return fn(spark, src, folder)
         QUERIES[name] = run
         SQL[name] = sql
         return fn
@@ -270,62 +287,76 @@ def replay(name: str, sql: str):
 
 
 def run_to_folder(df: DataFrame, folder: str, mode: str) -> DataFrame:
-    """Run a stream to its end; with ``complete`` or ``update`` every batch replaces its folder."""
+    """Run a stream to its end; every batch writes a folder, again if it is repeated. Adds the batch number ``b``."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/b={batch_id}")
 
     q = (df.writeStream.outputMode(mode).foreachBatch(write)
          .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    out = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out/*")
-    return out
+    return df.sparkSession.read.schema(df.schema.add("b", "long")).option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+
+
+# what a watermark of 12 days lets in
+IN_TIME = f"{E}, i AS (SELECT * FROM e WHERE NOT (t < 2 * 86400 AND event_id % 10 = 7))"
 
 
-@replay("str1_job_state", """WITH j AS (SELECT *, user_id % 50 * 10 + CAST(floor(day(ts) / 4) AS INTEGER) AS job_id, CASE event_type WHEN 'purchase' THEN 'done'
-  WHEN 'error' THEN 'error' ELSE event_type END AS state FROM events),
-e AS (SELECT job_id, ts, state, row_number() OVER (PARTITION BY job_id ORDER BY (state IN ('done', 'error')) DESC,
+@replay("str1_job_state", f"""WITH {IN_TIME}, j AS (SELECT *, user_id % 50 * 10 + CAST(floor(day(ts) / 4) AS INTEGER) AS job_id,
+  CASE event_type WHEN 'purchase' THEN 'done' ELSE event_type END AS state FROM i),
+s AS (SELECT job_id, ts, state, row_number() OVER (PARTITION BY job_id ORDER BY (state IN ('done', 'error')) DESC,
   CASE WHEN state IN ('done', 'error') THEN epoch_us(ts) ELSE -epoch_us(ts) END, state) AS rn FROM j)
-SELECT job_id, epoch_us(ts) AS at_us, state FROM e WHERE rn = 1""")
+SELECT job_id, epoch_us(ts) AS at_us, state FROM s WHERE rn = 1""")
 def str1(spark, src, folder):
+    """The last row the stream gives for a job is its state; states of finished jobs are dropped on the way."""
     j = src.withColumns({
         "job_id": F.col("user_id") % 50 * 10 + F.floor(F.dayofmonth("ts") / 4),
         "state": F.when(F.col("event_type") == "purchase", "done").otherwise(F.col("event_type"))})
-    out = jobs.job_state_stream(j.select("job_id", "ts", "state"))
-    return run_to_folder(out, folder, "complete").select(
-        "job_id", F.unix_micros("ts").alias("at_us"), "state")
+    out = run_to_folder(jobs.job_state_stream(j.select("job_id", "ts", "state"), delay=DELAY, keep_seconds=4 * DAY), folder, "update")
+    return out.where("job_id IS NOT NULL").groupBy("job_id").agg(F.max_by(F.struct("ts", "state"), "b").alias("r")).select(
+        "job_id", F.unix_micros("r.ts").alias("at_us"), "r.state")
 
 
-@replay("str2_pause_sessions", f"""WITH {E}, g AS (SELECT user_id, t, lag(t) OVER (PARTITION BY user_id ORDER BY t) AS p FROM e),
-i AS (SELECT *, sum(CASE WHEN p IS NULL OR t - p > 43200 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t) AS isl FROM g)
-SELECT user_id, round(min(t), 3) AS start_s, round(max(t), 3) AS end_s, count(*) AS items FROM i GROUP BY user_id, isl""")
+@replay("str2_pause_sessions", f"""WITH {IN_TIME}, g AS (SELECT user_id, t, lag(t) OVER (PARTITION BY user_id ORDER BY t) AS p FROM i),
+k AS (SELECT *, sum(CASE WHEN p IS NULL OR t - p > 43200 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t) AS isl FROM g)
+SELECT user_id, round(min(t), 3) AS start_s, round(max(t), 3) AS end_s, count(*) AS items FROM k GROUP BY user_id, isl""")
 def str2(spark, src, folder):
-    out = run_to_folder(jobs.pause_sessions(src, ["user_id"], gap_seconds=43200.0, delay="1 day"), folder, "complete")
+    out = run_to_folder(jobs.pause_sessions(src, ["user_id"], gap_seconds=43200.0, delay=DELAY), folder, "append")
     sec = lambda c: r((F.unix_micros(c) - EPOCH_US) / 1e6, 3)
-    return out.select("user_id", sec("start").alias("start_s"), sec("end").alias("end_s"), "items")
+    return out.where("user_id IS NOT NULL").select("user_id", sec("start").alias("start_s"), sec("end").alias("end_s"), "items")
 
 
-@replay("str2_pause_groups", SESSION_SQL + """ SELECT user_id, round(min(t), 3) AS start_s, CAST(count(*) AS INTEGER) AS items,
-  string_agg(event_type, ' ' ORDER BY t) AS text FROM s GROUP BY user_id, group_index""")
+@replay("str2_pause_groups", f"""WITH {IN_TIME}, l AS (SELECT *, t + round(value * 200, 6) AS f FROM i),
+g AS (SELECT *, lag(f) OVER w AS p FROM l WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+h AS (SELECT *, sum(CASE WHEN p IS NULL OR t - p > 21600 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t) AS isl FROM g),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id, isl ORDER BY t) - 1 AS n FROM h)
+SELECT user_id, round(min(t), 3) AS start_s, round(max(f), 3) AS end_s, CAST(count(*) AS INTEGER) AS items,
+  string_agg(event_type, ' ' ORDER BY t) AS text FROM k GROUP BY user_id, isl, n // 8""")
 def str2_groups(spark, src, folder):
-    out = jobs.pause_groups(src, ["user_id"], "ts", "event_type", 43200.0, 8, "1 day")
-    return run_to_folder(out, folder, "complete").select(
-        "user_id", r((F.unix_micros("start") - EPOCH_US) / 1e6, 3).alias("start_s"), "items", "text")
+    """Every event lasts as long as its value says; a pause is counted from its end."""
+    src = src.withColumn("length", F.col("value") * 200)
+    out = run_to_folder(jobs.pause_groups(src, ["user_id"], "ts", "event_type", 21600.0, 8, DELAY, "length"), folder, "append")
+    sec = lambda c: r((F.unix_micros(c) - EPOCH_US) / 1e6, 3)
+    return out.where("user_id IS NOT NULL").select("user_id", sec("start").alias("start_s"), sec("end").alias("end_s"), "items", "text")
 
 
-@replay("str3_ttl_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
+@replay("str3_ttl_dedupe", f"""WITH RECURSIVE {IN_TIME},
+f AS (SELECT user_id, event_type, min(epoch_us(ts)) AS at_us FROM i GROUP BY ALL
+  UNION ALL SELECT f.user_id, f.event_type, min(epoch_us(i.ts)) FROM f JOIN i ON f.user_id = i.user_id AND f.event_type = i.event_type
+    AND epoch_us(i.ts) > f.at_us + 7 * 86400 * 1000000::BIGINT GROUP BY f.user_id, f.event_type, f.at_us)
+SELECT * FROM f""")
 def str3(spark, src, folder):
-    out = jobs.ttl_dedupe(src.select("user_id", "event_type", "ts"), ["user_id", "event_type"], ttl_seconds=60 * 86400)
-    return run_to_folder(out, folder, "append").select("user_id", "event_type")
+    out = run_to_folder(jobs.ttl_dedupe(src.select("user_id", "event_type", "ts"), ["user_id", "event_type"], delay=DELAY), folder, "append")
+    return out.where("user_id IS NOT NULL").select("user_id", "event_type", F.unix_micros("ts").alias("at_us"))
 
 
-@replay("str4_upsert_stream", """SELECT user_id, event_id, round(value, 4) AS value, epoch_us(ts) AS created_us FROM events
-QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1""")
+@replay("str4_upsert_stream", f"""WITH {E}, a AS (SELECT *, {ARRIVAL} AS b FROM e),
+f AS (SELECT user_id, max(epoch_us(ts)) AS created_us FROM (SELECT * FROM a QUALIFY b = min(b) OVER (PARTITION BY user_id)) GROUP BY 1)
+SELECT user_id, event_id, round(value, 4) AS value, created_us FROM a JOIN f USING (user_id)
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1""", beat=False)
 def str4(spark, src, folder):
+    """Seven batches, late rows in all but the first; a key keeps the time of the first batch that had it."""
     rows = src.select("user_id", "event_id", "value", F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"))
-    q = jobs.upsert_stream(rows, f"{folder}/table", ["user_id"], ["event_id", "value"], "updated_at", f"{folder}/checkpoint")
-    q = q.trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = max(b["batchId"] for b in q.recentProgress if b["numInputRows"] > 0)
-    return spark.read.parquet(f"{folder}/table/v={last}").select(
+    q = jobs.upsert_stream(rows, f"{folder}/table", ["user_id"], ["event_id", "value"], "updated_at", f"{folder}/checkpoint", 16)
+    q.trigger(availableNow=True).start().awaitTermination()
+    return read_buckets(spark, f"{folder}/table", rows.schema).select(
         "user_id", "event_id", r("value", 4).alias("value"), F.unix_micros("created_at").alias("created_us"))
-

@@ -321,7 +321,7 @@ x AS (SELECT sp.user_id, k, greatest(0, least(nf, CAST(round_even((s + k * 21600
   greatest(0, least(nf, CAST(round_even((en + k * 21600) / 21600, 0) AS BIGINT))) AS b
   FROM sp JOIN n USING (user_id), k),
 act AS (SELECT DISTINCT user_id, k, unnest(range(a, b)) AS frame FROM x WHERE b > a),
-sc AS (SELECT act.user_id, k, sum(loud) / count(*) AS score FROM act JOIN v ON v.user_id = act.user_id
+sc AS (SELECT act.user_id, k, sum(coalesce(loud, 0)) / count(*) AS score FROM act LEFT JOIN v ON v.user_id = act.user_id
   AND v.frame = act.frame GROUP BY ALL),
 z AS (SELECT user_id, max(CASE WHEN k = 0 THEN score END) AS zero FROM sc GROUP BY 1),
 bst AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, k) AS rn FROM sc),
