@@ -1,16 +1,18 @@
 """N-gram Jaccard join by set relations, exact.
 
 A document's set is its distinct word shingles. Documents with equal sets are one set from then on: what is found
-for one holds for all (answers derived at no cost). The search over distinct sets works with inverted lists of
-prefix shingles, rare ones first, and skips by what is known of sets:
-
-* Index-level skipping: two similar sets have similar sizes and share a shingle early in their order. Lists are cut
-  into blocks by set size, only equal and neighbouring blocks are joined, and within them positions bound the overlap
-  that is still possible.
-* Answer-level skipping: in the first rounds every set meets only a few sets of each of its lists. Sets that turn
-  out similar are in one component, and whatever else links them adds nothing; later rounds
-  join only sets of lists that still belong to different components. A large group of near copies thus costs a
-  number of comparisons that grows with its size, not its square.
+for one holds for all. The search over distinct sets works with inverted lists of prefix shingles, rare ones first, and
+skips by what is known of sets:
+
+* Index-level skipping: where two similar sets share a shingle for the first time, what is left of either after that
+  place must hold the overlap they need. Lists are cut into blocks by how much is left after the position, only equal
+  and neighbouring blocks are joined, and sizes and positions bound each pair before it is compared.
+* Answer-level skipping: in the first rounds every set meets two sets of all its lists, hubs that many sets of a group
+  have in common. Sets that turn out similar are in one component, and whatever else links them adds nothing; later
+  rounds and the last join take only sets of lists that still belong to different components. For two sets that were
+  compared with the same hub, the overlap with each other follows within bounds from their overlaps with the hub and
+  what they lack of it; mostly that settles the pair without looking at the sets. A large group of near copies
+  thus costs a number of comparisons that grows with its size, not its square.
 
 Candidates are compared by their whole sets. Shingles are ordered from rare to frequent: by counts over all documents
 in a table of ``1 << SKETCH`` buckets, and those found in very many prefixes so ordered (the ``MOST_HOT`` most frequent
@@ -27,14 +29,15 @@ from pyspark.sql import functions as F
 
 from cuework.llm.components import components
 from cuework.llm.lookup import rows_of
-from cuework.llm.scratch import stored
+from cuework.llm.scratch import forget, stored
 from cuework.llm.textkernel import LOWER, Words, distinct_sets, mixed, slices_of
 
 SKETCH = 18
 HOT_SETS, MOST_HOT = 32, 1 << 17  # prefixes that make a shingle hot; the most that are put last
-STARS, HEADS = 3, 12  # rounds in which each set meets some of each list, and how many
+STARS, HEADS = 4, 6  # rounds in which each set meets two hubs; sets of each list that may be hubs
 RECORDS = "doc_id long, n int, k1 long, k2 long, bucket int, docs int"
 ENTRIES = "h long, k1 long, n int, pos int, early boolean"
+ANSWERS = "a long, b long, an int, bn int, shared int"
 
 
 def set_keys(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,35 +124,66 @@ def _entries(k: int, percent: int, rank: np.ndarray, hot: np.ndarray, only_shing
     return run
 
 
-def _compare(k: int, percent: int):
-    """Links among pairs (u, v, text_u, text_v)."""
+def _texts(k: int):
+    """(set, doc_id, text) of every row that has a set."""
     def run(batches):
         for b in batches:
-            us, vs, left, right = (b.column(i) for i in range(4))
-            keep_u, keep_v = [], []
-            same, last = None, None
-            u_list, v_list = us.to_pylist(), vs.to_pylist()
-            for i in range(len(us)):
-                if u_list[i] != last:
-                    last = u_list[i]
-                    same, _ = _sets(left[i:i + 1], k)
-                other, _ = _sets(right[i:i + 1], k)
-                at = np.searchsorted(same, other)
-                shared = int((same[np.minimum(at, len(same) - 1)] == other).sum()) if len(same) else 0
-                if shared and 100 * shared >= percent * (len(same) + len(other) - shared):
-                    keep_u.append(u_list[i])
-                    keep_v.append(v_list[i])
-            yield pa.RecordBatch.from_arrays([pa.array(keep_u, pa.int64()), pa.array(keep_v, pa.int64())], ["u", "v"])
+            for i, j in slices_of(b.column(1)):
+                values, at = _sets(b.column(1)[i:j], k)
+                k1, _ = set_keys(values, at)
+                some = pa.array(np.flatnonzero(np.diff(at)))
+                yield pa.RecordBatch.from_arrays([pa.array(k1).take(some), b.column(0)[i:j].take(some),
+                                                  b.column(1)[i:j].take(some)], ["k1", "doc_id", "text"])
+    return run
+
+
+def _compare(k: int):
+    """How many shingles two sets (a, b, text_a, text_b) share, rows of equal ``a`` together."""
+    def run(batches):
+        same, last = None, None
+        for batch in batches:
+            for i, j in slices_of(batch.column(3)):
+                b = batch.slice(i, j - i)
+                firsts = b.column(0).to_pylist()
+                other, at = _sets(b.column(3), k)
+                sizes, shared = [], []
+                for x, a in enumerate(firsts):
+                    if a != last:
+                        last = a
+                        same, _ = _sets(b.column(2)[x:x + 1], k)
+                    o = other[at[x]:at[x + 1]]
+                    sizes.append(len(same))
+                    shared.append(int((same[np.minimum(np.searchsorted(same, o), len(same) - 1)] == o).sum()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(
+                    np.diff(at).astype(np.int32)), pa.array(shared, pa.int32())], ["a", "b", "an", "bn", "shared"])
     return run
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (u, v) of doc_ids that are similar, by their whole texts."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    texts = stored(rows_of(rows, "doc_id", ids), "texts")
-    got = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
-    got = got.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
-    return stored(got.select("u", "v", "text_u", "text_v").mapInArrow(_compare(k, percent), "u long, v long"), "similar")
+def _compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """Answers to the pairs (a, b) of sets, by their whole texts."""
+    got = pairs.join(texts.select(F.col("k1").alias("b"), F.col("text").alias("text_b")), "b")
+    got = got.join(texts.select(F.col("k1").alias("a"), F.col("text").alias("text_a")), "a")
+    return stored(got.select("a", "b", "text_a", "text_b").mapInArrow(_compare(k), ANSWERS), "answers")
+
+
+def _similar(shared, an, bn, percent: int):
+    return 100 * shared >= percent * (an + bn - shared)
+
+
+def derive(pairs: DataFrame, answers: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b, an, bn, ...) with ``low`` and ``high``, bounds of the overlap of a and b by all answers that both
+    have from the same hub (column ``b`` of ``answers``); both null where there is no such hub.
+
+    If a and b have x and y members in common with the hub, at least x + y less its size are common to all three; inside
+    the hub no more than min(x, y) can be common, and outside it no more than the smaller rest.
+    """
+    one = answers.select(F.col("a"), F.col("b").alias("hub"), F.col("bn").alias("hn"), F.col("shared").alias("x"))
+    two = answers.select(F.col("a").alias("b"), F.col("b").alias("hub"), F.col("shared").alias("y"))
+    both = pairs.select("a", "b", "an", "bn").join(one, "a").join(two, ["b", "hub"])
+    bounds = both.groupBy("a", "b").agg(
+        F.max(F.greatest(F.lit(0), F.col("x") + F.col("y") - F.col("hn"))).alias("low"),
+        F.min(F.least("x", "y") + F.least(F.col("an") - F.col("x"), F.col("bn") - F.col("y"))).alias("high"))
+    return pairs.join(bounds, ["a", "b"], "left")
 
 
 def _fits(an, ap, bn, bp, percent: int):
@@ -177,73 +211,108 @@ def similar_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
     sets = stored(records.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(
         F.min("doc_id").alias("rep")), "distinct")
     rows = rows.where("doc_id IS NOT NULL")
-    prefixes = rows.select("text").mapInArrow(_entries(shingle, percent, rank, np.zeros(0, np.uint64), True), "h long")
-    top = prefixes.groupBy("h").count().where(F.col("count") >= HOT_SETS).orderBy(
-        F.desc("count"), "h").limit(MOST_HOT).toPandas()
-    hot = np.sort(top["h"].to_numpy(np.int64).view(np.uint64))
-    entries = rows.select("text").mapInArrow(_entries(shingle, percent, rank, hot), ENTRIES).repartition("h")
-    end = F.struct("n", "k1", "pos")
-    # a set may come from several tasks; lists of one set end here. All columns are named, so that Spark sees the same
-    # shuffle on both sides of the join and makes it once
-    lists = entries.groupBy("h").agg(F.min(end).alias("head"), F.max(end).alias("tail"), F.max("early").alias("any")).where(
-        "head.k1 <> tail.k1 AND any IS NOT NULL").drop("any")
-    shared = stored(entries.join(lists, "h"), "lists")
-    ids = sets.select("k1", "rep")
-
-    def by_rep(pairs):
-        a, b = ids.select(F.col("k1").alias("a"), F.col("rep").alias("u")), ids.select(
-            F.col("k1").alias("b"), F.col("rep").alias("v"))
-        return pairs.join(a, "a").join(b, "b").where("u <> v").select(
-            F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-    def with_components(lists, links):
-        """Rows of lists whose sets are in more than one component."""
+    shared = _lists(rows, shingle, percent, rank)
+    # the text of each set that is in a list, once for all comparisons
+    wanted = sets.join(shared.select("k1").distinct(), "k1").groupBy("k1").agg(F.min("rep").alias("rep"))
+    wanted = stored(wanted, "wanted")
+    texts = rows_of(rows, "doc_id", wanted.select("rep").distinct()).mapInArrow(_texts(shingle), "k1 long, doc_id long, text string")
+    texts = texts.join(wanted, (texts["k1"] == wanted["k1"]) & (texts["doc_id"] == wanted["rep"])).select(texts["k1"], "text")
+    texts = stored(texts.dropDuplicates(["k1"]), "texts")
+    answers = []
+    left, forgotten = shared, [wanted]
+    left = left.withColumn("comp", F.col("k1"))
+    for turn in range(STARS):
+        pairs = stored(_with_hubs(left, turn, percent, answers), "pairs")
+        answers.append(_compared(pairs.select("a", "b"), texts, shingle))
+        links = _all(answers).where(_similar(F.col("shared"), F.col("an"), F.col("bn"), percent)).select(
+            F.col("a").alias("u"), F.col("b").alias("v"))
         known = components(links, rounds=2)  # enough to skip by: what it puts together is connected
-        member = ids.join(known, ids["rep"] == known["id"]).groupBy("k1").agg(F.min("component").alias("comp"))
-        left = lists.drop("comp").join(member, "k1", "left").withColumn(
-            "comp", F.coalesce(F.col("comp").cast("string"), F.concat(F.lit("k"), F.col("k1"))))
-        several = left.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        return stored(left.join(several.select("h"), "h"), "open")
-
-    # each set with a few of each of its lists: the smallest and the largest, then others by hash, the same in all lists
-    heads = shared.select("n", "pos", F.col("k1").alias("b"), F.explode(F.array("head", "tail")).alias("e"))
-    heads = heads.where("e.k1 <> b").where(_fits(F.col("n"), F.col("pos"), F.col("e.n"), F.col("e.pos"), percent))
-    done = stored(by_rep(heads.select(F.col("e.k1").alias("a"), "b").distinct()), "pairs")
-    links = _verified(done, rows, shingle, percent)
-    left = with_components(shared.drop("head", "tail"), links)
-    for turn in range(1, STARS):
-        some = [F.struct(F.xxhash64("k1", F.lit(turn * HEADS + i)), "k1", "n", "pos", "comp") for i in range(HEADS // 2)]
-        heads = left.groupBy("h").agg(F.array(*[f(x) for x in some for f in (F.min, F.max)]).alias("e"))
-        heads = left.join(heads, "h").select("n", "pos", "comp", F.col("k1").alias("b"), F.explode("e").alias("e"))
-        heads = heads.where("e.comp <> comp").where(
-            _fits(F.col("n"), F.col("pos"), F.col("e.n"), F.col("e.pos"), percent))
-        more = by_rep(heads.select(F.col("e.k1").alias("a"), "b").distinct())
-        more = stored(more.join(done, ["u", "v"], "left_anti"), "pairs")
-        links = links.unionByName(_verified(more, rows, shingle, percent))
-        done = done.unionByName(more)
-        left = with_components(left, links)
-    # the rest: all sets of a list that are in different components, by blocks of size
-    left = left.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / F.lit(
-        float(-np.log(percent / 100)))).cast("int"))
-    x = left.where("early").select("h", F.col("k1").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"),
-                                   F.col("comp").alias("ac"), F.explode(F.array("block", F.col("block") + 1)).alias("block"))
-    y = left.select("h", F.col("k1").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"),
-                    F.col("comp").alias("bc"), "block")
-    pairs = x.join(y, ["h", "block"]).where("ac <> bc").where(
-        (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b")))).where(
-        _fits(F.col("an"), F.col("ap"), F.col("bn"), F.col("bp"), percent)).select("a", "b").distinct()
-    rest = stored(by_rep(pairs).join(done, ["u", "v"], "left_anti"), "pairs")
-    links = links.unionByName(_verified(rest, rows, shingle, percent))
+        more = left.drop("comp").join(known, left["k1"] == known["id"], "left").withColumn(
+            "comp", F.coalesce("component", "k1")).drop("id", "component")
+        more = stored(more, "named")
+        several = more.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        opened = stored(more.join(several.select("h"), "h"), "open")
+        forget(more, pairs, *forgotten)
+        left, forgotten = opened, [opened]
+    pairs = stored(_rest(left, percent), "pairs")
+    asked = stored(derive(pairs, _all(answers), percent).select(
+        "a", "b", "an", "bn", "low", "high"), "bounded")
+    fits = lambda x: F.coalesce(_similar(F.col(x), F.col("an"), F.col("bn"), percent), F.lit(x == "high"))
+    settled = asked.where(fits("low")).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    open_ = asked.where(fits("high") & ~fits("low")).select("a", "b")
+    answers.append(_compared(open_.join(_all(answers).select("a", "b"), ["a", "b"], "left_anti"), texts, shingle))
+    links = _all(answers).where(_similar(F.col("shared"), F.col("an"), F.col("bn"), percent)).select(
+        F.col("a").alias("u"), F.col("b").alias("v")).unionByName(settled)
+    reps = sets.groupBy("k1").agg(F.min("rep").alias("rep"))
+    linked = links.join(reps.withColumnRenamed("rep", "ru"), F.col("u") == F.col("k1")).drop("k1").join(
+        reps.withColumnRenamed("rep", "rv"), F.col("v") == F.col("k1")).select(F.col("ru").alias("u"), F.col("rv").alias("v"))
     # rows of one doc_id with different sets are one document with several sets
     reps = records.where("n > 0 AND doc_id IS NOT NULL").join(sets, ["k1", "k2", "n"]).select("doc_id", "n", "rep")
     twice = reps.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    final = components(links.unionByName(twice))
+    final = components(linked.unionByName(twice))
+    forget(texts, pairs, asked, *forgotten, shared)
     found = final.withColumnRenamed("component", "component_id")
     return records.join(found, (records["doc_id"] == found["id"]) & (records["n"] > 0), "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _lists(rows: DataFrame, shingle: int, percent: int, rank: np.ndarray) -> DataFrame:
+    """Prefix entries in lists of two sets or more, stored."""
+    prefixes = rows.select("text").mapInArrow(_entries(shingle, percent, rank, np.zeros(0, np.uint64), True), "h long")
+    top = prefixes.groupBy("h").count().where(F.col("count") >= HOT_SETS).orderBy(
+        F.desc("count"), "h").limit(MOST_HOT).toPandas()
+    hot = np.sort(top["h"].to_numpy(np.int64).view(np.uint64))
+    entries = rows.select("text").mapInArrow(_entries(shingle, percent, rank, hot), ENTRIES).repartition("h")
+    # a set may come from several tasks; lists of one set end here. All columns are named, so that Spark sees the same
+    # shuffle on both sides of the join and makes it once
+    end = F.struct("k1", "n", "pos")
+    lists = entries.groupBy("h").agg(F.min(end).alias("lo"), F.max(end).alias("hi"), F.max("early").alias("any")).where(
+        "lo.k1 <> hi.k1 AND any").select("h")
+    return stored(entries.join(lists, "h").dropDuplicates(["h", "k1"]), "lists")
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _with_hubs(left: DataFrame, turn: int, percent: int, answers: list[DataFrame]) -> DataFrame:
+    """Pairs (a, b): every set with two hubs, sets that come first by a hash of this turn in one of its lists, of another
+    component, and that it can be similar to. All lists rank sets alike, so a group of many lists has few hubs."""
+    some = [F.struct(F.xxhash64("k1", F.lit(turn * HEADS + i)).alias("r"), "k1", "n", "pos", "comp") for i in range(HEADS // 2)]
+    heads = left.groupBy("h").agg(F.array(*[f(x) for x in some for f in (F.min, F.max)]).alias("e"))
+    fit = F.filter("e", lambda e: (e["comp"] != F.col("comp")) & _fits(F.col("n"), F.col("pos"), e["n"], e["pos"], percent))
+    best = F.transform(fit, lambda e: F.struct(F.xxhash64(e["k1"], F.lit(turn)).alias("r"), e["k1"].alias("b")))
+    rows = left.join(heads, "h").select("k1", F.array_min(best).alias("x"), F.array_max(best).alias("y")).where("x IS NOT NULL")
+    two = rows.groupBy("k1").agg(F.min("x").alias("x"), F.max("y").alias("y"))
+    # a pair is asked once: the hub of two sets that are hubs to each other is the one with the greater key
+    pairs = two.select(F.col("k1").alias("a"), F.explode(F.array_distinct(F.array("x.b", "y.b"))).alias("b"))
+    pairs = pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.max("b").alias("b")).select(
+        F.when(F.col("b") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("a"), "b")
+    if not answers:
+        return pairs
+    done = _all(answers).select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    return pairs.join(done, (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")), "left_anti")
+
+
+def _rest(left: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b, an, bn) of sets of a list that are in different components and may be similar, by blocks of what
+    is left after the position: similar sets differ in it by no more than in size."""
+    # a little wider than the ratio of sizes, so that rounding can't put a pair two blocks apart
+    width = max(1e-6, float(-np.log(percent / 100)) * 1.000001)
+    block = F.floor(F.log((F.col("n") - F.col("pos")).cast("double")) / F.lit(width))
+    left = left.withColumn("block", block)
+    x = left.where("early").select("h", F.col("k1").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("comp").alias("ac"),
+                                   F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1)).alias("block"))
+    y = left.select("h", F.col("k1").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("comp").alias("bc"), "block")
+    return x.join(y, ["h", "block"]).where("ac <> bc").where(
+        (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b")))).where(
+        _fits(F.col("an"), F.col("ap"), F.col("bn"), F.col("bp"), percent)).select("a", "b", "an", "bn").distinct()
+
+
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without all but the first document (by doc_id) of each group; columns stay.
 

@@ -11,18 +11,16 @@ BITS = 22  # of the filter: half a megabyte, whatever the number of ids
 def rows_of(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """The rows whose ``key`` (long) is in the one column of ``ids``, which are distinct.
 
-    A bit for each hash value of an id is set in a map of fixed size; rows whose bit is not set end where they are
-    read, the others are joined. With very many ids all bits are set, and the join alone decides.
+    A bit for each hash value of an id is set in a map of fixed size, a table of at most ``2 ** (BITS - 6)`` words that
+    every task gets; rows whose bit is not set end where they are read, the others are joined. With very many ids all
+    bits are set, and the join alone decides.
     """
     name = ids.columns[0]
     h = F.xxhash64(F.col(name)).bitwiseAND((1 << BITS) - 1)
-    words = ids.select(h.alias("h")).groupBy(F.shiftright("h", 6).cast("int").alias("w")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(h & 63 AS int)))").alias("bits")).toPandas()
-    full = [0] * (1 << (BITS - 6))
-    for w, bits in zip(words["w"].tolist(), words["bits"].tolist()):
-        full[w] = bits
-    table = F.split(F.lit(",".join(map(str, full))), ",").cast("array<bigint>")
+    words = ids.select(h.alias("h")).groupBy(F.shiftright("h", 6).cast("int").alias("__w")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(h & 63 AS int)))").alias("__bits"))
     h = F.xxhash64(F.col(key)).bitwiseAND((1 << BITS) - 1)
-    word = F.get(table, F.shiftright(h, 6).cast("int"))
-    test = F.getbit(word, h.bitwiseAND(63).cast("int")) == 1
-    return rows.where(test).join(ids, rows[key] == ids[name]).select(*(rows[c] for c in rows.columns))
+    word = F.shiftright(h, 6).cast("int")
+    near = rows.withColumn("__at", word).join(F.broadcast(words), F.col("__at") == F.col("__w"))
+    near = near.where(F.getbit("__bits", h.bitwiseAND(63).cast("int")) == 1)
+    return near.join(ids, near[key] == ids[name]).select(*(near[c] for c in rows.columns))
