@@ -93,10 +93,13 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 16, smoot
     """
     if buckets & (buckets - 1):
         raise ValueError("buckets must be a power of two")
-    # a plain join: ids are as many as the corpus has good documents; words are made after it
-    ids = trusted_ids(labels)
+    # merged at every size: ids are as many as the corpus has good documents; words are made after it, and rows
+    # without an id don't meet in one task
+    ids = trusted_ids(labels).hint("merge")
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
-    rows = rows.join(ids, rows["_id"] == ids["_trusted"], "left").withColumn("_w", words_of(F.col("text")))
+    named = rows.where("_id IS NOT NULL").join(ids, F.col("_id") == F.col("_trusted"), "left").select("text", "_trusted")
+    rows = named.unionByName(rows.where("_id IS NULL").select("text", F.lit(None).cast("long").alias("_trusted")))
+    rows = rows.withColumn("_w", words_of(F.col("text")))
     rows = rows.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
     counts = rows.select(F.col("_trusted").isNotNull().alias("t"),
                          F.explode(grams(F.col("_w"), F.col("_h"), buckets)).alias("b"))
