@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import difflib
 import itertools
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -447,17 +448,35 @@ def positional_join(rows: DataFrame, pasted: DataFrame, key: Sequence[str], orde
 
 # --- duplicates ---------------------------------------------------------------------------------------
 
+def agreeing_bands(hashes: int, threshold: int, bits: int = 64, most: int = 6) -> int:
+    """How many bands should agree so that joining ``hashes`` random hashes makes the fewest rows.
+
+    A choice of ``agree`` out of ``threshold + agree`` bands is a key of some bits; every hash has a row for each choice
+    and meets the hashes of its key. More bands mean more choices and longer keys, so the best number grows with the
+    logarithm of the hashes and the rows for each of them hardly grow at all.
+    """
+    def rows(agree: int) -> float:
+        bands = threshold + agree
+        return math.comb(bands, agree) * (1 + hashes / 2 ** (bits // bands * agree))
+    return min(range(1, most + 1), key=rows)
+
+
 def near_duplicates(df: DataFrame, hash_col: str, threshold: int = fixed.DUPLICATE_BITS,
-                    key: Sequence[str] = (), bits: int = 64, agree: int = 2) -> DataFrame:
+                    key: Sequence[str] = (), bits: int = 64, agree: int | None = None) -> DataFrame:
     """Pairs of **distinct** hashes within ``threshold`` bits, lossless.
 
     Copies with equal hashes count as one hash (see :func:`hash_groups`), so a large group of
     copies yields one row, not its square. The bits are cut into ``threshold + agree`` bands; two
     hashes this close agree on at least ``agree`` of them, so an equi-join on every choice of
-    ``agree`` bands meets all pairs. A pair is kept only at the first choice it agrees on. More
-    ``agree`` means more rows but far smaller groups: raise it with the number of hashes.
+    ``agree`` bands meets all pairs. A pair is kept only at the first choice it agrees on. How many should
+    agree follows from an approximate count of the hashes (of the largest key), if it is not given.
     """
     key = list(key)
+    h = F.col(hash_col)
+    one = df.filter(h.isNotNull()).select(*key, h.alias("h")).distinct()
+    if agree is None:
+        size = one.groupBy(*key).agg(F.approx_count_distinct("h").alias("n")).agg(F.max("n")).first()[0]
+        agree = agreeing_bands(size or 1, threshold, bits)
     bands = threshold + agree
     edges = [round(i * bits / bands) for i in range(bands + 1)]
 
@@ -465,17 +484,18 @@ def near_duplicates(df: DataFrame, hash_col: str, threshold: int = fixed.DUPLICA
         lo, hi = edges[i], edges[i + 1]
         return F.shiftrightunsigned(h, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
 
-    h = F.col(hash_col)
-    one = df.filter(h.isNotNull()).select(*key, h.alias("h")).distinct()
     combos = list(itertools.combinations(range(bands), agree))
-    keyed = one.select(*key, "h", F.explode(F.array(*[
-        F.struct(F.lit(n).alias("c"), reduce(
-            lambda acc, i: F.shiftleft(acc, edges[i + 1] - edges[i]).bitwiseOR(band(F.col("h"), i)),
-            combo, F.lit(0).cast("long")).alias("v"))
-        for n, combo in enumerate(combos)])).alias("b")).select(*key, "h", "b.c", "b.v")
+    # one long for the choice and its bits, where both fit
+    wide = max(sum(edges[i + 1] - edges[i] for i in c) for c in combos)
+    if wide + len(combos).bit_length() > 63:
+        raise ValueError("bands and choice do not fit in 64 bits: fewer bands should agree")
+    packed = F.array(*[reduce(
+        lambda acc, i: F.shiftleft(acc, edges[i + 1] - edges[i]).bitwiseOR(band(F.col("h"), i)),
+        combo, F.lit(0).cast("long")).bitwiseOR(F.lit(n << wide)) for n, combo in enumerate(combos)])
+    keyed = one.select(*key, "h", F.explode(packed).alias("b"))
     left = keyed.withColumnRenamed("h", "hash_a")
     right = keyed.withColumnRenamed("h", "hash_b")
-    pairs = left.join(right, [*key, "c", "v"]).filter("hash_a < hash_b")
+    pairs = left.join(right, [*key, "b"]).filter("hash_a < hash_b")
     pairs = pairs.withColumn("distance", hamming("hash_a", "hash_b")).filter(
         F.col("distance") <= threshold)
     # the choices are in lexical order, so the first one that agrees is made of the first bands
@@ -484,7 +504,7 @@ def near_duplicates(df: DataFrame, hash_col: str, threshold: int = fixed.DUPLICA
                     lambda i: i.isNotNull())
     table = F.array(*[F.array(*map(F.lit, c)) for c in combos])
     first = F.array_position(table, F.slice(same, 1, agree)) - 1
-    return pairs.filter(F.col("c") == first).select(*key, "hash_a", "hash_b", "distance")
+    return pairs.filter(F.shiftrightunsigned("b", wide) == first).select(*key, "hash_a", "hash_b", "distance")
 
 
 def hash_groups(df: DataFrame, hash_col: str, id_col: str, key: Sequence[str] = ()) -> DataFrame:

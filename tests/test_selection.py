@@ -77,3 +77,24 @@ def test_offset_rows_do_not_depend_on_the_step(spark):
         plan = out._jdf.queryExecution().executedPlan().toString()
         return plan.count("Window") , plan.count("Exchange")
     assert widest(0.1) == widest(0.01)
+
+
+def test_near_duplicates_for_every_number_of_bands(spark):
+    from cuework.operators.joins import agreeing_bands, near_duplicates
+    rng = random.Random(6)
+    hashes = [rng.getrandbits(64) for _ in range(60)]
+    for h in hashes[:20]:
+        for _ in range(3):
+            hashes.append(h ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 8))))
+    signed = [h - (1 << 64) if h >> 63 else h for h in hashes]
+    df = spark.createDataFrame([(h,) for h in signed], "h long")
+    want = {(a, b, bin((a ^ b) & (1 << 64) - 1).count("1"))
+            for a in signed for b in signed if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 6}
+    for agree in (1, 2, 3, None):
+        assert {tuple(r) for r in near_duplicates(df, "h", 6, agree=agree).collect()} == want
+    assert len(want) > 20
+    # rows for each hash, if hashes are random: at most doubled from a thousand to a hundred million
+    import math
+    rows = lambda n, a: math.comb(6 + a, a) * (1 + n / 2 ** (64 // (6 + a) * a))
+    each = [rows(n, agreeing_bands(n, 6)) for n in (10**3, 10**4, 10**5, 10**6)]
+    assert max(each) < 8 * min(each) and agreeing_bands(10**8, 6) > agreeing_bands(10**3, 6)
