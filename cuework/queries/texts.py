@@ -51,6 +51,15 @@ LINES_SQL = (f"list_filter(list_transform(string_split(text, chr(10)), lambda x:
 MD5_WORDS = "md5(array_to_string({}, ' '))"
 
 
+EACH_SQL = ("l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS x, "
+            "CAST(unnest(range(len(string_split(text, chr(10))))) AS INTEGER) AS line FROM documents)")
+
+
+def each_line(t, *more):
+    """All lines of all documents: doc_id, line from 0, x."""
+    return t("documents").select("doc_id", *more, F.posexplode(F.split("text", "\n")).alias("line", "x"))
+
+
 def first():
     """First line of a document."""
     return F.split("text", "\n")[0]
@@ -83,12 +92,12 @@ def fn1_exact(t):
     return w.select("word", tx.normalize_token_exact("word").alias("norm"))
 
 
-@query("fn2_normalize_title", f"""SELECT doc_id, {sql_title(FIRST_SQL)} AS title FROM documents
-UNION ALL SELECT -1 - p_partkey, {sql_title("p_name || ' (Official Video) [HD] ft. ' || p_brand")} FROM part""")
+@query("fn2_normalize_title", f"""WITH {EACH_SQL} SELECT doc_id, line, md5({sql_title('x')}) AS title FROM l
+UNION ALL SELECT -1 - p_partkey, 0, {sql_title("p_name || ' (Official Video) [HD] ft. ' || p_brand")} FROM part""")
 def fn2(t):
-    a = t("documents").select("doc_id", tx.normalize_title(first()).alias("title"))
+    a = each_line(t).select("doc_id", "line", F.md5(tx.normalize_title("x")).alias("title"))
     noisy = F.concat("p_name", F.lit(" (Official Video) [HD] ft. "), "p_brand")
-    return a.unionByName(t("part").select((-1 - F.col("p_partkey")).alias("doc_id"),
+    return a.unionByName(t("part").select((-1 - F.col("p_partkey")).alias("doc_id"), F.lit(0).alias("line"),
                                           tx.normalize_title(noisy).alias("title")))
 
 
@@ -372,14 +381,14 @@ def fn22(t):
     return tot.select("user_id", tx.dominant(TYPES).alias("dominant"))
 
 
-@query("fn23_publish_metadata", f"""SELECT doc_id, left({FIRST_SQL}, 100) AS title, md5(left(text, 4900)) AS description,
-  array_to_string(list_filter(list_transform(string_split({FIRST_SQL}, ','), lambda x: {sql_strip('x')}), lambda x: x <> '')[1:30], '|') AS tags
-FROM documents WHERE {FIRST_SQL} <> ''""")
+@query("fn23_publish_metadata", f"""WITH {EACH_SQL} SELECT doc_id, line, md5(CASE WHEN x = '' THEN 'Untitled' ELSE left(x, 100) END) AS title,
+  md5(left(text, 4900)) AS description,
+  md5(array_to_string(list_filter(list_transform(string_split(x, ','), lambda y: {sql_strip('y')}), lambda y: y <> '')[1:30], '|')) AS tags FROM l""")
 def fn23(t):
-    m = tx.publish_metadata(first(), "text", F.split(first(), ","))
-    return t("documents").filter(first() != "").select(
-        "doc_id", m["title"].alias("title"), F.md5(m["description"]).alias("description"),
-        F.array_join(m["tags"], "|").alias("tags"))
+    """Every line as a title and a list of tags, with the whole text as description."""
+    m = tx.publish_metadata("x", "text", F.split("x", ","))
+    return each_line(t, "text").select("doc_id", "line", F.md5(m["title"]).alias("title"), F.md5(m["description"]).alias("description"),
+                                       F.md5(F.array_join(m["tags"], "|")).alias("tags"))
 
 
 @query("fn24_append_mention", """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE
@@ -765,12 +774,15 @@ def j16(t):
         tx.token_set("text"), tx.token_set("other")).alias("relevance"))
 
 
-@query("u2_ordered_union", f"""WITH w AS (SELECT doc_id, {sql_words(FIRST_SQL)} || {sql_words("split_part(text, chr(10), 2)")} AS ws FROM documents)
-SELECT doc_id, array_to_string(list_filter(ws, lambda x, i: list_position(ws, x) = i), ' ') AS words FROM w""")
+@query("u2_ordered_union", f"""WITH {EACH_SQL}, n AS (SELECT *, coalesce(lead(x) OVER (PARTITION BY doc_id ORDER BY line), '') AS y FROM l),
+w AS (SELECT doc_id, line, {sql_words('x')} || {sql_words('y')} AS ws FROM n)
+SELECT doc_id, line, md5(array_to_string(list_filter(ws, lambda x, i: list_position(ws, x) = i), ' ')) AS words FROM w""")
 def u2(t):
-    second = F.split_part("text", F.lit("\n"), F.lit(2))
-    return t("documents").select("doc_id", F.array_join(tx.ordered_union(
-        tx.words_of(first()), tx.words_of(second)), " ").alias("words"))
+    """The words of every line and the next one."""
+    lines = F.split("text", "\n")
+    both = t("documents").select("doc_id", F.posexplode(F.transform(lines, lambda x, i: F.struct(
+        x.alias("x"), F.coalesce(F.get(lines, i + 1), F.lit("")).alias("y")))).alias("line", "p"))
+    return both.select("doc_id", "line", joined(tx.ordered_union(tx.words_of("p.x"), tx.words_of("p.y"))).alias("words"))
 
 
 @query("u4_ordered_except", f"""WITH w AS (SELECT doc_id, {sql_words('text')} AS a, {sql_words(FIRST_SQL)} AS b FROM documents)
