@@ -395,6 +395,50 @@ def wrap_text(col: Column | str, max_width: int) -> Column:
     return F.filter(F.split(out, "\n"), lambda x: x != "")
 
 
+def text_width(col: Column, widths: dict[str, int], default: int) -> Column:
+    """Width of a string: the sum of its characters' widths, ``default`` for those not named."""
+    table = F.create_map(*[x for c, w in widths.items() for x in (F.lit(c), F.lit(int(w)))])
+    chars = F.filter(F.split(col, ""), lambda c: c != "")
+    return F.aggregate(chars, F.lit(0), lambda n, c: n + (
+        F.coalesce(F.try_element_at(table, c), F.lit(int(default))) if widths else F.lit(int(default))))
+
+
+def wrap_measured(col: Column | str, max_width: int, widths: dict[str, int], default: int = 1) -> Column:
+    """Greedy wrap at ``max_width`` by the caller's measure: a width for each character, ``default`` for others.
+
+    No line is wider, unless one character with its hyphen is: an over-long word is broken, each piece as long as it can
+    be with a hyphen after it. Every word is measured once; the fold over the words carries the width of the open line.
+    """
+    width = F.lit(int(max_width))
+    space, hyphen = (F.lit(int(widths.get(c, default))) for c in (" ", "-"))
+    words = F.transform(words_of(col), lambda w: F.struct(w.alias("w"), text_width(w, widths, default).alias("n")))
+
+    def broken(word: Column) -> Column:
+        """Pieces of an over-long word: ``done`` (each with its hyphen and line break), the last one, and its width."""
+        def step(a: Column, ch: Column) -> Column:
+            n = text_width(ch, widths, default)
+            full = (a["cur"] != "") & (a["n"] + n + hyphen > width)
+            return F.struct(F.when(full, F.concat(a["done"], a["cur"], F.lit("-\n"))).otherwise(a["done"]).alias("done"),
+                            F.when(full, ch).otherwise(F.concat(a["cur"], ch)).alias("cur"),
+                            F.when(full, n).otherwise(a["n"] + n).alias("n"))
+        chars = F.filter(F.split(word, ""), lambda c: c != "")
+        return F.aggregate(chars, start, step)
+
+    def place(acc: Column, word: Column) -> Column:
+        fits = (acc["cur"] != "") & (acc["n"] + space + word["n"] <= width)
+        ended = F.when((acc["cur"] != "") & ~fits, F.concat(acc["done"], acc["cur"], F.lit("\n"))).otherwise(acc["done"])
+        over = word["n"] > width
+        parts = F.when(over, broken(word["w"]))
+        return F.struct(
+            F.when(over, F.concat(ended, parts["done"])).otherwise(ended).alias("done"),
+            F.when(over, parts["cur"]).when(fits, F.concat(acc["cur"], F.lit(" "), word["w"])).otherwise(word["w"]).alias("cur"),
+            F.when(over, parts["n"]).when(fits, acc["n"] + space + word["n"]).otherwise(word["n"]).alias("n"))
+
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("n"))
+    out = F.aggregate(words, start, place, lambda acc: F.concat(acc["done"], acc["cur"]))
+    return F.filter(F.split(out, "\n"), lambda x: x != "")
+
+
 def block_size(lines: Column, line_height: int, gap: int = 8, char_width: int = 1) -> Column:
     n = F.size(lines)
     return F.struct(

@@ -343,6 +343,37 @@ def fn20(t):
     return _wrap_checksum(t, x)
 
 
+NARROW = "fijlrtI.,'!-"
+ROOM = 44  # narrow characters count 1, others 2
+
+
+def sql_width(x: str) -> str:
+    return (f"2 * length({x}) - length(regexp_replace({x}, '[^{NARROW.replace("'", "''").replace('-', '')}-]', '', 'g'))")
+
+
+@query("fn20_wrap_measured", f"""WITH RECURSIVE w AS (SELECT doc_id, {sql_words('text')} AS ws FROM documents),
+u AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i FROM w),
+v AS (SELECT DISTINCT x, {sql_width('x')} AS n FROM u),
+c AS (SELECT x, 1 AS pos, 0 AS k, left(x, 1) AS piece, {sql_width('left(x, 1)')} AS n FROM v WHERE n > {ROOM}
+  UNION ALL SELECT x, pos + 1, CASE WHEN n + {sql_width('substr(x, pos + 1, 1)')} + 1 > {ROOM} THEN k + 1 ELSE k END,
+    CASE WHEN n + {sql_width('substr(x, pos + 1, 1)')} + 1 > {ROOM} THEN substr(x, pos + 1, 1) ELSE piece || substr(x, pos + 1, 1) END,
+    CASE WHEN n + {sql_width('substr(x, pos + 1, 1)')} + 1 > {ROOM} THEN 0 ELSE n END + {sql_width('substr(x, pos + 1, 1)')} FROM c WHERE pos < length(x)),
+p AS (SELECT x, k, max_by(piece, pos) AS piece, max_by(n, pos) AS n, max(k) OVER (PARTITION BY x) AS final FROM c GROUP BY x, k),
+z AS (SELECT doc_id, i, v.x, v.n, coalesce(q.final, 0) AS extra, coalesce(q.n, v.n) AS rest FROM u JOIN v USING (x) LEFT JOIN p q ON q.x = v.x AND q.k = q.final),
+f AS (SELECT doc_id, i, x, 0::BIGINT AS line, rest AS cur, extra FROM z WHERE i = 1
+  UNION ALL SELECT z.doc_id, z.i, z.x, f.line + f.extra + CASE WHEN f.cur + 2 + z.n > {ROOM} THEN 1 ELSE 0 END,
+    CASE WHEN f.cur + 2 + z.n > {ROOM} THEN z.rest ELSE f.cur + 2 + z.n END, z.extra FROM f JOIN z ON z.doc_id = f.doc_id AND z.i = f.i + 1),
+g AS (SELECT doc_id, i, line + coalesce(k, 0) AS line, CASE WHEN k IS NULL THEN f.x WHEN k < final THEN piece || '-' ELSE piece END AS part
+  FROM f LEFT JOIN p ON p.x = f.x AND f.extra > 0),
+h AS (SELECT doc_id, line, string_agg(part, ' ' ORDER BY i) AS t FROM g GROUP BY ALL)
+SELECT doc_id, count(*) AS n_lines, md5(string_agg(t, chr(10) ORDER BY line)) AS lines FROM h GROUP BY 1""")
+def fn20_measured(t):
+    """Whole texts wrapped by a measure with two widths; the lines themselves are compared."""
+    lines = tx.wrap_measured("text", ROOM, {c: 1 for c in NARROW}, 2)
+    d = t("documents").select("doc_id", lines.alias("ls")).filter(F.size("ls") > 0)
+    return d.select("doc_id", F.size("ls").cast("long").alias("n_lines"), F.md5(F.array_join("ls", "\n")).alias("lines"))
+
+
 def _wrap_checksum(t, x):
     from pyspark.sql import Window
     # a document is one row and its lines stay few: a plain window per document is bounded by it

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import tempfile
 
 import pytest
@@ -89,6 +90,39 @@ def wrapped(text, width):
     return lines + ([cur] if cur else [])
 
 
+def measured(text, room, widths, default):
+    size = lambda x: sum(widths.get(c, default) for c in x)
+    lines, cur = [], ""
+    for w in text.split():
+        if cur and size(f"{cur} {w}") > room:
+            lines.append(cur)
+            cur = w
+        else:
+            cur = f"{cur} {w}".strip()
+        if size(cur) > room:
+            piece = ""
+            for c in cur:
+                if piece and size(piece + c + "-") > room:
+                    lines.append(piece + "-")
+                    piece = c
+                else:
+                    piece += c
+            cur = piece
+    return lines + ([cur] if cur else [])
+
+
+def test_wrap_by_a_measure(spark):
+    rng = random.Random(4)
+    widths = {"i": 1, "l": 1, " ": 3, "-": 2, "m": 9}
+    texts = ["", "short", "m", "mmmm im", "-" * 30] + [" ".join("".join(rng.choices("ilm-xé", k=rng.randint(1, 14)))
+                                                                 for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for room, default in ((20, 4), (8, 4), (5, 6)):
+        got = {r.t: r.x for r in df.select("t", tx.wrap_measured("t", room, widths, default).alias("x")).collect()}
+        assert got == {t: measured(t, room, widths, default) for t in texts}
+    assert one(spark, tx.wrap_measured("t", 3, {}, 1), t="ab cd") == ["ab", "cd"]
+
+
 def test_wrap_and_language(spark):
     for text in ["short", "the quick brown fox jumps", "x" * 37 + " end", "", "aaaa " + "b" * 25 + " cc"]:
         assert one(spark, tx.wrap_text("t", 10), t=text) == wrapped(text, 10)
