@@ -14,7 +14,8 @@ skips by what is known of sets:
   what they lack of it; mostly that settles the pair without looking at the sets. A large group of near copies
   thus costs a number of comparisons that grows with its size, not its square.
 
-Candidates are compared by their whole sets. Shingles are ordered from rare to frequent: by counts over all documents
+Candidates are first bounded by bit maps of their sets: a bit of one that the other lacks stands for a member that the
+other lacks. Those that may be similar are compared by their whole sets. Shingles are ordered from rare to frequent: by counts over all documents
 in a table of ``1 << SKETCH`` buckets, and those found in very many prefixes so ordered (the ``MOST_HOT`` most frequent
 ones, counted exactly) last, so that what many documents share makes no lists. Any order gives the same links; a
 good one gives short lists.
@@ -34,9 +35,10 @@ from cuework.llm.textkernel import LOWER, Words, distinct_sets, mixed, slices_of
 
 SKETCH = 18
 HOT_SETS, MOST_HOT = 32, 1 << 17  # prefixes that make a shingle hot; the most that are put last
-STARS, HEADS = 4, 6  # rounds in which each set meets two hubs; sets of each list that may be hubs
-RECORDS = "doc_id long, n int, k1 long, k2 long, bucket int, docs int"
-ENTRIES = "h long, k1 long, n int, pos int, early boolean"
+STARS, HEADS = 3, 6  # rounds in which each set meets two hubs; sets of each list that may be hubs
+MOST_BITS = 20  # of a bit map, as a power of two; otherwise it has 4 to 8 bits for each member
+RECORDS = "doc_id long, n int, k1 long, k2 long, bits binary, bucket int, docs int"
+ENTRIES = "h int, k1 long, n int, pos int"
 ANSWERS = "a long, b long, an int, bn int, shared int"
 
 
@@ -54,9 +56,27 @@ def _sets(texts: pa.Array, k: int):
     return distinct_sets(*Words(texts, LOWER).shingles(k))
 
 
+def bit_map(values: np.ndarray) -> bytes:
+    """Bits of a set, numbered by the first bits of its members' hashes: a smaller map is a larger one folded."""
+    power = min(MOST_BITS, max(6, int(4 * len(values) - 1).bit_length()))
+    bits = np.zeros(1 << power, bool)
+    bits[(mixed(values) >> np.uint64(64 - power)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def most_shared(a: bytes, b: bytes, an: int, bn: int) -> int:
+    """Bound of the members that two sets share, by their bit maps and sizes."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) > len(y):
+        x = np.packbits(np.unpackbits(x).reshape(len(y) * 8, -1).any(axis=1))
+    elif len(y) > len(x):
+        y = np.packbits(np.unpackbits(y).reshape(len(x) * 8, -1).any(axis=1))
+    return min(an - int(np.bitwise_count(x & ~y).sum()), bn - int(np.bitwise_count(y & ~x).sum()))
+
+
 def _records(k: int):
     """A row for each document; after a task's documents, its shingle counts by bucket."""
-    names = ["doc_id", "n", "k1", "k2", "bucket", "docs"]
+    names = ["doc_id", "n", "k1", "k2", "bits", "bucket", "docs"]
 
     def run(batches):
         counts = np.zeros(1 << SKETCH, np.int64)
@@ -66,14 +86,15 @@ def _records(k: int):
                 counts += np.bincount((values >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH)
                 k1, k2 = set_keys(values, at)
                 none = pa.nulls(j - i, pa.int32())
+                bits = pa.array([bit_map(values[x:y]) if y > x else None for x, y in zip(at.tolist(), at[1:].tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(np.diff(at).astype(np.int32)),
-                                                  pa.array(k1), pa.array(k2), none, none], names)
+                                                  pa.array(k1), pa.array(k2), bits, none, none], names)
         full = np.flatnonzero(counts)
         for a in range(0, len(full), 1 << 14):
             f = full[a:a + (1 << 14)]
             none, short = pa.nulls(len(f), pa.int64()), pa.nulls(len(f), pa.int32())
             docs = np.minimum(counts[f], 2**31 - 1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([none, short, none, none, pa.array(f.astype(np.int32)), pa.array(docs)], names)
+            yield pa.RecordBatch.from_arrays([none, short, none, none, pa.nulls(len(f), pa.binary()), pa.array(f.astype(np.int32)), pa.array(docs)], names)
     return run
 
 
@@ -83,8 +104,9 @@ def least_overlap(a, b, percent: int):
 
 
 def _entries(k: int, percent: int, rank: np.ndarray, hot: np.ndarray, only_shingles: bool = False):
-    """Prefix shingles of each set: (shingle, set, size, position, early). A pair of similar sets shares one that is
-    early in the smaller set. ``rank``: order of the buckets; ``hot``: sorted shingles that come last of all."""
+    """Prefix shingles of each set: (shingle, set, size, position). A pair of similar sets shares one that is early in the
+    smaller set. Shingles are named by half of their hash: lists that meet by chance give candidates, no links. ``rank``:
+    order of the buckets; ``hot``: sorted names of shingles that come last of all."""
     def run(batches):
         seen: set[int] = set()
         for b in batches:
@@ -101,26 +123,25 @@ def _entries(k: int, percent: int, rank: np.ndarray, hot: np.ndarray, only_shing
                         fresh[x] = True
                 smallest = -(-percent * n // 100)
                 reach = np.where(fresh, n - least_overlap(smallest, n, percent) + 1, 0)
-                early = n - least_overlap(n, n, percent) + 1
                 owner = np.repeat(np.arange(len(n)), n)
                 live = fresh[owner]
                 values, owner = values[live], owner[live]
                 place = rank[(values >> np.uint64(64 - SKETCH)).astype(np.int64)].astype(np.int16)
+                names = (mixed(values) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 if len(hot):
-                    place[hot[np.minimum(np.searchsorted(hot, values), len(hot) - 1)] == values] += 256
+                    place[hot[np.minimum(np.searchsorted(hot, names), len(hot) - 1)] == names] += 256
                 order = np.lexsort((values, place, owner))
-                values, owner = values[order], owner[order]
+                names, owner = names[order], owner[order]
                 first = np.searchsorted(owner, np.arange(len(n)))
-                pos = np.arange(len(values)) - first[owner]
+                pos = np.arange(len(names)) - first[owner]
                 take = pos < reach[owner]
-                values, owner, pos = values[take], owner[take], pos[take]
+                names, owner, pos = names[take], owner[take], pos[take]
                 if only_shingles:
-                    yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], ["h"])
+                    yield pa.RecordBatch.from_arrays([pa.array(names)], ["h"])
                     continue
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(values.view(np.int64)), pa.array(k1[owner]), pa.array(n[owner].astype(np.int32)),
-                     pa.array(pos.astype(np.int32)), pa.array(pos < early[owner])],
-                    ["h", "k1", "n", "pos", "early"])
+                    [pa.array(names), pa.array(k1[owner]), pa.array(n[owner].astype(np.int32)),
+                     pa.array(pos.astype(np.int32))], ["h", "k1", "n", "pos"])
     return run
 
 
@@ -159,31 +180,56 @@ def _compare(k: int):
     return run
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """Answers to the pairs (a, b) of sets, by their whole texts."""
-    got = pairs.join(texts.select(F.col("k1").alias("b"), F.col("text").alias("text_b")), "b")
+def _bounded(percent: int):
+    """Pairs (a, b) of (a, b, an, bn, bits_a, bits_b) that may be similar by their bit maps."""
+    def run(batches):
+        for batch in batches:
+            an, bn, x, y = (batch.column(i).to_pylist() for i in range(2, 6))
+            most = np.array([most_shared(*z) for z in zip(x, y, an, bn)], np.int64)
+            keep = 100 * most >= percent * (np.array(an, np.int64) + np.array(bn, np.int64) - most)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return run
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """Answers to the pairs (a, b) of sets that may be similar, by their whole texts."""
+    one = lambda c: sets.select(F.col("k1").alias(c), F.col("n").alias(f"{c}n"), F.col("bits").alias(f"bits_{c}"))
+    near = pairs.select("a", "b").join(one("b"), "b").join(one("a"), "a").select("a", "b", "an", "bn", "bits_a", "bits_b")
+    near = stored(near.mapInArrow(_bounded(percent), "a long, b long"), "near")
+    wanted = near.select(F.explode(F.array("a", "b")).alias("k1")).distinct().join(sets.select("k1", "rep"), "k1")
+    wanted = stored(wanted, "wanted")
+    texts = rows_of(rows, "doc_id", wanted.select("rep").distinct())
+    # rows that are repeated, or further texts of an id, end here
+    texts = texts.groupBy("doc_id", F.xxhash64("text").alias("t")).agg(F.first("text").alias("text")).select(
+        "doc_id", "text").mapInArrow(_texts(k), "k1 long, doc_id long, text string")
+    texts = texts.join(wanted, (texts["k1"] == wanted["k1"]) & (texts["doc_id"] == wanted["rep"])).select(texts["k1"], "text")
+    texts = stored(texts.dropDuplicates(["k1"]), "texts")
+    got = near.join(texts.select(F.col("k1").alias("b"), F.col("text").alias("text_b")), "b")
     got = got.join(texts.select(F.col("k1").alias("a"), F.col("text").alias("text_a")), "a")
-    return stored(got.select("a", "b", "text_a", "text_b").mapInArrow(_compare(k), ANSWERS), "answers")
+    out = stored(got.select("a", "b", "text_a", "text_b").mapInArrow(_compare(k), ANSWERS), "answers")
+    forget(near, wanted, texts)
+    return out
 
 
 def _similar(shared, an, bn, percent: int):
     return 100 * shared >= percent * (an + bn - shared)
 
 
-def derive(pairs: DataFrame, answers: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b, an, bn, ...) with ``low`` and ``high``, bounds of the overlap of a and b by all answers that both
-    have from the same hub (column ``b`` of ``answers``); both null where there is no such hub.
+def derive(pairs: DataFrame, answers: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, an, bn, ...) with ``low`` and ``high``, bounds of the overlap of a and b by their answers from the
+    hub (column ``b`` of ``answers``) that a has most in common with; both null where b was not compared with it.
 
     If a and b have x and y members in common with the hub, at least x + y less its size are common to all three; inside
     the hub no more than min(x, y) can be common, and outside it no more than the smaller rest.
     """
-    one = answers.select(F.col("a"), F.col("b").alias("hub"), F.col("bn").alias("hn"), F.col("shared").alias("x"))
-    two = answers.select(F.col("a").alias("b"), F.col("b").alias("hub"), F.col("shared").alias("y"))
-    both = pairs.select("a", "b", "an", "bn").join(one, "a").join(two, ["b", "hub"])
-    bounds = both.groupBy("a", "b").agg(
-        F.max(F.greatest(F.lit(0), F.col("x") + F.col("y") - F.col("hn"))).alias("low"),
-        F.min(F.least("x", "y") + F.least(F.col("an") - F.col("x"), F.col("bn") - F.col("y"))).alias("high"))
-    return pairs.join(bounds, ["a", "b"], "left")
+    one = answers.groupBy("a").agg(F.max(F.struct("shared", F.col("b").alias("hub"), F.col("bn").alias("hn"))).alias("o")).select(
+        "a", F.col("o.hub").alias("hub"), F.col("o.hn").alias("hn"), F.col("o.shared").alias("x"))
+    two = answers.groupBy(F.col("a").alias("b"), F.col("b").alias("hub")).agg(F.max("shared").alias("y"))
+    low = F.greatest(F.lit(0), F.col("x") + F.col("y") - F.col("hn"))
+    high = F.least("x", "y") + F.least(F.col("an") - F.col("x"), F.col("bn") - F.col("y"))
+    both = pairs.join(one, "a", "left").join(two, ["b", "hub"], "left")
+    known = F.col("y").isNotNull()
+    return both.select(*pairs.columns, F.when(known, low).alias("low"), F.when(known, high).alias("high"))
 
 
 def _fits(an, ap, bn, bp, percent: int):
@@ -208,39 +254,36 @@ def similar_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
     counts = both.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("docs").alias("docs")).toPandas()
     rank = np.zeros(1 << SKETCH, np.uint8)  # steps of a quarter power of two
     rank[counts["bucket"].to_numpy(int)] = np.minimum(255, 4 * np.log2(1 + counts["docs"].to_numpy(float)))
-    sets = stored(records.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(
-        F.min("doc_id").alias("rep")), "distinct")
+    real = records.where("n > 0 AND doc_id IS NOT NULL")
+    sets = stored(real.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "distinct")
+    first = real.select("doc_id", "k1", "bits").join(
+        sets.groupBy("k1").agg(F.min("rep").alias("rep"), F.min("n").alias("n")).withColumnRenamed("k1", "s1"),
+        (F.col("doc_id") == F.col("rep")) & (F.col("k1") == F.col("s1"))).groupBy("k1", "rep", "n").agg(F.first("bits").alias("bits"))
     rows = rows.where("doc_id IS NOT NULL")
     shared = _lists(rows, shingle, percent, rank)
-    # the text of each set that is in a list, once for all comparisons
-    wanted = sets.join(shared.select("k1").distinct(), "k1").groupBy("k1").agg(F.min("rep").alias("rep"))
-    wanted = stored(wanted, "wanted")
-    texts = rows_of(rows, "doc_id", wanted.select("rep").distinct()).mapInArrow(_texts(shingle), "k1 long, doc_id long, text string")
-    texts = texts.join(wanted, (texts["k1"] == wanted["k1"]) & (texts["doc_id"] == wanted["rep"])).select(texts["k1"], "text")
-    texts = stored(texts.dropDuplicates(["k1"]), "texts")
-    answers = []
-    left, forgotten = shared, [wanted]
-    left = left.withColumn("comp", F.col("k1"))
+    maps = stored(first.join(shared.select("k1").distinct(), "k1", "left_semi"), "maps")
+    answers, left, opened = [], shared.withColumn("comp", F.col("k1")), [shared]
     for turn in range(STARS):
         pairs = stored(_with_hubs(left, turn, percent, answers), "pairs")
-        answers.append(_compared(pairs.select("a", "b"), texts, shingle))
+        answers.append(_compared(pairs, maps, rows, shingle, percent))
         links = _all(answers).where(_similar(F.col("shared"), F.col("an"), F.col("bn"), percent)).select(
             F.col("a").alias("u"), F.col("b").alias("v"))
-        known = components(links, rounds=2)  # enough to skip by: what it puts together is connected
+        known = components(links, rounds=1)  # enough to skip by: what it puts together is connected
         more = left.drop("comp").join(known, left["k1"] == known["id"], "left").withColumn(
-            "comp", F.coalesce("component", "k1")).drop("id", "component")
-        more = stored(more, "named")
-        several = more.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        opened = stored(more.join(several.select("h"), "h"), "open")
-        forget(more, pairs, *forgotten)
-        left, forgotten = opened, [opened]
+            "comp", F.coalesce("component", "k1")).drop("id", "component").repartition("h")
+        # all columns are named: rows and ends of a list are read off one shuffle
+        every = F.struct("comp", "k1", "n", "pos")
+        several = more.groupBy("h").agg(F.min(every).alias("lo"), F.max(every).alias("hi")).where("lo.comp <> hi.comp")
+        left = stored(more.join(several.select("h"), "h"), "open")
+        forget(pairs, *opened)
+        opened = [left]
     pairs = stored(_rest(left, percent), "pairs")
-    asked = stored(derive(pairs, _all(answers), percent).select(
-        "a", "b", "an", "bn", "low", "high"), "bounded")
+    asked = stored(derive(pairs, _all(answers)).select("a", "b", "an", "bn", "low", "high"), "bounded")
     fits = lambda x: F.coalesce(_similar(F.col(x), F.col("an"), F.col("bn"), percent), F.lit(x == "high"))
     settled = asked.where(fits("low")).select(F.col("a").alias("u"), F.col("b").alias("v"))
     open_ = asked.where(fits("high") & ~fits("low")).select("a", "b")
-    answers.append(_compared(open_.join(_all(answers).select("a", "b"), ["a", "b"], "left_anti"), texts, shingle))
+    open_ = stored(open_.join(_all(answers).select("a", "b"), ["a", "b"], "left_anti"), "left")
+    answers.append(_compared(open_, maps, rows, shingle, percent))
     links = _all(answers).where(_similar(F.col("shared"), F.col("an"), F.col("bn"), percent)).select(
         F.col("a").alias("u"), F.col("b").alias("v")).unionByName(settled)
     reps = sets.groupBy("k1").agg(F.min("rep").alias("rep"))
@@ -250,7 +293,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
     reps = records.where("n > 0 AND doc_id IS NOT NULL").join(sets, ["k1", "k2", "n"]).select("doc_id", "n", "rep")
     twice = reps.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     final = components(linked.unionByName(twice))
-    forget(texts, pairs, asked, *forgotten, shared)
+    forget(pairs, asked, open_, maps, *opened, *answers)
     found = final.withColumnRenamed("component", "component_id")
     return records.join(found, (records["doc_id"] == found["id"]) & (records["n"] > 0), "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
@@ -259,17 +302,16 @@ def similar_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
 
 def _lists(rows: DataFrame, shingle: int, percent: int, rank: np.ndarray) -> DataFrame:
     """Prefix entries in lists of two sets or more, stored."""
-    prefixes = rows.select("text").mapInArrow(_entries(shingle, percent, rank, np.zeros(0, np.uint64), True), "h long")
+    prefixes = rows.select("text").mapInArrow(_entries(shingle, percent, rank, np.zeros(0, np.int32), True), "h int")
     top = prefixes.groupBy("h").count().where(F.col("count") >= HOT_SETS).orderBy(
         F.desc("count"), "h").limit(MOST_HOT).toPandas()
-    hot = np.sort(top["h"].to_numpy(np.int64).view(np.uint64))
+    hot = np.sort(top["h"].to_numpy(np.int32))
     entries = rows.select("text").mapInArrow(_entries(shingle, percent, rank, hot), ENTRIES).repartition("h")
     # a set may come from several tasks; lists of one set end here. All columns are named, so that Spark sees the same
     # shuffle on both sides of the join and makes it once
     end = F.struct("k1", "n", "pos")
-    lists = entries.groupBy("h").agg(F.min(end).alias("lo"), F.max(end).alias("hi"), F.max("early").alias("any")).where(
-        "lo.k1 <> hi.k1 AND any").select("h")
-    return stored(entries.join(lists, "h").dropDuplicates(["h", "k1"]), "lists")
+    lists = entries.groupBy("h").agg(F.min(end).alias("lo"), F.max(end).alias("hi")).where("lo.k1 <> hi.k1").select("h")
+    return stored(entries.join(lists, "h").groupBy("h", "k1").agg(F.min("n").alias("n"), F.min("pos").alias("pos")), "lists")
 
 
 def _all(tables: list[DataFrame]) -> DataFrame:
@@ -282,6 +324,7 @@ def _all(tables: list[DataFrame]) -> DataFrame:
 def _with_hubs(left: DataFrame, turn: int, percent: int, answers: list[DataFrame]) -> DataFrame:
     """Pairs (a, b): every set with two hubs, sets that come first by a hash of this turn in one of its lists, of another
     component, and that it can be similar to. All lists rank sets alike, so a group of many lists has few hubs."""
+    left = left.select("h", "k1", "n", "pos", "comp").repartition("h")
     some = [F.struct(F.xxhash64("k1", F.lit(turn * HEADS + i)).alias("r"), "k1", "n", "pos", "comp") for i in range(HEADS // 2)]
     heads = left.groupBy("h").agg(F.array(*[f(x) for x in some for f in (F.min, F.max)]).alias("e"))
     fit = F.filter("e", lambda e: (e["comp"] != F.col("comp")) & _fits(F.col("n"), F.col("pos"), e["n"], e["pos"], percent))
@@ -305,7 +348,8 @@ def _rest(left: DataFrame, percent: int) -> DataFrame:
     width = max(1e-6, float(-np.log(percent / 100)) * 1.000001)
     block = F.floor(F.log((F.col("n") - F.col("pos")).cast("double")) / F.lit(width))
     left = left.withColumn("block", block)
-    x = left.where("early").select("h", F.col("k1").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("comp").alias("ac"),
+    early = F.col("pos") <= F.col("n") - F.ceil(percent * 2 * F.col("n") / F.lit(100 + percent))
+    x = left.where(early).select("h", F.col("k1").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("comp").alias("ac"),
                                    F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1)).alias("block"))
     y = left.select("h", F.col("k1").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("comp").alias("bc"), "block")
     return x.join(y, ["h", "block"]).where("ac <> bc").where(

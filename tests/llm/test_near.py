@@ -97,6 +97,42 @@ def test_jaccard_groups(spark, seed, k, percent):
     assert got == groups_by_force(rows, k, percent)
 
 
+def test_every_text_of_a_repeated_id_is_compared(spark):
+    rng = random.Random(5)
+    a, b, c = ([f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(3))
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, near(c)), (5, " ".join(c))]
+    for order in (rows, rows[::-1]):
+        got = {(r.doc_id, r.component_id) for r in jaccard_join.similar_groups(frame(spark, order), 4, 80).collect()}
+        assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
+
+
+def test_bounds_from_common_hubs_hold(spark):
+    rng = random.Random(6)
+    hubs = [set(rng.sample(range(60), 30)) for _ in range(3)]
+    sets = [set(rng.sample(range(60), rng.randint(20, 40))) for _ in range(25)]
+    answers = spark.createDataFrame([(i, 100 + h, len(s), len(hub), len(s & hub)) for i, s in enumerate(sets)
+                                     for h, hub in enumerate(hubs) if rng.random() < 0.7], jaccard_join.ANSWERS)
+    pairs = spark.createDataFrame([(i, j, len(sets[i]), len(sets[j])) for i in range(25) for j in range(i)], "a long, b long, an int, bn int")
+    seen = 0
+    for r in jaccard_join.derive(pairs, answers).collect():
+        if r.low is not None:
+            seen += 1
+            assert r.low <= len(sets[r.a] & sets[r.b]) <= r.high
+    assert seen > 50
+
+
+def test_bit_maps_bound_the_overlap():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        pool = rng.integers(0, 2**63, 400).astype(np.uint64)
+        a, b = (np.unique(rng.choice(pool, int(rng.integers(1, 400)))) for _ in range(2))
+        most = jaccard_join.most_shared(jaccard_join.bit_map(a), jaccard_join.bit_map(b), len(a), len(b))
+        assert len(np.intersect1d(a, b)) <= most <= min(len(a), len(b))
+    other = rng.integers(0, 2**63, 300).astype(np.uint64)
+    assert jaccard_join.most_shared(jaccard_join.bit_map(pool[:300]), jaccard_join.bit_map(other), 300, 300) < 120
+
+
 def test_jaccard_edge_cases(spark):
     assert jaccard_join.similar_groups(frame(spark, []).limit(0)).count() == 0
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (1, "A B C D E F"), (9, ""), (9, None)]

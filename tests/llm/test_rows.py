@@ -1,5 +1,7 @@
 """Row-wise operators and mixing against plain walks: nulls, empty and long texts, ties, repeats, empty tables."""
 
+import itertools
+import random
 import re
 import zlib
 from collections import Counter
@@ -44,6 +46,45 @@ def test_base_rules(spark):
         assert r.kept == (not r.base_failed)
 
 
+def grams_of(words):
+    import xxhash
+    mask = (1 << 16) - 1
+    one = lambda w: xxhash.xxh64_intdigest(w.encode(), 42)
+    h = [one(w) for w in words]
+    ends = [xxhash.xxh64_intdigest((1).to_bytes(4, "little"), one(w[-2:])) for w in words]
+    return [x & mask for x in h] + [(x ^ y << 1) & mask for x, y in zip(h, h[1:])] + [x & mask for x in ends]
+
+
+def test_scores_match_a_plain_walk(spark):
+    """Counts, ratios, scores and verdicts, worked out without Spark."""
+    import math
+    rng = random.Random(12)
+    texts = [*TEXTS, *(" ".join(f"w{rng.randrange(8 + i % 3 * 30)}é" for _ in range(rng.randint(1, 80))) for i in range(60))]
+    ids = [None, 1, 1, *range(3, len(texts))]
+    labels = [(i, int(i % 2 == 0), 0) for i in range(1, 50)] + [(1, 1, 0), (4, 1, 1), (None, 1, 0), (9999, 1, 0)]
+    docs = spark.createDataFrame([(i, t, None, "a", 0) for i, t in zip(ids, texts)], DOCS)
+    good = {i for i, q, _ in labels if q == 1}
+    raw, target = Counter(), Counter()
+    for i, t in zip(ids, texts):
+        g = grams_of(WORD.findall(t or ""))
+        raw.update(g)
+        target.update(g if i in good and i is not None else ())
+    share = sum(target.values()) / sum(raw.values())
+    ratio = {b: round(math.log((target[b] + 10) / (n * share + 10)), 6) for b, n in raw.items()}
+    want = []
+    for i, t in zip(ids, texts):
+        g = grams_of(WORD.findall(t or ""))
+        score = sum(ratio[b] for b in g) / len(g) if g else 0.0
+        failed = base(t)[-1]
+        want.append((i, base(t)[0], failed, score, not failed and round(score, 9) >= -0.1))
+    got = quality_rules.judge(docs, spark.createDataFrame(labels, LABELS)).collect()
+    key = lambda r: (str(r[0]), r[1], r[3])
+    got = sorted(((r.doc_id, r.n_words, r.base_failed, r.score, r.kept) for r in got), key=key)
+    for a, b in zip(got, sorted(want, key=key), strict=True):
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], abs=2e-8) and (a[4] == b[4] or abs(b[3] + 0.1) < 1e-7), (a, b)
+    assert {x[4] for x in want} == {True, False}
+
+
 def test_log_ratio_separates(spark):
     good = [" ".join(f"word{(i * 7 + k) % 40}" for k in range(60)) for i in range(40)]
     bad = [" ".join(f"zz{(i * 3 + k) % 50}***" for k in range(60)) for i in range(40)]
@@ -88,6 +129,45 @@ def test_secret_spans(spark):
     assert listed[0] == listed[1] == ""
 
 
+def spans_by_force(text):
+    """All spans by a plain walk over every candidate and window."""
+    import math
+    base = known(text)
+    out = list(base)
+    for m in re.finditer(secrets.CANDIDATE.replace("}+", "}"), text):
+        c = m[0]
+        if any(re.search(p, c) for p in secrets.ALLOWED) or not re.search("[0-9]", c):
+            continue
+        hexa = re.fullmatch("[0-9a-f]+|[0-9A-F]+", c)
+        both = re.search("[a-z]", c) and re.search("[A-Z]", c)
+        if not (re.search("[A-Fa-f]", c) if hexa else both or re.search("[0-9][^0-9]*[A-Za-z][^0-9]*[0-9]", c)):
+            continue
+        kind = "hex" if hexa else "base64" if not c.isalnum() else "alnum" if both else "one_case"
+        best = max(-sum(n / 20 * math.log2(n / 20) for n in Counter(c[i:i + 20]).values()) for i in range(len(c) - 19))
+        if round(best, 9) >= secrets.LEAST_BITS[kind]:
+            free = [i for i in range(m.start(), m.end()) if not any(a <= i < b for a, _, b in base)]
+            for _, run in itertools.groupby(enumerate(free), lambda x: x[1] - x[0]):
+                at = [i for _, i in run]
+                out.append((at[0], 3, at[-1] + 1))
+    return sorted(out)
+
+
+def test_entropy_spans_match_a_plain_walk(spark):
+    rng = random.Random(9)
+    texts = ["key 3ax6xn9q2k7m4p8w5z1r0t6v end", "seed JBSWY3DPEHPK3PXP5Q7ZKLM2 x", "Zk3" + "0123456789abcdef" * 2 + "Qx9LmN",
+             "internationalization2024 counterrevolutionary", "abcdefghijklmnopqrstuvwxyz", "a1" * 30, "ABCDEF0123456789ABCDEF"]
+    alphabets = ["abcdefghij0123", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJ+/=", "0123456789abcdef"]
+    for _ in range(150):
+        texts.append(rng.choice(["", "token=", "x ", "-"]).join(
+            "".join(rng.choices(rng.choice(alphabets), k=rng.randint(5, 45))) + rng.choice(["", " ", "_"]) for _ in range(4)))
+    got = secrets.scan(docs_of(spark, texts)).select("doc_id", "spans").collect()
+    for r in got:
+        assert [tuple(s) for s in r.spans] == spans_by_force(texts[r.doc_id]), texts[r.doc_id]
+    spans = {r.doc_id: [tuple(s) for s in r.spans] for r in got}
+    assert spans[0] == [(4, 3, 28)] and spans[1] == [(5, 3, 29)]
+    assert spans[2] == [(0, 3, 3), (3, 2, 35), (35, 3, 41)] and spans[3] == []
+
+
 def test_window_entropy(spark):
     import math
     texts = ["abcdabcdabcdabcdabcdxyz", "aaaa", "0123456789abcdefghijKLMN", "aaaaaaaaaaaaaaaaaaaab"]
@@ -198,6 +278,8 @@ def test_classifier(spark):
                                 .otherwise(F.col("quality")))
     assert {r.doc_id: r.score for r in pu_classifier.classify(docs, flipped).collect()} == {
         i: r.score for i, r in got.items()}
+    everything = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(103)], LABELS)  # no document without a label
+    assert len({r.score for r in pu_classifier.classify(docs, everything).collect()}) > 1
     prior = pu_classifier.classify(docs, spark.createDataFrame([], LABELS)).collect()
     assert {r.score for r in prior} == {0.5}
     assert pu_classifier.classify(spark.createDataFrame([], DOCS), labels).count() == 0
