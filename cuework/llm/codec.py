@@ -21,7 +21,7 @@ import numpy as np
 BLOCK = 4096  # ids
 LANES = 1024  # blocks that advance together
 MAGIC = b"CMR1"
-HEADER = struct.Struct("<4sIIII")  # magic, ids, segments, bytes of coded words, checksum of all that follows
+HEADER = struct.Struct("<4sIIII")  # magic, ids, segments, bytes of coded words, checksum of those and all that follows
 SEGMENT = np.dtype([("ordinal", "<u8"), ("doc_id", "<i8"), ("start", "<u4"), ("length", "<u4"), ("flags", "<u4")])
 NULL_ID, LAST = 1, 2  # flags of a segment
 
@@ -246,7 +246,11 @@ def _decode(coded: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
 def seal(segments: np.ndarray, n_ids: int, coded: bytes) -> bytes:
     """A block of the file format: header, segments (pieces of documents, in order), coded words."""
     body = segments.tobytes() + coded
-    return HEADER.pack(MAGIC, n_ids, len(segments), len(coded), zlib.crc32(body)) + body
+    return HEADER.pack(MAGIC, n_ids, len(segments), len(coded), _check(n_ids, len(segments), len(coded), body)) + body
+
+
+def _check(n_ids: int, n_segments: int, n_bytes: int, body: bytes) -> int:
+    return zlib.crc32(body, zlib.crc32(struct.pack("<III", n_ids, n_segments, n_bytes)))
 
 
 def unseal(block: bytes) -> tuple[np.ndarray, int, bytes]:
@@ -255,7 +259,8 @@ def unseal(block: bytes) -> tuple[np.ndarray, int, bytes]:
         raise ValueError("block is cut off")
     magic, n_ids, n_segments, n_bytes, check = HEADER.unpack_from(block)
     body = block[HEADER.size:]
-    if magic != MAGIC or len(body) != n_segments * SEGMENT.itemsize + n_bytes or zlib.crc32(body) != check:
+    if magic != MAGIC or len(body) != n_segments * SEGMENT.itemsize + n_bytes or _check(
+            n_ids, n_segments, n_bytes, body) != check:
         raise ValueError("block is damaged")
     cut = n_segments * SEGMENT.itemsize
     return np.frombuffer(body[:cut], SEGMENT), n_ids, body[cut:]

@@ -165,7 +165,8 @@ def _sample(ids: DataFrame, most: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 10_000) -> Additive:
     """Fits on at most ``most`` positives and ``most`` unlabelled documents; the prior is the share of good ones among
-    all labels that may be learned from."""
+    all labels that may be learned from. Where every document carries a label, documents as they come, labels ignored,
+    stand for unlabelled ones."""
     usable = labels.where("doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
     good = F.count_if(F.col("quality") == 1)
     got = usable.agg(good.alias("good"), F.count("quality").alias("all")).first()
@@ -174,6 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 10_000) -> Additive:
     ids = docs.where("doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).select(
         F.col("doc_id").cast("long").alias("_id"))
     unlabelled = _sample(ids.join(labels.select(F.col("doc_id").cast("long").alias("_id")), "_id", "left_anti"), most)
+    if unlabelled.isEmpty():
+        unlabelled = _sample(ids, most)
     chosen = positives.withColumn("_good", F.lit(True)).unionByName(unlabelled.withColumn("_good", F.lit(False)))
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(chosen), "_id")
 

@@ -1,11 +1,11 @@
 """Secret scans: known shapes, and sliding-window entropy over candidate strings.
 
 Three shapes are found by pattern. Beside them every run of 20 or more token characters that mixes letters and
-digits is a candidate; its character class (hex, letters and digits, base64) sets the entropy that counts as
-random. The Shannon entropy of a window slides along the candidate with incremental counts: with ``c`` the count
-of a character, the sum of ``c log2 c`` changes only for the character that enters and the one that leaves.
-Candidates on the allow list, or overlapping a span of a known shape, are not reported. All of it is JVM-side and
-inside the row: nothing is shuffled.
+digits is a candidate; its character class (hex, letters and digits of one case or of both, base64) sets the entropy that
+counts as random. The Shannon entropy of a window slides along the candidate with a count for each of its characters: with
+``c`` such a count, the sum of ``c log2 c`` changes only for the character that enters and the one that leaves.
+Candidates on the allow list are not reported, and of others only what no span of a known shape covers. All of it is
+JVM-side and inside the row: nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Entropy in bits that a window must reach, by character class.
-LEAST_BITS = {"hex": 3.0, "alnum": 3.6, "base64": 3.8}
+LEAST_BITS = {"hex": 3.0, "alnum": 3.6, "one_case": 3.7, "base64": 3.8}
 #: Candidates that are no secrets: identifiers, paths and words joined by separators, placeholders.
 ALLOWED = (r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
            r"^[0-9_/=+-]+$",
@@ -55,29 +55,32 @@ def window_entropy(text: Column, width: int = WINDOW) -> Column:
     def weight(k):  # k log2 k
         return F.when(k > 0, k * F.log2(k.cast("double"))).otherwise(F.lit(0.0))
 
-    def slide(chars):
-        n = F.size(chars)
+    def slide(x):
+        codes, n = x["codes"], F.size(x["codes"])
         width_here = F.least(F.lit(width), n)
 
         def step(a, i):
-            count = lambda x, lo, hi: F.size(F.filter(F.slice(chars, lo, hi), lambda y: y == x))
-            leaves = i > width
-            old = F.get(chars, i - width - 1)
-            # one of the leaving character less; then one of the entering character more
-            k = F.when(leaves, count(old, F.greatest(i - width, F.lit(1)), F.lit(width)))
-            less = F.when(leaves, weight(k) - weight(k - 1)).otherwise(F.lit(0.0))
-            lo = F.greatest(i - width + 1, F.lit(1))
-            new = F.get(chars, i - 1)
-            c = count(new, lo, i - lo)
-            s = a["s"] - less + weight(c + 1) - weight(c)
+            new, old = F.get(codes, i - 1), F.when(i > width, F.get(codes, i - width - 1))
+            up, down = F.get(a["n"], new), F.get(a["n"], old)
+            # one of the leaving character less, one of the entering character more; the same one changes nothing
+            moved = F.when(new == old, F.lit(0.0)).otherwise(
+                weight(up + 1) - weight(up) - F.coalesce(weight(down) - weight(down - 1), F.lit(0.0)))
+            counts = F.transform(a["n"], lambda c, k: c + (k == new).cast("int") - F.coalesce((k == old).cast("int"), F.lit(0)))
+            s = a["s"] + moved
             bits = F.when(i >= width_here, F.log2(width_here.cast("double")) - s / width_here).otherwise(F.lit(0.0))
-            return F.struct(s.alias("s"), F.greatest(a["best"], bits).alias("best"))
+            return F.struct(s.alias("s"), F.greatest(a["best"], bits).alias("best"), counts.alias("n"))
 
-        return F.aggregate(F.sequence(F.lit(1), n), F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("best")),
-                           step, lambda a: a["best"])
+        start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("best"), F.array_repeat(F.lit(0), x["kinds"]).alias("n"))
+        return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda a: a["best"])
+
+    def coded(chars):
+        kinds = F.array_distinct(chars)
+        return F.struct(F.transform(chars, lambda c: (F.array_position(kinds, c) - 1).cast("int")).alias("codes"),
+                        F.size(kinds).alias("kinds"))
 
     chars = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.round(F.element_at(F.transform(F.array(chars), slide), 1), 9)
+    once = lambda x, use: F.element_at(F.transform(F.array(x), use), 1)
+    return F.round(once(once(chars, coded), slide), 9)
 
 
 def is_secret(candidate: Column, least: dict[str, float] | None = None) -> Column:
@@ -85,20 +88,39 @@ def is_secret(candidate: Column, least: dict[str, float] | None = None) -> Colum
     least = least or LEAST_BITS
     hexa = F.rlike(candidate, F.lit(r"^([0-9a-f]+|[0-9A-F]+)$"))
     alnum = F.rlike(candidate, F.lit(r"^[A-Za-z0-9]+$"))
-    mixed = F.rlike(candidate, F.lit(r"[0-9]")) & F.when(hexa, F.rlike(candidate, F.lit(r"[A-Fa-f]"))).otherwise(
-        F.rlike(candidate, F.lit(r"[a-z]")) & F.rlike(candidate, F.lit(r"[A-Z]")))
+    both = F.rlike(candidate, F.lit(r"[a-z]")) & F.rlike(candidate, F.lit(r"[A-Z]"))
+    # letters of one case need digits in two places: a word with a number at its end is no token
+    single = F.rlike(candidate, F.lit(r"[0-9][^0-9]*[A-Za-z][^0-9]*[0-9]"))
+    mixed = F.rlike(candidate, F.lit(r"[0-9]")) & F.when(hexa, F.rlike(candidate, F.lit(r"[A-Fa-f]"))).otherwise(both | single)
     allowed = F.lit(False)
     for pattern in ALLOWED:
         allowed = allowed | F.rlike(candidate, F.lit(pattern))
-    bits = F.when(hexa, F.lit(least["hex"])).when(alnum, F.lit(least["alnum"])).otherwise(F.lit(least["base64"]))
+    bits = F.when(hexa, F.lit(least["hex"])).when(alnum & both, F.lit(least["alnum"])).when(
+        alnum, F.lit(least["one_case"])).otherwise(F.lit(least["base64"]))
     return F.when(mixed & ~allowed, window_entropy(candidate) >= bits).otherwise(False)
 
 
+def _uncovered(span, others: Column) -> Column:
+    """What sorted other spans leave of a span, as spans of its rank."""
+    none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
+
+    def piece(a, end):
+        new = F.struct(a["at"].alias("start"), span["rank"].alias("rank"), end.alias("end"))
+        return F.when(end > a["at"], F.array_append(a["out"], new)).otherwise(a["out"])
+
+    def step(a, b):
+        return F.struct(F.greatest(a["at"], b["end"]).alias("at"), piece(a, b["start"]).alias("out"))
+
+    near = F.filter(others, lambda b: (b["start"] < span["end"]) & (b["end"] > span["start"]))
+    begin = F.struct(span["start"].alias("at"), none.alias("out"))
+    return F.aggregate(near, begin, step, lambda a: piece(a, span["end"]))
+
+
 def scan(docs: DataFrame, least: dict[str, float] | None = None) -> DataFrame:
     """Rows of ``docs`` with ``base_spans`` and ``spans``: arrays of (start, rank, end) in code points, sorted.
 
     ``rank`` numbers KINDS; ``base_spans`` has the three shapes, ``spans`` also the entropy spans. Null texts are
-    empty and have no spans; repeated rows are scanned each; an empty table gives no rows. Columns of ``docs`` named
+    empty and have no spans; very long ones are scanned whole; repeated rows are scanned each; an empty table gives no rows. Columns of ``docs`` named
     ``base_spans`` or ``spans`` are replaced.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -113,8 +135,7 @@ def scan(docs: DataFrame, least: dict[str, float] | None = None) -> DataFrame:
         _spans(text, ASSIGN, F.col("_assign"), long_value, 0), _spans(text, ACCESS, F.col("_access"), always, 1),
         _spans(text, HEX, F.col("_hex"), always, 2))))
     rows = rows.withColumn("_entropy", _spans(text, CANDIDATE, F.col("_cand"), lambda m: is_secret(m, least), 3))
-    apart = F.filter("_entropy", lambda e: ~F.exists("base_spans", lambda b: (b["start"] < e["end"])
-                                                     & (b["end"] > e["start"])))
+    apart = F.flatten(F.transform("_entropy", lambda e: _uncovered(e, F.col("base_spans"))))
     return rows.withColumn("spans", F.array_sort(F.concat("base_spans", apart))).drop(
         "_assign", "_access", "_hex", "_cand", "_entropy")
 
