@@ -37,10 +37,9 @@ def rank_all(scored: DataFrame, key: Sequence[str], score: str = "score",
     return unsplit(df.withColumn("rank", F.col("rank") + 1).drop("_neg"))
 
 
-def media_score(queries: Column, subjects: Column, lyric: Column) -> dict[str, Column]:
-    """Columns relevance, orientation, resolution, provider_pref, score of a media candidate."""
-    scene = tx.token_set(F.concat_ws(" ", queries, subjects, F.coalesce(lyric, F.lit(""))))
-    cand = tx.token_set(F.concat_ws(" ", F.col("tags"), F.col("query")))
+def media_score(scene: Column, cand: Column) -> dict[str, Column]:
+    """Columns relevance, orientation, headroom, resolution, provider_pref of a media candidate, given the token sets of
+    its scene and itself."""
     w, h = F.col("width"), F.col("height")
     relevance = token_overlap(scene, cand)
     orientation = F.when(h > w, 1.0).when(h == w, 0.6).otherwise(0.35)
@@ -53,7 +52,6 @@ def media_score(queries: Column, subjects: Column, lyric: Column) -> dict[str, C
     return {
         "relevance": relevance, "orientation": orientation, "headroom": headroom,
         "resolution": resolution, "provider_pref": pref,
-        "score": 0.45 * relevance + 0.25 * orientation + 0.20 * resolution + 0.10 * pref,
     }
 
 
@@ -64,23 +62,24 @@ def rank_media(candidates: DataFrame, scenes: DataFrame, key: Sequence[str],
 
     ``scenes`` has one row per key: queries, subjects, lyric, scene_duration.
     """
-    df = candidates.join(scenes.select(*key, F.col("queries").alias("_q"),
-                                       F.col("subjects").alias("_s"), F.col("lyric").alias("_l"),
-                                       F.col("scene_duration").alias("_d")), list(key))
+    # one token set for each scene and each candidate, used by all that follows
+    words = tx.token_set(F.concat_ws(" ", "queries", "subjects", F.coalesce("lyric", F.lit(""))))
+    df = candidates.withColumn("_c", tx.token_set(F.concat_ws(" ", "tags", "query"))).join(
+        scenes.select(*key, words.alias("_s"), F.col("scene_duration").alias("_d")), list(key))
     df = df.withColumn("reject_reason", pr.reject_reason(F.col("_d")))
-    rejected = df.filter(F.col("reject_reason").isNotNull()).drop("_q", "_s", "_l", "_d")
+    rejected = df.filter(F.col("reject_reason").isNotNull()).drop("_c", "_s", "_d")
     ok = df.filter(F.col("reject_reason").isNull()).drop("reject_reason")
-    ok = ok.withColumns(media_score(F.col("_q"), F.col("_s"), F.col("_l")))
+    ok = ok.withColumns(media_score(F.col("_s"), F.col("_c")))
+    ok = ok.withColumn("score", 0.45 * F.col("relevance") + 0.25 * F.col("orientation") + 0.20 * F.col("resolution")
+                       + 0.10 * F.col("provider_pref"))
     ok = ok.withColumn("reasons", F.array(
         F.format_string("relevance %.2f (%d shared terms)", "relevance",
-                        F.size(F.array_intersect(
-                            tx.token_set(F.concat_ws(" ", "_q", "_s", F.coalesce("_l", F.lit("")))),
-                            tx.token_set(F.concat_ws(" ", "tags", "query"))))),
+                        F.size(F.array_intersect("_s", "_c"))),
         F.when(F.col("height") > F.col("width"), "portrait orientation")
         .when(F.col("height") == F.col("width"), "square (needs framing)")
         .otherwise("landscape (needs crop/fill adaptation)"),
         F.format_string("resolution headroom %.2fx", "headroom")))
-    ok = ok.drop("_q", "_s", "_l", "_d")
+    ok = ok.drop("_c", "_s", "_d")
     return rank_all(ok, key, "score", input_pos, hot_rows), rejected
 
 

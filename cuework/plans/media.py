@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,29 +41,33 @@ def assign_media(ranked: DataFrame, *blocked: DataFrame, held: DataFrame | None
                                                           "provider", "provider_ref")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes: set[int] = set()
+        hashes, n_hashes = np.zeros(64, np.uint64), 0  # of all picks so far
         used: set[tuple] = set()
         scene, taken = None, 0
         for b in batches:
             keep, slots = [], []
             for n, (s, provider, ref, h) in enumerate(zip(
                     b["scene_index"], b["provider"], b["provider_ref"], b["phash"])):
-                h = None if pd.isna(h) else int(h) & 0xFFFFFFFFFFFFFFFF
+                h = None if pd.isna(h) else np.uint64(int(h) & 0xFFFFFFFFFFFFFFFF)
+                if n_hashes == len(hashes):
+                    hashes = np.concatenate([hashes, np.zeros(len(hashes), np.uint64)])
                 if s < 0:
-                    hashes.add(h)
+                    hashes[n_hashes] = h
+                    n_hashes += 1
                     continue
                 if s != scene:
                     scene, taken = s, 0
                 if taken > extras or (provider, ref) in used:
                     continue
-                if h is not None and any((h ^ o).bit_count() <= threshold for o in hashes):
+                if h is not None and (np.bitwise_count(hashes[:n_hashes] ^ h) <= threshold).any():
                     continue
                 keep.append(n)
                 slots.append(taken)
                 taken += 1
                 used.add((provider, ref))
                 if h is not None:
-                    hashes.add(h)
+                    hashes[n_hashes] = h
+                    n_hashes += 1
             yield b.iloc[keep].assign(slot=slots)
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in cols)

@@ -15,7 +15,8 @@ from cuework.operators import joins as jn
 from cuework.operators.windows import ordinal
 from cuework.plans import lyrics, media, scenes
 from cuework.queries.registry import DAY, E, EPOCH_US, QUERIES, SQL, of_type, query, r
-from cuework.queries.texts import NOISY_SQL, noisy, part_media, sql_title
+from cuework.queries.texts import (NOISY_SQL, PART_MEDIA_SQL, REJECT_SQL, noisy, part_media, sql_hash, sql_title,
+                                   sql_token_set)
 from cuework.session import checkpoint
 from cuework.sources.versions import read_buckets
 from cuework.streaming import jobs
@@ -191,7 +192,24 @@ def ranked_media(t) -> DataFrame:
                      k.cast("string").alias("provider_ref"), "kind", "phash", "score", "width", "height")
 
 
-@query("d5_assign_media")
+@query("d5_assign_media", f"""WITH RECURSIVE m AS ({PART_MEDIA_SQL.replace('FROM part', ', p_brand, p_name, p_type FROM part')}),
+h AS (SELECT vec_id, {sql_hash('embedding')} AS h FROM embeddings),
+sc AS (SELECT unnest(range(3)) AS scene_index, unnest(['red ring', 'cold gear', 'small bolt']) AS q),
+x AS (SELECT m.*, h, scene_index, {REJECT_SQL} AS reason, len(list_intersect({sql_token_set("q || ' widget'")}, {sql_token_set("tags || ' ' || p_type")})) AS ov
+  FROM m, sc, h WHERE vec_id = p_partkey % (SELECT count(*) FROM embeddings)),
+y AS (SELECT *, least(width / 1080, height / 1920) AS head FROM x WHERE reason IS NULL AND kind = 'photo' AND p_partkey % 17 <> 0),
+z AS (SELECT p_brand, scene_index, p_partkey, h, 0.45 * least(1, ov / 4) + 0.25 * CASE WHEN height > width THEN 1 WHEN height = width THEN 0.6 ELSE 0.35 END
+  + 0.20 * least(1, greatest(0, (head - 0.8) / 1.2)) + 0.10 * CASE p_partkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 ELSE 0.85 END AS score FROM y),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY scene_index, round(score, 9) DESC, p_partkey) AS n FROM z),
+w AS (SELECT p_brand, 0::BIGINT AS n, -1::BIGINT AS scene_index, 0 AS slot, false AS ok, []::BIGINT[] AS used, []::BIGINT[] AS hashes, 0::BIGINT AS p_partkey, 0::BIGINT AS h, 0::DOUBLE AS score
+    FROM (SELECT DISTINCT p_brand FROM r)
+  UNION ALL SELECT p_brand, n, scene_index, taken, fits, CASE WHEN fits THEN list_append(used, p_partkey) ELSE used END,
+    CASE WHEN fits THEN list_append(hashes, h) ELSE hashes END, p_partkey, h, score FROM (
+    SELECT *, taken <= 2 AND NOT list_contains(used, p_partkey) AND len(list_filter(hashes, lambda o: bit_count(xor(o, h)) <= 8)) = 0 AS fits FROM (
+      SELECT r.*, w.used, w.hashes, CASE WHEN r.scene_index <> w.scene_index THEN 0 WHEN w.ok THEN w.slot + 1 ELSE w.slot END AS taken
+      FROM w JOIN r ON r.p_brand = w.p_brand AND r.n = w.n + 1)))
+SELECT p_brand AS job_id, CAST(scene_index AS INTEGER) AS scene_index, CAST(slot AS INTEGER) AS slot, p_partkey::VARCHAR AS provider_ref, h AS phash,
+  round(score, 6)::DOUBLE AS score FROM w WHERE ok""")
 def d5(t):
     ranked = ranked_media(t)
     gone = ranked.filter("cast(provider_ref as bigint) % 17 = 0").select("job_id", "provider", "provider_ref").distinct()
