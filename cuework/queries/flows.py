@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuework.functions import fixed_values as fixed
 from cuework.functions import hashing as hs
 from cuework.functions import text as tx
 from cuework.operators import align, ranking as rk
@@ -15,8 +16,8 @@ from cuework.operators import joins as jn
 from cuework.operators.windows import ordinal
 from cuework.plans import lyrics, media, scenes
 from cuework.queries.registry import DAY, E, EPOCH_US, QUERIES, SQL, of_type, query, r
-from cuework.queries.texts import (NOISY_SQL, PART_MEDIA_SQL, REJECT_SQL, noisy, part_media, sql_hash, sql_title,
-                                   sql_token_set)
+from cuework.queries.texts import (MOVED_SQL, NOISY_SQL, PART_MEDIA_SQL, REJECT_SQL, SCRIPTS, TURKISH_SQL, noisy, part_media,
+                                   sql_hash, sql_title, sql_token_set, sql_words)
 from cuework.session import checkpoint
 from cuework.sources.versions import read_buckets
 from cuework.streaming import jobs
@@ -237,14 +238,21 @@ def d6(t):
     return out.select("doc_id", "line_index", F.md5("translation").alias("translation"))
 
 
-@query("d6_track_languages", """SELECT conv_id, ['ru', 'el', 'he', 'ar'][conv_id % 4 + 1] AS language
-FROM (SELECT DISTINCT conv_id FROM conversations)""")
+@query("d6_track_languages", f"""WITH m AS (SELECT conv_id, string_agg({MOVED_SQL.replace('doc_id', 'conv_id').replace('ELSE text', "ELSE coalesce(text, '')")},
+    chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1),
+b AS (SELECT conv_id, text, lower(text) AS t, length(lower(text)) - length(translate(lower(text), '{fixed.TURKISH_CHARS}', ''))
+  AS hits, {sql_words('lower(text)')} AS ws, greatest(1, len(regexp_extract_all(text, '\\p{{L}}'))) AS n FROM m)
+SELECT conv_id, CASE WHEN len(ws) = 0 THEN NULL WHEN {TURKISH_SQL} THEN 'tr'
+  WHEN len(regexp_extract_all(text, '[{fixed.ARABIC}]')) / n > 0.3 THEN 'ar'
+  WHEN len(regexp_extract_all(text, '[{fixed.CYRILLIC}]')) / n > 0.3 THEN 'ru'
+  WHEN len(regexp_extract_all(text, '[{fixed.GREEK}]')) / n > 0.3 THEN 'el'
+  WHEN len(regexp_extract_all(text, '[{fixed.HEBREW}]')) / n > 0.3 THEN 'he' END AS language FROM b""")
 def d6_languages(t):
-    """Conversations moved into four scripts in turn."""
-    text = F.lower(F.regexp_replace("text", "[ğüşıöçĞÜŞİÖÇ]", ""))
-    letters = ["аеинорст", "αεινορστ", "אבגדהוזח", "ابتثجحخد"]
-    moved = [F.when(F.col("conv_id") % 4 == i, F.translate(text, "aeinorst", x)) for i, x in enumerate(letters)]
-    return lyrics.track_languages(t("conversations").withColumn("text", F.coalesce(*moved)), CONV)
+    """Conversations in five scripts in turn; a conversation's counts decide, whatever its single lines look like."""
+    text = F.when(F.lit(False), F.col("text"))
+    for k, (a, b) in SCRIPTS.items():
+        text = text.when(F.col("conv_id") % 5 == k, F.translate("text", a, b))
+    return lyrics.track_languages(t("conversations").withColumn("text", text.otherwise(F.col("text"))), CONV)
 
 
 @query("d7_requery", """SELECT p_partkey, array_to_string(CASE p_partkey % 4 WHEN 0 THEN ['typed'] || list_filter(string_split(p_name, ' '), lambda x: x <> 'typed')
