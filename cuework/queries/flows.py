@@ -76,6 +76,54 @@ def m2(t):
                       F.size("words").alias("n_words"))
 
 
+def marked_lines(t) -> DataFrame:
+    """Conversation lines whose words carry their place, so that each can be heard at one place only."""
+    ws = F.transform(tx.words_of("text"), lambda w, i: F.concat(w, F.lit("x"), (F.col("line_index") * 1000 + i).cast("string")))
+    return conversation_lines(t).select("conv_id", "line_index", F.array_join(ws, " ").alias("text"))
+
+
+def marked_asr(lines: DataFrame, heard) -> DataFrame:
+    w = lines.select("conv_id", "line_index", F.posexplode(tx.words_of("text")).alias("i", "text")).filter(heard)
+    w = ordinal(w.withColumn("at", F.col("line_index") * 1000 + F.col("i")), CONV, ["at"], "pos")
+    return w.select("conv_id", "pos", F.concat("text", F.lit("!")).alias("text"), (F.col("pos") * 0.5).alias("start"),
+                    (F.col("pos") * 0.5 + 0.25).alias("end"), F.lit(0.8713).alias("prob"))
+
+
+MARKED_SQL = LINES_SQL + """, w AS (SELECT conv_id, line_index, unnest(range(len(ws))) AS i FROM (
+  SELECT conv_id, line_index, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM ln))"""
+
+
+@query("m1_align_marked", f"""WITH {MARKED_SQL},
+h AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY line_index, i) - 1 AS pos FROM w WHERE i % 7 <> 3),
+o AS (SELECT conv_id, line_index, i, pos * 0.5 AS s, pos * 0.5 + 0.25 AS e, pos FROM w LEFT JOIN h USING (conv_id, line_index, i)),
+g AS (SELECT *, lag(e) OVER x AS before, lead(s) OVER x AS after FROM o WINDOW x AS (PARTITION BY conv_id ORDER BY line_index, i)),
+f AS (SELECT conv_id, line_index, pos IS NOT NULL AS ok, CASE WHEN pos IS NOT NULL THEN s WHEN after IS NOT NULL THEN before END AS s,
+  CASE WHEN pos IS NOT NULL THEN e WHEN after IS NOT NULL THEN after END AS e,
+  CASE WHEN pos IS NOT NULL THEN 0.8713 WHEN after IS NOT NULL THEN 0.2 ELSE 0 END AS c FROM g),
+st AS (SELECT conv_id, round_even(avg(ok::INT), 4) AS matched_ratio FROM f GROUP BY 1)
+SELECT conv_id, line_index, min(s)::DOUBLE AS start_s, max(e)::DOUBLE AS end_s, round_even(avg(c), 3)::DOUBLE AS confidence,
+  any_value(matched_ratio)::DOUBLE AS matched_ratio FROM f JOIN st USING (conv_id) GROUP BY ALL""")
+def m1_marked(t):
+    """Every seventh word is not heard and has to be filled in between its neighbours."""
+    ln = marked_lines(t)
+    lines, _, stats = align.align_lyrics(ln, marked_asr(ln, F.col("i") % 7 != 3), CONV)
+    return lines.join(stats, "conv_id").filter("text <> ''").select(
+        "conv_id", "line_index", F.col("start").alias("start_s"), F.col("end").alias("end_s"), "confidence", "matched_ratio")
+
+
+@query("m2_align_marked", f"""WITH {MARKED_SQL}, v AS (SELECT *, line_index % 5 <> 2 AS sung FROM w),
+h AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY line_index, i) - 1 AS pos FROM v WHERE sung),
+x AS (SELECT conv_id, line_index, sung, min(pos) * 0.5 AS s, max(pos) * 0.5 + 0.25 AS e, count(*) AS n FROM v LEFT JOIN h USING (conv_id, line_index, i, sung) GROUP BY ALL)
+SELECT conv_id, line_index, s::DOUBLE AS start_s, CASE WHEN sung THEN greatest(e, s + 0.5) END::DOUBLE AS end_s, CASE WHEN sung THEN 1.0 ELSE 0.0 END::DOUBLE AS confidence,
+  CAST(n AS INTEGER) AS n_words FROM x""")
+def m2_marked(t):
+    """One line in five is not sung at all and stays without times; the others read as they stand."""
+    ln = marked_lines(t)
+    out = align.align_monotonic(ln, marked_asr(ln, F.col("line_index") % 5 != 2), CONV)
+    return out.filter("text <> ''").select("conv_id", "line_index", F.col("start").alias("start_s"), F.col("end").alias("end_s"),
+                                           "confidence", F.size("words").alias("n_words"))
+
+
 @query("m3_align_from_spans", f"""WITH {LINES_SQL},
 w AS (SELECT *, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: regexp_replace(lower(strip_accents(w)),
   '[^\\p{{L}}\\p{{N}}_]+', '', 'g') <> '')) AS n FROM ln)
