@@ -300,7 +300,7 @@ def ordered_distinct(df: DataFrame, key: Sequence[str], col: str, order: str,
     """
     key = list(key)
     first = df.groupBy(*key, col).agg(F.min(order).alias("first_at"))
-    ranked = unsplit(scan(split_hot(first, key, "first_at"), key, ["first_at", col],
+    ranked = unsplit(scan(split_hot(first, key, "first_at", ties=[col]), key, ["first_at", col],
                           {"rank": ("count", F.lit(1))}))
     return ranked.filter(F.col("rank") < limit) if limit else ranked
 

@@ -22,30 +22,36 @@ NO_SPLIT = 1 << 62
 CHUNK, HOT = "_chunk", "_hot"
 
 
-def split_hot(df: DataFrame, key: Sequence[str], order: str, hot_rows: int | None = None
-              ) -> DataFrame:
+SPAN = 1 << 20  # parts of a chunk of equal values at most
+
+
+def split_hot(df: DataFrame, key: Sequence[str], order: str, hot_rows: int | None = None,
+              ties: Sequence[str] = ()) -> DataFrame:
     """Cut hot keys into chunks of their order column; without hot keys ``df`` comes back as it is.
 
     One map-side combined count per key decides (a small job of its own, so that the usual case
     keeps the plain plan). ``order`` is the leading order column, of any type; chunks are cut at
     approximate quantiles of its values, so they hold about as many rows each wherever the values lie.
-    Equal values share a chunk; rows where it is NULL form a chunk of their own in front of the others.
+    A value that is a cut has a chunk of its own, and so have rows where ``order`` is NULL, in front of the others.
+    Such a chunk of equal values is cut further along the first of ``ties``, the columns that come next in the order,
+    where it is too large; without ``ties`` it stays whole.
     """
     hot_rows = hot_rows or HOT_ROWS
     if hot_rows >= NO_SPLIT:
         return df
     key = list(key)
     o = _number(F.col(order), df.schema[order].dataType)
-    counts = df.groupBy(*key).agg(F.count(o).alias("_n")).filter(F.col("_n") > hot_rows)
+    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
     most = counts.agg(F.max("_n")).first()[0]
     if most is None:
         return df
     # one list of borders for each hot key, as long as the hottest one needs
     parts = -(-most // hot_rows)
     borders = (df.join(F.broadcast(counts), key, "left_semi").groupBy(*key)
-               .agg(F.percentile_approx(o, [i / parts for i in range(1, parts)], 10_000).alias("_cut")))
+               .agg(F.coalesce(F.array_distinct(F.percentile_approx(
+                   o, [i / parts for i in range(1, parts)], 10_000)), F.array().cast("array<double>")).alias("_cut")))
     chunk = F.when(o.isNull(), F.lit(-1)).when(F.col("_cut").isNull(), F.lit(0)).otherwise(
-        F.size(F.filter("_cut", lambda x: x < o)))
+        F.size(F.filter("_cut", lambda x: x < o)) + F.size(F.filter("_cut", lambda x: x <= o)))
     split = (
         df.join(F.broadcast(borders), key, "left")
         .withColumn(CHUNK, chunk.cast("long"))
@@ -54,7 +60,28 @@ def split_hot(df: DataFrame, key: Sequence[str], order: str, hot_rows: int | Non
     )
     # every scan reads its input twice (rows, and chunk ends of hot keys): store it once instead of
     # working it out again at each step
-    return checkpoint(split)
+    split = checkpoint(split)
+    plain = (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    if not ties or not isinstance(df.schema[ties[0]].dataType, plain):
+        return split
+    return _split_ties(split, key, order, hot_rows, ties)
+
+
+def _split_ties(split: DataFrame, key: list[str], order: str, hot_rows: int, ties: Sequence[str]) -> DataFrame:
+    """Cut chunks of equal values along the first of ``ties``; chunk numbers keep their order."""
+    t = _number(F.col(ties[0]), split.schema[ties[0]].dataType)
+    equal = (F.min(order).eqNullSafe(F.max(order))) & (F.count(order).isin(0) | (F.count(order) == F.count(F.lit(1))))
+    heavy = split.filter(F.col(HOT)).groupBy(*key, CHUNK).agg(F.count(F.lit(1)).alias("_n"), equal.alias("_same")).filter(
+        f"_same AND _n > {2 * hot_rows}").select(*key, CHUNK, "_n")
+    most = heavy.agg(F.max("_n")).first()[0]
+    if most is None:
+        return split
+    parts = min(SPAN, -(-most // hot_rows))
+    within = (split.join(F.broadcast(heavy), [*key, CHUNK], "left_semi").groupBy(*key, CHUNK)
+              .agg(F.percentile_approx(t, [i / parts for i in range(1, parts)], 10_000).alias("_cut")))
+    part = F.when(F.col("_cut").isNull() | t.isNull(), F.lit(0)).otherwise(F.size(F.filter("_cut", lambda x: x < t)))
+    return checkpoint(split.join(F.broadcast(within), [*key, CHUNK], "left").withColumn(
+        CHUNK, F.col(CHUNK) * F.lit(SPAN) + part.cast("long")).drop("_cut"))
 
 
 def _number(o: Column, kind: T.DataType) -> Column:

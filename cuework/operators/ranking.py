@@ -32,7 +32,7 @@ def rank_all(scored: DataFrame, key: Sequence[str], score: str = "score",
              input_pos: str = "input_pos", hot_rows: int | None = None) -> DataFrame:
     """Rank of every row of a key, best first (1-based), for keys of any size."""
     df = scored.withColumn("_neg", -F.col(score))
-    df = scan(split_hot(df, key, "_neg", hot_rows), key, ["_neg", input_pos],
+    df = scan(split_hot(df, key, "_neg", hot_rows, [input_pos]), key, ["_neg", input_pos],
               {"rank": ("count", F.lit(1))})
     return unsplit(df.withColumn("rank", F.col("rank") + 1).drop("_neg"))
 

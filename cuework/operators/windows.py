@@ -22,7 +22,7 @@ def infer_line_ends(df: DataFrame, key: Sequence[str], start: str = "start",
                     tie: Sequence[str] = (), hot_rows: int | None = None) -> DataFrame:
     """Add ``end``: the next start, held between ``min_len`` and ``max_hold`` after the start."""
     s = F.col(start)
-    out = scan(split_hot(df, key, start, hot_rows), key, [start, *tie],
+    out = scan(split_hot(df, key, start, hot_rows, tie), key, [start, *tie],
                {"_next": ("last", start)}, reverse=True)
     stop = [F.col("_next"), s + F.lit(max_hold)]
     if duration:
@@ -55,7 +55,7 @@ def group_by_pause(words: DataFrame, key: Sequence[str], start: str = "start", e
                    hot_rows: int | None = None) -> DataFrame:
     """Number the pause-separated groups of a key: adds ``pos``, ``group_index``, ``in_group``."""
     order = [start, *tie]
-    df = scan(split_hot(words, key, start, hot_rows), key, order,
+    df = scan(split_hot(words, key, start, hot_rows, tie), key, order,
               {"_prev": ("last", end), "pos": ("count", F.lit(1))})
     new = F.col("_prev").isNull() | (F.col(start) - F.col("_prev") > F.lit(gap))
     df = df.withColumn("_at", F.when(new, F.col("pos")))

@@ -110,6 +110,24 @@ def test_translator_pays_once(spark):
     assert calls.value == 2
 
 
+def test_equal_values_are_cut_along_the_ties(spark):
+    """A hot key of one score, or without any, is cut by the columns that come next in the order."""
+    rows = ([("same", 1.0, i) for i in range(1000)] + [("null", None, i) for i in range(900)] + [("null", 0.5, i) for i in range(50)]
+            + [("mixed", float(i % 3 == 0), i) for i in range(900)] + [("small", 1.0, 1)])
+    df = spark.createDataFrame(rows, "k string, o double, tie int")
+    split = O.split_hot(df, ["k"], "o", 100, ["tie"])
+    sizes = split.groupBy("k", O.CHUNK).count().collect()
+    assert max(r["count"] for r in sizes) <= 200
+    whole = O.split_hot(df, ["k"], "o", 100)
+    assert whole.groupBy("k", O.CHUNK).count().agg({"count": "max"}).first()[0] == 1000
+    for cut in (split, whole, df):
+        got = O.scan(cut, ["k"], ["o", "tie"], {"n": ("count", F.lit(1))})
+        want, seen = {}, {}
+        for k, o, tie in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2])):
+            want[k, o, tie] = seen[k] = seen.get(k, -1) + 1
+        assert {(r.k, r.o, r.tie): r.n for r in got.collect()} == want
+
+
 def test_ttl_refills(spark):
     at = [dt.datetime(2024, 1, 1) + dt.timedelta(days=d) for d in (0, 3, 8, 9, 70)]
     df = spark.createDataFrame([("a", t) for t in at], "k string, ts timestamp")
