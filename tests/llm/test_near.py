@@ -189,7 +189,7 @@ def test_passages(spark):
 
 def test_registry():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in QUERIES and set(SQL) <= set(QUERIES)
+    assert numbers == list(range(1, 14)) and "pipeline" in QUERIES and set(SQL) <= set(QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "jaccard_join", "secret_scans", "mix_sources",
                                                       "pack_sequences"]
 
