@@ -35,7 +35,7 @@ from cuework.llm.textkernel import LOWER, Words, distinct_sets, mixed, slices_of
 
 SKETCH = 18
 HOT_SETS, MOST_HOT = 32, 1 << 17  # prefixes that make a shingle hot; the most that are put last
-STARS, HEADS = 3, 6  # rounds in which each set meets two hubs; sets of each list that may be hubs
+STARS, HEADS = 6, 6  # rounds in which each set meets two hubs; sets of each list that may be hubs
 MOST_BITS = 20  # of a bit map, as a power of two; otherwise it has 4 to 8 bits for each member
 RECORDS = "doc_id long, n int, k1 long, k2 long, bits binary, bucket int, docs int"
 ENTRIES = "h int, k1 long, n int, pos int"
