@@ -37,6 +37,12 @@ def rank_all(scored: DataFrame, key: Sequence[str], score: str = "score",
     return unsplit(df.withColumn("rank", F.col("rank") + 1).drop("_neg"))
 
 
+def nearest(col: Column | str, digits: int) -> Column:
+    """The nearest multiple of 10 ** -digits, halves up, of a number that is not negative; all in doubles."""
+    x = (F.col(col) if isinstance(col, str) else col) * float(10 ** digits)
+    return (F.floor(x) + F.when(x - F.floor(x) >= 0.5, 1).otherwise(0)) / float(10 ** digits)
+
+
 def media_score(scene: Column, cand: Column) -> dict[str, Column]:
     """Columns relevance, orientation, headroom, resolution, provider_pref of a media candidate, given the token sets of
     its scene and itself."""
@@ -60,7 +66,8 @@ def rank_media(candidates: DataFrame, scenes: DataFrame, key: Sequence[str],
                ) -> tuple[DataFrame, DataFrame]:
     """(accepted candidates with score, reasons and rank, rejected candidates with the reason).
 
-    ``scenes`` has one row per key: queries, subjects, lyric, scene_duration.
+    ``scenes`` has one row per key: queries, subjects, lyric, scene_duration. Scores that agree to nine digits are ties,
+    which stay in input order.
     """
     # one token set for each scene and each candidate, used by all that follows
     words = tx.token_set(F.concat_ws(" ", "queries", "subjects", F.coalesce("lyric", F.lit(""))))
@@ -70,8 +77,9 @@ def rank_media(candidates: DataFrame, scenes: DataFrame, key: Sequence[str],
     rejected = df.filter(F.col("reject_reason").isNotNull()).drop("_c", "_s", "_d")
     ok = df.filter(F.col("reject_reason").isNull()).drop("reject_reason")
     ok = ok.withColumns(media_score(F.col("_s"), F.col("_c")))
-    ok = ok.withColumn("score", 0.45 * F.col("relevance") + 0.25 * F.col("orientation") + 0.20 * F.col("resolution")
-                       + 0.10 * F.col("provider_pref"))
+    # products of two decimals are decimals again, not what doubles make of them
+    ok = ok.withColumn("score", 0.45 * F.col("relevance") + F.round(0.25 * F.col("orientation"), 9)
+                       + 0.20 * F.col("resolution") + F.round(0.10 * F.col("provider_pref"), 9))
     ok = ok.withColumn("reasons", F.array(
         F.format_string("relevance %.2f (%d shared terms)", "relevance",
                         F.size(F.array_intersect("_s", "_c"))),
@@ -79,8 +87,8 @@ def rank_media(candidates: DataFrame, scenes: DataFrame, key: Sequence[str],
         .when(F.col("height") == F.col("width"), "square (needs framing)")
         .otherwise("landscape (needs crop/fill adaptation)"),
         F.format_string("resolution headroom %.2fx", "headroom")))
-    ok = ok.drop("_c", "_s", "_d")
-    return rank_all(ok, key, "score", input_pos, hot_rows), rejected
+    ok = ok.drop("_c", "_s", "_d").withColumn("_even", nearest("score", 9))
+    return rank_all(ok, key, "_even", input_pos, hot_rows).drop("_even"), rejected
 
 
 def order_with_override(df: DataFrame, picks: DataFrame, key: Sequence[str], item: str,

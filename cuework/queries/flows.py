@@ -262,7 +262,8 @@ SELECT p_brand AS job_id, CAST(scene_index AS INTEGER) AS scene_index, CAST(slot
 def d5(t):
     ranked = ranked_media(t)
     gone = ranked.filter("cast(provider_ref as bigint) % 17 = 0").select("job_id", "provider", "provider_ref").distinct()
-    return media.assign_media(ranked, gone).select("job_id", "scene_index", "slot", "provider_ref", "phash", r("score", 6).alias("score"))
+    return media.assign_media(ranked, gone).select("job_id", "scene_index", "slot", "provider_ref", "phash",
+                                                    rk.nearest("score", 6).alias("score"))
 
 
 def tagging(text: str, source: str, target: str) -> str:

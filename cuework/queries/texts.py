@@ -731,7 +731,7 @@ def k2(t):
         "provider": tx.cyclic_pick(k, ["pexels", "pixabay", "unsplash", "other"]),
         "query": F.col("p_type"), "input_pos": k})
     ok, _ = rk.rank_media(cand, scenes, ["p_brand"])
-    return ok.select("p_brand", "p_partkey", r("score", 5).alias("score"), "rank")
+    return ok.select("p_brand", "p_partkey", rk.nearest("score", 5).alias("score"), "rank")
 
 
 @query("k4_order_with_override", """WITH p AS (SELECT *, event_type = 'purchase' AS picked FROM events)

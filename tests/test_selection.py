@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cuework.operators import aggregates as agg
+from cuework.operators import ranking
 
 
 def test_median_of_hot_keys(spark):
@@ -98,3 +99,16 @@ def test_near_duplicates_for_every_number_of_bands(spark):
     rows = lambda n, a: math.comb(6 + a, a) * (1 + n / 2 ** (64 // (6 + a) * a))
     each = [rows(n, agreeing_bands(n, 6)) for n in (10**3, 10**4, 10**5, 10**6)]
     assert max(each) < 8 * min(each) and agreeing_bands(10**8, 6) > agreeing_bands(10**3, 6)
+
+
+def test_media_scores_that_differ_by_noise_are_ties(spark):
+    """0.45 / 4 + 0.25 * 0.35 + ... and 0.25 * 0.6 + ... are the same number, but not the same double."""
+    scenes = spark.createDataFrame([("s", ["ring"], ["gear"], "", 5.0)],
+                                   "k string, queries array<string>, subjects array<string>, lyric string, scene_duration double")
+    cand = spark.createDataFrame(
+        [("s", 1, "photo", 2304, 2304, "none", "", "pixabay", 0.0), ("s", 2, "photo", 1928, 1728, "ring", "", "pixabay", 0.0)],
+        "k string, input_pos int, kind string, width int, height int, tags string, query string, provider string, duration double")
+    ok, _ = ranking.rank_media(cand, scenes, ["k"])
+    assert [r.input_pos for r in ok.orderBy("rank").collect()] == [1, 2]
+    got = spark.createDataFrame([(0.493125,), (0.25,), (0.0,), (0.614687499999,)], "x double").select(ranking.nearest("x", 5).alias("x"))
+    assert [r.x for r in got.collect()] == [0.49313, 0.25, 0.0, 0.61469]
