@@ -11,7 +11,6 @@ import difflib
 import itertools
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -480,31 +479,30 @@ def near_duplicates(df: DataFrame, hash_col: str, threshold: int = fixed.DUPLICA
     bands = threshold + agree
     edges = [round(i * bits / bands) for i in range(bands + 1)]
 
-    def band(h: Column, i: int) -> Column:
-        lo, hi = edges[i], edges[i + 1]
-        return F.shiftrightunsigned(h, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
-
-    combos = list(itertools.combinations(range(bands), agree))
-    # one long for the choice and its bits, where both fit
-    wide = max(sum(edges[i + 1] - edges[i] for i in c) for c in combos)
-    if wide + len(combos).bit_length() > 63:
-        raise ValueError("bands and choice do not fit in 64 bits: fewer bands should agree")
-    packed = F.array(*[reduce(
-        lambda acc, i: F.shiftleft(acc, edges[i + 1] - edges[i]).bitwiseOR(band(F.col("h"), i)),
-        combo, F.lit(0).cast("long")).bitwiseOR(F.lit(n << wide)) for n, combo in enumerate(combos)])
-    keyed = one.select(*key, "h", F.explode(packed).alias("b"))
+    def signed(m: int) -> int:
+        return m - (1 << 64) if m >> 63 else m
+
+    band = [((1 << (hi - lo)) - 1) << lo for lo, hi in itertools.pairwise(edges)]
+    spark = df.sparkSession
+    choices = spark.createDataFrame([(signed(sum(c)),) for c in itertools.combinations(band, agree)], "m long")
+
+    def met(h: Column, m: Column) -> Column:
+        return F.xxhash64(m, h.bitwiseAND(m))
+
+    # a row for each choice: made by a join, as an expression for each would fill the driver, and by all tasks, as Spark
+    # takes the rows for as few as the hashes are (for which it would broadcast them, too)
+    keyed = (one.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "h").crossJoin(F.broadcast(choices))
+             .select(*key, "h", met(F.col("h"), F.col("m")).alias("b")))
     left = keyed.withColumnRenamed("h", "hash_a")
     right = keyed.withColumnRenamed("h", "hash_b")
-    pairs = left.join(right, [*key, "b"]).filter("hash_a < hash_b")
+    pairs = left.hint("merge").join(right, [*key, "b"]).filter("hash_a < hash_b")
     pairs = pairs.withColumn("distance", hamming("hash_a", "hash_b")).filter(
         F.col("distance") <= threshold)
-    # the choices are in lexical order, so the first one that agrees is made of the first bands
+    # the choice of the first bands that agree; other choices, and keys that clash, have another hash
     x = F.col("hash_a").bitwiseXOR(F.col("hash_b"))
-    same = F.filter(F.array(*[F.when(band(x, i) == 0, F.lit(i)) for i in range(bands)]),
-                    lambda i: i.isNotNull())
-    table = F.array(*[F.array(*map(F.lit, c)) for c in combos])
-    first = F.array_position(table, F.slice(same, 1, agree)) - 1
-    return pairs.filter(F.shiftrightunsigned("b", wide) == first).select(*key, "hash_a", "hash_b", "distance")
+    same = F.filter(F.array(*[F.lit(signed(m)).cast("long") for m in band]), lambda m: x.bitwiseAND(m) == 0)
+    first = F.aggregate(F.slice(same, 1, agree), F.lit(0).cast("long"), lambda acc, m: acc.bitwiseOR(m))
+    return pairs.filter(F.col("b") == met(F.col("hash_a"), first)).select(*key, "hash_a", "hash_b", "distance")
 
 
 def hash_groups(df: DataFrame, hash_col: str, id_col: str, key: Sequence[str] = ()) -> DataFrame:

@@ -112,3 +112,16 @@ def test_media_scores_that_differ_by_noise_are_ties(spark):
     assert [r.input_pos for r in ok.orderBy("rank").collect()] == [1, 2]
     got = spark.createDataFrame([(0.493125,), (0.25,), (0.0,), (0.614687499999,)], "x double").select(ranking.nearest("x", 5).alias("x"))
     assert [r.x for r in got.collect()] == [0.49313, 0.25, 0.0, 0.61469]
+
+
+def test_near_duplicates_keep_their_rows_out_of_the_driver(spark):
+    """Every hash has a row for each of hundreds of choices, whatever Spark estimates: they are merged, and the choices
+    are a table rather than an expression each."""
+    from cuework.operators.joins import near_duplicates
+
+    df = spark.createDataFrame([(1,), (3,), (-1,), (1 << 62,)], "h long")
+    out = near_duplicates(df, "h", 8, agree=4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert len(plan) < 20_000
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 3, 1), (1, 1 << 62, 2), (3, 1 << 62, 3)]
