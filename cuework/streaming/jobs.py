@@ -12,10 +12,11 @@ from cuework.operators.aggregates import dedupe_first
 from cuework.operators.tables import upsert
 from cuework.operators.windows import group_by_pause, thin_events
 from cuework.sources.versions import merge_buckets
-from cuework.streaming.state import STAMP, Fills, LatestState, Pauses, fields, keyed_rows, use_rocksdb
+from cuework.streaming.state import STAMP, Fills, LatestState, Pauses, dealt, fields, keyed_rows, use_rocksdb
 
 # fixed values: states after which a job no longer changes
 TERMINAL = ["done", "error", "cancelled"]
+BUCKETS = 1024  # of keys, in the state of a stream: fixed for the life of its checkpoint
 
 
 def latest_state(events: DataFrame, key: Sequence[str] = ("job_id",), state: str = "state",
@@ -66,12 +67,13 @@ def pause_sessions(events: DataFrame, key: Sequence[str], ts: str = "ts", gap_se
 
 def pause_groups(events: DataFrame, key: Sequence[str], ts: str = "ts", text: str = "text",
                  gap_seconds: float = 0.9, max_items: int = 8, delay: str = "10 minutes",
-                 length: str | None = None) -> DataFrame:
+                 length: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Groups of at most ``max_items`` rows without a pause of more than ``gap_seconds`` between them.
 
     ``length`` names a row's own duration in seconds; a pause is counted from the end of the row before. A stream gives
     the groups that the same rows give as a batch: it takes rows in order of time as the watermark passes them, holds
-    rows within ``delay`` and one open group a key, and gives a group out when it is full or the pause is over.
+    rows within ``delay`` and one open group a key, and gives a group out when the next one begins or the pause is over.
+    State is held by ``buckets`` of keys, as a call for each key takes far longer than its rows.
     """
     key = list(key)
     end = F.unix_micros(ts) + (F.round(F.col(length) * 1e6).cast("long") if length else F.lit(0))
@@ -85,19 +87,21 @@ def pause_groups(events: DataFrame, key: Sequence[str], ts: str = "ts", text: st
                              F.concat_ws(" ", "_w.w").alias("text"))
     use_rocksdb(events.sparkSession)
     rows = keyed_rows(events.withWatermark(ts, delay), key, ts, F.coalesce(F.col(text), F.lit("")), end)
-    out = rows.groupBy(*key).transformWithStateInPandas(
-        Pauses(round(gap_seconds * 1e6), max_items, key),
-        f"{fields(events, key)}, _start long, _end long, items int, text string", "Append", "EventTime")
-    return out.select(*key, F.timestamp_micros("_start").alias("start"), F.timestamp_micros("_end").alias("end"),
+    out = dealt(rows, key, ts, buckets).transformWithStateInPandas(
+        Pauses(round(gap_seconds * 1e6), max_items),
+        "cw_k string, _start long, _end long, items int, text string", "Append", "EventTime")
+    return out.withColumn("_k", F.from_json("cw_k", fields(events, key), STAMP)).select("_k.*", F.timestamp_micros("_start").alias("start"), F.timestamp_micros("_end").alias("end"),
                       "items", "text")
 
 
 def ttl_dedupe(events: DataFrame, key: Sequence[str], ts: str = "ts",
-               ttl_seconds: float = fixed.CACHE_TTL_SECONDS, delay: str = "1 hour") -> DataFrame:
+               ttl_seconds: float = fixed.CACHE_TTL_SECONDS, delay: str = "1 hour",
+               buckets: int = BUCKETS) -> DataFrame:
     """Fills of a cache key: its first row, then each row more than ``ttl_seconds`` after the last fill.
 
     A stream decides about a row when the watermark (``delay`` behind the latest row) passes it, keeps the time of the
     last fill of a key, and forgets it when the time to live is over. Of rows of a key at one moment one counts.
+    State is held by ``buckets`` of keys, as in :func:`pause_groups`.
     """
     key = list(key)
     if not events.isStreaming:
@@ -109,9 +113,10 @@ def ttl_dedupe(events: DataFrame, key: Sequence[str], ts: str = "ts",
     use_rocksdb(events.sparkSession)
     rest = [c for c in events.columns if c not in key]
     rows = keyed_rows(events.withWatermark(ts, delay), key, ts, F.to_json(F.struct(*rest), STAMP))
-    out = rows.groupBy(*key).transformWithStateInPandas(
-        Fills(round(ttl_seconds * 1e6), key), f"{fields(events, key)}, cw_x string", "Append", "EventTime")
-    return out.select(*key, F.from_json("cw_x", fields(events, rest), STAMP).alias("_r")).select(*key, "_r.*").select(
+    out = dealt(rows, key, ts, buckets).transformWithStateInPandas(
+        Fills(round(ttl_seconds * 1e6)), "cw_k string, cw_x string", "Append", "EventTime")
+    return out.select(F.from_json("cw_k", fields(events, key), STAMP).alias("_k"),
+                      F.from_json("cw_x", fields(events, rest), STAMP).alias("_r")).select("_k.*", "_r.*").select(
         *events.columns)
 
 

@@ -1,20 +1,25 @@
 """Stateful processors: they take the rows of a key in order of time, once the watermark says that none will come before.
 
 Until then rows wait in list state, so a late row within the watermark counts as if it had come in time, and a stream
-gives what the same rows give as a batch. Timers hand them on; a key without open rows keeps no state.
+gives what the same rows give as a batch. Timers hand them on; a bucket of keys without open rows keeps no state.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-ROW = "t long, e long, x string"  # time and end in microseconds, the rest as text
+#: the key as JSON, time and end in microseconds, the rest as text
+ROWS = pa.schema([("cw_k", pa.string()), ("cw_t", pa.int64()), ("cw_e", pa.int64()), ("cw_x", pa.string())])
+VALUE = "rows binary"
 STAMP = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
 
 
@@ -23,106 +28,121 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def pack(rows: list[tuple]) -> tuple[bytes]:
+    """Rows (key, time, end, text) as a state value: one Arrow stream."""
+    table = pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), ROWS)], schema=ROWS)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, ROWS) as out:
+        out.write_table(table)
+    return (sink.getvalue().to_pybytes(),)
+
+
+def unpack(values) -> list[tuple]:
+    return [r for v in values for r in zip(*pa.ipc.open_stream(bytes(v[0])).read_all().to_pydict().values())]
+
+
 class InOrder(StatefulProcessor):
-    """Gives :meth:`step` the finished rows of a key, in order; rows that :meth:`wanted` refuses are left at once."""
+    """Gives :meth:`step` the finished rows of a bucket of keys, in order of key and time; rows that :meth:`wanted`
+    refuses are left at once. A bucket's rows are one value in a list for each batch, so state costs calls by buckets, not
+    by keys or rows."""
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", ROW)
+        self.waiting = handle.getListState("waiting", VALUE)
+        self.kept = handle.getValueState("kept", VALUE)
 
-    def wanted(self, row: tuple) -> bool:
-        return True
+    def _kept(self) -> list[tuple]:
+        return unpack([self.kept.get()]) if self.kept.exists() else []
 
-    def step(self, key, rows: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
+    def _keep(self, rows: list[tuple], until: int | None) -> None:
+        """Keep these rows and look again just after ``until``."""
+        if rows:
+            self.kept.update(pack(rows))
+            self.handle.registerTimer(until // 1000 + 1)
+        else:
+            self.kept.clear()
+
+    def wanted(self, rows: list[tuple]) -> list[tuple]:
+        return rows
+
+    def step(self, rows: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues):
-        new = [r for pdf in rows for r in zip(pdf["cw_t"].tolist(), pdf["cw_e"].tolist(), pdf["cw_x"].tolist()) if self.wanted(r)]
+        new = self.wanted([r for pdf in rows for r in zip(*(pdf[n].tolist() for n in ROWS.names))])
         if new:
-            self.waiting.appendList(new)
-            self.handle.registerTimer(-(-min(r[0] for r in new) // 1000))
+            self.waiting.appendValue(pack(new))
+            self.handle.registerTimer(-(-min(r[1] for r in new) // 1000))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         # rows at the watermark itself count as late from now on
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
-        ready = [r for r in held if r[0] <= watermark]
+        held = unpack(self.waiting.get()) if self.waiting.exists() else []
+        ready = [r for r in held if r[1] <= watermark]
         if ready:
             self.waiting.clear()
             if len(ready) < len(held):
-                rest = held[len(ready):]
-                self.waiting.put(rest)
-                self.handle.registerTimer(-(-rest[0][0] // 1000))
-        yield from self.step(key, ready, watermark)
+                rest = [r for r in held if r[1] > watermark]
+                self.waiting.put([pack(rest)])
+                self.handle.registerTimer(-(-min(r[1] for r in rest) // 1000))
+        yield from self.step(sorted(ready), watermark)
 
     def close(self) -> None:
         pass
 
 
 class Fills(InOrder):
-    """Rows more than ``ttl`` microseconds after the last kept one; its time is all that is kept, and only so long."""
-
-    def __init__(self, ttl: int, key: list[str]):
-        self.ttl, self.key = ttl, key
-
-    def init(self, handle) -> None:
-        super().init(handle)
-        self.last = handle.getValueState("last", "t long")
+    """Rows more than ``ttl`` microseconds after the last kept one of their key; its time is all that is kept, and only
+    so long."""
 
-    def _fill(self) -> int | None:
-        return self.last.get()[0] if self.last.exists() else None
+    def __init__(self, ttl: int):
+        self.ttl = ttl
 
-    def wanted(self, row: tuple) -> bool:
-        fill = self._fill()
-        return fill is None or row[0] - fill > self.ttl
+    def wanted(self, rows):
+        fills = {k: t for k, t, _, _ in self._kept()}
+        return [r for r in rows if r[0] not in fills or r[1] - fills[r[0]] > self.ttl]
 
-    def step(self, key, rows, watermark):
-        fill, kept = self._fill(), []
+    def step(self, rows, watermark):
+        fills, out = {k: t for k, t, _, _ in self._kept()}, []
         for r in rows:
-            if fill is None or r[0] - fill > self.ttl:
-                fill = r[0]
-                kept.append(r)
-        if kept:
-            self.last.update((fill,))
-            self.handle.registerTimer((fill + self.ttl) // 1000 + 1)
-            yield pd.DataFrame({**{k: [v] * len(kept) for k, v in zip(self.key, key)}, "cw_x": [r[2] for r in kept]})
-        elif fill is not None and watermark > fill + self.ttl:
-            self.last.clear()
+            if r[0] not in fills or r[1] - fills[r[0]] > self.ttl:
+                fills[r[0]] = r[1]
+                out.append(r)
+        live = [(k, t, t, "") for k, t in fills.items() if watermark <= t + self.ttl]
+        self._keep(live, min((r[1] for r in live), default=0) + self.ttl)
+        if out:
+            yield pd.DataFrame({"cw_k": [r[0] for r in out], "cw_x": [r[3] for r in out]})
 
 
 class Pauses(InOrder):
     """Groups of rows: a new one begins when the last row's end is more than ``gap`` microseconds ago, or when ``most``
-    rows are together. The open group is all that is kept; it is given out when it is full, when the next one begins, or
-    when the watermark has passed the gap."""
-
-    def __init__(self, gap: int, most: int, key: list[str]):
-        self.gap, self.most, self.key = gap, most, key
+    rows are together. The open group of each key is all that is kept; it is given out when the next one begins, or when
+    the watermark has passed the gap."""
 
-    def init(self, handle) -> None:
-        super().init(handle)
-        self.open = handle.getListState("open", ROW)
+    def __init__(self, gap: int, most: int):
+        self.gap, self.most = gap, most
 
-    def step(self, key, rows, watermark):
-        was = sorted(tuple(r) for r in self.open.get()) if self.open.exists() else []
-        group, done = list(was), []
-        for r in rows:
-            if group and (r[0] - group[-1][1] > self.gap or len(group) == self.most):
-                done.append(group)
-                group = []
-            group.append(r)
-        if group and watermark > group[-1][1] + self.gap:
-            done.append(group)
+    def step(self, rows, watermark):
+        still, done, ends = [], [], []
+        # rows of open groups lie before all others of their key
+        for _, part in groupby(sorted(self._kept() + rows), itemgetter(0)):
             group = []
-        if group != was:
-            self.open.clear()
-            if group:
-                self.open.put(group)
-                self.handle.registerTimer((group[-1][1] + self.gap) // 1000 + 1)
+            for r in part:
+                if group and (r[1] - group[-1][2] > self.gap or len(group) == self.most):
+                    done.append(group)
+                    group = []
+                group.append(r)
+            if watermark > group[-1][2] + self.gap:
+                done.append(group)
+            else:
+                still += group
+                ends.append(group[-1][2] + self.gap)
+        self._keep(still, min(ends, default=0))
         if done:
-            yield pd.DataFrame({**{k: [v] * len(done) for k, v in zip(self.key, key)},
-                                "_start": [g[0][0] for g in done], "_end": [max(r[1] for r in g) for g in done],
-                                "items": [len(g) for g in done], "text": [" ".join(r[2] for r in g if r[2]) for g in done]})
+            yield pd.DataFrame({"cw_k": [g[0][0] for g in done], "_start": [g[0][1] for g in done],
+                                "_end": [max(r[2] for r in g) for g in done], "items": [len(g) for g in done],
+                                "text": [" ".join(r[3] for r in g if r[3]) for g in done]})
 
 
 class LatestState(StatefulProcessor):
@@ -176,5 +196,11 @@ def keyed_rows(events: DataFrame, key: list[str], ts: str, row: Column, end: Col
         *[c.alias(f"cw_{n}") for n, c in more.items()])
 
 
+def dealt(rows: DataFrame, key: list[str], ts: str, buckets: int):
+    """Rows of :func:`keyed_rows` grouped by a hash bucket of their key, which goes with them as JSON (``cw_k``)."""
+    return rows.select(F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int").alias("cw_b"), ts,
+                       F.to_json(F.struct(*key), STAMP).alias("cw_k"), "cw_t", "cw_e", "cw_x").groupBy("cw_b")
+
+
 def fields(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)

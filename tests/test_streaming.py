@@ -74,6 +74,17 @@ def test_pause_groups_are_those_of_a_batch(spark, run, length):
     assert max(r["items"] for r in want) == 8 and len(want) > 30
 
 
+def test_state_is_held_by_buckets_of_keys(run):
+    """Keys of several columns come back as they were, and a bucket has few states however many keys it has."""
+    keys = [(k, (1 << 60) + i) for i in range(200) for k in ("a", 'b"\\')]
+    batches = [[(k, at(1000 * b), "w", None, 0.0, v) for k, v in keys] for b in range(2)]
+    for make, out in ((lambda df: jobs.ttl_dedupe(df.select("k", "v", "ts"), ["k", "v"], "ts", 60, "10 seconds", buckets=4), "ts"),
+                      (lambda df: jobs.pause_groups(df, ["k", "v"], "ts", "text", 60, 8, "10 seconds", buckets=4), "start")):
+        got, states = run(batches, make)
+        assert sorted((r.k, r.v, r[out]) for _, r in got) == sorted((k, v, at(1000 * b)) for k, v in keys for b in range(2))
+        assert max(states) < 50
+
+
 def test_groups_do_not_wait_for_a_pause(run):
     """A key that never pauses gives full groups out as it goes."""
     batches = [[("a", at(100 * b + i), f"w{b}{i}", None, 0.0, 0) for i in range(100)] for b in range(4)]
