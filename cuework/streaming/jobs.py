@@ -70,13 +70,13 @@ def pause_groups(events: DataFrame, key: Sequence[str], ts: str = "ts", text: st
                  length: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Groups of at most ``max_items`` rows without a pause of more than ``gap_seconds`` between them.
 
-    ``length`` names a row's own duration in seconds; a pause is counted from the end of the row before. A stream gives
+    ``length`` names a row's own duration in seconds (NULL: none); a pause is counted from the end of the row before. A stream gives
     the groups that the same rows give as a batch: it takes rows in order of time as the watermark passes them, holds
     rows within ``delay`` and one open group a key, and gives a group out when the next one begins or the pause is over.
     State is held by ``buckets`` of keys, as a call for each key takes far longer than its rows.
     """
     key = list(key)
-    end = F.unix_micros(ts) + (F.round(F.col(length) * 1e6).cast("long") if length else F.lit(0))
+    end = F.unix_micros(ts) + (F.coalesce(F.round(F.col(length) * 1e6).cast("long"), F.lit(0)) if length else F.lit(0))
     if not events.isStreaming:
         rows = keyed_rows(events, key, ts, F.coalesce(F.col(text), F.lit("")), end)
         groups = group_by_pause(rows, key, "cw_t", "cw_e", ["cw_e", "cw_x"], gap_seconds * 1e6, max_items).groupBy(

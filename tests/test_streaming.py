@@ -85,6 +85,14 @@ def test_state_is_held_by_buckets_of_keys(run):
         assert max(states) < 50
 
 
+def test_rows_without_a_length_end_where_they_start(spark, run):
+    rows = [("a", at(0), "x", None, 5.0, 0), ("a", at(4), "y", None, None, 1), ("a", at(6), "z", None, None, 2)]
+    make = lambda df: jobs.pause_groups(df, ["k"], "ts", "text", 1.5, 8, "10 seconds", "secs")
+    got, _ = run([rows], make)
+    want = make(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.text, r.end) for _, r in got) == sorted((r.text, r.end) for r in want) == [("x y", at(5)), ("z", at(6))]
+
+
 def test_groups_do_not_wait_for_a_pause(run):
     """A key that never pauses gives full groups out as it goes."""
     batches = [[("a", at(100 * b + i), f"w{b}{i}", None, 0.0, 0) for i in range(100)] for b in range(4)]
