@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from cuework.session import checkpoint
 
 HOT_ROWS = 1_000_000
+TASK_ROWS = 200_000  # that one task of an ordered scan sorts
 NO_SPLIT = 1 << 62
 CHUNK, HOT = "_chunk", "_hot"
 
@@ -25,9 +26,19 @@ CHUNK, HOT = "_chunk", "_hot"
 SPAN = 1 << 20  # parts of a chunk of equal values at most
 
 
+def in_tasks(df: DataFrame, key: Sequence[str], rows: int) -> DataFrame:
+    """Rows by key, in as many tasks as ``rows`` need; small tables come back as they are.
+
+    Spark merges shuffled partitions up to a number of compressed bytes. Timed rows unfold to many times that, and every
+    sort of a chain of scans holds them, so the memory of a task would grow with the table.
+    """
+    n = -(-rows // TASK_ROWS)
+    return df if n <= 1 else df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), *key)
+
+
 def split_hot(df: DataFrame, key: Sequence[str], order: str, hot_rows: int | None = None,
               ties: Sequence[str] = ()) -> DataFrame:
-    """Cut hot keys into chunks of their order column; without hot keys ``df`` comes back as it is.
+    """Cut hot keys into chunks of their order column; without hot keys ``df`` comes back whole, spread by key.
 
     One map-side combined count per key decides (a small job of its own, so that the usual case
     keeps the plain plan). ``order`` is the leading order column, of any type; chunks are cut at
@@ -41,10 +52,11 @@ def split_hot(df: DataFrame, key: Sequence[str], order: str, hot_rows: int | Non
         return df
     key = list(key)
     o = _number(F.col(order), df.schema[order].dataType)
-    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-    most = counts.agg(F.max("_n")).first()[0]
-    if most is None:
-        return df
+    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    most, rows = counts.agg(F.max("_n"), F.sum("_n")).first()
+    if most is None or most <= hot_rows:
+        return in_tasks(df, key, rows or 0)
+    counts = counts.filter(F.col("_n") > hot_rows)
     # one list of borders for each hot key, as long as the hottest one needs
     parts = -(-most // hot_rows)
     borders = (df.join(F.broadcast(counts), key, "left_semi").groupBy(*key)
@@ -62,9 +74,9 @@ def split_hot(df: DataFrame, key: Sequence[str], order: str, hot_rows: int | Non
     # working it out again at each step
     split = checkpoint(split)
     plain = (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)
-    if not ties or not isinstance(df.schema[ties[0]].dataType, plain):
-        return split
-    return _split_ties(split, key, order, hot_rows, ties)
+    if ties and isinstance(df.schema[ties[0]].dataType, plain):
+        split = _split_ties(split, key, order, hot_rows, ties)
+    return in_tasks(split, [*key, CHUNK], rows)
 
 
 def _split_ties(split: DataFrame, key: list[str], order: str, hot_rows: int, ties: Sequence[str]) -> DataFrame:
