@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cuework.functions import fixed_values as fixed
 from cuework.operators.joins import nearest_join
-from cuework.operators.ordered import scan, skew_limit, split_hot, totals, unsplit
+from cuework.operators.ordered import NO_SPLIT, in_tasks, scan, skew_limit, split_hot, totals, unsplit
 
 
 def select_segments(tracks: DataFrame, frames: DataFrame, beats: DataFrame, onsets: DataFrame,
@@ -72,6 +72,8 @@ def select_segments(tracks: DataFrame, frames: DataFrame, beats: DataFrame, onse
         for t_ in tables[1:]:
             df = df.unionByName(t_, allowMissingColumns=True)
         df = split_hot(df, key, "_at", hot_rows)
+        if hot_rows >= NO_SPLIT:
+            df = in_tasks(df, key, size)
         df = scan(df, key, ["_at", "_k"], ahead)
         return unsplit(scan(df, key, ["_at", "_k"], back, reverse=True)).filter("_k = 1")
 
@@ -82,6 +84,15 @@ def select_segments(tracks: DataFrame, frames: DataFrame, beats: DataFrame, onse
         first = F.col(ahead).isNull() | (at - F.col(back) <= F.col(ahead) - at)
         return F.when(first, F.col(back)).otherwise(F.col(ahead))
 
+    # a candidate is probed at two and at four places; the sweeps share the number of rows of the larger one
+    sizes = [long.select((F.floor(F.col("_limit") / F.lit(grid)) * 4 + 4).alias("n")).agg(F.sum("n").alias("n")),
+             sections.agg((F.count(F.lit(1)) * 5).alias("n"))] + [
+        t_.agg(F.count(F.lit(1)).alias("n")) for t_ in (frames, onsets, beats)]
+    size = sizes[0]
+    for t_ in sizes[1:]:
+        size = size.unionByName(t_)
+    size = int(size.agg(F.sum("n")).first()[0] or 0)
+
     # first sweep: onsets in the raw window, by which density is scaled, and the nearest beat, to which it snaps
     hits = rows(onsets.filter("t is not null"), F.col("t"), 2, _o=F.lit(1))
     c = sweep([rows(beats.filter("t is not null"), F.col("t"), 0, _b=F.col("t").cast("double")), hits,

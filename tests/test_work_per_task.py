@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cuework.operators import ordered as O
 from cuework.operators import windows as W
+from cuework.plans.segments import select_segments
 
 
 def test_rows_of_a_task_are_bounded(spark, monkeypatch):
@@ -18,3 +19,18 @@ def test_rows_of_a_task_are_bounded(spark, monkeypatch):
     hot = O.split_hot(lines, ["k"], "start", hot_rows=5)
     assert hot.rdd.getNumPartitions() == 16 and O.is_split(hot)
     assert carve() == want
+
+
+def test_rows_of_a_sweep_are_bounded(spark, monkeypatch):
+    tracks = spark.createDataFrame([(k, 200.0) for k in range(20)], "k int, duration double")
+    at = spark.range(400).select((F.col("id") % 20).cast("int").alias("k"), (F.col("id") / 2.0).alias("t"))
+    frames = at.select("k", F.floor("t").alias("frame"), (F.col("t") / 200).alias("energy"))
+    sections = at.filter("t % 10 = 0").withColumn("repetition", F.lit(1.0))
+    pick = lambda: select_segments(tracks, frames, at, at, sections, ["k"], 30.0)
+    want, sizes = sorted(map(str, pick().collect())), []
+    place = O.in_tasks
+    monkeypatch.setattr(O, "TASK_ROWS", 25)
+    monkeypatch.setattr("cuework.plans.segments.in_tasks", lambda df, key, n: sizes.append(n) or place(df, key, n))
+    assert sorted(map(str, pick().collect())) == want
+    # two sweeps: 35 grid points and the sections of 20 tracks, probed at four places, next to all rows
+    assert len(sizes) == 2 and min(sizes) >= 20 * 35 * 4 + 400 * 3
