@@ -203,11 +203,12 @@ SELECT doc_id, md5(string_agg(word, ' ' ORDER BY i)) AS words, count(*) AS n,
   round(sum(i * 0.25)::DOUBLE, 3) AS start_sum, round(sum((i + 1) * 0.25)::DOUBLE, 3) AS end_sum FROM u GROUP BY 1""")
 def w10(t):
     from cuework.operators.align import word_times
+    from cuework.queries.texts import with_words
     ws = tx.words_of("text")
     none = F.lit(None).cast("array<struct<text:string,start:double>>")
-    d = t("documents").withColumn("w", word_times(ws, none, F.lit(0.0), F.size(ws) * 0.25, F.lit(0.6)))
+    d = with_words(t).withColumn("w", word_times(ws, none, F.lit(0.0), F.size(ws) * 0.25, F.lit(0.6)))
     add = lambda f: F.aggregate(f"w", F.lit(0.0), lambda a, x: a + x[f])
-    return d.filter(F.size("w") > 0).select(
+    return d.select(
         "doc_id", F.md5(F.array_join(F.transform("w", lambda x: x["text"]), " ")).alias("words"),
         F.size("w").cast("long").alias("n"), r(add("start"), 3).alias("start_sum"),
         r(add("end"), 3).alias("end_sum"))

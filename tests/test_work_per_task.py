@@ -1,10 +1,14 @@
 """The work of a task does not grow with the table, and costly columns are worked out once."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from cuework.operators import ordered as O
 from cuework.operators import windows as W
 from cuework.plans.segments import select_segments
+from cuework.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_rows_of_a_task_are_bounded(spark, monkeypatch):
@@ -34,3 +38,9 @@ def test_rows_of_a_sweep_are_bounded(spark, monkeypatch):
     assert sorted(map(str, pick().collect())) == want
     # two sweeps: 35 grid points and the sections of 20 tracks, probed at four places, next to all rows
     assert len(sizes) == 2 and min(sizes) >= 20 * 35 * 4 + 400 * 3
+
+
+@pytest.mark.parametrize("name", ["w10_word_times", "fn20_wrap_text", "fn20_wrap_measured"])
+def test_filters_do_not_repeat_the_work(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not [x for x in plan if "Filter" in x and ("split(" in x or "aggregate(" in x)]
