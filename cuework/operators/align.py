@@ -1,7 +1,7 @@
 """Alignment of reference lines to a transcript.
 
 Matching is a walk along one track, so it runs as one small Python function per track
-(``cogroup().applyInPandas``); tracks are independent and spread over the cluster by key.
+(``cogroup().applyInArrow``); tracks are independent and spread over the cluster by key.
 Everything before and after the walk is columns.
 """
 
@@ -12,9 +12,10 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,26 +28,38 @@ from cuework.operators.windows import clamp_monotonic, interpolate_gaps
 from cuework.session import checkpoint
 
 WORD = "struct<text:string,start:double,end:double,confidence:double>"
+ARROW_WORDS = pa.list_(pa.field("element", pa.struct([
+    ("text", pa.string()), ("start", pa.float64()), ("end", pa.float64()), ("confidence", pa.float64())])))
 
 
+@lru_cache(1 << 16)
 def _norm(token: str) -> str:
     t = unicodedata.normalize("NFKD", token or "")
     return re.sub(r"\W+", "", "".join(c for c in t if not unicodedata.combining(c)).lower())
 
 
-def _shared(want: list[str], norms: list[str], first: int, stop: int) -> Iterator[tuple[int, float]]:
-    """(start, share of the wanted words present) of every window, kept up while sliding."""
+def _shared(want: list[str], norms: list[str], ids: np.ndarray, vocab: dict[str, int], first: int, stop: int,
+            least: float) -> Iterator[tuple[int, float]]:
+    """(start, share of the wanted words present) of every window that holds at least the share ``least``.
+
+    ``ids`` are the places of ``norms`` in ``vocab``. How many words of a window are wanted at all, read off running
+    totals, rules most windows out; only in the others every word is counted as often as it is wanted.
+    """
+    if first >= stop:
+        return
     n, need = len(want), Counter(want)
-    have: Counter = Counter()
-    common = 0
-    for j in range(first, stop):
-        for w in norms[j:j + n] if j == first else norms[j + n - 1:j + n]:
-            common += have[w] < need[w]
-            have[w] += 1
-        yield j, common / n
-        w = norms[j]
-        have[w] -= 1
-        common -= have[w] < need[w]
+    wanted = np.zeros(len(vocab) + 1, dtype=np.int64)
+    wanted[[vocab.get(w, len(vocab)) for w in need]] = 1
+    total = np.concatenate(([0], np.cumsum(wanted[ids[first:stop - 1 + n]])))
+    for i in np.flatnonzero((total[n:] - total[:-n]) / n >= least).tolist():
+        have = Counter(w for w in norms[first + i:first + i + n] if w in need)
+        common = sum(min(c, need[w]) for w, c in have.items())
+        if common / n >= least:
+            yield first + i, common / n
+
+
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    return column.cast(pa.float64()).to_numpy()
 
 
 def _ddl(df: DataFrame, names: Sequence[str]) -> str:
@@ -57,30 +70,33 @@ def align_tokens(tokens: DataFrame, asr: DataFrame, key: Sequence[str],
                  hot_rows: int | None = None) -> DataFrame:
     """Match tokens to the transcript by matching blocks, then fill the gaps between anchors.
 
-    ``tokens``: key, line_index, word_index, raw, norm. ``asr``: key, pos, text, start, end, prob.
+    ``tokens``: key, line_index, word_index, raw, norm. ``asr``: key, pos, text, start, end, prob. The keys are counted
+    in ``tokens``: counting matched rows would match everything twice.
     """
     key = list(key)
+    hot_rows = skew_limit([tokens], key, hot_rows, growth=1)
 
-    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(["line_index", "word_index"]).reset_index(drop=True)
-        right = right.sort_values("pos").reset_index(drop=True)
-        left["pos"] = left.index
+    def match(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by([("line_index", "ascending"), ("word_index", "ascending")])
+        right = right.sort_by("pos")
         took = {c: np.full(len(left), np.nan) for c in ("start", "end", "confidence")}
-        given = {"start": right["start"].to_numpy(), "end": right["end"].to_numpy(),
-                 "confidence": right["prob"].fillna(1.0).to_numpy()}
-        m = SequenceMatcher(None, left["norm"].tolist(), [_norm(t) for t in right["text"]],
+        given = {"start": _numbers(right["start"]), "end": _numbers(right["end"]),
+                 "confidence": _numbers(right["prob"].fill_null(1.0))}
+        m = SequenceMatcher(None, left["norm"].to_pylist(), [_norm(t) for t in right["text"].to_pylist()],
                             autojunk=False)
         for block in m.get_matching_blocks():
             for c, values in took.items():
                 values[block.a:block.a + block.size] = given[c][block.b:block.b + block.size]
-        left = left.assign(**took)
-        return left
+        out = left.append_column("pos", pa.array(np.arange(len(left), dtype=np.int64)))
+        for c, values in took.items():
+            out = out.append_column(c, pa.array(values))
+        return out
 
     cols = [*key, "line_index", "word_index", "raw", "norm"]
     schema = _ddl(tokens, cols) + ", pos long, start double, end double, confidence double"
     found = (tokens.select(*cols).groupBy(*key)
              .cogroup(asr.select(*key, "pos", "text", "start", "end", "prob").groupBy(*key))
-             .applyInPandas(match, schema))
+             .applyInArrow(match, schema))
     nan = {c: F.when(~F.isnan(c), F.col(c)) for c in ("start", "end", "confidence")}
     return interpolate_gaps(found.withColumns(nan), key, "pos", hot_rows=hot_rows)
 
@@ -89,7 +105,7 @@ def align_lyrics(lines: DataFrame, asr: DataFrame, key: Sequence[str], text: str
                  hot_rows: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lines with times and confidence, words, stats per track) from token alignment."""
     key = list(key)
-    tokens = tx.tokenize_lines(lines, key, text, exact=True)
+    tokens = checkpoint(tx.tokenize_lines(lines, key, text, exact=True))
     words = checkpoint(align_tokens(tokens, asr, key, hot_rows))
     summary = agg.line_summary(words, [*key, "line_index"])
     out = (lines.select(*key, "line_index", F.col(text).alias("text"))
@@ -110,21 +126,23 @@ def align_monotonic(lines: DataFrame, asr: DataFrame, key: Sequence[str], text:
     """
     key = list(key)
 
-    def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("line_index")
-        heard = right.sort_values("pos")
-        norms = [_norm(t) for t in heard["text"]]
-        starts, ends = heard["start"].to_numpy(), heard["end"].to_numpy()
+    def walk(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by("line_index")
+        heard = right.sort_by("pos")
+        norms = [_norm(t) for t in heard["text"].to_pylist()]
+        vocab = {w: i for i, w in enumerate(dict.fromkeys(norms))}
+        ids = np.fromiter((vocab[w] for w in norms), dtype=np.int64, count=len(norms))
+        starts, ends = _numbers(heard["start"]), _numbers(heard["end"])
         cursor, rows = 0, []
-        for line in left["text"]:
+        for line in left["text"].to_pylist():
             raws = [w for w in (line or "").split() if _norm(w)]
             want = [_norm(w) for w in raws]
             top, at = 0.0, None
             if want:
                 stop = min(len(norms), cursor + reach) - len(want) + 1
-                for j, most in _shared(want, norms, cursor, stop):
+                for j, most in _shared(want, norms, ids, vocab, cursor, stop, min_ratio):
                     # no window can reach more than the share of words it holds
-                    if most < min_ratio or (most <= top and most < good):
+                    if most <= top and most < good:
                         continue
                     r = SequenceMatcher(None, want, norms[j:j + len(want)], autojunk=False).ratio()
                     if r > top or r >= good:
@@ -143,17 +161,17 @@ def align_monotonic(lines: DataFrame, asr: DataFrame, key: Sequence[str], text:
                 {"text": w, "start": float(starts[i]), "end": float(ends[i]), "confidence": conf}
                 for w, i in zip(raws, took)]))
             cursor = at + len(took)
-        out = left[[*key, "line_index", "text"]].copy()
-        for c, i in (("start", 0), ("end", 1), ("confidence", 2), ("words", 3)):
-            out[c] = pd.Series([r[i] for r in rows], index=out.index,
-                               dtype="object" if c == "words" else "float64")
+        out = left
+        for c, i, kind in (("start", 0, pa.float64()), ("end", 1, pa.float64()), ("confidence", 2, pa.float64()),
+                           ("words", 3, ARROW_WORDS)):
+            out = out.append_column(c, pa.array([r[i] for r in rows], kind))
         return out
 
     src = lines.select(*key, "line_index", F.col(text).alias("text"))
     schema = _ddl(src, src.columns) + f", start double, end double, confidence double, " \
                                       f"words array<{WORD}>"
     out = (src.groupBy(*key).cogroup(asr.select(*key, "pos", "text", "start", "end").groupBy(*key))
-           .applyInPandas(walk, schema))
+           .applyInArrow(walk, schema))
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("start", "end")})
 
 

@@ -148,3 +148,35 @@ def test_offset_recovered(spark):
         if score > best[0]:
             best = (score, sh)
     assert got["a"].offset == pytest.approx(best[1]) and got["a"].best_score == round(best[0], 3)
+
+
+def test_tracks_are_matched_once(spark, monkeypatch):
+    """Keys are counted before the matching: counting matched rows would run it again."""
+    from cuework.operators import align as A
+    from cuework.operators.ordered import NO_SPLIT
+    seen, fill = [], A.interpolate_gaps
+    monkeypatch.setattr(A, "interpolate_gaps", lambda *a, **k: seen.append(k["hot_rows"]) or fill(*a, **k))
+    lines = spark.createDataFrame([(1, 0, "la le li")], "k int, line_index int, text string")
+    asr = spark.createDataFrame([(1, i, w, i * 1.0, i + 0.5, 0.9) for i, w in enumerate(["la", "li"])],
+                                "k int, pos int, text string, start double, end double, prob double")
+    words = A.align_lyrics(lines, asr, ["k"])[1]
+    assert [r.matched for r in words.orderBy("word_index").collect()] == [True, False, True]
+    assert seen == [NO_SPLIT]
+
+
+def test_shares_of_windows():
+    import random
+    from collections import Counter
+
+    import numpy as np
+
+    from cuework.operators.align import _shared
+    rnd = random.Random(1)
+    for _ in range(200):
+        norms = [rnd.choice("abcde") for _ in range(rnd.randint(0, 30))]
+        want = [rnd.choice("abcx") for _ in range(rnd.randint(1, 6))]
+        vocab = {w: i for i, w in enumerate(dict.fromkeys(norms))}
+        first, stop = rnd.randint(0, 5), len(norms) - len(want) + 1
+        share = [(j, sum((Counter(norms[j:j + len(want)]) & Counter(want)).values()) / len(want)) for j in range(first, stop)]
+        ids = np.array([vocab[w] for w in norms], dtype=np.int64)
+        assert list(_shared(want, norms, ids, vocab, first, stop, 0.45)) == [x for x in share if x[1] >= 0.45]
