@@ -51,17 +51,22 @@ FOLD, FOLD_SEVERAL = _latin_folds()
 
 def fold(col: Column | str) -> Column:
     """Accented Latin letters, ligatures and full-width letters to plain ones; loose combining marks dropped."""
-    text = text_or_empty(col)
-    wide = text
+    given = text_or_empty(col)
+    wide = given
     for c, plain in FOLD_SEVERAL.items():
         wide = F.replace(wide, F.lit(c), F.lit(plain))
-    text = F.when(text.rlike(f"[{''.join(FOLD_SEVERAL)}]"), wide).otherwise(text)
-    return F.regexp_replace(F.translate(text, "".join(FOLD), "".join(FOLD.values())), r"\p{M}", "")
+    text = F.when(given.rlike(f"[{''.join(FOLD_SEVERAL)}]"), wide).otherwise(given)
+    text = F.regexp_replace(F.translate(text, "".join(FOLD), "".join(FOLD.values())), r"\p{M}", "")
+    # one look decides for the many texts that are plain already
+    return F.when(given.rlike(r"[^\x00-\x7F]"), text).otherwise(given)
+
+
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(col: Column | str) -> Column:
-    """Trim all white space, not only blanks."""
-    return F.regexp_replace(_c(col), r"(?U)^\s+|\s+$", "")
+    """Trim all white space, not only blanks: what ``(?U)\\s`` matches, read from the ends only."""
+    return F.btrim(_c(col), F.lit(WHITE_SPACE))
 
 
 def words_of(col: Column | str) -> Column:

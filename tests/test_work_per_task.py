@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from cuework.functions import text as tx
 from cuework.operators import ordered as O
 from cuework.operators import windows as W
 from cuework.plans.segments import select_segments
@@ -44,3 +45,11 @@ def test_rows_of_a_sweep_are_bounded(spark, monkeypatch):
 def test_filters_do_not_repeat_the_work(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert not [x for x in plan if "Filter" in x and ("split(" in x or "aggregate(" in x)]
+
+
+def test_white_space_is_what_the_pattern_says(spark):
+    chars = spark.createDataFrame([(chr(i),) for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000], "c string")
+    found = {r.c for r in chars.filter(F.col("c").rlike(r"(?U)^\s$") & (F.length("c") == 1)).collect()}
+    assert found | {"\n"} == set(tx.WHITE_SPACE)
+    edge = spark.createDataFrame([(f"{c}a {c} b{c}{c}",) for c in sorted(found)], "x string")
+    assert {tuple(r) for r in edge.select(tx.strip("x") == F.regexp_replace("x", r"(?U)^\s+|\s+$", "")).collect()} == {(True,)}
