@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cuework.functions import fixed_values as fixed
 from cuework.functions.hashing import content_key
+from cuework.operators.ordered import in_tasks
 from cuework.session import checkpoint
 
 
@@ -140,6 +141,12 @@ def apply_alignment(lines: DataFrame, words: DataFrame, aligned: DataFrame,
     """
     key = list(key)
     line_key = [*key, "line_index"]
+    # all tables meet by line, in as many tasks as their rows need
+    sizes = lines.agg(F.count(F.lit(1)).alias("n"))
+    for t in (words, aligned, aligned_words):
+        sizes = sizes.unionByName(t.agg(F.count(F.lit(1)).alias("n")))
+    rows = sizes.agg(F.sum("n")).first()[0]
+    lines, words, aligned, aligned_words = (in_tasks(t, line_key, rows) for t in (lines, words, aligned, aligned_words))
     a = aligned.select(*line_key, *[F.col(c).alias(f"_{c}") for c in ("start", "end", "confidence")],
                        F.lit(True).alias("_hit"))
     new_lines = lines.join(a, line_key, "left")

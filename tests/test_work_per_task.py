@@ -53,3 +53,18 @@ def test_white_space_is_what_the_pattern_says(spark):
     assert found | {"\n"} == set(tx.WHITE_SPACE)
     edge = spark.createDataFrame([(f"{c}a {c} b{c}{c}",) for c in sorted(found)], "x string")
     assert {tuple(r) for r in edge.select(tx.strip("x") == F.regexp_replace("x", r"(?U)^\s+|\s+$", "")).collect()} == {(True,)}
+
+
+def test_stored_alignments_are_spread_by_rows(spark, monkeypatch):
+    from cuework.operators import tables as tb
+    monkeypatch.setattr(O, "TASK_ROWS", 5)
+    row = spark.range(20).select(F.lit(1).alias("k"), F.col("id").alias("line_index"), F.col("id").cast("double").alias("start"),
+                                 (F.col("id") + 1.0).alias("end"), F.lit(0.5).alias("confidence"))
+    words = row.select("k", "line_index", F.lit("old").alias("text"))
+    al = row.filter("line_index < 3").withColumn("start", F.lit(99.0))
+    none = spark.createDataFrame([(1, 0.5, 0.5, None)], "k int, matched_ratio double, mean_confidence double, aligned_at timestamp")
+    ln, wd, _ = tb.apply_alignment(row, words, al, al.select("k", "line_index", F.lit("new").alias("text")), none, none, ["k"],
+                                   F.current_timestamp())
+    assert "RepartitionByExpression" in ln._jdf.queryExecution().analyzed().toString()
+    assert ln.filter("start = 99").count() == 3 and ln.count() == 20
+    assert {(r.text, r["count"]) for r in wd.groupBy("text").count().collect()} == {("old", 17), ("new", 3)}
