@@ -83,6 +83,32 @@ def song_queries(tracks: DataFrame, moods: DataFrame, subjects: DataFrame, lex:
     return df.select(*key, F.slice(F.array_distinct(parts), 1, 5).alias("song_queries"))
 
 
+def text_id(col: str) -> Column:
+    """Digest that stands for a text where whole texts would be moved; NULL for NULL."""
+    return F.sha2(F.col(col), 256)
+
+
+def in_reach(lines: DataFrame, segments: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Lines that lie, at least in part, in the segment of their key."""
+    return (lines.join(segments.select(*key, "segment_start", "segment_end"), list(key))
+            .filter((F.col("end") > F.col("segment_start")) & (F.col("start") < F.col("segment_end")))
+            .select(*lines.columns))
+
+
+def near_lines(lines: DataFrame, times: DataFrame, segments: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(lines in reach of their segment with ``text_id``, each of their texts once with it).
+
+    ``times`` are the lines without their texts: they tell which lines count before any text is moved. A line that shares
+    its number with one in reach comes along.
+    """
+    on = [*key, "line_index"]
+    wanted = in_reach(times, segments, key).select(*on).distinct()
+    a, b = lines.alias("a"), wanted.alias("b")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in on]
+    near = checkpoint(a.join(b, same, "left_semi").withColumn("text_id", text_id("text")))
+    return near, checkpoint(near.select("text_id", "text").distinct())
+
+
 def plan_scenes(lines: DataFrame, words: DataFrame, frames: DataFrame, beats: DataFrame,
                 onsets: DataFrame, segments: DataFrame, tracks: DataFrame, lex: DataFrame,
                 key: Sequence[str], regions: DataFrame | None = None,
@@ -99,26 +125,25 @@ def plan_scenes(lines: DataFrame, words: DataFrame, frames: DataFrame, beats: Da
     key = list(key)
     empty = F.array().cast("array<string>")
     hot_rows = skew_limit([lines, frames, words], key, hot_rows)
-    spans = carve_spans(lines, segments, key, hot_rows=hot_rows)
+    times = lines.select(*key, "line_index", "start", "end")
+    spans = carve_spans(times, segments, key, hot_rows=hot_rows)
     spans = ordinal(spans.withColumnsRenamed({"span_start": "start", "span_end": "end"}), key,
                     ["start", "end"], "scene_index", hot_rows)
     # scenes are far fewer than frames, words or events, and every step below starts from them
     spans = checkpoint(spans)
 
     # --- meaning, once per distinct text --------------------------------------------------------
-    lo, hi = F.col("segment_start"), F.col("segment_end")
-    timed = (lines.filter("start is not null and end is not null").join(segments, key)
-             .filter((F.col("end") > lo) & (F.col("start") < hi))
-             .select(*key, "line_index", "text", "start"))
-    texts = timed.select("text").distinct()
+    near, texts = near_lines(lines, times, segments, key)
+    timed = in_reach(near, segments, key).select(*key, "line_index", "text_id", "start")
+    rest = texts
     if semantics is not None:
-        known = semantics.join(texts, "text", "left_semi")
-        rest = texts.join(semantics.select("text"), "text", "left_anti")
-        sem = known.unionByName(extract_semantics(rest, ["text"], "text", lex))
-    else:
-        sem = extract_semantics(texts, ["text"], "text", lex)
+        given = semantics.withColumn("text_id", text_id("text"))
+        rest = texts.join(given, "text_id", "left_anti")
+    sem = extract_semantics(rest, ["text_id"], "text", lex)
+    if semantics is not None:
+        sem = sem.unionByName(given.join(texts, "text_id", "left_semi").drop("text"))
     sem = checkpoint(sem)
-    lined = timed.join(sem, "text")
+    lined = timed.join(sem, "text_id")
     totals = lined.groupBy(*key).agg(*[F.sum(n).alias(n) for n in fixed.EMOTIONS])
     everyone = segments.select(*key)
     totals = everyone.join(totals, key, "left").na.fill(0.0, fixed.EMOTIONS)
@@ -137,15 +162,19 @@ def plan_scenes(lines: DataFrame, words: DataFrame, frames: DataFrame, beats: Da
         F.col("style").isin(list(named)), F.col("style")).otherwise(F.col("recommended_style")))
 
     # --- scenes ---------------------------------------------------------------------------------
-    df = spans.join(lines.select(*key, F.col("line_index").cast("long").alias("line_index"),
-                                 F.col("text").alias("lyric"), "translation", "uncertain"),
+    # the digest stands for the text until the last steps, but for the empty one
+    df = spans.join(near.select(*key, F.col("line_index").cast("long").alias("line_index"),
+                                F.when(F.col("text") != "", F.col("text_id")).alias("lyric"), "translation", "uncertain"),
                     [*key, "line_index"], "left")
     df = mean_energy(frames, df, key, ["scene_index"], hop, name="energy", hot_rows=hot_rows)
     df = vocal_bounds(df, words, regions, key)
+    # scenes without a line would all meet in one task, so each looks for a digest that no text has
+    meaning = sem.join(texts, "text_id").select(
+        "text_id", F.col("text").alias("lyric"), "subjects",
+        F.when(F.size("matched") > 0, F.col("queries")).otherwise(empty).alias("own"))
+    none = F.concat(F.lit("-"), F.xxhash64(*key, "scene_index").cast("string"))
+    df = df.withColumn("text_id", F.coalesce("lyric", none)).drop("lyric").join(meaning, "text_id", "left")
     df = df.join(segments.select(*key, "segment_start"), key).join(per_track, key)
-    df = df.join(sem.select(F.col("text").alias("lyric"), "subjects",
-                            F.when(F.size("matched") > 0, F.col("queries")).otherwise(empty)
-                            .alias("own")), "lyric", "left")
     base = F.when(F.col("style_key") == _BASE[1], _BASE[1]).otherwise(_BASE[0])
     i, energy = F.col("scene_index"), F.col("energy")
     df = df.withColumn("energy_band", pr.energy_band("energy"))

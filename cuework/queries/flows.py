@@ -188,7 +188,7 @@ def d3(t):
 def scene_inputs(t) -> dict:
     """Users as tracks: an hour of the log is a second, purchases are sung lines of document text."""
     e = t("events").withColumn("s", F.col("t") / 3600)
-    d = t("documents").select((F.col("doc_id")).alias("slot"), F.translate("text", "\n", " ").alias("text"))
+    d = t("documents").select((F.col("doc_id")).alias("slot"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
     docs = F.lit(max(1, t("documents").count()))
     lines = of_type(e, "purchase").withColumn("slot", F.col("event_id") % docs).join(d, "slot").select(
         "user_id", F.col("event_id").alias("line_index"), "text", F.lit(None).cast("string").alias("translation"),

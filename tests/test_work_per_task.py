@@ -68,3 +68,28 @@ def test_stored_alignments_are_spread_by_rows(spark, monkeypatch):
     assert "RepartitionByExpression" in ln._jdf.queryExecution().analyzed().toString()
     assert ln.filter("start = 99").count() == 3 and ln.count() == 20
     assert {(r.text, r["count"]) for r in wd.groupBy("text").count().collect()} == {("old", 17), ("new", 3)}
+
+
+def test_scenes_meet_texts_by_digest(spark):
+    from cuework.operators import joins as J
+    from cuework.plans import scenes
+    rows = [(1, 0, "love in the night", 1.0, 4.0), (1, 1, "", 5.0, 8.0), (1, 2, None, 9.0, 12.0), (1, 3, "love in the night", 14.0, 19.0),
+            (1, 4, "far away", 90.0, 95.0), (1, None, "rain", 20.0, 24.0), (2, 0, "given", 0.0, 9.0), (3, 0, "far away", None, None)]
+    lines = spark.createDataFrame(rows, "k int, line_index int, text string, start double, end double").withColumns(
+        {"translation": F.lit(None).cast("string"), "uncertain": F.lit(False)})
+    segs = spark.createDataFrame([(k, 0.0, 30.0) for k in (1, 2, 3)], "k int, segment_start double, segment_end double")
+    tracks = spark.createDataFrame([(k, "a title", 96.0, "automatic") for k in (1, 2, 3)], "k int, title string, tempo_bpm double, style string")
+    words, at = lines.select("k", "line_index", "start", "end"), segs.select("k", F.lit(1.0).alias("t"))
+    frames = segs.select("k", F.lit(0).alias("frame"), F.lit(0.9).alias("energy"))
+    lex = J.lexicon(spark)
+    known = J.extract_semantics(spark.createDataFrame([("given",), ("unused",)], "text string"), ["text"], "text", lex).withColumn(
+        "subjects", F.array(F.lit("gift")))
+    out = scenes.plan_scenes(lines, words, frames, at, at, segs, tracks, lex, ["k"], semantics=known)
+    plan = out["scenes"]._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not [x for x in plan if "Join" in x and ("(text#" in x or "(lyric#" in x)]
+    got = {(r.k, r.line_index): r for r in out["scenes"].filter("line_index IS NOT NULL").collect()}
+    assert {k: r.lyric for k, r in got.items()} == {(1, 0): "love in the night", (1, 1): None, (1, 2): None, (1, 3): "love in the night",
+                                                    (2, 0): "given"}
+    assert got[1, 0].subjects == got[1, 3].subjects != [] and got[2, 0].subjects == ["gift"] and got[1, 1].subjects == []
+    near, texts = scenes.near_lines(lines, lines.select("k", "line_index", "start", "end"), segs, ["k"])
+    assert near.count() == 6 and sorted(str(r.text) for r in texts.collect()) == ["", "None", "given", "love in the night", "rain"]
