@@ -266,6 +266,12 @@ def semantic_norm(col: Column | str) -> Column:
     return F.regexp_replace(F.lower(compose(col)), r"[^\p{L}\p{N}_\s']", " ")
 
 
+def semantic_words(col: Column | str) -> Column:
+    """The words of :func:`semantic_norm`, read in one pass: what it turns into blanks, and white space, lies between them."""
+    # plain letters come first, as each alternative of the class is asked in turn
+    return F.regexp_extract_all(F.lower(compose(col)), F.lit(r"[a-z0-9\p{L}\p{N}_']+"), F.lit(0))
+
+
 def token_set(col: Column | str) -> Column:
     found = F.regexp_extract_all(F.lower(text_or_empty(col)), F.lit("[a-zğüşıöç]+"), F.lit(0))
     return F.array_except(F.array_distinct(found), F.array(*map(F.lit, fixed.MEDIA_STOPWORDS)))

@@ -21,6 +21,7 @@ from cuework.functions import fixed_values as fixed
 from cuework.functions import text as tx
 from cuework.functions.hashing import hamming
 from cuework.operators.ordered import range_sums, scan, split_hot, unsplit
+from cuework.session import checkpoint
 
 LEXICON_SCHEMA = ("stem string, subjects array<string>, emotions array<struct<name:string,"
                   "weight:double>>, queries array<string>")
@@ -47,15 +48,19 @@ def lexicon_join(tokens: DataFrame, lex: DataFrame, key: Sequence[str], token: s
     (key, stem, pos); ``pos`` numbers the stems of a key from 0 by first occurrence.
     """
     t = F.col(token)
+    # read twice below: only what starts like a stem is kept, so that texts are cut into words once
+    heads = lex.select(F.left("stem", F.lit(2)).alias("_head")).filter(F.length("_head") == 2).distinct()
+    tokens = checkpoint(tokens.select(*key, pos, token).join(
+        F.broadcast(heads), F.left(t, F.lit(2)) == F.col("_head"), "left_semi"))
     max_len = lex.agg(F.max(F.length("stem"))).first()[0] or 0
     prefixes = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(
         F.length(t), F.lit(max_len)))), lambda n: F.left(t, n))
-    words = tokens.filter(F.length(t) >= 2).select(t).distinct()
+    words = tokens.select(t).distinct()
     cand = (words.select(t, F.explode(prefixes).alias("stem"))
             .filter((F.length("stem") >= 3) | (F.col("stem") == t)))
     best = cand.join(lex.select("stem"), "stem").groupBy(token).agg(
         F.max_by("stem", F.length("stem")).alias("stem"))
-    first = tokens.select(*key, pos, token).join(best, token).groupBy(*key, "stem").agg(
+    first = tokens.join(best, token).groupBy(*key, "stem").agg(
         F.min(pos).alias(pos))
     # a key has at most one row for each stem here
     turn = F.row_number().over(Window.partitionBy(*key).orderBy(pos)) - 1
@@ -95,8 +100,7 @@ def lexicon_match(df: DataFrame, lex: DataFrame, key: Sequence[str], col: str) -
 
 def text_tokens(df: DataFrame, key: Sequence[str], col: str) -> DataFrame:
     """Distinct tokens of a text with the position where each first occurs."""
-    words = F.array_distinct(tx.words_of(tx.semantic_norm(col)))
-    return tx.positions(df, key, words, "pos", "token")
+    return tx.positions(df, key, F.array_distinct(tx.semantic_words(col)), "pos", "token")
 
 
 def extract_semantics(df: DataFrame, key: Sequence[str], col: str, lex: DataFrame,

@@ -93,3 +93,18 @@ def test_scenes_meet_texts_by_digest(spark):
     assert got[1, 0].subjects == got[1, 3].subjects != [] and got[2, 0].subjects == ["gift"] and got[1, 1].subjects == []
     near, texts = scenes.near_lines(lines, lines.select("k", "line_index", "start", "end"), segs, ["k"])
     assert near.count() == 6 and sorted(str(r.text) for r in texts.collect()) == ["", "None", "given", "love in the night", "rain"]
+
+
+def test_words_of_a_text_are_read_in_one_pass(spark, monkeypatch):
+    from cuework.operators import joins as J
+    odd = ["", None, "  ", "The ION's on_and on x", "été É ẞİI", "a--b\x1cc\x85d e", "''  '", "中文 ٣x \U0001d518z", "\t\x0bon\r\nthen"]
+    docs = spark.createDataFrame(list(enumerate(odd)), "id int, x string")
+    both = docs.select(tx.semantic_words("x").alias("a"), tx.words_of(tx.semantic_norm("x")).alias("b")).collect()
+    assert [r.a for r in both] == [r.b for r in both] and both[3].a == ["the", "ion's", "on_and", "on", "x"]
+    kept, store = [], J.checkpoint
+    monkeypatch.setattr(J, "checkpoint", lambda df: kept.append(store(df)) or kept[-1])
+    lex = spark.createDataFrame([("on",), ("ion",), ("the",), ("x",)], "stem string")
+    got = J.lexicon_join(J.text_tokens(docs, ["id"], "x"), lex, ["id"])
+    assert {(r.id, r.stem, r.pos) for r in got.collect()} == {(3, "the", 0), (3, "ion", 1), (3, "on", 2), (8, "on", 0), (8, "the", 1)}
+    # what starts like no stem is not stored, nor a single letter
+    assert {r.token for r in kept[0].collect()} == {"the", "ion's", "on_and", "on", "then"}
