@@ -7,7 +7,7 @@ to be compared letter by letter.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,8 +55,9 @@ def catalogue_index(catalogue: DataFrame, min_percent: int = 60) -> tuple[DataFr
     """
     title = tx.normalize_title("title")
     both = tx.normalize_title(F.concat_ws(" ", "artist", "title"))
-    entries = catalogue.select(*ENTRY, title.alias("_t"), tx.normalize_title("artist").alias("_a"),
-                               F.explode(F.array_distinct(F.array(both, title))).alias("name")).where("name <> ''")
+    # read for the names, their words, the index and the entries: normalised once
+    entries = checkpoint(catalogue.select(*ENTRY, title.alias("_t"), tx.normalize_title("artist").alias("_a"), both.alias("_b")))
+    entries = entries.select(*ENTRY, "_t", "_a", F.explode(F.array_distinct(F.array("_b", "_t"))).alias("name")).where("name <> ''")
     names = entries.select("name").distinct().withColumn("words", _words(F.col("name")))
     frequency = names.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     return _prefixes(names, frequency, min_percent), frequency, entries
@@ -139,12 +140,16 @@ def _longest_ratio(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).otherwise(2.0 * F.least(F.length(a), F.length(b)) / F.greatest(both, F.lit(1)))
 
 
-def resolve_requests(requests: DataFrame, catalogue: DataFrame, bodies: DataFrame, cache: DataFrame, now: Column,
+Bodies = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def resolve_requests(requests: DataFrame, catalogue: DataFrame, bodies: Bodies, cache: DataFrame, now: Column,
                      top: int = 5, measure: str = "levenshtein") -> dict[str, DataFrame]:
     """Lyrics of requests that come without a key and without candidates.
 
     ``requests``: artist, title, duration. ``catalogue``: :data:`ENTRY` and provider, album. ``bodies``: provider_ref,
-    plain_text, lrc_text. ``cache``: search_key, refs (array of provider_ref, best first), fetched_at. Requests with the
+    plain_text, lrc_text; or a function that gives them for the references of a table (``provider_ref``, each once), where
+    they have to be fetched or made. ``cache``: search_key, refs (array of provider_ref, best first), fetched_at. Requests with the
     same key are one. A fresh cache entry gives the candidates; for others the catalogue is searched, and what is found
     is cached (nothing found is not). Candidates get their bodies, are scored in full, ranked, and the best one is
     stored. Returns what :func:`resolve_lyrics` gives, and ``cache``: the new state of the cache.
@@ -160,7 +165,9 @@ def resolve_requests(requests: DataFrame, catalogue: DataFrame, bodies: DataFram
     state = cache.join(fresh.select("search_key"), "search_key", "left_anti").select(
         "search_key", "refs", "fetched_at").unionByName(fresh)
     refs = known.where("hit").select("search_key", "refs").unionByName(fresh.select("search_key", "refs"))
-    candidates = (refs.select("search_key", F.posexplode("refs").alias("input_pos", "provider_ref"))
-                  .join(catalogue.drop("input_pos", "synced", "long_enough"), "provider_ref")
+    refs = refs.select("search_key", F.posexplode("refs").alias("input_pos", "provider_ref"))
+    if not isinstance(bodies, DataFrame):
+        bodies = bodies(refs.select("provider_ref").distinct())
+    candidates = (refs.join(catalogue.drop("input_pos", "synced", "long_enough"), "provider_ref")
                   .join(bodies, "provider_ref"))
     return {**resolve_lyrics(keyed, candidates, ["search_key"], measure=measure, top=top), "cache": state}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,26 +30,39 @@ def requests(t) -> DataFrame:
 
 def catalogue(t) -> DataFrame:
     k = F.col("p_partkey")
-    docs = bodies(t).select("provider_ref", F.length(tx.strip(F.coalesce(F.nullif("plain_text", F.lit("")), "lrc_text"))).alias("n"))
+    # measured once a document, not once a part
+    docs = documents(t)
+    n = docs.select("doc_id", F.length(tx.strip("plain")).alias("plain"), F.length(tx.strip("timed")).alias("timed"))
+    n = t("part").select(k, (k % F.lit(max(1, t("documents").count()))).alias("doc_id")).join(n, "doc_id").select(
+        k.cast("string").alias("provider_ref"), F.when(k % 2 == 0, F.col("timed")).otherwise(F.col("plain")).alias("n"))
     return t("part").select(
         k.cast("string").alias("provider_ref"), F.lit("catalogue").alias("provider"), F.col("p_brand").alias("artist"),
         noisy().alias("title"), F.lit("").alias("album"), F.col("p_size").cast("double").alias("duration"),
         (k % 2 == 0).alias("synced"), (k % 11 == 0).alias("instrumental"), k.alias("input_pos")).join(
-        docs, "provider_ref", "left").withColumn("long_enough", F.coalesce(F.col("n") >= 80, F.lit(False))).drop("n")
+        n, "provider_ref", "left").withColumn("long_enough", F.coalesce(F.col("n") >= 80, F.lit(False))).drop("n")
 
 
-def bodies(t) -> DataFrame:
-    """Texts of documents as bodies: plain for odd entries, with a time every two seconds for even ones."""
-    k = F.col("p_partkey")
-    docs = F.lit(max(1, t("documents").count()))
-    both = t("part").select(k.cast("string").alias("provider_ref"), k, (k % docs).alias("doc_id")).join(
-        t("documents").select("doc_id", F.translate("text", "[]<>", "()()").alias("text")), "doc_id")
-    lines = F.filter(F.transform(tx.lines_of("text"), tx.strip), lambda x: x != "")
+def documents(t) -> DataFrame:
+    """Documents as bodies: ``plain``, and ``timed`` with a time every two seconds."""
+    text = F.col("text")
+    for old, new in zip("[]<>", "()()"):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    lines = F.filter(F.transform(tx.lines_of("plain"), tx.strip), lambda x: x != "")
     timed = F.array_join(F.transform(lines, lambda x, i: F.concat(
         F.format_string("[%02d:%02d.00]", F.floor(i / 30), i % 30 * 2), x)), "\n")
+    return t("documents").select("doc_id", F.coalesce(text, F.lit("")).alias("plain")).withColumn("timed", timed)
+
+
+def bodies(t, refs: DataFrame) -> DataFrame:
+    """Bodies of the entries ``refs`` (``provider_ref``): plain for odd ones, timed for even ones."""
+    k = F.col("p_partkey")
+    docs = F.lit(max(1, t("documents").count()))
+    asked = t("part").select(k.cast("string").alias("provider_ref"), k, (k % docs).alias("doc_id")).join(
+        refs, "provider_ref", "left_semi")
+    both = asked.join(documents(t), "doc_id")
     even = k % 2 == 0
-    return both.select("provider_ref", F.when(even, "").otherwise(F.coalesce("text", F.lit(""))).alias("plain_text"),
-                       F.when(even, timed).otherwise("").alias("lrc_text"))
+    return both.select("provider_ref", F.when(even, "").otherwise(F.col("plain")).alias("plain_text"),
+                       F.when(even, F.col("timed")).otherwise("").alias("lrc_text"))
 
 
 def cached(t) -> DataFrame:
@@ -117,7 +132,7 @@ def d2_requests(t):
     lines of some of the requests, and lines of others."""
     spark = t("part").sparkSession
     table = f"{scratch(spark)}/lines"
-    out = search.resolve_requests(requests(t), catalogue(t), bodies(t), cached(t), F.expr(NOW).cast("timestamp"))
+    out = search.resolve_requests(requests(t), catalogue(t), partial(bodies, t), cached(t), F.expr(NOW).cast("timestamp"))
     lines = out["lines"]
     old = requests(t).select(search.search_key().alias("search_key")).unionByName(
         t("nation").select(F.concat(F.lit("search:"), F.lower("n_name")).alias("search_key"))).select(

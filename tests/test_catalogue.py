@@ -171,3 +171,33 @@ def test_bucketed_merge(spark, tmp_path):
     got = {r.id: (r.v, r.created_at, r.updated_at) for r in versions.read_buckets(spark, table, schema).collect()}
     assert got == {**{i: ("a", 1, 1) for i in range(50)}, 3: ("b", 1, 2), 999: ("new", 2, 2), 4: ("c", 1, 3)}
     assert versions.merge_buckets(table, make([]), ["id"], merge, 3) == [] and versions.read_buckets(spark, table, schema).count() == 51
+
+
+def test_bodies_are_made_for_chosen_entries(spark):
+    entries = [(f"r{i}", "ann", "red river" if i < 4 else f"other song {i}", 100.0, False, True, False, i, "p", "") for i in range(12)]
+    asked = spark.createDataFrame([("Ann", "Red River", 100.0)], "artist string, title string, duration double")
+    cache = spark.createDataFrame([], "search_key string, refs array<string>, fetched_at timestamp")
+    texts = spark.createDataFrame([(f"r{i}", f"line {i}", "") for i in range(12)], "provider_ref string, plain_text string, lrc_text string")
+    wanted = []
+
+    def bodies(refs):
+        wanted.extend(r.provider_ref for r in refs.collect())
+        return texts.join(refs, "provider_ref", "left_semi")
+    now = F.timestamp_seconds(F.lit(91 * 86400))
+    resolve = lambda b: search.resolve_requests(asked, spark.createDataFrame(entries, ENTRY), b, cache, now, top=3)
+    got = [[(r.search_key, r.line_index, r.text) for r in resolve(b)["lines"].collect()] for b in (bodies, texts)]
+    assert got[0] == got[1] == [("search:ann|red river|100", 0, "line 0")] and sorted(wanted) == ["r0", "r1", "r2"]
+
+
+def test_documents_are_measured_once(spark):
+    from cuework.queries import catalogue
+    from cuework.queries.registry import table
+    t = lambda n: table(spark, "/root/testdata/sf0.001", n)
+    c = catalogue.catalogue(t)
+    # nothing is made of a text above the join that deals documents out to entries
+    plan = c._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("format_string") > plan.index("Join Inner")
+    refs = c.select("provider_ref")
+    long = catalogue.bodies(t, refs).select("provider_ref", (F.length(F.regexp_replace(F.concat("plain_text", "lrc_text"),
+                                                                                   r"(?U)^\s+|\s+$", "")) >= 80).alias("is_long"))
+    assert c.join(long, "provider_ref").filter("long_enough <> is_long").count() == 0 and long.count() == refs.count()
