@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cuework.llm import codec, lz_fingerprint, packing, token_files
+from cuework.llm import codec, lz_fingerprint, packing, token_files, tokens
 from cuework.llm.tokens import encoder
 
 public = pytest.importorskip("public_tokenizers")
@@ -35,6 +35,18 @@ def test_encoder_is_exact(whole):
         assert np.frombuffer(raw, "<u2").tolist() == whole(text), text
 
 
+def test_a_full_memory_keeps_the_words_in_use(whole, monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_WORDS", 40)
+    enc, learnt = tokens.Encoder(VOCABULARY), []
+    learn = enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda words: (learnt.extend(words), learn(words)))
+    for i in range(30):
+        texts = ["the usual words, again", " ".join(f"w{chr(97 + i)}{chr(97 + j)}" for j in range(20))]
+        assert [np.frombuffer(r, "<u2").tolist() for r in enc.encode(texts)] == [whole(t) for t in texts]
+        assert len(enc.words.young) + len(enc.words.old) < 200
+    assert learnt.count("usual") == 1
+
+
 def plan_by_force(at, penalty, width):
     best = {0: 0}
     for i in range(1, len(at)):
