@@ -8,7 +8,7 @@ skips by what is known of sets:
   place must hold the overlap they need. Lists are cut into blocks by how much is left after the position, only equal
   and neighbouring blocks are joined, and sizes and positions bound each pair before it is compared.
 * Answer-level skipping: in the first rounds every set meets two sets of all its lists, hubs that many sets of a group
-  have in common. Sets that turn out similar are in one component, and whatever else links them adds nothing; later
+  have in common, one of them near the middle of its group. Sets that turn out similar are in one component, and whatever else links them adds nothing; later
   rounds and the last join take only sets of lists that still belong to different components. For two sets that were
   compared with the same hub, the overlap with each other follows within bounds from their overlaps with the hub and
   what they lack of it; mostly that settles the pair without looking at the sets. A large group of near copies
@@ -35,7 +35,7 @@ from cuework.llm.textkernel import LOWER, Words, distinct_sets, mixed, slices_of
 
 SKETCH = 18
 HOT_SETS, MOST_HOT = 32, 1 << 17  # prefixes that make a shingle hot; the most that are put last
-STARS, HEADS = 6, 6  # rounds in which each set meets two hubs; sets of each list that may be hubs
+STARS, HEADS = 3, 6  # rounds in which each set meets two hubs; sets of each list that may be hubs
 MOST_BITS = 20  # of a bit map, as a power of two; otherwise it has 4 to 8 bits for each member
 RECORDS = "doc_id long, n int, k1 long, k2 long, bits binary, bucket int, docs int"
 ENTRIES = "h int, k1 long, n int, pos int"
@@ -322,14 +322,21 @@ def _all(tables: list[DataFrame]) -> DataFrame:
 
 
 def _with_hubs(left: DataFrame, turn: int, percent: int, answers: list[DataFrame]) -> DataFrame:
-    """Pairs (a, b): every set with two hubs, sets that come first by a hash of this turn in one of its lists, of another
-    component, and that it can be similar to. All lists rank sets alike, so a group of many lists has few hubs."""
+    """Pairs (a, b): every set with two hubs of another component that it can be similar to, from the heads of its lists.
+
+    Copies of a text have shingles of their own, which are rare and push what they share back: the set at the earliest
+    position in a list is the one nearest to the middle of its group, and one hub is the foremost of these (ever more
+    loosely from turn to turn, so that hubs change). The other comes first by a hash of this turn. All lists rank sets alike,
+    so a group of many lists has few hubs."""
     left = left.select("h", "k1", "n", "pos", "comp").repartition("h")
+    front = lambda c: F.floor(c / F.lit(1 + turn))
     some = [F.struct(F.xxhash64("k1", F.lit(turn * HEADS + i)).alias("r"), "k1", "n", "pos", "comp") for i in range(HEADS // 2)]
-    heads = left.groupBy("h").agg(F.array(*[f(x) for x in some for f in (F.min, F.max)]).alias("e"))
+    first = F.struct(front(F.col("pos")).alias("front"), F.xxhash64("k1", F.lit(turn)).alias("r"), "k1", "n", "pos", "comp")
+    heads = left.groupBy("h").agg(F.array(*[f(x) for x in some for f in (F.min, F.max)], F.min(first).dropFields("front")).alias("e"))
     fit = F.filter("e", lambda e: (e["comp"] != F.col("comp")) & _fits(F.col("n"), F.col("pos"), e["n"], e["pos"], percent))
-    best = F.transform(fit, lambda e: F.struct(F.xxhash64(e["k1"], F.lit(turn)).alias("r"), e["k1"].alias("b")))
-    rows = left.join(heads, "h").select("k1", F.array_min(best).alias("x"), F.array_max(best).alias("y")).where("x IS NOT NULL")
+    ranked = F.transform(fit, lambda e: F.struct(front(e["pos"]).alias("front"), F.xxhash64(e["k1"], F.lit(turn)).alias("r"), e["k1"].alias("b")))
+    hashed = F.transform(fit, lambda e: F.struct(F.xxhash64(e["k1"], F.lit(turn)).alias("r"), e["k1"].alias("b")))
+    rows = left.join(heads, "h").select("k1", F.array_min(ranked).alias("x"), F.array_max(hashed).alias("y")).where("x IS NOT NULL")
     two = rows.groupBy("k1").agg(F.min("x").alias("x"), F.max("y").alias("y"))
     # a pair is asked once: the hub of two sets that are hubs to each other is the one with the greater key
     pairs = two.select(F.col("k1").alias("a"), F.explode(F.array_distinct(F.array("x.b", "y.b"))).alias("b"))

@@ -107,6 +107,25 @@ def test_every_text_of_a_repeated_id_is_compared(spark):
         assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
 
 
+def test_the_middle_of_a_group_is_found_first(spark, monkeypatch):
+    # copies with two changed words each are similar to their original only
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(150)]
+    texts = [base]
+    for i in range(150):
+        other = list(base)
+        for at in rng.sample(range(5, 145), 2):
+            other[at] = f"x{rng.randrange(10**9)}"
+        texts.append(other)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rest, left = jaccard_join._rest, []
+    monkeypatch.setattr(jaccard_join, "STARS", 2)
+    monkeypatch.setattr(jaccard_join, "_rest", lambda t, p: (left.append(rest(t, p).count()), rest(t, p))[1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_groups(frame(spark, rows), 4, 85).collect()}
+    assert got == groups_by_force(rows, 4, 85)
+    assert left[0] <= 150
+
+
 def test_bounds_from_common_hubs_hold(spark):
     rng = random.Random(6)
     hubs = [set(rng.sample(range(60), 30)) for _ in range(3)]
