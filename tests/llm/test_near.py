@@ -126,6 +126,14 @@ def test_the_middle_of_a_group_is_found_first(spark, monkeypatch):
     assert left[0] <= 150
 
 
+def test_few_tables_are_written(spark, monkeypatch):
+    # the driver keeps the plan of each: with many its memory doesn't last through the pipeline
+    made, stored = [], jaccard_join.stored
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, name: (made.append(name), stored(df, name))[1])
+    jaccard_join.similar_groups(frame(spark, [(1, "a b c d e f"), (2, "g h i j k l")]))
+    assert len(made) <= 30
+
+
 def test_bounds_from_common_hubs_hold(spark):
     rng = random.Random(6)
     hubs = [set(rng.sample(range(60), 30)) for _ in range(3)]
