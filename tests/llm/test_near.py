@@ -304,3 +304,46 @@ def test_recall_near_the_threshold(spark):
     got = {(r.doc_id, r.with_doc_id) for r in compact_windows.repeated_passages(frame(spark, rows)).collect()}
     print("recall", len(got & want), "of", len(want))
     assert len(want) > 200 and got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_a_word_over_and_over_is_one_passage():
+    def shingles(*words):
+        return textkernel.Words(pa.array([" ".join(words)])).shingles(5)[0]
+    rng = random.Random(3)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    one, two = shingles(*text(20), *["the"] * 60, *text(20)), shingles(*text(30), *["the"] * 400, *text(30))
+    assert compact_windows.passages(one, two, 46, 80) == [(20, 76, 30, 426, 1.0)]
+    assert compact_windows.passages(two, one, 46, 80) == [(30, 426, 20, 76, 1.0)]
+    # with fewer than a passage in one it tells nothing
+    assert compact_windows.passages(shingles(*text(20), *["the"] * 40, *text(20)), two, 46, 80) == []
+
+
+def test_a_run_ends_where_the_documents_differ():
+    rng = np.random.default_rng(8)
+    new = lambda n: rng.integers(0, 1 << 60, n).astype(np.uint64)
+    first, second, tail = new(300), new(140), new(60)
+    one = np.concatenate([first, new(4), second, new(60)])
+    two = np.concatenate([first, new(4), second, tail])
+    assert compact_windows.passages(one, two, 46, 80) == [(0, 444, 0, 444, round(440 / 448, 6))]
+
+
+def test_equal_texts_are_compared_once(spark, monkeypatch):
+    rng = random.Random(14)
+    text = lambda n: [word(rng) for _ in range(n)]
+    passage, copy = text(60), text(80)
+    rows = [(i, " ".join(copy)) for i in range(30)] + [(i, " ".join(text(20) + passage + text(20))) for i in range(40, 44)]
+    rows += [(50, " ".join(copy[:70])), (51, " ".join(copy[:70])), (60, "too short"), (61, "too short"), (44, rows[-1][1])]
+    pairs, stored = [], compact_windows.stored
+
+    def kept(df, name):
+        out = stored(df, name)
+        if name == "pairs":
+            pairs.append(out.count())
+        return out
+    monkeypatch.setattr(compact_windows, "stored", kept)
+    got = {(r.doc_id, r.with_doc_id): (r.start, r.end, r.with_start, r.with_end)
+           for r in compact_windows.repeated_passages(frame(spark, rows)).collect()}
+    linked = {r.id: r.component for r in components(spark.createDataFrame(list(got), "u long, v long")).collect()}
+    assert linked == {**{i: 0 for i in (*range(30), 50, 51)}, **{i: 40 for i in range(40, 45)}}
+    assert all(got[i, 0] == (0, 80, 0, 80) for i in range(1, 30)) and got[44, 43][1] == 100
+    assert sum(pairs) <= 6
